@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.session import scratch_path
 
@@ -41,7 +42,8 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_r
         .write.partitionBy(CHUNK)
         .parquet(path)
     )
-    return df.sparkSession.read.schema(df.schema.add(CHUNK, "int")).parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField(CHUNK, T.IntegerType())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 class Ordered:
