@@ -1,0 +1,62 @@
+"""Small vocabulary for reading parsed JSON (VARIANT columns) by loose rules."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(fn: Callable[[Column], Column], **values: Column) -> Column:
+    """``fn`` of a struct of ``values``, each worked out once."""
+    bound = F.array(F.struct(*[v.alias(n) for n, v in values.items()]))
+    return F.get(F.transform(bound, fn), F.lit(0))
+
+
+def field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def shape(v: Column) -> Column:
+    """Type name: ``STRING``, ``BOOLEAN``, ``OBJECT<…>``, ``ARRAY<…>``, ``VOID`` and so on; null if absent."""
+    return F.schema_of_variant(v)
+
+
+def is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(shape(v), F.lit("OBJECT")), F.lit(False))
+
+
+def is_list(v: Column) -> Column:
+    return F.coalesce(F.startswith(shape(v), F.lit("ARRAY")), F.lit(False))
+
+
+def truthy(v: Column) -> Column:
+    """``v`` unless it is absent, null, false, zero or empty."""
+    return F.when(~F.to_json(v).isin("null", "false", "0", "0.0", '""', "[]", "{}"), v)
+
+
+def first_truthy(v: Column, names: Sequence[str]) -> Column:
+    return F.coalesce(*[truthy(field(v, n)) for n in names])
+
+
+def string(v: Column) -> Column:
+    """Text of a JSON string, null for any other type."""
+    return F.when(shape(v) == "STRING", v.cast("string"))
+
+
+def text(v: Column) -> Column:
+    """Any value as text: strings as they are, booleans capitalised, objects and lists as JSON."""
+    return F.when(shape(v) == "BOOLEAN", F.initcap(v.cast("string"))).otherwise(
+        F.when(shape(v) == "STRING", v.cast("string")).otherwise(F.to_json(v))
+    )
+
+
+def number(v: Column) -> Column:
+    """A count as a whole number, 0 when absent or falsy."""
+    return F.coalesce(F.try_variant_get(truthy(v), "$", "double"), F.lit(0.0)).cast("long")
+
+
+def items(v: Column) -> Column:
+    """Elements of a JSON list, null for any other type."""
+    return F.when(is_list(v), F.try_variant_get(v, "$", "array<variant>"))
