@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.functions import variants as J
-from ledgerline.functions.jsontext import canonical_json
+from ledgerline.functions.jsontext import canonical_json, parse
 from ledgerline.functions.text import one_line, path_tail, strip
-from ledgerline.operators.usage import TEXT_KEYS, extract_blobs, stream_rank
+from ledgerline.operators.decode import clean, decode_text, explode_texts
+from ledgerline.operators.usage import TEXT_KEYS, stream_rank, whole_number
 
 REPORT = (
     "ok boolean, reward int, failed int, passedTests array<string>, failedTests array<string>, "
@@ -21,134 +23,170 @@ REPORT = (
 
 _ACTORS = ["assistant", "user", "system"]
 _TOOL_TYPES = ["tool_use", "tool_call", "tool", "function_call", "tool_request"]
-
-
-def _tool_name(v: Column) -> Column:
-    named = [
-        F.when((s != "") & ~s.isin(_ACTORS), s)
-        for s in (J.string(J.field(v, n)) for n in ("tool_name", "toolName", "name", "tool"))
-    ]
-    nested = J.let(
-        lambda x: J.string(J.first_truthy(x["call"], ["name", "tool"])),
-        call=J.first_truthy(v, ["tool_call", "toolCall", "function"]),
+_SPEECH_TYPES = ["assistant", "message"]
+_ERROR_TYPES = ["error", "turn.failed", "stream_error"]
+_TURN_TYPES = ["turn.completed", "turn.started", "item.completed"]
+
+# What an event offers for its label, in the order it is considered: the event itself, its content,
+# the blocks of the content (each in the same way), and what is left of the event.
+_FACTS = T.ArrayType(
+    T.StructType(
+        [T.StructField(n, T.StringType()) for n in ("part", "kind", "sub", "tool", "said", "error")]
+        + [T.StructField("failed", T.BooleanType())]
+        + [T.StructField("targets", T.ArrayType(T.StringType()))]
     )
-    return F.coalesce(*named, nested, F.lit(""))
-
-
-def _tool_target(v: Column) -> Column:
-    """File name or command a tool works on."""
-
-    def pick(obj: Column, files: Sequence[str], others: Sequence[str]) -> list[Column]:
-        found = {n: J.string(J.field(obj, n)) for n in [*files, *others]}
-        shown = {n: path_tail(s) if n in files else one_line(s, 64) for n, s in found.items()}
-        order = [n for n in ("file_path", "filePath", "path", "filename", "target_file", "command", "cmd") if n in found]
-        return [F.when(strip(found[n]) != "", shown[n]) for n in order]
-
-    inner = J.let(
-        lambda x: F.coalesce(*pick(x["arg"], ["file_path", "path", "target_file"], ["filePath", "command"])),
-        arg=J.first_truthy(v, ["input", "arguments", "args"]),
-    )
-    return F.coalesce(*pick(v, ["file_path", "path", "filename"], ["filePath", "command", "cmd"]), inner, F.lit(""))
-
-
-def _error_text(message: Column, otherwise: Column) -> Column:
-    """Text of an error message, which may be wrapped in an object."""
-    inner = F.when(J.is_object(message), J.first_truthy(message, ["message", "error"])).otherwise(message)
-    return F.coalesce(J.text(inner), otherwise)
-
-
-def event_label(event: Column, depth: int = 3) -> Column:
-    """One-line label of a parsed event, null if it says nothing.
-
-    An error first, then a tool and its target, then model text, then results and turns. Content
-    blocks are looked into ``depth`` levels deep.
-    """
-
-    def label(x: Column) -> Column:
-        v, low, sub = x["v"], F.lower(x["kind"]), x["sub"]
-        error = F.concat(
-            F.lit("cli error "),
-            one_line(_error_text(J.first_truthy(v, ["message", "error"]), F.coalesce(F.nullif(sub, F.lit("")), x["kind"])), 96),
-        )
-        tool = F.when(
-            (x["tool"] != "") | low.isin(_TOOL_TYPES),
-            strip(F.concat_ws(" ", F.coalesce(F.nullif(x["tool"], F.lit("")), F.lit("tool")), _tool_target(v))),
-        )
-        speech = low.isin("assistant", "message")
-        body = J.string(J.first_truthy(x["content"], ["content", "text"]))
-        content = F.coalesce(
-            F.when(x["inner_tool"] != "", strip(F.concat_ws(" ", x["inner_tool"], _tool_target(x["content"])))),
-            F.when(speech & (strip(body) != ""), F.concat(F.lit("model "), one_line(body, 72))),
+)
+_OWN_TARGETS = ("file_path", "filePath", "path", "filename", "command", "cmd")
+_ARGUMENT_TARGETS = ("file_path", "filePath", "path", "target_file", "command")
+_FILE_KEYS = ("file_path", "path", "filename", "target_file")
+
+
+def _first(obj, *names):
+    """First value under ``names`` that is not empty, zero, false or null."""
+    return next((obj[n] for n in names if obj.get(n)), None) if isinstance(obj, dict) else None
+
+
+def _text(value) -> str | None:
+    return None if value is None else clean(str(value))
+
+
+def _string(value) -> str | None:
+    return clean(value) if isinstance(value, str) else None
+
+
+def _tool(obj: dict) -> str | None:
+    names = (obj.get(n) for n in ("tool_name", "toolName", "name", "tool"))
+    own = next((n for n in names if isinstance(n, str) and n and n not in _ACTORS), None)
+    return _string(own or _first(_first(obj, "tool_call", "toolCall", "function"), "name", "tool"))
+
+
+def _targets(obj: dict) -> list[str]:
+    """What a tool works on, best first; files are marked by a leading slash."""
+    arguments = _first(obj, "input", "arguments", "args")
+    found = [(n, obj.get(n)) for n in _OWN_TARGETS]
+    found += [(n, arguments.get(n)) for n in _ARGUMENT_TARGETS] if isinstance(arguments, dict) else []
+    return [("/" if n in _FILE_KEYS else " ") + clean(v) for n, v in found if isinstance(v, str)]
+
+
+def _facts(event) -> Iterator[dict]:
+    if not isinstance(event, dict):
+        return
+    base = {"kind": _text(_first(event, "type", "event", "kind")), "sub": _text(_first(event, "subtype", "status"))}
+    message = _first(event, "message", "error")
+    message = _first(message, "message", "error") if isinstance(message, dict) else message
+    yield base | {"part": "event", "tool": _tool(event), "targets": _targets(event), "error": _text(message)}
+    content = _first(event, "content", "message")
+    if isinstance(content, dict):
+        said = _string(_first(content, "content", "text"))
+        yield base | {"part": "content", "tool": _tool(content), "targets": _targets(content), "said": said}
+        for block in content["content"] if isinstance(content.get("content"), list) else ():
+            yield from _facts(block)
+    reason = _first(event, "result", "errors", "error")
+    reason = reason[0] if isinstance(reason, list) else reason
+    failed = _first(event, "is_error", "isError") is not None
+    yield base | {"part": "rest", "said": _string(event.get("text")), "failed": failed, "error": _text(reason)}
+
+
+@F.pandas_udf(_FACTS)
+def _event_facts(lines: pd.Series) -> pd.Series:
+    def read(line):
+        try:
+            event = parse(line)
+        except ValueError:
+            return None
+        return list(_facts(event[-1] if isinstance(event, list) and event else event))
+
+    return lines.map(read, na_action="ignore").astype(object)
+
+
+def _label(f: Column) -> Column:
+    low, blank = F.lower(f["kind"]), F.lit("")
+    said = F.concat(F.lit("model "), one_line(f["said"], 72))
+    # A target that is blank is passed over, whichever key it stood under.
+    target = F.get(F.filter(f["targets"], lambda t: strip(F.substr(t, F.lit(2))) != ""), F.lit(0))
+    target = F.when(F.startswith(target, F.lit("/")), path_tail(target)).otherwise(one_line(target, 64))
+    tool = strip(F.concat(F.coalesce(f["tool"], F.lit("tool")), F.lit(" "), F.coalesce(target, blank)))
+    error = F.concat(F.lit("cli error "), one_line(F.coalesce(f["error"], f["sub"], f["kind"]), 96))
+    failure = F.concat(F.lit("cli error "), one_line(F.coalesce(f["error"], F.lit("is_error")), 96))
+    return (
+        F.when(
+            f["part"] == "event",
+            F.when(low.isin(_ERROR_TYPES), error).when(f["tool"].isNotNull() | low.isin(_TOOL_TYPES), tool),
         )
-        if depth > 0:
-            blocks = J.items(J.field(x["content"], "content"))
-            labels = F.transform(blocks, lambda b: event_label(b, depth - 1))
-            content = F.coalesce(content, F.get(F.filter(labels, lambda s: s != ""), F.lit(0)))
-        said = F.when(speech, F.concat(F.lit("model "), one_line(J.string(J.field(v, "text")), 72)))
-        failed = F.coalesce(J.truthy(J.field(v, "is_error")), J.truthy(J.field(v, "isError"))).isNotNull()
-        reason = J.first_truthy(v, ["result", "errors", "error"])
-        reason = F.coalesce(J.text(F.when(J.is_list(reason), F.get(J.items(reason), F.lit(0))).otherwise(reason)), F.lit("is_error"))
-        result = F.when(failed, F.concat(F.lit("cli error "), one_line(reason, 96))).otherwise(
-            strip(F.concat(F.lit("cli result "), F.coalesce(F.nullif(sub, F.lit("")), F.lit("done"))))
+        .when(
+            f["part"] == "content",
+            F.when(f["tool"].isNotNull(), tool).when(low.isin(_SPEECH_TYPES) & (strip(f["said"]) != ""), said),
         )
-        return F.when(low.isin("error", "turn.failed", "stream_error"), error).otherwise(
-            F.coalesce(
-                tool,
-                F.when(J.is_object(x["content"]), content),
-                said,
-                F.when(low == "result", result)
-                .when(low == "system", F.concat(F.lit("cli "), F.coalesce(F.nullif(sub, F.lit("")), F.lit("system"))))
-                .when(low.isin("turn.completed", "turn.started", "item.completed"), F.concat(F.lit("cli "), x["kind"])),
-            )
+        .otherwise(
+            F.when(low.isin(_SPEECH_TYPES) & f["said"].isNotNull(), said)
+            .when(low == "result", F.when(f["failed"], failure).otherwise(F.concat(F.lit("cli result "), F.coalesce(f["sub"], F.lit("done")))))
+            .when(low == "system", F.concat(F.lit("cli "), F.coalesce(f["sub"], F.lit("system"))))
+            .when(low.isin(_TURN_TYPES), F.concat(F.lit("cli "), f["kind"]))
         )
-
-    content = J.first_truthy(event, ["content", "message"])
-    bound = J.let(
-        label,
-        v=event,
-        kind=F.coalesce(J.text(J.first_truthy(event, ["type", "event", "kind"])), F.lit("")),
-        sub=F.coalesce(J.text(J.first_truthy(event, ["subtype", "status"])), F.lit("")),
-        tool=_tool_name(event),
-        content=content,
-        inner_tool=F.when(J.is_object(content), _tool_name(content)).otherwise(""),
     )
-    return F.when(J.is_object(event), bound)
 
 
-def event_snippet(line, depth: int = 3) -> Column:
-    """Label of an output line: a JSON event by its content (the last of a list), else the line cut short."""
+def event_snippet(line) -> Column:
+    """Label of an output line: a JSON event by its content (the last of a list), else the line cut short.
+
+    An error comes first, then a tool and its target, then model text, then results and turns.
+    """
     line = strip(F.col(line) if isinstance(line, str) else line)
     is_json = line.rlike(r"^[{\[]")
-    parsed = F.try_parse_json(canonical_json(F.when(is_json, line)))
-    event = F.when(J.is_list(parsed), F.try_element_at(J.items(parsed), F.lit(-1))).otherwise(parsed)
+    labels = F.transform(_event_facts(F.when(is_json, line)), _label)
+    label = F.get(F.filter(labels, lambda s: s.isNotNull()), F.lit(0))
     noise = line.rlike(r"^(\x1b|[ .\-/|\\]*$)") | (F.char_length(line) > 400)
-    return F.when(is_json, event_label(event, depth)).when(~noise, one_line(line, 96))
+    return F.when(is_json, label).when(~noise, one_line(line, 96))
 
 
-# --- first error ------------------------------------------------------------------------------
+# --- first error and blocked runs -------------------------------------------------------------
 
+_OUTCOME = T.StructType(
+    [T.StructField("blob", T.IntegerType())]
+    + [T.StructField(n, T.StringType()) for n in ("type", "said", "reason", "payload_type", "payload_said")]
+    + [T.StructField("is_error", T.BooleanType())]
+    + [T.StructField(n, T.LongType()) for n in ("tokens", "api_ms")]
+)
 
-def blob_error(json_text: str = "json") -> Column:
-    """Error message of one JSON value of an output, null if it reports none."""
 
-    def message(x: Column) -> Column:
-        v, kind = x["v"], F.coalesce(J.text(J.truthy(J.field(x["v"], "type"))), F.lit(""))
-        flagged = J.first_truthy(v, ["is_error", "isError"]).isNotNull() | kind.isin("error", "turn.failed")
-        said = J.first_truthy(v, ["result", "message", "error", "errors"])
-        inner = F.when(
-            J.is_object(said), F.coalesce(J.first_truthy(said, ["message", "error"]), said)
-        ).otherwise(said)
-        inner = F.when(J.is_list(inner), F.get(J.items(inner), F.lit(0))).otherwise(inner)
-        line = F.nullif(one_line(F.coalesce(J.text(inner), kind), 220), F.lit(""))
-        reason = J.text(J.first_truthy(v, ["stop_reason", "stopReason"]))
-        own = F.when(flagged, F.when(reason.isNotNull(), F.concat(line, F.lit(" ("), reason, F.lit(")"))).otherwise(line))
-        payload = J.field(v, "payload")
-        nested = J.string(J.field(payload, "type")).isin("error", "stream_error")
-        told = J.text(F.coalesce(J.truthy(J.field(payload, "message")), payload))
-        return F.coalesce(own, F.when(nested, F.nullif(one_line(told, 220), F.lit(""))))
+def _count(value) -> int:
+    return whole_number(int(value) if isinstance(value, float) else value)
+
+
+def _outcomes(text: str, whole: bool) -> Iterator[dict]:
+    """Per top-level object that may report a failure: what it says."""
+    for blob, (value, _) in enumerate(decode_text(text, whole)):
+        if not isinstance(value, dict):
+            continue
+        payload = value["payload"] if isinstance(value.get("payload"), dict) else {}
+        is_error = _first(value, "is_error", "isError") is not None
+        kind, payload_type = _text(_first(value, "type")), _text(_first(payload, "type"))
+        if not (is_error or kind in _ERROR_TYPES or payload_type in _ERROR_TYPES):
+            continue
+        said = _first(value, "result", "message", "error", "errors")
+        said = _first(said, "message", "error") or said if isinstance(said, dict) else said
+        usage = value["usage"] if isinstance(value.get("usage"), dict) else {}
+        yield {
+            "blob": blob, "type": kind, "is_error": is_error, "payload_type": payload_type,
+            "said": _text(said[0] if isinstance(said, list) else said),
+            "reason": _text(_first(value, "stop_reason", "stopReason")),
+            "payload_said": _text(_first(payload, "message") or payload),
+            "tokens": _count(_first(usage, "input_tokens", "inputTokens")),
+            "api_ms": _count(_first(value, "duration_api_ms", "durationApiMs")),
+        }
 
-    parsed = F.try_parse_json(json_text)
-    return F.when(J.is_object(parsed), J.let(message, v=parsed))
+
+def read_outcomes(texts: DataFrame, keep: Sequence[str], whole: bool = True) -> DataFrame:
+    """Every JSON object that reports a failure, with its message, reason, tokens and API time."""
+    return explode_texts(texts, "text", list(keep), _OUTCOME, _outcomes, whole)
+
+
+def _outcome_error() -> Column:
+    line = F.nullif(one_line(F.coalesce("said", "type"), 220), F.lit(""))
+    with_reason = F.when(F.col("reason").isNull(), line).otherwise(F.concat(line, F.lit(" ("), "reason", F.lit(")")))
+    own = F.when(F.col("is_error") | F.col("type").isin("error", "turn.failed"), with_reason)
+    nested = F.when(F.col("payload_type").isin("error", "stream_error"), F.nullif(one_line("payload_said", 220), F.lit("")))
+    return F.coalesce(own, nested)
 
 
 def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool = True) -> DataFrame:
@@ -159,11 +197,10 @@ def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool =
     keys = list(keys)
     placed = texts.withColumn("stream_rank", stream_rank(first="stderr"))
     keep = [*keys, "stream_rank", "seq"]
-    found = extract_blobs(placed, keep, whole=whole).select(*keep, "blob", blob_error().alias("found"))
-    found = found.filter("found is not null").withColumn("said", F.lit(None).cast("string"))
+    found = read_outcomes(placed, keep, whole).select(*keep, "blob", _outcome_error().alias("found"))
     last = F.element_at(F.split(strip("text"), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), -1)
-    said = placed.select(*keep, F.lit(0).alias("blob"), F.lit(None).cast("string").alias("found"), one_line(last, 220).alias("said"))
-    rows = found.unionByName(said.filter("said != ''"))
+    said = placed.select(*keep, one_line(last, 220).alias("said"))
+    rows = found.filter("found is not null").unionByName(said.filter("said != ''"), allowMissingColumns=True)
     place = F.struct("stream_rank", "seq", "blob")
     late = F.struct(-F.col("stream_rank"), F.col("seq"))
     return rows.groupBy(*keys).agg(
@@ -174,6 +211,16 @@ def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool =
     )
 
 
+def blocked_runs(texts: DataFrame, exits: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool = True) -> DataFrame:
+    """Keys of attempts that never reached the model: an error without tokens or API time, or a jail
+    failure with a bad exit code. ``exits``: ``keys`` and ``exit_code``."""
+    keys = list(keys)
+    idle = read_outcomes(texts, keys, whole).filter("is_error and tokens = 0 and api_ms = 0").select(*keys)
+    jailed = texts.filter(F.contains("text", F.lit("sandbox-exec:"))).select(*keys)
+    bad_exit = exits.filter("exit_code != 0").select(*keys)
+    return idle.unionByName(jailed.join(bad_exit, keys, "left_semi")).distinct()
+
+
 # --- verifier output --------------------------------------------------------------------------
 
 
@@ -229,22 +276,3 @@ def merge_report(reports: DataFrame, parsed: DataFrame, by: Sequence[str]) -> Da
     fill = F.when(F.col("failedTests").isNull(), F.slice(from_log["failedTests"], 1, 12))
     merged = rows.withColumns({"errors": F.coalesce("errors", fill), **{c: F.coalesce(c, from_log[c]) for c in lists}})
     return merged.drop(*[f"_{c}" for c in lists])
-
-
-def blocked_runs(texts: DataFrame, exits: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool = True) -> DataFrame:
-    """Keys of attempts that never reached the model: an error without tokens or API time, or a jail
-    failure with a bad exit code. ``exits``: ``keys`` and ``exit_code``."""
-    keys = list(keys)
-
-    def idle(x: Column) -> Column:
-        v = x["v"]
-        usage = F.when(J.is_object(J.field(v, "usage")), J.field(v, "usage"))
-        tokens = J.number(J.first_truthy(usage, ["input_tokens", "inputTokens"]))
-        spent = J.number(J.first_truthy(v, ["duration_api_ms", "durationApiMs"]))
-        return J.first_truthy(v, ["is_error", "isError"]).isNotNull() & (tokens <= 0) & (spent <= 0)
-
-    parsed = F.try_parse_json("json")
-    errors = extract_blobs(texts, keys, whole=whole).filter(F.when(J.is_object(parsed), J.let(idle, v=parsed))).select(*keys)
-    jailed = texts.filter(F.contains("text", F.lit("sandbox-exec:"))).select(*keys)
-    bad_exit = exits.filter("exit_code != 0").select(*keys)
-    return errors.unionByName(jailed.join(bad_exit, keys, "left_semi")).distinct()

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.keys import BUCKETS, classify_key
-from ledgerline.operators.usage import choose_source, extract_blobs, harvest, harvest_texts, read_nodes, best_usage, sum_attempts
+from ledgerline.operators.decode import extract_blobs
+from ledgerline.operators.usage import harvest, harvest_texts, read_nodes, best_usage, sum_attempts
 
 
 def lines(*objs):
