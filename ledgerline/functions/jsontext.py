@@ -101,10 +101,10 @@ def _entries(texts: pd.Series) -> pd.Series:
         value = parse(text)
         if not isinstance(value, dict):
             return None
-        return [
-            (k.encode("utf-8", "replace").decode(), str(v).lower() if isinstance(v, bool) else dump(equal_form(v)))
+        return {
+            k.encode("utf-8", "replace").decode(): str(v).lower() if isinstance(v, bool) else dump(equal_form(v))
             for k, v in value.items()
-        ]
+        }
 
     return _map(texts, top)
 

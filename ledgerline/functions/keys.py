@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ def fold_key(name: Column) -> Column:
 
 
 def _any(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return text.rlike("|".join(words))
 
 
 def classify_folded(key: Column, parent: Column) -> Column:

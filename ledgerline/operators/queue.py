@@ -2,7 +2,8 @@
 
 ``commands(queue_id, seq, now_ms, op, msg_id, delay_ms, visibility_ms, lease_ref)``, in ``seq``
 order per queue. ``op``: ``enqueue``, ``lease``, ``ack``, ``nack`` or ``count``. A lease is known
-by the ``seq`` of the command that took it, and ``ack``/``nack`` name it in ``lease_ref``.
+by the ``seq`` of the command that took it, and ``ack``/``nack`` name it in ``lease_ref``; they may
+leave ``msg_id`` null to mean whatever message that lease holds.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ ITEM = "struct<msg_id:string,attempts:long,available_at:long,lease_ref:long,leas
 
 
 class _Queue:
-    """Messages by id, with heaps over the ready and the leased ones. Heap entries may be stale."""
+    """Messages by id, with heaps over the ready and the leased ones (entries may be stale), and the
+    message of each active lease."""
 
     def __init__(self):
-        self.items, self.ready, self.leases = {}, [], []
+        self.items, self.ready, self.leases, self.held = {}, [], [], {}
 
 
 class Leases(Fold):
@@ -47,6 +49,7 @@ class Leases(Fold):
 
     def _fail(self, q, item, now):
         """An attempt ended without success: count it, and ready the message or bury it."""
+        q.held.pop(item["lease_ref"], None)
         item.update(lease_ref=None, lease_until=0, available_at=now, attempts=item["attempts"] + 1)
         item["dead"] = item["attempts"] >= self.max_attempts
         if not item["dead"]:
@@ -80,16 +83,18 @@ class Leases(Fold):
                 return False, None, None, None, None, None
             item.update(lease_ref=seq, lease_until=now + max(1, visibility or 0))
             heappush(q.leases, (item["lease_until"], item["msg_id"], seq))
+            q.held[seq] = item["msg_id"]
             return True, item["msg_id"], item["attempts"], None, None, None
         if op == "count":
             live = [i for i in q.items.values() if not i["dead"]]
             leased = sum(i["lease_ref"] is not None for i in live)
             ready = sum(i["lease_ref"] is None and i["available_at"] <= now for i in live)
             return True, None, None, ready, leased, len(q.items) - len(live)
+        held = ref is not None and ref in q.held and msg in (None, q.held[ref])
+        msg = q.held[ref] if held else msg
         item = q.items.get(msg)
-        held = item is not None and ref is not None and item["lease_ref"] == ref
         if held and op == "ack":
-            del q.items[msg]
+            del q.items[msg], q.held[ref]
         elif held and op == "nack":
             self._fail(q, item, now)
         return held, msg, item["attempts"] if held else None, None, None, None
@@ -103,6 +108,7 @@ class Leases(Fold):
             q.items[item["msg_id"]] = item
             if item["lease_ref"] is not None:
                 heappush(q.leases, (item["lease_until"], item["msg_id"], item["lease_ref"]))
+                q.held[item["lease_ref"]] = item["msg_id"]
             elif not item["dead"]:
                 heappush(q.ready, (item["available_at"], item["msg_id"]))
         return q
