@@ -42,6 +42,9 @@ class Repeats(Fold):
     def load(self, text):
         return json.loads(text)
 
+    def stale_at(self, state):
+        return 0 if state[0] is None else state[1] + self.gap
+
     def watcher(self):
         """Sure once a text differs from the one before it, or comes a whole gap later."""
         last = [None, None]
@@ -73,6 +76,29 @@ def suppress_repeats(
     return mark_repeats(df, key, text, ts_ms, tie, gap_ms, state_in, max_rows).filter("emitted").drop("emitted")
 
 
+class Idle(Fold):
+    """State: the time of the row before."""
+
+    outputs = (T.StructField("idle_ms", T.LongType()),)
+
+    def __init__(self, ts: str):
+        self.inputs = (ts,)
+
+    def fresh(self):
+        return [None]
+
+    def step(self, state, now):
+        idle = None if state[0] is None else now - state[0]
+        state[0] = now
+        return (idle,)
+
+    def dump(self, state):
+        return json.dumps(state)
+
+    def load(self, text):
+        return json.loads(text)
+
+
 def watched(snapshot: DataFrame, path: str = "path") -> DataFrame:
     """Files of a snapshot that count as activity."""
     parts = F.split(path, "/")

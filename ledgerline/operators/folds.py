@@ -47,6 +47,10 @@ class Fold:
     def load(self, text: str):
         raise NotImplementedError
 
+    def stale_at(self, state) -> int | None:
+        """Time from which ``state`` is as good as a fresh one; null if that cannot be told."""
+        return None
+
     def watcher(self):
         """A callable fed the same values as ``step``; true once the earlier past cannot matter."""
         return lambda *values: False

@@ -8,6 +8,7 @@ nothing, ``reset`` clears the key.
 from __future__ import annotations
 
 import json
+import math
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,9 @@ class SlidingWindow(Fold):
     def load(self, text):
         return deque(json.loads(text))
 
+    def stale_at(self, hits):
+        return hits[-1] + self.window if hits else 0
+
     def watcher(self):
         """Sure after a reset, a silent window, or a window in which every call was sure to pass.
 
@@ -112,6 +116,16 @@ class TokenBucket(Fold):
     def load(self, text):
         return json.loads(text)
 
+    def stale_at(self, state):
+        """A bucket that has filled up again is as good as new."""
+        tokens, last = state
+        if last is None:
+            return 0
+        if self.rate <= 0:
+            return None
+        wait = max(0, math.ceil((self.cap - tokens) / self.rate * 1000.0))
+        return last + wait + (tokens + wait / 1000.0 * self.rate < self.cap)
+
     def watcher(self):
         """Sure after a reset, or a pause long enough to fill an empty bucket."""
         last = [None]

@@ -1,4 +1,4 @@
 """Registered queries. Importing the modules fills the registry."""
 
-from ledgerline.plans import activity, limiters, logs, metering, results, texts  # noqa: F401
+from ledgerline.plans import activity, limiters, logs, metering, results, streams, texts  # noqa: F401
 from ledgerline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -125,9 +125,8 @@ def window_remaining(spark, sf_dir):
 
 def _halves(spark, sf_dir):
     calls = events(spark, sf_dir).select("event_id", "user_id", "ts_ms")
-    noon = calls.agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("long").alias("noon"))
-    split = calls.crossJoin(F.broadcast(noon))  # one row
-    return split.filter("ts_ms < noon").drop("noon"), split.filter("ts_ms >= noon").drop("noon")
+    noon = calls.agg(F.floor((F.min("ts_ms") + F.max("ts_ms")) / 2)).first()[0]
+    return calls.filter(F.col("ts_ms") < noon), calls.filter(F.col("ts_ms") >= noon)
 
 
 @query(

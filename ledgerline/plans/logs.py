@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.ordered import ordered
 from ledgerline.operators.patch import apply_patches
-from ledgerline.operators.queue import queue_dead_letters, queue_depth, replay_leases, replay_outcomes, replay_state, queue_items
+from ledgerline.operators.queue import queue_dead_letters, queue_depth, queue_items, replay_leases, replay_outcomes, replay_state
 from ledgerline.plans.registry import events, query, table
+from ledgerline.session import scratch_path
 
 HOUR_MS, VISIBLE_MS = 3_600_000, 2 * 86_400_000
 
@@ -16,17 +17,25 @@ def _commands(spark, sf_dir):
     """Signups and purchases enqueue (a purchase an hour later), views lease, clicks ack and errors nack
     whatever the user's last view leased."""
     kind = F.col("event_type")
-    last_view = F.max(F.when(kind == "view", F.col("event_id"))).over(Window.partitionBy("user_id").orderBy("ts_ms", "event_id"))
     op = F.when(kind.isin("signup", "purchase"), "enqueue").when(kind == "view", "lease").when(kind == "click", "ack").otherwise("nack")
-    return events(spark, sf_dir).select(
+    rows = ordered(events(spark, sf_dir), ["user_id"], ["ts_ms", "event_id"])
+    rows = rows.running_max("last_view", F.when(kind == "view", F.col("event_id"))).rows()
+    return rows.select(
         F.col("user_id").alias("queue_id"), F.col("event_id").alias("seq"), F.col("ts_ms").alias("now_ms"), op.alias("op"),
         F.when(op == "enqueue", F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("msg_id"),
         F.when(kind == "purchase", HOUR_MS).otherwise(0).cast("long").alias("delay_ms"),
         F.lit(VISIBLE_MS).cast("long").alias("visibility_ms"),
-        F.when(op.isin("ack", "nack"), last_view).alias("lease_ref"),
+        F.when(op.isin("ack", "nack"), F.col("last_view")).alias("lease_ref"),
     )
 
 
+def stage_commands(spark, sf_dir) -> str:
+    """The commands as a folder of files in time order; returns its path."""
+    path = scratch_path(spark, "commands")
+    _commands(spark, sf_dir).repartitionByRange(6, "now_ms", "seq").sortWithinPartitions("now_ms").write.parquet(path)
+    return path
+
+
 # Items are rows of a list that walks with the log. ``gone`` marks the item an ack removed.
 _FAIL = """{{'id': i.id, 'n': i.n + 1, 'at': now_ms, 'ref': NULL::BIGINT, 'until': 0::BIGINT, 'dead': i.n + 1 >= 3}}"""
 _REPLAY = f"""
@@ -83,9 +92,8 @@ FROM left_over""",
 def carried(spark, sf_dir):
     """The messages left, with the log cut in two at its middle and the state carried over."""
     commands = _commands(spark, sf_dir)
-    middle = commands.agg(F.avg("now_ms").alias("middle"))
-    split = commands.crossJoin(F.broadcast(middle))  # one row
-    early, late = split.filter("now_ms < middle").drop("middle"), split.filter("now_ms >= middle").drop("middle")
+    middle = commands.agg(F.avg("now_ms")).first()[0]
+    early, late = commands.filter(F.col("now_ms") < middle), commands.filter(F.col("now_ms") >= middle)
     return queue_items(replay_state(late, state_in=replay_state(early)))
 
 
@@ -102,8 +110,8 @@ def depth(spark, sf_dir):
     """Half a day before the last event of all, so that some leases have run out and some have not."""
     commands = _commands(spark, sf_dir)
     items = replay_leases(commands)[1]
-    now = events(spark, sf_dir).agg((F.max("ts_ms") - 12 * HOUR_MS).alias("now"))
-    return queue_depth(items.crossJoin(F.broadcast(now)), F.col("now"))  # one row
+    now = commands.agg(F.max("now_ms")).first()[0] - 12 * HOUR_MS
+    return queue_depth(items, now)
 
 
 @query(

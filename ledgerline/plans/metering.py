@@ -211,7 +211,7 @@ def best(spark, sf_dir):
 @query(
     "pick_richer",
     f"""
-WITH {_T} SELECT run_id, seq, CASE WHEN 2 * words > chars % 40 THEN 'right' WHEN chars % 40 = 0 AND words = 0 THEN 'left' ELSE 'left' END AS side FROM t""",
+WITH {_T} SELECT run_id, seq, CASE WHEN 2 * words >= chars % 40 THEN 'right' ELSE 'left' END AS side FROM t""",
 )
 def richer(spark, sf_dir):
     def usage(name, **counts):

@@ -137,18 +137,18 @@ def classified(spark, sf_dir):
 @query(
     "record_kinds",
     """
-SELECT role, event_type, CASE
-  WHEN role = 'system' THEN CASE WHEN event_type IN ('view', 'click') THEN 'turn' ELSE 'session' END
-  WHEN role = 'user' THEN 'turn' ELSE 'unknown' END AS kind, count(*) AS n
-FROM conversations JOIN events ON user_id = conv_id GROUP BY ALL""",
+SELECT role, kind, count(*) AS n FROM (
+  SELECT role, CASE WHEN role = 'system' THEN CASE WHEN length(text) > 100 THEN 'turn' ELSE 'session' END
+    WHEN role = 'user' THEN 'turn' WHEN length(text) > 100 THEN 'session' ELSE 'unknown' END AS kind
+  FROM conversations) GROUP BY role, kind""",
 )
 def kinds(spark, sf_dir):
     """The scope of system rows decides; other rows go by their type."""
-    rows = table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "events"), F.col("user_id") == F.col("conv_id"))
-    scope = F.when(F.col("role") == "system", F.when(F.col("event_type").isin("view", "click"), "Step").otherwise("TOTAL"))
-    raw = F.when(F.col("role") == "user", "turn.completed").when(F.col("role") == "system", "result").otherwise("chat")
-    rows = rows.select("role", "event_type", record_kind(raw, scope).alias("kind"))
-    return rows.groupBy("role", "event_type", "kind").agg(F.count(F.lit(1)).alias("n"))
+    long, role = F.char_length("text") > 100, F.col("role")
+    scope = F.when(role == "system", F.when(long, "Step").otherwise("TOTAL"))
+    raw = F.when(role == "assistant", F.when(long, "subtotal").otherwise("chat")).otherwise("turn.completed")
+    rows = table(spark, sf_dir, "conversations").select("role", record_kind(raw, scope).alias("kind"))
+    return rows.groupBy("role", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Canonical JSON of a text, written out in SQL: quotes, backslashes, controls and non-ASCII escaped.
