@@ -30,9 +30,9 @@ def _commands(spark, sf_dir):
 
 
 def stage_commands(spark, sf_dir) -> str:
-    """The commands as a folder of files in time order; returns its path."""
+    """The commands as a folder of files; returns its path."""
     path = scratch_path(spark, "commands")
-    _commands(spark, sf_dir).repartitionByRange(6, "now_ms", "seq").sortWithinPartitions("now_ms").write.parquet(path)
+    _commands(spark, sf_dir).write.parquet(path)
     return path
 
 

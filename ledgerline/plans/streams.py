@@ -80,7 +80,7 @@ def gaps(spark, sf_dir):
 def leases(spark, sf_dir):
     """The command log is written out first, since a lease reference looks back over the whole log."""
     path = logs.stage_commands(spark, sf_dir)
-    commands = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 3).parquet(path)
+    commands = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out = replay_leases_stream(commands, delay="30 minutes")
     return _finish(spark, sf_dir, out, "leases", "now_ms").select("seq", "done", "out_msg", "out_attempts")
 

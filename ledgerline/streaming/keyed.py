@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -33,46 +32,40 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _FoldProcessor(StatefulProcessor):
-    def __init__(self, fold: Fold, ts: str, order: list[str], rows: T.StructType, out: T.StructType):
-        self.fold, self.ts, self.order, self.rows, self.out = fold, ts, order, rows, out
+    def __init__(self, fold: Fold, ts: str, order: list[str], rows: T.StructType):
+        at = rows.names.index
+        self.fold, self.rows, self.at = fold, rows, at(ts)
+        self.place, self.inputs = [at(c) for c in order], [at(c) for c in fold.inputs]
 
     def init(self, handle):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.rows)
         self.state = handle.getValueState("state", T.StructType([T.StructField("state", T.StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        # Rows go through as tuples: a column of a pandas frame would turn null longs into floats.
-        first = None
-        for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)[self.rows.names]
-            self.waiting.appendList([tuple(r) for r in frame.itertuples(index=False, name=None)])
-            soonest = int(frame[self.ts].min())
-            first = soonest if first is None else min(first, soonest)
-        if first is not None:
-            self.handle.registerTimer(first + 1)
-        yield self._frame([])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        new = [tuple(row[name] for name in self.rows.names) for row in rows]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(row[self.at] for row in new) + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         waiting = list(self.waiting.get())
-        at = self.rows.names.index(self.ts)
-        due = [r for r in waiting if r[at] < now]
-        if due:
-            rest = [r for r in waiting if r[at] >= now]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            if rest:
-                self.handle.registerTimer(min(r[at] for r in rest) + 1)
-        yield self._frame(self._fold(due, now, len(due) == len(waiting)))
+        due = [r for r in waiting if r[self.at] < now]
+        rest = [r for r in waiting if r[self.at] >= now]
+        if due and rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[self.at] for r in rest) + 1)
+        elif due:
+            self.waiting.clear()
+        return iter(self._fold(due, now, not rest))
 
     def _fold(self, due, now, all_done):
         held = self.state.get() if self.state.exists() else None
         state = self.fold.load(held[0]) if held else self.fold.fresh()
-        place = [self.rows.names.index(c) for c in self.order]
-        inputs = [self.rows.names.index(c) for c in self.fold.inputs]
-        made = []
-        for row in sorted(due, key=lambda r: tuple(r[i] for i in place)):
-            made.append((*row, *self.fold.step(state, *(row[i] for i in inputs))))
+        made, result = [], Row(*self.rows.names, *(f.name for f in self.fold.outputs))
+        for row in sorted(due, key=lambda r: tuple(r[i] for i in self.place)):
+            made.append(result(*row, *self.fold.step(state, *(row[i] for i in self.inputs))))
         stale = self.fold.stale_at(state)
         if all_done and stale is not None and stale < now:
             self.state.clear()
@@ -82,10 +75,6 @@ class _FoldProcessor(StatefulProcessor):
                 self.handle.registerTimer(max(stale, now) + 1)
         return made
 
-    def _frame(self, rows) -> pd.DataFrame:
-        columns = list(zip(*rows)) if rows else [()] * len(self.out.names)
-        return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(self.out.names, columns)})
-
     def close(self):
         pass
 
@@ -98,8 +87,8 @@ def keyed_fold_stream(
     rows = df.schema
     out = T.StructType([*rows.fields, *fold.outputs])
     timed = df.withColumn(EVENT_TIME, F.timestamp_millis(ts_ms)).withWatermark(EVENT_TIME, delay)
-    processor = _FoldProcessor(fold, ts_ms, [ts_ms, *tie], rows, out)
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    processor = _FoldProcessor(fold, ts_ms, [ts_ms, *tie], rows)
+    return timed.groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
