@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ def fold_key(name: Column) -> Column:
 
 
 def _any(text: Column, words) -> Column:
-    return text.rlike("|".join(words))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def classify_folded(key: Column, parent: Column) -> Column:
@@ -40,8 +42,10 @@ def classify_folded(key: Column, parent: Column) -> Column:
 
 
 def classify_key(name: Column, parent: Column | None = None) -> Column:
+    """Bucket of a key as spelled. The folded forms are bound once; the rules look at them many times."""
     parent = F.lit("") if parent is None else F.coalesce(parent, F.lit(""))
-    return classify_folded(fold_key(F.coalesce(name, F.lit(""))), fold_key(parent))
+    folded = F.struct(fold_key(F.coalesce(name, F.lit(""))).alias("k"), fold_key(parent).alias("p"))
+    return F.get(F.transform(F.array(folded), lambda f: classify_folded(f["k"], f["p"])), F.lit(0))
 
 
 def record_kind(raw_type: Column, scope: Column) -> Column:

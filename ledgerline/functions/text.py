@@ -11,7 +11,12 @@ from pyspark.sql import types as T
 
 from ledgerline.fixed_values import CATALOG_IDS, CHARS_PER_UNIT, DEFAULT_CATALOG_ID
 
-_SPACE = r"[\s\x1c-\x1f]"
+# What counts as white space: one list for trimming, one pattern for collapsing.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_BLANK_RUN = r"[\t-\r\x1c- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]++"
 
 
 def _col(value) -> Column:
@@ -49,12 +54,12 @@ def work_units(chars) -> Column:
 
 def strip(text) -> Column:
     """Without white space at both ends, line breaks included."""
-    return F.regexp_replace(_col(text), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(_col(text), F.lit(_BLANKS))
 
 
 def one_line(text, limit: int) -> Column:
     """White space collapsed to single blanks, cut to ``limit`` characters with an ellipsis."""
-    line = strip(F.regexp_replace(_col(text), f"(?U){_SPACE}+", " "))
+    line = F.trim(F.regexp_replace(_col(text), _BLANK_RUN, " "))
     return F.when(F.char_length(line) <= limit, line).otherwise(
         F.concat(F.substring(line, 1, limit - 3), F.lit("..."))
     )

@@ -43,7 +43,8 @@ def decode_text(text: str, whole: bool = True) -> list[tuple[object, str]]:
 
 
 def clean(text: str) -> str:
-    return text.encode("utf-8", "replace").decode()
+    """``text`` without the lone surrogates that JSON escapes can spell and UTF-8 cannot."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 def explode_texts(
@@ -56,10 +57,10 @@ def explode_texts(
     def run(batches):
         for batch in batches:
             source, rows = [], []
-            for i, value in enumerate(batch.column(text).to_pylist()):
-                if value is None:
+            for i, value in enumerate(batch.column(text)):
+                if not value.is_valid:
                     continue
-                for row in rows_of(value, whole):
+                for row in rows_of(value.as_py(), whole):
                     source.append(i)
                     rows.append(row)
                 if len(rows) >= 10_000:

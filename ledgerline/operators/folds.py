@@ -210,12 +210,15 @@ def final_states(
     order: Sequence[str],
     fold: Fold,
     state_in: DataFrame | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
-    """``(keys…, state)`` after the last row of each key: the ``state_in`` of a later run."""
+    """``(keys…, state)`` after the last row of each key: the ``state_in`` of a later run.
+
+    ``max_rows=None`` leaves every key to one task, for folds whose state cannot be handed on.
+    """
     keys, order = list(keys), list(order)
     rows = _with_state_rows(df, keys, state_in)
-    if largest_group(df, keys) <= max_rows:
+    if max_rows is None or largest_group(df, keys) <= max_rows:
         return _run_states(rows, keys, order, fold).select(*keys, F.col(CARRY).alias("state"))
     rows = range_chunks(rows, [*keys, _FIRST], order, max_rows)
     starts, _ = _chunk_starts(rows, keys, order, fold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.fixed_values import CHECK_NAME
 from ledgerline.functions.jsontext import canonical_json, integrity, object_entries
 from ledgerline.functions.text import character_count, content_hash, work_units
+from ledgerline.operators.folds import Fold, final_states
 
 
 def repo_chars(files: DataFrame, by: Sequence[str] = ("task_id",), text: str = "text") -> DataFrame:
@@ -49,22 +51,50 @@ def _entry(prompt_hash: Column) -> Column:
     return canonical_json(F.concat(F.lit('{"mustInclude":null,"expectedJson":'), "expected", F.lit(","), F.substr(plain, F.lit(2))))
 
 
+class _Sha256(Fold):
+    """State: the digest of the pieces so far, joined by a separator, between an opening and a closing."""
+
+    def __init__(self, piece: str, opening: str = "", separator: str = "", closing: str = ""):
+        self.inputs, self.opening, self.separator, self.closing = (piece,), opening, separator, closing
+
+    def fresh(self):
+        return [hashlib.sha256(self.opening.encode()), ""]
+
+    def step(self, state, piece):
+        state[0].update((state[1] + piece).encode())
+        state[1] = self.separator
+        return ()
+
+    def dump(self, state):
+        state[0].update(self.closing.encode())
+        return state[0].hexdigest()
+
+
+def hash_of_pieces(pieces: DataFrame, by: Sequence[str], order: Sequence[str], piece: str, *marks: str) -> DataFrame:
+    """``(by, state)``: SHA-256 of the pieces of each key, in order.
+
+    The digest has to read a key from front to back, so one task streams it, in constant memory.
+    """
+    return final_states(pieces, by, order, _Sha256(piece, *marks), max_rows=None)
+
+
 def manifest(sized: DataFrame, by: Sequence[str], order: str = "task_id") -> DataFrame:
-    """One row per suite: ``suite_hash`` over its ordered tasks, ``work_chars``, ``work_units``, ``tasks``.
+    """One row per suite: ``suite_hash`` over its tasks in order, ``work_chars``, ``work_units``, ``tasks`` (how many).
 
-    ``sized``: tasks with task_id, instruction, expected and ``work_chars``. A manifest lists its
-    tasks, so a row is as long as its suite; prompts are held by their hash only.
+    ``sized``: tasks with task_id, instruction, expected and ``work_chars``; ``manifest_tasks`` has
+    the rows of the single tasks.
     """
-    lines = sized.select(
-        *by, F.col(order).alias("_order"), "task_id", "work_chars", content_hash("instruction").alias("prompt_hash"), "expected"
-    ).withColumn("_entry", _entry(F.col("prompt_hash")))
-    task = F.struct("_order", "task_id", "prompt_hash", "work_chars", "_entry")
-    suite = lines.groupBy(*by).agg(F.array_sort(F.collect_list(task)).alias("_all"), F.sum("work_chars").alias("work_chars"))
-    body = F.concat(F.lit("["), F.array_join(F.transform("_all", lambda t: t["_entry"]), ","), F.lit("]"))
-    kept = F.transform("_all", lambda t: F.struct(t["task_id"], t["prompt_hash"], t["work_chars"]))
-    return suite.select(
-        *by, F.sha2(body, 256).alias("suite_hash"), "work_chars", work_units("work_chars").alias("work_units"), kept.alias("tasks")
-    )
+    by = list(by)
+    entries = manifest_tasks(sized, [*by, *dict.fromkeys([order])])
+    hashes = hash_of_pieces(entries, by, [order], "entry", "[", ",", "]").withColumnRenamed("state", "suite_hash")
+    sizes = sized.groupBy(*by).agg(F.sum("work_chars").alias("work_chars"), F.count(F.lit(1)).alias("tasks"))
+    return hashes.join(sizes, by).withColumn("work_units", work_units("work_chars"))
+
+
+def manifest_tasks(sized: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Per task: ``prompt_hash``, ``work_chars`` and the canonical ``entry`` that goes into the suite's hash."""
+    rows = sized.withColumn("prompt_hash", content_hash("instruction")).withColumn("entry", _entry(F.col("prompt_hash")))
+    return rows.select(*dict.fromkeys([*keep, "task_id"]), "prompt_hash", "work_chars", "entry")
 
 
 def package_integrity(packages: DataFrame, package: str = "package") -> DataFrame:

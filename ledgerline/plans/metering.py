@@ -14,14 +14,14 @@ from ledgerline.operators.usage import (
     best_usage, billed, extract_fields, harvest, harvest_texts, kind_of, pick_richer, read_nodes, score, sum_attempts,
     unwrapped_usage, usage_of,
 )
-from ledgerline.plans.registry import query, table
+from ledgerline.plans.registry import query, spread, table
 
 RUN = ["run_id"]
 
 
 def _turns(spark, sf_dir):
     """Conversations as log rows: length and words of each turn beside its place."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), F.lit("stdout").alias("stream"), "role",
         F.char_length("text").alias("chars"), F.size(F.split("text", " ")).alias("words"), "text",
     )
@@ -157,7 +157,7 @@ def per_object(spark, sf_dir):
     )
     n, d = F.col("n_chars"), F.col("doc_id")
     ids = F.array_join(F.array_repeat(F.lit("7"), (d % 11).cast("int")), ",")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.format_string(
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.format_string(
         template, n, F.floor(n / 3), ids, F.floor(n / 2), n, d % 13).alias("text"))
     nodes = read_nodes(docs, ["doc_id"]).filter("node = 1")
     return _five(nodes.select("doc_id", usage_of(F.col("own")).alias("usage")), "doc_id")
@@ -274,7 +274,7 @@ def blobs(spark, sf_dir):
     text = F.array_join(
         F.transform(F.split("text", "\n"), lambda line: F.concat(line, F.format_string(' {"n": %d} {"n":', F.char_length(line)))), "\n"
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("text"))
     rows = extract_blobs(docs, ["doc_id"])
     return rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("blobs"),
@@ -295,7 +295,7 @@ SELECT bucket, node, count(*) AS n, sum(v)::BIGINT AS total FROM (
 def fields(spark, sf_dir):
     """Each object lists its own counts and those of usage-like objects nested in it."""
     template = '{"event_id":%d,"usage":{"input_tokens":%s,"cache":{"read":3}},"items":[[{"output":1}]]}'
-    rows = table(spark, sf_dir, "events").select(
+    rows = spread(table(spark, sf_dir, "events")).select(
         "event_id", F.format_string(template, "event_id", F.get_json_object("props", "$.k")).alias("text")
     )
     out = extract_fields(read_nodes(rows, ["event_id"]), ["event_id"])

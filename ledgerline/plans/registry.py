@@ -28,3 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their time in whole milliseconds."""
     return table(spark, sf_dir, "events").withColumn("ts_ms", F.expr("unix_millis(cast(ts as timestamp))"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores is dealt out to all of them, for work that costs more than
+    a shuffle. A scan with splits enough, as of any large table, is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

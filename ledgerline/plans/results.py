@@ -12,7 +12,9 @@ from ledgerline.operators.scoring import (
     failure_hints, pass_rate_by_test, rank_eligibility, run_totals, score_outputs, seal_tasks, test_pass_rate,
     unknown_tasks, values_match,
 )
-from ledgerline.plans.registry import events, query, table
+from ledgerline.plans.registry import events, query, spread, table
+from ledgerline.plans.texts import ESCAPED
+from ledgerline.sources.sinks import packages
 
 # --- scoring ----------------------------------------------------------------------------------
 
@@ -32,7 +34,7 @@ def _outputs(spark, sf_dir):
         F.col("n_chars").alias("input"), guess.alias("output"), F.lit(None).cast("long").alias("reasoning"),
         F.lit(2).alias("cache_hit"), F.lit(None).cast("long").alias("cache_write"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("task_id"), output.alias("output"), usage.alias("usage"),
         F.when(F.col("lang") == "en", 3).alias("attempts"), F.lit("cli").alias("provider_source"), "lang", "n_chars",
     )
@@ -122,7 +124,7 @@ SELECT event_id, upper(event_type) = 'CLICK' AS same_text, abs(value - round(val
 )
 def matched(spark, sf_dir):
     template = '{"t":"  %s ","n":%s,"b":%s,"l":[1,"%s",true],"z":null}'
-    rows = table(spark, sf_dir, "events").withColumns({
+    rows = spread(table(spark, sf_dir, "events")).withColumns({
         "_x": object_entries(F.format_string(template, F.upper("event_type"), F.col("value").cast("string"), F.col("value").cast("string"), "event_type")),
         "_y": object_entries(F.format_string(
             '{"t":"click","n":%s,"b":true,"l":[1.0,"view",1],"z":null}', F.round("value", 0).cast("string"))),
@@ -131,38 +133,72 @@ def matched(spark, sf_dir):
     return rows.select("event_id", *[values_match(F.col("_y")[k], F.col("_x")[k]).alias(n) for k, n in names.items()])
 
 
+# --- packages ---------------------------------------------------------------------------------
+
+_SUITE = dict(format="package/1", evaluator="check", evaluatorVersion="1", suiteVersion="v1", suiteHash="0")
+_TEXT = ESCAPED.replace("string_split(text, '')", "string_split(output, '')")
+
+
+@query(
+    "packages",
+    f"""
+WITH {_SCORED}, o AS (SELECT *, {_OUTPUT} AS output FROM s),
+t AS (SELECT run_id, task_id, passed, n_chars, guess, '{{"attempts":' || CASE WHEN lang = 'en' THEN 3 ELSE 1 END || ',"check":"extract-json","id":"' || task_id
+  || '","output":"' || {_TEXT} || '","outputHash":"' || sha256(output) || '","passed":' || passed || ',"promptHash":"' || sha256(task_id::VARCHAR)
+  || '","providerUsage":{{"source":"cli"}},"usage":{{"cacheHit":2,"cacheWrite":0,"input":' || n_chars || ',"output":' || guess || ',"reasoning":0}}}}' AS task FROM o)
+SELECT run_id, 'big-model-pi-' || run_id AS name, count(*) AS tasks, sha256(
+  '{{"evaluator":{{"name":"check","version":"1"}},"format":"package/1","run":{{"finishedAt":"f","startedAt":"s","tasks":[' || string_agg(task, ',' ORDER BY task_id)
+  || ']}},"stack":{{"harnessSlug":"pi","modelSlug":"Big Model","setting":"' || run_id || '"}},"suiteHash":"0","suiteVersion":"v1","totals":{{"cacheHit":' || 2 * count(*)
+  || ',"cacheWrite":0,"input":' || sum(n_chars) || ',"output":' || sum(guess) || ',"passed":' || count(*) FILTER (WHERE passed) || ',"reasoning":0,"tasks":' || count(*) || '}}}}') AS integrity
+FROM t GROUP BY run_id""",
+)
+def sealed_packages(spark, sf_dir):
+    """The hash a package carries covers every byte before it."""
+    sealed = seal_tasks(_outputs(spark, sf_dir), _specs(spark, sf_dir))
+    stack = F.struct(F.lit("Big Model").alias("modelSlug"), F.lit("pi").alias("harnessSlug"), F.col("run_id").alias("setting"))
+    runs = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id")).distinct().select(
+        "run_id", F.lit("s").alias("started_at"), F.lit("f").alias("finished_at"), stack.alias("stack")
+    )
+    tail = F.when(F.col("part") == 2, F.get_json_object(F.concat(F.lit("{"), F.regexp_extract("piece", '"integrity".*$', 0)), "$.integrity"))
+    out = packages(sealed, runs, _SUITE).withColumn("integrity", tail)
+    return out.groupBy("run_id", "name").agg(F.count_if("part = 1").alias("tasks"), F.max("integrity").alias("integrity"))
+
+
 # --- reports ----------------------------------------------------------------------------------
 
+# A document is a run and each of its lines a test: short ones pass, long ones are skipped, others fail.
 _LINES = """
-lines AS (SELECT l_orderkey AS run_id, 'test_' || l_suppkey AS test, l_returnflag AS flag, l_extendedprice AS price,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem)"""
+lines AS (SELECT doc_id AS run_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'rn': i, 'n': length(x)}), recursive := true) FROM documents),
+tests AS (SELECT run_id, rn, n, 'test_' || n AS test, CASE WHEN n < 20 THEN 'ok' WHEN n < 60 THEN 'FAIL' ELSE 'skipped' END AS state FROM lines)"""
 
 
 def _tests(spark, sf_dir):
-    """An order is a run and its lines are tests: N passes, R fails, A is skipped. An order has few lines."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"))
-    return rows.agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    def test(line):
+        n = F.char_length(line)
+        state = F.when(n < 20, "ok").when(n < 60, "FAIL").otherwise("skipped")
+        return F.struct(F.concat(F.lit("test_"), n.cast("string")).alias("test"), state.alias("state"))
+
+    docs = spread(table(spark, sf_dir, "documents"))
+    return docs.select(F.col("doc_id").alias("run_id"), "lang", "n_chars", F.transform(F.split("text", "\n"), test).alias("tests"))
 
 
 def _log(spark, sf_dir):
-    state = lambda t: F.when(t["l_returnflag"] == "N", "ok").when(t["l_returnflag"] == "R", "FAIL").otherwise("skipped 'x'")
-    ran = F.transform("lines", lambda t: F.format_string("test_%d (suite.Case) ... %s", t["l_suppkey"], state(t)))
-    failed = F.filter("lines", lambda t: t["l_returnflag"] == "R")
-    raised = F.transform(failed, lambda t: F.format_string("noise\nAssertionError: %d != 0", t["l_linenumber"]))
+    ran = F.transform("tests", lambda t: F.concat(t["test"], F.lit(" (suite.Case) ... "), t["state"]))
+    failed = F.filter("tests", lambda t: t["state"] == "FAIL")
+    raised = F.transform(failed, lambda t: F.concat(F.lit("noise\nAssertionError: "), t["test"], F.lit(" broke")))
     log = F.array_join(F.concat(ran, F.array(F.lit("")), raised), "\n")
     return _tests(spark, sf_dir).select("run_id", log.alias("log"))
 
 
 _PARSED = f"""
 WITH {_LINES},
-details AS (SELECT l_orderkey AS run_id, list(DISTINCT 'AssertionError: ' || l_linenumber || ' != 0') AS d
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
+details AS (SELECT run_id, list('AssertionError: ' || test || ' broke' ORDER BY rn) AS d FROM (
+  SELECT run_id, test, min(rn) AS rn FROM tests WHERE state = 'FAIL' GROUP BY run_id, test) GROUP BY run_id),
 parsed AS (
-  SELECT run_id, coalesce(list(test ORDER BY rn) FILTER (WHERE flag = 'N'), []) AS passed_tests,
-         coalesce(list(test ORDER BY rn) FILTER (WHERE flag = 'R'), []) AS failed_tests,
-         coalesce(list_slice(list_sort(any_value(d)), 1, 8), []) AS details
-  FROM lines LEFT JOIN details USING (run_id) GROUP BY run_id)"""
+  SELECT run_id, coalesce(list(test ORDER BY rn) FILTER (WHERE state = 'ok'), []) AS passed_tests,
+         coalesce(list(test ORDER BY rn) FILTER (WHERE state = 'FAIL'), []) AS failed_tests,
+         coalesce(list_slice(any_value(d), 1, 8), []) AS details
+  FROM tests LEFT JOIN details USING (run_id) GROUP BY run_id)"""
 
 
 def _joined(name):
@@ -174,30 +210,27 @@ def _joined(name):
     _PARSED + "SELECT run_id, array_to_string(passed_tests, ',') AS passed_tests, array_to_string(failed_tests, ',') AS failed_tests, array_to_string(details, ',') AS details FROM parsed",
 )
 def test_logs(spark, sf_dir):
-    out = parse_test_log(_log(spark, sf_dir)).withColumn("details", F.array_sort("details"))
-    return out.select("run_id", _joined("passedTests"), _joined("failedTests"), _joined("details"))
+    return parse_test_log(_log(spark, sf_dir)).select("run_id", _joined("passedTests"), _joined("failedTests"), _joined("details"))
 
 
 def _reports(spark, sf_dir):
-    """Reports as text: with lists for finished orders, without for open ones, broken or missing for others."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus", "o_orderpriority")
+    """Reports as text: missing for German runs, no object for Spanish ones, with lists for long runs, else without."""
     text = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None))
-        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("[1, 2]"))
-        .when(F.col("o_orderstatus") == "F", F.lit('{"ok":true,"reward":1,"failed":0,"passedTests":["only"],"failedTests":[]}'))
+        F.when(F.col("lang") == "de", F.lit(None))
+        .when(F.col("lang") == "es", F.lit("[1, 2]"))
+        .when(F.col("n_chars") > 2000, F.lit('{"ok":true,"reward":1,"failed":0,"passedTests":["only"],"failedTests":[]}'))
         .otherwise(F.lit('{"ok":false,"reward":0,"failed":3,"error":"tests failed"}'))
     )
-    return parse_reports(orders.withColumn("text", text))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), text.alias("text"))
+    return parse_reports(docs)
 
 
 _REPORTS = """
 reports AS (
-  SELECT o_orderkey AS run_id, coalesce(good AND o_orderstatus = 'F', false) AS ok,
-         CASE WHEN good AND o_orderstatus = 'F' THEN 1 ELSE 0 END AS reward,
-         CASE WHEN NOT good THEN 1 WHEN o_orderstatus = 'F' THEN 0 ELSE 3 END AS failed,
-         good AND o_orderstatus = 'F' AS listed,
-         CASE WHEN o_orderpriority = '1-URGENT' THEN 'no reward.json' WHEN good AND o_orderstatus <> 'F' THEN 'tests failed' END AS error
-  FROM (SELECT *, o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AS good FROM orders))"""
+  SELECT doc_id AS run_id, good AND long AS ok, (good AND long)::INT AS reward,
+         CASE WHEN NOT good THEN 1 WHEN long THEN 0 ELSE 3 END AS failed, good AND long AS listed,
+         CASE WHEN lang = 'de' THEN 'no reward.json' WHEN good AND NOT long THEN 'tests failed' END AS error
+  FROM (SELECT *, lang NOT IN ('de', 'es') AS good, n_chars > 2000 AS long FROM documents))"""
 
 
 @query("parse_reports", f"WITH {_REPORTS} SELECT run_id, ok, reward, failed, error FROM reports")
@@ -219,22 +252,21 @@ def merged(spark, sf_dir):
 
 
 def _run_reports(spark, sf_dir):
-    names = lambda flag: F.transform(
-        F.filter("lines", lambda t: t["l_returnflag"] == flag), lambda t: F.concat(F.lit("test_"), t["l_suppkey"].cast("string"))
-    )
+    def names(state):
+        return F.transform(F.filter("tests", lambda t: t["state"] == state), lambda t: t["test"])
+
     return _tests(spark, sf_dir).select(
-        "run_id", names("N").alias("passedTests"), names("R").alias("failedTests"),
-        F.lit(None).cast("array<string>").alias("errors"), (F.col("run_id") > 100).alias("ok"),
+        "run_id", names("ok").alias("passedTests"), names("FAIL").alias("failedTests"),
+        F.lit(None).cast("array<string>").alias("errors"), (F.col("lang") == "en").alias("ok"),
     )
 
 
 @query(
     "test_pass_rate",
-    """
-SELECT l_orderkey AS run_id, count(*) FILTER (WHERE l_returnflag = 'N') AS tests_passed, count(*) FILTER (WHERE l_returnflag <> 'A') AS tests_total,
-  CASE WHEN count(*) FILTER (WHERE l_returnflag <> 'A') > 0
-       THEN count(*) FILTER (WHERE l_returnflag = 'N') / (count(*) FILTER (WHERE l_returnflag <> 'A'))
-       WHEN l_orderkey > 100 THEN 1 ELSE 0 END::DOUBLE AS pass_rate FROM lineitem GROUP BY l_orderkey""",
+    f"""
+WITH {_LINES}, c AS (SELECT run_id, count(*) FILTER (WHERE state = 'ok') AS p, count(*) FILTER (WHERE state <> 'skipped') AS n FROM tests GROUP BY run_id)
+SELECT run_id, p AS tests_passed, n AS tests_total, CASE WHEN n > 0 THEN p / n WHEN lang = 'en' THEN 1 ELSE 0 END::DOUBLE AS pass_rate
+FROM c JOIN documents ON doc_id = run_id""",
 )
 def rates(spark, sf_dir):
     return test_pass_rate(_run_reports(spark, sf_dir)).select("run_id", "tests_passed", "tests_total", "pass_rate")
@@ -242,9 +274,8 @@ def rates(spark, sf_dir):
 
 @query(
     "pass_rate_by_test",
-    """
-SELECT 'test_' || l_suppkey AS test, count(*) FILTER (WHERE l_returnflag = 'N') AS passes, count(*) AS runs
-FROM lineitem WHERE l_returnflag <> 'A' GROUP BY l_suppkey""",
+    f"""
+WITH {_LINES} SELECT test, count(*) FILTER (WHERE state = 'ok') AS passes, count(*) AS runs FROM tests WHERE state <> 'skipped' GROUP BY test""",
 )
 def rates_by_test(spark, sf_dir):
     return pass_rate_by_test(_run_reports(spark, sf_dir)).withColumn("passes", F.col("passes").cast("long"))
@@ -253,7 +284,7 @@ def rates_by_test(spark, sf_dir):
 @query(
     "failure_hints",
     f"""
-WITH {_LINES}, failed AS (SELECT run_id, test, row_number() OVER (PARTITION BY run_id ORDER BY rn) - 1 AS place FROM lines WHERE flag = 'R')
+WITH {_LINES}, failed AS (SELECT run_id, test, row_number() OVER (PARTITION BY run_id ORDER BY rn) - 1 AS place FROM tests WHERE state = 'FAIL')
 SELECT run_id, place::INT AS place, test, coalesce(s_name, 'Re-read that required behavior in the prompt.') AS hint
 FROM failed LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON test = 'test_' || s_suppkey WHERE place < 8""",
 )
@@ -277,7 +308,7 @@ def _output_lines(spark, sf_dir):
         .when(kind == "click", F.format_string("  clicked   %s\n", "props"))
         .otherwise(F.format_string('[1, {"type":"error","message":{"error":"code %s"},"stop_reason":"quit"}]', k))
     )
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         "event_id", "user_id", "event_type", F.col("event_id").alias("seq"), line.alias("text"),
         F.when(kind == "error", "stderr").otherwise("stdout").alias("stream"),
     )

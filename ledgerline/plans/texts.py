@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions.jsontext import canonical_json, integrity, json_at
+from ledgerline.functions.jsontext import canonical_json, json_at
 from ledgerline.functions.keys import classify_key, record_kind
 from ledgerline.functions.text import (
     catalog_id, character_count, content_hash, file_stem, format_elapsed, normalize_text, one_line, path_tail, slug,
     task_tag, work_units,
 )
-from ledgerline.operators.manifest import manifest, suite_size, verify_manifest, work_size
-from ledgerline.plans.registry import query, table
+from ledgerline.operators.manifest import manifest, package_integrity, suite_size, verify_manifest, work_size
+from ledgerline.plans.registry import query, spread, table
 
 
 @query("content_hash", "SELECT doc_id, sha256(nfc_normalize(text)) AS hash FROM documents")
@@ -29,7 +29,7 @@ def normalized(spark, sf_dir):
     accents = {"é": "é", "è": "è", "ü": "ü", "ñ": "ñ", "ç": "ç"}
     for composed, apart in accents.items():
         text = F.replace(text, F.lit(composed), F.lit(apart))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("text"))
     return docs.select(
         "doc_id",
         F.sha2(normalize_text("text"), 256).alias("hash"),
@@ -128,7 +128,7 @@ found AS (
 SELECT w AS word, event_type, bucket, count(*) AS n FROM found GROUP BY ALL""",
 )
 def classified(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_type", F.explode(F.array(*map(F.lit, _WORDS))).alias("word"))
+    rows = spread(table(spark, sf_dir, "events")).select("event_type", F.explode(F.array(*map(F.lit, _WORDS))).alias("word"))
     key, parent = F.concat_ws("_", "event_type", "word"), F.concat("word", F.upper("event_type"))
     rows = rows.withColumn("bucket", classify_key(key, parent))
     return rows.groupBy("word", "event_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -152,7 +152,7 @@ def kinds(spark, sf_dir):
 
 
 # Canonical JSON of a text, written out in SQL: quotes, backslashes, controls and non-ASCII escaped.
-_ESCAPED = r"""
+ESCAPED = r"""
 array_to_string(list_transform(string_split(text, ''), lambda c:
   CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r'
        WHEN c = chr(9) THEN '\t' WHEN c <> '' AND (unicode(c) < 32 OR unicode(c) > 126)
@@ -162,7 +162,7 @@ array_to_string(list_transform(string_split(text, ''), lambda c:
 @query(
     "canonical_json",
     f"""
-SELECT conv_id, turn, '{{"a":[' || turn || ',1.5,null],"text":"' || {_ESCAPED} || '","z":{{"role":"' || role || '","yes":true}}}}' AS canonical
+SELECT conv_id, turn, '{{"a":[' || turn || ',1.5,null],"text":"' || {ESCAPED} || '","z":{{"role":"' || role || '","yes":true}}}}' AS canonical
 FROM conversations""",
 )
 def canonical(spark, sf_dir):
@@ -177,12 +177,13 @@ def canonical(spark, sf_dir):
 @query(
     "package_integrity",
     f"""
-SELECT conv_id, turn, sha256('{{"output":"' || {_ESCAPED} || '","passed":' || (role = 'assistant') || ',"turn":' || turn || '}}') AS integrity
+SELECT conv_id, turn, sha256('{{"output":"' || {ESCAPED} || '","passed":' || (role = 'assistant') || ',"turn":' || turn || '}}') AS integrity
 FROM conversations""",
 )
-def packages(spark, sf_dir):
+def integrities(spark, sf_dir):
     package = F.to_json(F.struct("turn", (F.col("role") == "assistant").alias("passed"), F.col("text").alias("output")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", integrity(package).alias("integrity"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", package.alias("package"))
+    return package_integrity(rows).drop("package")
 
 
 @query(
@@ -191,7 +192,7 @@ def packages(spark, sf_dir):
 )
 def pointers(spark, sf_dir):
     doc = F.format_string('{"a/b": [%s, {"~": "%s"}]}', "props", "event_type")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         "event_id",
         json_at(doc, "/a~1b/0/k").cast("long").alias("inner_k"),
         F.get_json_object(json_at(doc, "/a~1b/1"), "$['~']").alias("second"),
@@ -234,8 +235,7 @@ SELECT conv_id, sha256('[' || string_agg(
 FROM conversations GROUP BY conv_id""",
 )
 def manifests(spark, sf_dir):
-    out = manifest(work_size(_tasks(spark, sf_dir)), ["conv_id"])
-    return out.withColumn("tasks", F.size("tasks").cast("long"))
+    return manifest(work_size(_tasks(spark, sf_dir)), ["conv_id"])
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.jsontext import canonical_json
 from ledgerline.functions.keys import BUCKETS
 from ledgerline.functions.text import slug
-from ledgerline.operators.manifest import package_integrity
+from ledgerline.operators.manifest import hash_of_pieces
 from ledgerline.operators.scoring import run_totals
 
 OUTWARD = {"cache_hit": "cacheHit", "cache_write": "cacheWrite"}
@@ -20,11 +20,13 @@ def usage_json(usage: Column) -> Column:
 
 
 def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataFrame:
-    """``run_id, name, package, integrity``: one sealed JSON package per run.
+    """Sealed JSON packages in pieces: ``run_id, name, part, task_id, piece``, in (part, task_id) order.
+
+    The pieces of a run make up one canonical JSON document: a head, one piece per task and a tail
+    with the totals and the integrity hash. No run has to fit in one row.
 
     ``runs``: run_id, started_at, finished_at and a ``stack`` struct with modelSlug, harnessSlug and
-    setting. ``suite``: format, evaluator, evaluatorVersion, suiteVersion, suiteHash. A package lists
-    the tasks of its run, so a row is as long as the run has tasks.
+    setting. ``suite``: format, evaluator, evaluatorVersion, suiteVersion, suiteHash.
     """
     task = F.struct(
         F.col("task_id").cast("string").alias("id"), F.col("prompt_hash").alias("promptHash"), "output",
@@ -32,31 +34,50 @@ def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataF
         F.when(F.col("provider_source").isNotNull(), F.struct(F.col("provider_source").alias("source"))).alias("providerUsage"),
         "passed", "check", "attempts",
     )
-    tasks = sealed.groupBy("run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
-    totals = run_totals(sealed).select(
-        "run_id", F.struct("tasks", "passed", *[F.col(b).alias(OUTWARD.get(b, b)) for b in BUCKETS]).alias("totals")
+    totals = run_totals(sealed).withColumn("totals", F.struct("tasks", "passed", *[F.col(b).alias(OUTWARD.get(b, b)) for b in BUCKETS]))
+    first = sealed.groupBy("run_id").agg(F.min("task_id").alias("_first"))
+    joined = runs.join(totals.select("run_id", "totals"), "run_id").join(first, "run_id")
+    name = F.concat_ws("-", slug("stack.modelSlug"), "stack.harnessSlug", "stack.setting").alias("name")
+
+    def fixed(**values: str) -> Column:
+        return _canonical(F.struct(*[F.lit(v).alias(k) for k, v in values.items()]))
+
+    # Canonical JSON sorts its keys: evaluator, format, run (with its tasks), stack, suite…, totals.
+    head = F.concat(
+        F.lit('{"evaluator":'), fixed(name=suite["evaluator"], version=suite["evaluatorVersion"]), F.lit(","),
+        _members(fixed(format=suite["format"])), F.lit(',"run":{'),
+        _members(_canonical(F.struct(F.col("finished_at").alias("finishedAt"), F.col("started_at").alias("startedAt")))),
+        F.lit(',"tasks":['),
     )
-    joined = runs.join(tasks, "run_id").join(totals, "run_id")
-    draft = F.struct(
-        F.lit(suite["format"]).alias("format"),
-        F.struct(F.lit(suite["evaluator"]).alias("name"), F.lit(suite["evaluatorVersion"]).alias("version")).alias("evaluator"),
-        F.lit(suite["suiteVersion"]).alias("suiteVersion"),
-        F.lit(suite["suiteHash"]).alias("suiteHash"),
-        "stack",
-        F.struct(F.col("started_at").alias("startedAt"), F.col("finished_at").alias("finishedAt"), "tasks").alias("run"),
-        "totals",
+    tail = F.concat(
+        F.lit(']},"stack":'), _canonical(F.col("stack")), F.lit(","),
+        _members(fixed(suiteHash=suite["suiteHash"], suiteVersion=suite["suiteVersion"])),
+        F.lit(',"totals":'), _canonical(F.col("totals")), F.lit("}"),
     )
-    text = canonical_json(F.to_json(draft, {"ignoreNullFields": "false"}))
-    name = F.concat_ws("-", slug("stack.modelSlug"), "stack.harnessSlug", "stack.setting")
-    sealed_text = package_integrity(joined.select("run_id", name.alias("name"), text.alias("package")))
-    # The draft is an object: the hash goes in as one more member.
-    full = F.concat(F.expr("left(package, length(package) - 1)"), F.lit(',"integrity":"'), "integrity", F.lit('"}'))
-    return sealed_text.withColumn("package", full)
+    ends = joined.select("run_id", name, "_first", head.alias("head"), tail.alias("tail"))
+    comma = F.when(F.col("task_id") > F.col("_first"), ",").otherwise("")
+    body = sealed.select("run_id", "task_id", _canonical(task).alias("_task")).join(ends.select("run_id", "name", "_first"), "run_id")
+    body = body.select("run_id", "name", F.lit(1).alias("part"), "task_id", F.concat(comma, "_task").alias("piece"))
+    both = F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.col(c).alias("piece")) for n, c in ((0, "head"), (2, "tail"))]))
+    pieces = body.unionByName(ends.select("run_id", "name", both), allowMissingColumns=True)
+    integrity = hash_of_pieces(pieces, ["run_id"], ["part", "task_id"], "piece")
+    signed = F.concat(F.rtrim("piece", F.lit("}")), F.lit('},"integrity":"'), "state", F.lit('"}'))
+    return pieces.join(integrity, "run_id").withColumn("piece", F.when(F.col("part") == 2, signed).otherwise(F.col("piece"))).drop("state")
+
+
+def _canonical(value: Column) -> Column:
+    return canonical_json(F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def _members(obj: Column) -> Column:
+    """A JSON object without its braces."""
+    return F.substr(obj, F.lit(2), F.char_length(obj) - 2)
 
 
 def write_packages(packed: DataFrame, path: str) -> None:
-    """One folder per run below ``path``, each package a line of JSON."""
-    packed.select("run_id", F.col("package").alias("value")).write.partitionBy("run_id").mode("overwrite").text(path)
+    """A folder per run below ``path`` with one file, whose lines are the pieces of its package."""
+    laid = packed.repartition("run_id").sortWithinPartitions("run_id", "part", "task_id")
+    laid.select("run_id", F.col("piece").alias("value")).write.partitionBy("run_id").mode("overwrite").text(path)
 
 
 def write_usage(usages: DataFrame, path: str, by: list[str]) -> None:

@@ -1,6 +1,7 @@
 """Run folders and task folders read as tables; packages and usage written and read back."""
 
 import datetime as dt
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -79,7 +80,10 @@ def test_task_folders(spark, tmp_path):
     total = suite_size(sized).first()
     assert (total.work_chars, total.work_units) == (38, 9.5)
     suite = manifest(sized.withColumn("suite", F.lit("s")), ["suite"]).first()
-    assert [t.task_id for t in suite.tasks] == ["01-alpha", "02-beta"] and len(suite.suite_hash) == 64
+    body = [{"id": i, "promptHash": hashlib.sha256(p.encode()).hexdigest(), "check": "extract-json", "expectedKeys": sorted(e),
+             "expectedJson": e, "mustInclude": None} for i, p, e in (("01-alpha", "Do é\nit", {"ok": True, "failed": 0}), ("02-beta", "B", {}))]
+    assert suite.suite_hash == hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert (suite.tasks, suite.work_chars) == (2, 38)
 
 
 def test_packages_and_usage_round_trip(spark, tmp_path):
@@ -94,19 +98,18 @@ def test_packages_and_usage_round_trip(spark, tmp_path):
                                  "run_id string, started_at string, finished_at string, stack struct<modelSlug: string, harnessSlug: string, setting: string>")
     suite = dict(format="f/1", evaluator="e", evaluatorVersion="1", suiteVersion="v", suiteHash="h")
     packed = packages(sealed, runs, suite)
-    rows = {r.run_id: r for r in packed.collect()}
-    assert rows["r1"].name == "big-model-3-qwen-max"
-    package = json.loads(rows["r1"].package)
+    rows = packed.filter("run_id = 'r1'").orderBy("part", "task_id").collect()
+    assert {r.name for r in rows} == {"big-model-3-qwen-max"}
+    package = json.loads("".join(r.piece for r in rows))
     assert package["totals"] == {"tasks": 2, "passed": 1, "input": 5, "output": 2, "reasoning": 0, "cacheHit": 0, "cacheWrite": 0}
     first, second = package["run"]["tasks"]
     assert first["passed"] and first["attempts"] == 2 and first["providerUsage"] == {"source": "cli"}
     assert not second["passed"] and second["attempts"] == 1 and second["providerUsage"] is None
-    import hashlib
-
     bare = {k: v for k, v in package.items() if k != "integrity"}
     assert package["integrity"] == hashlib.sha256(json.dumps(bare, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     write_packages(packed, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    (written,) = (tmp_path / "out" / "run_id=r1").glob("*.txt")
+    assert json.loads(written.read_text()) == package
     write_usage(sealed, str(tmp_path / "usage"), ["run_id"])
     back = spark.read.json(str(tmp_path / "usage"))
     assert {"input", "output", "reasoning", "cacheHit", "cacheWrite", "run_id"} == set(back.columns) and back.count() == 3
