@@ -91,12 +91,13 @@ def seal_tasks(raw: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def run_totals(sealed: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
-    """Tasks, passes and the five token sums per run (or any coarser grouping)."""
+def run_totals(sealed: DataFrame, by: Sequence[str] = RUN, *more: Column) -> DataFrame:
+    """Tasks, passes and the five token sums per run (or any coarser grouping), and ``more`` aggregates."""
     return sealed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("tasks"),
         F.count_if("passed").alias("passed"),
         *[F.sum(f"usage.{b}").alias(b) for b in BUCKETS],
+        *more,
     )
 
 

@@ -86,6 +86,41 @@ def resets(spark, sf_dir):
     return no_progress(rows, "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "reset")
 
 
+def _quarter_hot(rows):
+    """A bound on rows per task that the keys of ``rows``, each holding a fifth of them, exceed."""
+    return rows.count() // 8
+
+
+@query(
+    "idle_gaps_hot_key",
+    """
+SELECT * FROM (
+  SELECT event_type, event_id, lead(ms) OVER (PARTITION BY event_type ORDER BY ms, event_id) - ms AS idle_ms
+  FROM (SELECT event_type, event_id, epoch_us(ts) // 1000 AS ms FROM events))
+WHERE idle_ms >= 600000 - 500""",
+)
+def gaps_hot(spark, sf_dir):
+    """Keys too large for one task each: the windows run over chunks with carries."""
+    rows = events(spark, sf_dir).select("event_type", "event_id", "ts_ms")
+    out = idle_gaps(rows, "event_type", "ts_ms", "event_id", 600_000, max_rows=_quarter_hot(rows))
+    return out.select("event_type", "event_id", "idle_ms")
+
+
+@query(
+    "no_progress_hot_key",
+    """
+WITH steps AS (
+  SELECT event_id, event_type, ts, value > 10 AS sig, (value > 10) IS DISTINCT FROM lag(value > 10) OVER w AS fresh
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM steps)
+SELECT event_id, row_number() OVER (PARTITION BY event_type, run ORDER BY ts, event_id) % 2 = 0 AS reset FROM runs""",
+)
+def resets_hot(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", (F.col("value") > 10).alias("sig"))
+    out = no_progress(rows, "event_type", ["ts", "event_id"], ["sig"], max_rows=_quarter_hot(rows))
+    return out.select("event_id", "reset")
+
+
 def _attempts(spark, sf_dir):
     """An order is a task, its line numbers are attempts; a returned line is a pass."""
     return table(spark, sf_dir, "lineitem").select(

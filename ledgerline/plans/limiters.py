@@ -123,6 +123,18 @@ def window_remaining(spark, sf_dir):
     return sliding_window_remaining(calls, probes, **KEY, limit=LIMIT, window_ms=WINDOW_MS).drop("ts_ms")
 
 
+@query(
+    "sliding_window_hot_key",
+    _WINDOW_SQL.replace("user_id", "event_type").replace("event_id, event_type, event_type,", "event_id, event_type,")
+    + f"SELECT event_id, event_type, allowed, ({LIMIT} - len(hits))::BIGINT AS remaining FROM walk",
+)
+def window_hot(spark, sf_dir):
+    """One limiter per event type, each too large for one task and never at rest."""
+    calls = events(spark, sf_dir).select("event_id", "event_type", "ts_ms")
+    key = KEY | {"key": "event_type"}
+    return sliding_window_allow(calls, **key, limit=LIMIT, window_ms=WINDOW_MS, max_rows=calls.count() // 8).drop("ts_ms")
+
+
 def _halves(spark, sf_dir):
     calls = events(spark, sf_dir).select("event_id", "user_id", "ts_ms")
     noon = calls.agg(F.floor((F.min("ts_ms") + F.max("ts_ms")) / 2)).first()[0]

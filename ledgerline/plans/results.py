@@ -161,7 +161,7 @@ def sealed_packages(spark, sf_dir):
     )
     tail = F.when(F.col("part") == 2, F.get_json_object(F.concat(F.lit("{"), F.regexp_extract("piece", '"integrity".*$', 0)), "$.integrity"))
     out = packages(sealed, runs, _SUITE).withColumn("integrity", tail)
-    return out.groupBy("run_id", "name").agg(F.count_if("part = 1").alias("tasks"), F.max("integrity").alias("integrity"))
+    return out.groupBy("run_id", "name").agg(F.count_if(F.col("part") == 1).alias("tasks"), F.max("integrity").alias("integrity"))
 
 
 # --- reports ----------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from ledgerline.functions.keys import BUCKETS
 from ledgerline.functions.text import slug
 from ledgerline.operators.manifest import hash_of_pieces
 from ledgerline.operators.scoring import run_totals
+from ledgerline.session import checkpointed
 
 OUTWARD = {"cache_hit": "cacheHit", "cache_write": "cacheWrite"}
 
@@ -34,9 +35,9 @@ def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataF
         F.when(F.col("provider_source").isNotNull(), F.struct(F.col("provider_source").alias("source"))).alias("providerUsage"),
         "passed", "check", "attempts",
     )
-    totals = run_totals(sealed).withColumn("totals", F.struct("tasks", "passed", *[F.col(b).alias(OUTWARD.get(b, b)) for b in BUCKETS]))
-    first = sealed.groupBy("run_id").agg(F.min("task_id").alias("_first"))
-    joined = runs.join(totals.select("run_id", "totals"), "run_id").join(first, "run_id")
+    totals = run_totals(sealed, ["run_id"], F.min("task_id").alias("_first"))
+    totals = totals.withColumn("totals", F.struct("tasks", "passed", *[F.col(b).alias(OUTWARD.get(b, b)) for b in BUCKETS]))
+    joined = runs.join(totals.select("run_id", "totals", "_first"), "run_id")
     name = F.concat_ws("-", slug("stack.modelSlug"), "stack.harnessSlug", "stack.setting").alias("name")
 
     def fixed(**values: str) -> Column:
@@ -59,7 +60,8 @@ def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataF
     body = sealed.select("run_id", "task_id", _canonical(task).alias("_task")).join(ends.select("run_id", "name", "_first"), "run_id")
     body = body.select("run_id", "name", F.lit(1).alias("part"), "task_id", F.concat(comma, "_task").alias("piece"))
     both = F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.col(c).alias("piece")) for n, c in ((0, "head"), (2, "tail"))]))
-    pieces = body.unionByName(ends.select("run_id", "name", both), allowMissingColumns=True)
+    # Read twice below, for the hash and for the result.
+    pieces = checkpointed(body.unionByName(ends.select("run_id", "name", both), allowMissingColumns=True))
     integrity = hash_of_pieces(pieces, ["run_id"], ["part", "task_id"], "piece")
     signed = F.concat(F.rtrim("piece", F.lit("}")), F.lit('},"integrity":"'), "state", F.lit('"}'))
     return pieces.join(integrity, "run_id").withColumn("piece", F.when(F.col("part") == 2, signed).otherwise(F.col("piece"))).drop("state")
