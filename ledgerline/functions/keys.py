@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,40 +10,44 @@ from ledgerline import fixed_values as V
 BUCKETS = ["input", "output", "reasoning", "cache_hit", "cache_write"]
 
 
-def fold_key(name: Column) -> Column:
-    """Lower-case ASCII letters and digits only: ``cacheRead_tokens`` and ``CacheReadTokens`` agree."""
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+def fold_key(name: str) -> str:
+    """SQL for a key in lower-case ASCII letters and digits only: ``cacheRead_tokens`` is ``CacheReadTokens``."""
+    return f"regexp_replace(lower({name}), '[^a-z0-9]+', '')"
 
 
-def _any(text: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-def classify_folded(key: Column, parent: Column) -> Column:
-    """Bucket of a folded key under a folded parent key, or null."""
-    totals = F.contains(key, F.lit("total")) & ~_any(key, [*V.INPUT_WORDS, "output"])
-    cached = F.startswith(parent, F.lit("cache")) | F.contains(key, F.lit("cache"))
-    counted = _any(key, V.COUNT_WORDS)
-    is_input = key.isin(V.INPUT_KEYS) | F.startswith(key, F.lit("input")) | (_any(key, V.INPUT_WORDS) & counted)
-    is_output = key.isin(V.OUTPUT_KEYS) | F.startswith(key, F.lit("output")) | (_any(key, V.OUTPUT_WORDS) & counted)
-    no_bucket = F.lit(None).cast("string")
-    return (
-        F.when((key == "") | key.isin(V.NOT_COUNTS), no_bucket)
-        .when(F.endswith(key, F.lit("id")) | F.endswith(key, F.lit("ms")) | totals, no_bucket)
-        .when(F.contains(key, F.lit("ephemeral")), "cache_write")
-        .when(cached & _any(key, V.CACHE_WRITE_WORDS), "cache_write")
-        .when(cached, "cache_hit")
-        .when(_any(key, V.REASONING_WORDS), "reasoning")
-        .when(is_input, "input")
-        .when(is_output, "output")
-    )
+def _among(text: str, words) -> str:
+    return f"{text} IN (" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def classify_key(name: Column, parent: Column | None = None) -> Column:
-    """Bucket of a key as spelled. The folded forms are bound once; the rules look at them many times."""
-    parent = F.lit("") if parent is None else F.coalesce(parent, F.lit(""))
-    folded = F.struct(fold_key(F.coalesce(name, F.lit(""))).alias("k"), fold_key(parent).alias("p"))
-    return F.get(F.transform(F.array(folded), lambda f: classify_folded(f["k"], f["p"])), F.lit(0))
+def classify_folded(key: str, parent: str) -> str:
+    """SQL for the bucket of a folded key under a folded parent key, or null."""
+    totals = f"(contains({key}, 'total') AND NOT {_any(key, [*V.INPUT_WORDS, 'output'])})"
+    cached = f"(startswith({parent}, 'cache') OR contains({key}, 'cache'))"
+    counted = _any(key, V.COUNT_WORDS)
+    is_input = f"{_among(key, V.INPUT_KEYS)} OR startswith({key}, 'input') OR ({_any(key, V.INPUT_WORDS)} AND {counted})"
+    is_output = f"{_among(key, V.OUTPUT_KEYS)} OR startswith({key}, 'output') OR ({_any(key, V.OUTPUT_WORDS)} AND {counted})"
+    return f"""CASE
+        WHEN {key} = '' OR {_among(key, V.NOT_COUNTS)} THEN NULL
+        WHEN endswith({key}, 'id') OR endswith({key}, 'ms') OR {totals} THEN NULL
+        WHEN contains({key}, 'ephemeral') THEN 'cache_write'
+        WHEN {cached} AND {_any(key, V.CACHE_WRITE_WORDS)} THEN 'cache_write'
+        WHEN {cached} THEN 'cache_hit'
+        WHEN {_any(key, V.REASONING_WORDS)} THEN 'reasoning'
+        WHEN {is_input} THEN 'input'
+        WHEN {is_output} THEN 'output' END"""
+
+
+def classify_key(name: str, parent: str = "''") -> Column:
+    """Bucket of a key as spelled; both arguments are columns or SQL.
+
+    The folded forms are bound once, since the rules look at them many times.
+    """
+    folded = f"named_struct('k', {fold_key(f"coalesce({name}, '')")}, 'p', {fold_key(f"coalesce({parent}, '')")})"
+    return F.expr(f"transform(array({folded}), f -> {classify_folded('f.k', 'f.p')})[0]")
 
 
 def record_kind(raw_type: Column, scope: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions.keys import BUCKETS
 from ledgerline.operators.decode import extract_blobs
 from ledgerline.operators.usage import (
-    best_usage, billed, extract_fields, harvest, harvest_texts, kind_of, pick_richer, read_nodes, score, sum_attempts,
-    unwrapped_usage, usage_of,
+    best_usage, billed, extract_fields, harvest, harvest_texts, kind_of, own_usage, pick_richer, read_nodes, score, sum_attempts,
+    unwrapped_usage,
 )
 from ledgerline.plans.registry import query, spread, table
 
@@ -160,7 +160,7 @@ def per_object(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.format_string(
         template, n, F.floor(n / 3), ids, F.floor(n / 2), n, d % 13).alias("text"))
     nodes = read_nodes(docs, ["doc_id"]).filter("node = 1")
-    return _five(nodes.select("doc_id", usage_of(F.col("own")).alias("usage")), "doc_id")
+    return _five(nodes.select("doc_id", own_usage().alias("usage")), "doc_id")
 
 
 @query(

@@ -129,8 +129,7 @@ SELECT w AS word, event_type, bucket, count(*) AS n FROM found GROUP BY ALL""",
 )
 def classified(spark, sf_dir):
     rows = spread(table(spark, sf_dir, "events")).select("event_type", F.explode(F.array(*map(F.lit, _WORDS))).alias("word"))
-    key, parent = F.concat_ws("_", "event_type", "word"), F.concat("word", F.upper("event_type"))
-    rows = rows.withColumn("bucket", classify_key(key, parent))
+    rows = rows.withColumn("bucket", classify_key("concat_ws('_', event_type, word)", "concat(word, upper(event_type))"))
     return rows.groupBy("word", "event_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -72,9 +72,9 @@ def session_logs(
     found = _placed(_files(spark, [f"{base}/*/.*"] if home else [f"{base}/*/*.[jJ][sS][oO][nN]*", f"{base}/*/.*"]), base)
     parts = F.split("file", "/")
     deep = F.size(parts) > 1
-    named = fold_key(file_stem("file")).rlike("|".join(V.SESSION_NAME_WORDS))
+    named = F.expr(fold_key("_stem")).rlike("|".join(V.SESSION_NAME_WORDS))
     skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, V.SKIPPED_FOLDERS)))
-    kept = found.filter(F.col("length") <= max_bytes)
+    kept = found.withColumn("_stem", file_stem("file")).filter(F.col("length") <= max_bytes)
     if since is not None:
         kept = kept.filter(F.col("modificationTime") >= F.lit(since - dt.timedelta(seconds=V.HOME_SLACK_SECONDS)))
     kept = kept.filter(F.lower("file").rlike(r"\.jsonl?$") & ~skipped)

@@ -172,5 +172,5 @@ def test_classify_key(spark):
     rows = [(k, "", b) for b, ks in cases.items() for k in ks]
     rows += [("read", "cache", "cache_hit"), ("write", "cache", "cache_write"), ("store", "cacheInfo", "cache_write")]
     df = spark.createDataFrame(rows, "k string, p string, want string")
-    bad = df.filter(~classify_key(F.col("k"), F.col("p")).eqNullSafe(F.col("want"))).collect()
+    bad = df.filter(~classify_key("k", "p").eqNullSafe(F.col("want"))).collect()
     assert bad == []
