@@ -74,4 +74,27 @@ CATALOG_IDS = {
 }
 DEFAULT_CATALOG_ID = "hrs_custom"
 
+# Hints for failed tests, by test name, and the one for all others.
+HINTS = {
+    "test_visibility_timeout_restores_and_counts_attempt": "After lease, ready_count must be 0 and leased_count 1. When the visibility window ends, the same message is ready again and attempts + 1.",
+    "test_nack_then_poison": "nack with a matching lease_id increments attempts. After max_attempts failed nacks or expiries, lease returns None and dead_count increases.",
+    "test_persist_across_processes": "A new Queue(path=...) must reload leased state (leased_count and lease_id). ack on that reloaded queue deletes the message.",
+    "test_delay_does_not_steal_older_ready": "lease the oldest ready message (available_at, then id). A delayed newer message must not be leased before an older ready one.",
+    "test_visibility_expires_and_counts_attempt": "Visibility expiry must restore the message and increment attempts.",
+    "test_nack_increments_attempts": "nack with the active lease_id increments attempts.",
+    "test_dead_after_max_attempts": "After max_attempts failed attempts the message is dead and not leaseable.",
+    "test_persist_leased_message": "Disk state must include the active lease, not only the body list.",
+    "test_window_edge_is_exclusive": "A hit that is exactly window_ms old is outside the sliding window.",
+    "test_remaining_does_not_record": "remaining must not add a hit. It only reports how many allows are left.",
+    "test_token_bucket_cost_and_cap": "token_bucket spends cost tokens, refills at rate_per_sec, and caps at burst.",
+    "test_window_and_bucket_do_not_share_state": "Sliding-window hits and token-bucket tokens for the same key are independent.",
+    "test_reset_clears_bucket_only_for_that_key": "reset(key) clears window and bucket state for that key only.",
+    "test_persist_bucket_across_processes": "A new Limiter(path=...) must reload token-bucket tokens and last refill time.",
+    "test_pointer_escapes": "JSON Pointer ~1 is / and ~0 is ~. Decode ~1 first.",
+    "test_array_insert_shifts": "add on an array index inserts and shifts later items right.",
+    "test_remove_array_index": "remove on an array index deletes that item.",
+    "test_empty_path_replaces_document": 'path "" is the whole document.',
+    "test_add_missing_parent_raises": "add must not create missing parents. Raise PatchError.",
+    "test_unsupported_op_raises": "Only add, remove, replace, and test are required. Other ops raise PatchError.",
+}
 DEFAULT_HINT = "Re-read that required behavior in the prompt."

@@ -88,7 +88,7 @@ def _first_object(candidates: pd.Series) -> pd.Series:
 def extract_json_object(text) -> Column:
     """The first JSON object found in a text: in a code fence, the whole text, or the outermost braces."""
     text = _col(text)
-    fenced = F.regexp_extract(text, r"(?is)```(?:json)?(.*?)```", 1)
+    fenced = F.when(F.contains(text, F.lit("```")), F.regexp_extract(text, r"(?is)```(?:json)?(.*?)```", 1))
     opens, closes = F.instr(text, "{"), F.char_length(text) - F.instr(F.reverse(text), "}") + 1
     braces = F.when((opens > 0) & (closes > opens), F.substring(text, opens, closes - opens + 1))
     candidates = F.filter(F.array(fenced, text, braces), lambda c: F.contains(c, F.lit("{")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.fixed_values import CHECK_NAME, DEFAULT_HINT
+from ledgerline.fixed_values import CHECK_NAME, DEFAULT_HINT, HINTS
 from ledgerline.functions.jsontext import decoded_string, extract_json_object, object_entries
 from ledgerline.functions.keys import BUCKETS
 from ledgerline.functions.text import content_hash, strip
@@ -158,11 +158,17 @@ def pass_rate_by_test(reports: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "test").agg(F.sum("ok").alias("passes"), F.count(F.lit(1)).alias("runs"))
 
 
-def failure_hints(reports: DataFrame, hints: DataFrame, by: Sequence[str], limit: int = 8) -> DataFrame:
+def known_hints(spark: SparkSession) -> DataFrame:
+    """The fixed hints as ``(test, hint)``."""
+    return spark.createDataFrame(list(HINTS.items()), "test string, hint string")
+
+
+def failure_hints(reports: DataFrame, by: Sequence[str], hints: DataFrame | None = None, limit: int = 8) -> DataFrame:
     """One row per listed failed test of a report, first ``limit`` in order, with its hint.
 
-    ``hints(test, hint)``; a test without one gets the default text.
+    ``hints(test, hint)``, by default the fixed ones; a test without one gets the default text.
     """
+    hints = known_hints(reports.sparkSession) if hints is None else hints
     failed = F.slice(listed(F.col("failedTests"), F.col("errors")), 1, limit)
     rows = reports.select(*by, F.posexplode(failed).alias("place", "test"))
     return rows.join(small(hints.select("test", "hint")), "test", "left").withColumn(

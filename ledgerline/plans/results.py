@@ -19,7 +19,7 @@ from ledgerline.sources.sinks import packages
 # --- scoring ----------------------------------------------------------------------------------
 
 
-def _outputs(spark, sf_dir):
+def outputs(spark, sf_dir):
     """A document is the output for its task, a source is a run. The answer, which guesses quality from
     length, stands in the text in a way that depends on the language."""
     guess = F.when(F.col("n_chars") > 400, 1).otherwise(0)
@@ -40,7 +40,7 @@ def _outputs(spark, sf_dir):
     )
 
 
-def _specs(spark, sf_dir):
+def specs(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("task_id"), F.to_json(F.struct("quality", "toxic")).alias("expected"),
         F.sha2(F.col("doc_id").cast("string"), 256).alias("prompt_hash"),
@@ -55,12 +55,12 @@ s AS (SELECT d.source AS run_id, d.doc_id AS task_id, d.lang, d.n_chars, d.text,
 
 @query("score_outputs", f"WITH {_SCORED} SELECT run_id, task_id, passed FROM s")
 def scored(spark, sf_dir):
-    return score_outputs(_outputs(spark, sf_dir), _specs(spark, sf_dir)).select("run_id", "task_id", "passed")
+    return score_outputs(outputs(spark, sf_dir), specs(spark, sf_dir)).select("run_id", "task_id", "passed")
 
 
 @query("unknown_tasks", "SELECT source AS run_id, doc_id AS task_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unknown(spark, sf_dir):
-    return unknown_tasks(_outputs(spark, sf_dir), _specs(spark, sf_dir)).select("run_id", "task_id")
+    return unknown_tasks(outputs(spark, sf_dir), specs(spark, sf_dir)).select("run_id", "task_id")
 
 
 _OUTPUT = """CASE lang
@@ -78,7 +78,7 @@ SELECT run_id, task_id, sha256(task_id::VARCHAR) AS prompt_hash, sha256({_OUTPUT
        'extract-json' AS "check", CASE WHEN lang = 'en' THEN 3 ELSE 1 END::BIGINT AS attempts, n_chars AS input, 0::BIGINT AS reasoning FROM s""",
 )
 def sealed(spark, sf_dir):
-    out = seal_tasks(_outputs(spark, sf_dir), _specs(spark, sf_dir))
+    out = seal_tasks(outputs(spark, sf_dir), specs(spark, sf_dir))
     return out.select("run_id", "task_id", "prompt_hash", "output_hash", "passed", "check", "attempts", "usage.input", "usage.reasoning")
 
 
@@ -90,14 +90,14 @@ SELECT {{by}}, count(*) AS tasks, count(*) FILTER (WHERE passed) AS passed, sum(
 
 @query("run_totals", _TOTALS.format(by="run_id", more=""))
 def totals(spark, sf_dir):
-    return run_totals(seal_tasks(_outputs(spark, sf_dir), _specs(spark, sf_dir)))
+    return run_totals(seal_tasks(outputs(spark, sf_dir), specs(spark, sf_dir)))
 
 
 @query("rank_eligibility", _TOTALS.format(by="run_id, lang", more=", bool_and(passed) AS rankable"))
 def ranked(spark, sf_dir):
     """Per source and language: runs that short are sometimes complete."""
-    raw = _outputs(spark, sf_dir).withColumn("run_id", F.concat_ws("/", "run_id", "lang"))
-    out = rank_eligibility(run_totals(seal_tasks(raw, _specs(spark, sf_dir))))
+    raw = outputs(spark, sf_dir).withColumn("run_id", F.concat_ws("/", "run_id", "lang"))
+    out = rank_eligibility(run_totals(seal_tasks(raw, specs(spark, sf_dir))))
     parts = F.split("run_id", "/")
     return out.withColumns({"run_id": parts[0], "lang": parts[1]})
 
@@ -109,7 +109,7 @@ SELECT doc_id, CASE WHEN lang = 'es' THEN (n_chars > 400)::INT::VARCHAR WHEN lan
   ELSE (n_chars > 400)::INT::VARCHAR END AS quality FROM documents""",
 )
 def extracted(spark, sf_dir):
-    rows = _outputs(spark, sf_dir).withColumn("found", extract_json_object("output"))
+    rows = outputs(spark, sf_dir).withColumn("found", extract_json_object("output"))
     quality = F.get_json_object("found", "$.quality")
     small = F.col("quality").cast("double") < 0.5
     fixed = F.when((F.col("lang") == "de") & small, "0.0000001").otherwise(F.col("quality"))
@@ -139,6 +139,16 @@ _SUITE = dict(format="package/1", evaluator="check", evaluatorVersion="1", suite
 _TEXT = ESCAPED.replace("string_split(text, '')", "string_split(output, '')")
 
 
+def packed(spark, sf_dir):
+    """A package per source."""
+    sealed = seal_tasks(outputs(spark, sf_dir), specs(spark, sf_dir))
+    stack = F.struct(F.lit("Big Model").alias("modelSlug"), F.lit("pi").alias("harnessSlug"), F.col("run_id").alias("setting"))
+    runs = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id")).distinct().select(
+        "run_id", F.lit("s").alias("started_at"), F.lit("f").alias("finished_at"), stack.alias("stack")
+    )
+    return packages(sealed, runs, _SUITE)
+
+
 @query(
     "packages",
     f"""
@@ -154,13 +164,8 @@ FROM t GROUP BY run_id""",
 )
 def sealed_packages(spark, sf_dir):
     """The hash a package carries covers every byte before it."""
-    sealed = seal_tasks(_outputs(spark, sf_dir), _specs(spark, sf_dir))
-    stack = F.struct(F.lit("Big Model").alias("modelSlug"), F.lit("pi").alias("harnessSlug"), F.col("run_id").alias("setting"))
-    runs = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id")).distinct().select(
-        "run_id", F.lit("s").alias("started_at"), F.lit("f").alias("finished_at"), stack.alias("stack")
-    )
     tail = F.when(F.col("part") == 2, F.get_json_object(F.concat(F.lit("{"), F.regexp_extract("piece", '"integrity".*$', 0)), "$.integrity"))
-    out = packages(sealed, runs, _SUITE).withColumn("integrity", tail)
+    out = packed(spark, sf_dir).withColumn("integrity", tail)
     return out.groupBy("run_id", "name").agg(F.count_if(F.col("part") == 1).alias("tasks"), F.max("integrity").alias("integrity"))
 
 
@@ -292,7 +297,7 @@ def hints(spark, sf_dir):
     known = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(
         F.concat(F.lit("test_"), F.col("s_suppkey").cast("string")).alias("test"), F.col("s_name").alias("hint")
     )
-    return failure_hints(_run_reports(spark, sf_dir), known, ["run_id"])
+    return failure_hints(_run_reports(spark, sf_dir), ["run_id"], known)
 
 
 # --- agent output -----------------------------------------------------------------------------

@@ -9,13 +9,14 @@ from ledgerline.session import scratch_path
 
 
 def log_line_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of ``root/<run>/stdout*`` and ``stderr*`` as they arrive: ``run_id, stream, line``."""
-    path = F.split(F.col("_metadata.file_path"), "/")
+    """Lines of ``root/<run>/stdout…`` and ``stderr…``, files or folders, as they arrive: ``run_id, stream, line``."""
+    base = root.rstrip("/").rsplit("/", 1)[-1]
+    place = r"/([^/]+)/(stdout|stderr)[^/]*(?:/[^/]+)*$"
+    below = F.substring_index("_metadata.file_path", f"/{base}/", -1)
     lines = spark.readStream.option("recursiveFileLookup", "true").text(root)
-    return lines.select(
-        F.element_at(path, -2).alias("run_id"),
-        F.regexp_extract(F.element_at(path, -1), r"^(stdout|stderr)", 1).alias("stream"),
-        F.col("value").alias("line"),
+    found = lines.select(F.concat(F.lit("/"), below).alias("_place"), F.col("value").alias("line"))
+    return found.select(
+        F.regexp_extract("_place", place, 1).alias("run_id"), F.regexp_extract("_place", place, 2).alias("stream"), "line"
     ).filter("stream <> ''")
 
 

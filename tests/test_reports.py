@@ -92,9 +92,11 @@ def test_rates_and_hints(spark):
         "r1": (2, 3, 0.667), "r2": (0, 0, 1.0), "r3": (0, 2, 0.0), "r4": (0, 0, 0.0)}
     assert {r.test: (r.passes, r.runs) for r in pass_rate_by_test(df).collect()} == {"a": (1, 1), "b": (1, 1), "c": (0, 2), "d": (0, 1)}
     hints = spark.createDataFrame([("c", "look at c")], "test string, hint string")
-    got = {(r.run_id, r.place, r.test): r.hint for r in failure_hints(df, hints, ["run_id"], limit=1).collect()}
+    got = {(r.run_id, r.place, r.test): r.hint for r in failure_hints(df, ["run_id"], hints, limit=1).collect()}
     assert got == {("r1", 0, "c"): "look at c", ("r3", 0, "c"): "look at c"}
-    assert {r.test: r.hint for r in failure_hints(df, hints, ["run_id"]).collect()}["d"].startswith("Re-read")
+    assert {r.test: r.hint for r in failure_hints(df, ["run_id"], hints).collect()}["d"].startswith("Re-read")
+    named = df.withColumn("failedTests", F.array(F.lit("test_pointer_escapes"), F.lit("other")))
+    assert {r.hint[:12] for r in failure_hints(named, ["run_id"]).collect()} == {"JSON Pointer", "Re-read that"}
 
 
 def test_blocked_runs(spark):
