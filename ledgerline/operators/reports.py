@@ -198,7 +198,9 @@ def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool =
     placed = texts.withColumn("stream_rank", stream_rank(first="stderr"))
     keep = [*keys, "stream_rank", "seq"]
     found = read_outcomes(placed, keep, whole).select(*keep, "blob", _outcome_error().alias("found"))
-    last = F.element_at(F.split(strip("text"), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), -1)
+    # The text after the last line feed may still hold rarer line ends.
+    tail = F.substring_index(strip("text"), "\n", -1)
+    last = F.element_at(F.split(tail, r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), -1)
     said = placed.select(*keep, one_line(last, 220).alias("said"))
     rows = found.filter("found is not null").unionByName(said.filter("said != ''"), allowMissingColumns=True)
     place = F.struct("stream_rank", "seq", "blob")
