@@ -17,16 +17,16 @@ from ledgerline.streaming.io import log_line_stream, run_to_table
 @query(
     "session_logs",
     """
-SELECT 'run=' || conv_id AS run_id, count(*) AS files, any_value(source) AS source, max(longest) AS input FROM (
-  SELECT conv_id, role, 'session' AS source, max(length(text)) AS longest FROM conversations GROUP BY conv_id, role) GROUP BY conv_id""",
+SELECT 'run=' || source AS run_id, count(DISTINCT lang) AS files, 'session' AS source, max(n_chars) AS input
+FROM documents GROUP BY documents.source""",
 )
 def sessions(spark, sf_dir):
-    """Every conversation leaves one JSON file per role in a hidden folder of its run."""
+    """Every source is a run and leaves one file of JSON lines per language in a hidden folder."""
     root = scratch_path(spark, "runs")
-    usage = F.struct(F.char_length("text").alias("input_tokens")).alias("usage")
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), F.col("role").alias(".cli"), usage)
-    rows.repartition("run", "`.cli`").sortWithinPartitions("run").write.partitionBy("run", ".cli").json(root)
-    logs = session_logs(spark, root)
+    usage = F.struct(F.col("n_chars").alias("input_tokens")).alias("usage")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("run"), F.col("lang").alias(".cli"), usage)
+    rows.repartition("run", "`.cli`").write.partitionBy("run", ".cli").json(root)
+    logs = session_logs(spark, root, max_bytes=1 << 40)
     files = logs.groupBy("run_id").agg(F.count(F.lit(1)).alias("files"))
     usage = harvest(logs, by=["run_id"]).select("run_id", "source", "usage.input")
     return files.join(usage, "run_id")

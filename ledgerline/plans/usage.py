@@ -146,7 +146,7 @@ def reconciled(spark, sf_dir):
 @query(
     "usage_per_object",
     """
-SELECT doc_id, n_chars AS input, (n_chars // 3)::BIGINT AS output, (doc_id % 11)::BIGINT AS reasoning,
+SELECT doc_id, greatest(n_chars, 3) AS input, (n_chars // 3)::BIGINT AS output, (doc_id % 11)::BIGINT AS reasoning,
        greatest(n_chars // 2, 0)::BIGINT AS cache_hit, (5 + n_chars + doc_id % 13)::BIGINT AS cache_write FROM documents""",
 )
 def per_object(spark, sf_dir):
