@@ -198,19 +198,17 @@ def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool =
     placed = texts.withColumn("stream_rank", stream_rank(first="stderr"))
     keep = [*keys, "stream_rank", "seq"]
     found = read_outcomes(placed, keep, whole).select(*keep, "blob", _outcome_error().alias("found"))
-    # The text after the last line feed may still hold rarer line ends.
-    tail = F.substring_index(strip("text"), "\n", -1)
-    last = F.element_at(F.split(tail, r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), -1)
-    said = placed.select(*keep, one_line(last, 220).alias("said"))
+    said = placed.select(*keep, F.substring_index(strip("text"), "\n", -1).alias("said"))
     rows = found.filter("found is not null").unionByName(said.filter("said != ''"), allowMissingColumns=True)
     place = F.struct("stream_rank", "seq", "blob")
     late = F.struct(-F.col("stream_rank"), F.col("seq"))
-    return rows.groupBy(*keys).agg(
-        F.coalesce(
-            F.min_by("found", F.when(F.col("found").isNotNull(), place)),
-            F.max_by("said", F.when(F.col("said").isNotNull(), late)),
-        ).alias("error")
+    best = rows.groupBy(*keys).agg(
+        F.min_by("found", F.when(F.col("found").isNotNull(), place)).alias("found"),
+        F.max_by("said", F.when(F.col("said").isNotNull(), late)).alias("said"),
     )
+    # What follows the last line feed may still hold rarer line ends; only the one text chosen is looked at.
+    line = F.element_at(F.split("said", r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), -1)
+    return best.select(*keys, F.coalesce("found", one_line(line, 220)).alias("error"))
 
 
 def blocked_runs(texts: DataFrame, exits: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool = True) -> DataFrame:
