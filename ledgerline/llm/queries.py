@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, mixing, neardup, sharding
+from ledgerline.llm import decontaminate, mixing, neardup, quality, sharding
 from ledgerline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(sharding.shards(read(spark, sf_dir, "documents")))
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_scored", "perplexity", "threshold", "accepted")
+
+
 @query(
     "op6_source_mix",
     """
