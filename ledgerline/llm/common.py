@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,18 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Other batches for what is run (not only planned) inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends there, and a lost executor
     costs no work above it."""

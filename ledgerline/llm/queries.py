@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, mixing, neardup, quality, sharding
+from ledgerline.llm import decontaminate, html, mixing, neardup, quality, sharding, tokens, topk, toxicity, urls
 from ledgerline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,38 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_scored", "perplexity", "threshold", "accepted")
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return tokens.token_counts(read(spark, sf_dir, "documents"), model)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op5_nearest_vectors",
+    """
+    WITH rows AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scores AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+    ) WHERE rank <= 20
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings")
+    return topk.top_k(table.where("vec_id % 20 = 0"), table)
+
+
 @query(
     "op6_source_mix",
     """
@@ -106,3 +139,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", F.col("component").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(read(spark, sf_dir, "pages"))
+
+
+@query("op9_url_verdicts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages"))
