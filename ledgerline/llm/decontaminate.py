@@ -122,11 +122,11 @@ def find_passages(
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             patterns = state.get("p") or state.setdefault("p", Patterns(tables.value, window))
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
             found = [patterns.spans(w) for w in words]
             return pa.RecordBatch.from_arrays(
                 [
-                    *((batch.column(0),) if len(passes) == 1 else (batch.column(1),)),
+                    batch.column(0),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([[{"first": a, "last": b} for a, b in s] for s, _ in found],
                              pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
