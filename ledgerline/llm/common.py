@@ -96,16 +96,16 @@ def running_start(df: DataFrame, keys: list[str], order: list[Column], cell: Col
     No window spans a key: rows are summed by (keys, cell), the few cell totals are accumulated per key, and
     a second window runs within each cell. ``cell`` must grow with the order and cut every key into pieces.
     """
-    rows = df.withColumn("__cell", cell).withColumn("__value", value)
-    by_cell = rows.groupBy(*keys, "__cell").agg(F.sum("__value").alias("__total"))
-    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({"__piece": cell, "__value": value})
+    by_cell = rows.groupBy(*keys, "__piece").agg(F.sum("__value").alias("__total"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_cell.withColumn("__start", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    inner = Window.partitionBy(*keys, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__s.{k}")) for k in [*keys, "__cell"]]
+    inner = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__s.{k}")) for k in [*keys, "__piece"]]
     joined = rows.alias("__r").join(starts.alias("__s"), same).select("__r.*", "__s.__start")
     return joined.withColumn(
         out, F.col("__start") + F.coalesce(F.sum("__value").over(inner), F.lit(0))
-    ).drop("__cell", "__value", "__start")
+    ).drop("__piece", "__value", "__start")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -125,5 +125,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
         mark = new

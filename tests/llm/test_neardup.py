@@ -50,7 +50,8 @@ def test_odd_rows(odd, empty):
 def test_components_of_long_chains_and_stars(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(0, 60)] + [("900", f"{i}") for i in range(901, 960)] + [("x", "x")]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert {found[f"{i:03}"] for i in range(1, 61)} == {"000"} and {found[str(i)] for i in range(901, 960)} == {"900"}
+    assert {found[f"{i:03}"] for i in range(0, 61)} == {"000"} and {found[str(i)] for i in range(900, 960)} == {"900"}
+    assert len(found) == 61 + 60
 
 
 def test_fewer_shared_values_are_rare():
