@@ -42,9 +42,6 @@ SKIPPED_FOLDERS = [
     ".eggs", ".hg", ".svn", ".idea", ".vscode",
 ]
 SESSION_NAME_WORDS = ["session", "usage", "token", "transcript", "rollout"]
-MAX_SESSION_FILES = 48
-MAX_SESSION_BYTES = 2_000_000
-MAX_HOME_DEPTH = 4
 HOME_SLACK_SECONDS = 2
 
 # Watched folders and files that never count as activity.
@@ -98,3 +95,20 @@ HINTS = {
     "test_unsupported_op_raises": "Only add, remove, replace, and test are required. Other ops raise PatchError.",
 }
 DEFAULT_HINT = "Re-read that required behavior in the prompt."
+
+# Agent events: who speaks, and what kinds of event there are.
+ACTORS = ["assistant", "user", "system"]
+TOOL_TYPES = ["tool_use", "tool_call", "tool", "function_call", "tool_request"]
+SPEECH_TYPES = ["assistant", "message"]
+ERROR_TYPES = ["error", "turn.failed", "stream_error"]
+TURN_EVENT_TYPES = ["turn.completed", "turn.started", "item.completed"]
+
+# Keys of an event and of its arguments that name what a tool works on, and those that hold a file.
+OWN_TARGETS = ("file_path", "filePath", "path", "filename", "command", "cmd")
+ARGUMENT_TARGETS = ("file_path", "filePath", "path", "target_file", "command")
+FILE_KEYS = ("file_path", "path", "filename", "target_file")
+
+# Lines of a verbose test log.
+TEST_RAN = r"(?mdU)^(\S+) \([^)]+\) \.\.\. (ok|FAIL|ERROR|skipped).*$"
+TEST_HEADER = r"(?mdU)^(?:FAIL|ERROR): (\S+)"
+TEST_RAISED = r"(?mdU)^(?:AssertionError|Error|TypeError|ValueError|AttributeError): (.+)$"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,41 @@ def classify_key(name: str, parent: str = "''") -> Column:
     return F.expr(f"transform(array({folded}), f -> {classify_folded('f.k', 'f.p')})[0]")
 
 
+_BUCKETS_SEEN: dict[tuple[str, str], str | None] = {}
+
+
+def folded(name: str) -> str:
+    """``fold_key`` for one key inside a Python worker."""
+    return re.sub("[^a-z0-9]+", "", name.lower())
+
+
+def bucket_of(name: str, parent: str) -> str | None:
+    """``classify_key`` for one key inside a Python worker. Logs repeat a few keys, so the answers are kept."""
+    seen = (name, parent)
+    if seen not in _BUCKETS_SEEN:
+        if len(_BUCKETS_SEEN) >= 100_000:
+            _BUCKETS_SEEN.clear()
+        _BUCKETS_SEEN[seen] = _spelled(folded(name), folded(parent))
+    return _BUCKETS_SEEN[seen]
+
+
+def _spelled(key: str, parent: str) -> str | None:
+    holds = lambda words: any(word in key for word in words)
+    if not key or key in V.NOT_COUNTS or key.endswith(("id", "ms")):
+        return None
+    if "total" in key and not holds([*V.INPUT_WORDS, "output"]):
+        return None
+    cached = parent.startswith("cache") or "cache" in key
+    rules = [
+        ("cache_write", "ephemeral" in key or cached and holds(V.CACHE_WRITE_WORDS)),
+        ("cache_hit", cached),
+        ("reasoning", holds(V.REASONING_WORDS)),
+        ("input", key in V.INPUT_KEYS or key.startswith("input") or holds(V.INPUT_WORDS) and holds(V.COUNT_WORDS)),
+        ("output", key in V.OUTPUT_KEYS or key.startswith("output") or holds(V.OUTPUT_WORDS) and holds(V.COUNT_WORDS)),
+    ]
+    return next((bucket for bucket, fits in rules if fits), None)
+
+
 def record_kind(raw_type: Column, scope: Column) -> Column:
     """``session``, ``turn`` or ``unknown``. The scope decides before the type."""
     scope = F.lower(scope)

@@ -57,9 +57,11 @@ def strip(text) -> Column:
     return F.trim(_col(text), F.lit(_BLANKS))
 
 
-def one_line(text, limit: int) -> Column:
-    """White space collapsed to single blanks, cut to ``limit`` characters with an ellipsis."""
+def one_line(text, limit: int | None = None) -> Column:
+    """White space collapsed to single blanks, cut to ``limit`` characters with an ellipsis if there is one."""
     line = F.trim(F.regexp_replace(_col(text), _BLANK_RUN, " "))
+    if limit is None:
+        return line
     return F.when(F.char_length(line) <= limit, line).otherwise(
         F.concat(F.substring(line, 1, limit - 3), F.lit("..."))
     )
@@ -99,7 +101,7 @@ def file_stem(path) -> Column:
 
 
 def task_tag(folder, ident=None) -> Column:
-    """The task's id text if it has one, else its folder name after the first hyphen."""
+    """The task's id text, its folder name if that text is blank, or the name after the first hyphen if there is none."""
     name = path_tail(folder)
     tail = F.regexp_replace(name, r"^[^-]*-", "")
-    return tail if ident is None else F.coalesce(F.nullif(strip(ident), F.lit("")), tail)
+    return tail if ident is None else F.coalesce(F.coalesce(F.nullif(strip(ident), F.lit("")), F.when(_col(ident).isNotNull(), name)), tail)

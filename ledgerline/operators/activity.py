@@ -24,7 +24,7 @@ class Repeats(Fold):
     outputs = (T.StructField("emitted", T.BooleanType()),)
 
     def __init__(self, text: str, ts: str, gap_ms: int):
-        self.inputs, self.gap = (text, ts), gap_ms
+        self.inputs, self.timed, self.gap = (text, ts), 1, gap_ms
 
     def fresh(self):
         return [None, None]
@@ -82,7 +82,7 @@ class Idle(Fold):
     outputs = (T.StructField("idle_ms", T.LongType()),)
 
     def __init__(self, ts: str):
-        self.inputs = (ts,)
+        self.inputs, self.timed = (ts,), 0
 
     def fresh(self):
         return [None]

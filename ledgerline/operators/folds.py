@@ -33,6 +33,8 @@ class Fold:
 
     inputs: Sequence[str] = ()
     outputs: Sequence[T.StructField] = ()
+    #: The input that holds the time. Rows without one change nothing and get nulls.
+    timed: int | None = None
 
     def fresh(self):
         raise NotImplementedError
@@ -75,6 +77,8 @@ def _emit(fold: Fold, keys: list[str], schema: pa.Schema, keep: list[str]):
                 if carry is not None:
                     state = fold.load(carry)
                     made.append(nothing)
+                elif fold.timed is not None and values[fold.timed] is None:
+                    made.append(nothing)
                 else:
                     made.append(fold.step(state, *values))
             new = list(zip(*made)) if made else [()] * len(fold.outputs)
@@ -107,7 +111,7 @@ def _states(fold: Fold, keys: list[str], schema: pa.Schema):
                     current, state, sure, watch = key, fold.fresh(), False, fold.watcher()
                 if carry is not None:
                     state, sure = fold.load(carry), True
-                else:
+                elif fold.timed is None or values[fold.timed] is not None:
                     fold.step(state, *values)
                     sure = sure or watch(*values)
         if state is not None:

@@ -82,15 +82,25 @@ def manifest(sized: DataFrame, by: Sequence[str], order: str = "task_id") -> Dat
     """One row per suite: ``suite_hash`` over its tasks in order, ``work_chars``, ``work_units``, ``tasks`` (how many).
 
     ``sized``: tasks with task_id, instruction, expected and ``work_chars``; ``manifest_tasks`` has
-    the rows of the single tasks.
+    the rows of the single tasks. Tasks that ``manifest_rejects`` lists have no part in it.
     """
     by = list(by)
+    sized = sized.filter(_sound())
     entries = manifest_tasks(sized, [*by, *dict.fromkeys([order])])
     hashes = hash_of_pieces(entries, by, [order], "entry", "[", ",", "]").withColumnRenamed("state", "suite_hash")
     sizes = sized.groupBy(*by).agg(F.sum("work_chars").alias("work_chars"), F.count(F.lit(1)).alias("tasks"))
     return hashes.join(sizes, by).withColumn("work_units", work_units("work_chars"))
 
 
+def _sound() -> Column:
+    return object_entries("expected").isNotNull() & F.col("task_id").isNotNull() & F.col("instruction").isNotNull()
+
+
+def manifest_rejects(sized: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Tasks that cannot stand in a manifest: without id or instruction, or with expected values that are no object."""
+    return sized.filter(~F.coalesce(_sound(), F.lit(False))).select(*by, "task_id", "expected")
+
+
 def manifest_tasks(sized: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Per task: ``prompt_hash``, ``work_chars`` and the canonical ``entry`` that goes into the suite's hash."""
     rows = sized.withColumn("prompt_hash", content_hash("instruction")).withColumn("entry", _entry(F.col("prompt_hash")))

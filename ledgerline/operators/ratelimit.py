@@ -25,7 +25,7 @@ class SlidingWindow(Fold):
     outputs = (T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()))
 
     def __init__(self, ts: str, kind: str | None, limit: int, window_ms: int):
-        self.inputs = (ts, kind) if kind else (ts,)
+        self.inputs, self.timed = ((ts, kind) if kind else (ts,)), 0
         self.limit, self.window = int(limit), int(window_ms)
 
     def fresh(self):
@@ -87,7 +87,7 @@ class TokenBucket(Fold):
     outputs = (T.StructField("allowed", T.BooleanType()), T.StructField("tokens", T.DoubleType()))
 
     def __init__(self, ts: str, kind: str | None, cost: str | None, rate_per_sec: float, burst: float, flat: float):
-        self.inputs = tuple(c for c in (ts, kind, cost) if c)
+        self.inputs, self.timed = tuple(c for c in (ts, kind, cost) if c), 0
         self.has_kind, self.has_cost = kind is not None, cost is not None
         self.rate, self.cap, self.flat = float(rate_per_sec), float(burst), float(flat)
 
@@ -151,7 +151,7 @@ def sliding_window_allow(
     df: DataFrame, key, ts_ms: str, tie, limit: int, window_ms: int,
     kind: str | None = None, state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Add ``allowed`` (null on non-call rows) and ``remaining`` after the row."""
+    """Add ``allowed`` (null on non-call rows) and ``remaining`` after the row. Rows without a time get nulls."""
     fold = SlidingWindow(ts_ms, kind, limit, window_ms)
     return keyed_fold(df, _keys(key), _order(ts_ms, tie), fold, state_in, max_rows)
 
@@ -171,7 +171,10 @@ def token_bucket(
     df: DataFrame, key, ts_ms: str, tie, rate_per_sec: float, burst: float, cost=1,
     kind: str | None = None, state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Add ``allowed`` (null on reset rows) and the ``tokens`` left. ``cost``: a number or a column name."""
+    """Add ``allowed`` (null on reset rows) and the ``tokens`` left. ``cost``: a number or a column name.
+
+    Rows without a time get nulls and change nothing.
+    """
     flat, column = (0.0, cost) if isinstance(cost, str) else (cost, None)
     fold = TokenBucket(ts_ms, kind, column, rate_per_sec, burst, flat)
     return keyed_fold(df, _keys(key), _order(ts_ms, tie), fold, state_in, max_rows)

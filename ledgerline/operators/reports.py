@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.jsontext import canonical_json, parse
+from ledgerline import fixed_values as V
+from ledgerline.functions.jsontext import parse
 from ledgerline.functions.text import one_line, path_tail, strip
 from ledgerline.operators.decode import clean, decode_text, explode_texts
-from ledgerline.operators.usage import TEXT_KEYS, stream_rank, whole_number
+from ledgerline.operators.usage import ATTEMPT_KEYS, stream_rank, whole_number
 
 REPORT = (
     "ok boolean, reward int, failed int, passedTests array<string>, failedTests array<string>, "
@@ -21,11 +24,14 @@ REPORT = (
 
 # --- activity labels --------------------------------------------------------------------------
 
-_ACTORS = ["assistant", "user", "system"]
-_TOOL_TYPES = ["tool_use", "tool_call", "tool", "function_call", "tool_request"]
-_SPEECH_TYPES = ["assistant", "message"]
-_ERROR_TYPES = ["error", "turn.failed", "stream_error"]
-_TURN_TYPES = ["turn.completed", "turn.started", "item.completed"]
+class Limits(NamedTuple):
+    """Characters of a label: of model text, of a tool's target and of other lines, and of a line that is noise."""
+
+    said: int | None = None
+    target: int | None = None
+    line: int | None = None
+    noise: int | None = None
+
 
 # What an event offers for its label, in the order it is considered: the event itself, its content,
 # the blocks of the content (each in the same way), and what is left of the event.
@@ -36,9 +42,6 @@ _FACTS = T.ArrayType(
         + [T.StructField("targets", T.ArrayType(T.StringType()))]
     )
 )
-_OWN_TARGETS = ("file_path", "filePath", "path", "filename", "command", "cmd")
-_ARGUMENT_TARGETS = ("file_path", "filePath", "path", "target_file", "command")
-_FILE_KEYS = ("file_path", "path", "filename", "target_file")
 
 
 def _first(obj, *names):
@@ -56,16 +59,16 @@ def _string(value) -> str | None:
 
 def _tool(obj: dict) -> str | None:
     names = (obj.get(n) for n in ("tool_name", "toolName", "name", "tool"))
-    own = next((n for n in names if isinstance(n, str) and n and n not in _ACTORS), None)
+    own = next((n for n in names if isinstance(n, str) and n and n not in V.ACTORS), None)
     return _string(own or _first(_first(obj, "tool_call", "toolCall", "function"), "name", "tool"))
 
 
 def _targets(obj: dict) -> list[str]:
     """What a tool works on, best first; files are marked by a leading slash."""
     arguments = _first(obj, "input", "arguments", "args")
-    found = [(n, obj.get(n)) for n in _OWN_TARGETS]
-    found += [(n, arguments.get(n)) for n in _ARGUMENT_TARGETS] if isinstance(arguments, dict) else []
-    return [("/" if n in _FILE_KEYS else " ") + clean(v) for n, v in found if isinstance(v, str)]
+    found = [(n, obj.get(n)) for n in V.OWN_TARGETS]
+    found += [(n, arguments.get(n)) for n in V.ARGUMENT_TARGETS] if isinstance(arguments, dict) else []
+    return [("/" if n in V.FILE_KEYS else " ") + clean(v) for n, v in found if isinstance(v, str)]
 
 
 def _facts(event) -> Iterator[dict]:
@@ -73,7 +76,8 @@ def _facts(event) -> Iterator[dict]:
         return
     base = {"kind": _text(_first(event, "type", "event", "kind")), "sub": _text(_first(event, "subtype", "status"))}
     message = _first(event, "message", "error")
-    message = _first(message, "message", "error") if isinstance(message, dict) else message
+    if isinstance(message, dict):  # one without a text of its own leaves the kind of event
+        message = _first(message, "message", "error") or _first(event, "type", "event", "kind")
     yield base | {"part": "event", "tool": _tool(event), "targets": _targets(event), "error": _text(message)}
     content = _first(event, "content", "message")
     if isinstance(content, dict):
@@ -99,44 +103,47 @@ def _event_facts(lines: pd.Series) -> pd.Series:
     return lines.map(read, na_action="ignore").astype(object)
 
 
-def _label(f: Column) -> Column:
+def _label(f: Column, limits: Limits) -> Column:
     low, blank = F.lower(f["kind"]), F.lit("")
-    said = F.concat(F.lit("model "), one_line(f["said"], 72))
+    said = F.concat(F.lit("model "), one_line(f["said"], limits.said))
     # A target that is blank is passed over, whichever key it stood under.
     target = F.get(F.filter(f["targets"], lambda t: strip(F.substr(t, F.lit(2))) != ""), F.lit(0))
-    target = F.when(F.startswith(target, F.lit("/")), path_tail(target)).otherwise(one_line(target, 64))
+    target = F.when(F.startswith(target, F.lit("/")), path_tail(target)).otherwise(one_line(target, limits.target))
     tool = strip(F.concat(F.coalesce(f["tool"], F.lit("tool")), F.lit(" "), F.coalesce(target, blank)))
-    error = F.concat(F.lit("cli error "), one_line(F.coalesce(f["error"], f["sub"], f["kind"]), 96))
-    failure = F.concat(F.lit("cli error "), one_line(F.coalesce(f["error"], F.lit("is_error")), 96))
+    error = F.concat(F.lit("cli error "), one_line(F.coalesce(f["error"], f["sub"], f["kind"]), limits.line))
+    failure = F.concat(F.lit("cli error "), one_line(F.coalesce(f["error"], F.lit("is_error")), limits.line))
     return (
         F.when(
             f["part"] == "event",
-            F.when(low.isin(_ERROR_TYPES), error).when(f["tool"].isNotNull() | low.isin(_TOOL_TYPES), tool),
+            F.when(low.isin(V.ERROR_TYPES), error).when(f["tool"].isNotNull() | low.isin(V.TOOL_TYPES), tool),
         )
         .when(
             f["part"] == "content",
-            F.when(f["tool"].isNotNull(), tool).when(low.isin(_SPEECH_TYPES) & (strip(f["said"]) != ""), said),
+            F.when(f["tool"].isNotNull(), tool).when(low.isin(V.SPEECH_TYPES) & (strip(f["said"]) != ""), said),
         )
         .otherwise(
-            F.when(low.isin(_SPEECH_TYPES) & f["said"].isNotNull(), said)
+            F.when(low.isin(V.SPEECH_TYPES) & f["said"].isNotNull(), said)
             .when(low == "result", F.when(f["failed"], failure).otherwise(F.concat(F.lit("cli result "), F.coalesce(f["sub"], F.lit("done")))))
             .when(low == "system", F.concat(F.lit("cli "), F.coalesce(f["sub"], F.lit("system"))))
-            .when(low.isin(_TURN_TYPES), F.concat(F.lit("cli "), f["kind"]))
+            .when(low.isin(V.TURN_EVENT_TYPES), F.concat(F.lit("cli "), f["kind"]))
         )
     )
 
 
-def event_snippet(line) -> Column:
-    """Label of an output line: a JSON event by its content (the last of a list), else the line cut short.
+def event_snippet(line, limits: Limits = Limits()) -> Column:
+    """Label of an output line: a JSON event by its content (the last of a list), else the line itself.
 
-    An error comes first, then a tool and its target, then model text, then results and turns.
+    An error comes first, then a tool and its target, then model text, then results and turns. Nothing is cut
+    unless ``limits`` says so; a plain line longer than ``limits.noise`` has no label.
     """
     line = strip(F.col(line) if isinstance(line, str) else line)
     is_json = line.rlike(r"^[{\[]")
-    labels = F.transform(_event_facts(F.when(is_json, line)), _label)
+    labels = F.transform(_event_facts(F.when(is_json, line)), lambda f: _label(f, limits))
     label = F.get(F.filter(labels, lambda s: s.isNotNull()), F.lit(0))
-    noise = line.rlike(r"^(\x1b|[ .\-/|\\]*$)") | (F.char_length(line) > 400)
-    return F.when(is_json, label).when(~noise, one_line(line, 96))
+    noise = line.rlike(r"^(\x1b|[ .\-/|\\]*$)")
+    if limits.noise is not None:
+        noise = noise | (F.char_length(line) > limits.noise)
+    return F.when(is_json, label).when(~noise, one_line(line, limits.line))
 
 
 # --- first error and blocked runs -------------------------------------------------------------
@@ -150,7 +157,10 @@ _OUTCOME = T.StructType(
 
 
 def _count(value) -> int:
-    return whole_number(int(value) if isinstance(value, float) else value)
+    """A count, fractions dropped; 0 for what is no finite number."""
+    if isinstance(value, float):
+        value = int(value) if math.isfinite(value) else 0
+    return whole_number(value)
 
 
 def _outcomes(text: str, whole: bool) -> Iterator[dict]:
@@ -161,7 +171,7 @@ def _outcomes(text: str, whole: bool) -> Iterator[dict]:
         payload = value["payload"] if isinstance(value.get("payload"), dict) else {}
         is_error = _first(value, "is_error", "isError") is not None
         kind, payload_type = _text(_first(value, "type")), _text(_first(payload, "type"))
-        if not (is_error or kind in _ERROR_TYPES or payload_type in _ERROR_TYPES):
+        if not (is_error or kind in V.ERROR_TYPES or payload_type in V.ERROR_TYPES):
             continue
         said = _first(value, "result", "message", "error", "errors")
         said = _first(said, "message", "error") or said if isinstance(said, dict) else said
@@ -181,23 +191,27 @@ def read_outcomes(texts: DataFrame, keep: Sequence[str], whole: bool = True) ->
     return explode_texts(texts, "text", list(keep), _OUTCOME, _outcomes, whole)
 
 
-def _outcome_error() -> Column:
-    line = F.nullif(one_line(F.coalesce("said", "type"), 220), F.lit(""))
+def _outcome_error(limit: int | None) -> Column:
+    line = F.nullif(one_line(F.coalesce("said", "type"), limit), F.lit(""))
     with_reason = F.when(F.col("reason").isNull(), line).otherwise(F.concat(line, F.lit(" ("), "reason", F.lit(")")))
     own = F.when(F.col("is_error") | F.col("type").isin("error", "turn.failed"), with_reason)
-    nested = F.when(F.col("payload_type").isin("error", "stream_error"), F.nullif(one_line("payload_said", 220), F.lit("")))
+    nested = F.when(F.col("payload_type").isin("error", "stream_error"), F.nullif(one_line("payload_said", limit), F.lit("")))
     return F.coalesce(own, nested)
 
 
-def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool = True) -> DataFrame:
+def first_error(
+    texts: DataFrame, keys: Sequence[str] = ATTEMPT_KEYS, whole: bool = True, limit: int | None = None
+) -> DataFrame:
     """``keys`` plus ``error``: the first reported error, stderr before stdout, else the last line said.
 
+    The streams of a key are one text. ``limit`` cuts the error to so many characters.
+
     One aggregate over two kinds of rows: errors found in JSON (``found``) and last lines (``said``).
     """
     keys = list(keys)
     placed = texts.withColumn("stream_rank", stream_rank(first="stderr"))
     keep = [*keys, "stream_rank", "seq"]
-    found = read_outcomes(placed, keep, whole).select(*keep, "blob", _outcome_error().alias("found"))
+    found = read_outcomes(placed, keep, whole).select(*keep, "blob", _outcome_error(limit).alias("found"))
     said = placed.select(*keep, F.substring_index(strip("text"), "\n", -1).alias("said"))
     rows = found.filter("found is not null").unionByName(said.filter("said != ''"), allowMissingColumns=True)
     place = F.struct("stream_rank", "seq", "blob")
@@ -208,10 +222,10 @@ def first_error(texts: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool =
     )
     # What follows the last line feed may still hold rarer line ends; only the one text chosen is looked at.
     line = F.element_at(F.split("said", r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), -1)
-    return best.select(*keys, F.coalesce("found", one_line(line, 220)).alias("error"))
+    return best.select(*keys, F.coalesce("found", one_line(line, limit)).alias("error"))
 
 
-def blocked_runs(texts: DataFrame, exits: DataFrame, keys: Sequence[str] = TEXT_KEYS, whole: bool = True) -> DataFrame:
+def blocked_runs(texts: DataFrame, exits: DataFrame, keys: Sequence[str] = ATTEMPT_KEYS, whole: bool = True) -> DataFrame:
     """Keys of attempts that never reached the model: an error without tokens or API time, or a jail
     failure with a bad exit code. ``exits``: ``keys`` and ``exit_code``."""
     keys = list(keys)
@@ -224,11 +238,9 @@ def blocked_runs(texts: DataFrame, exits: DataFrame, keys: Sequence[str] = TEXT_
 # --- verifier output --------------------------------------------------------------------------
 
 
-def parse_test_log(logs: DataFrame, log: str = "log") -> DataFrame:
-    """Add ``passedTests``, ``failedTests`` and ``details`` read from a verbose test log."""
-    ran = r"(?mdU)^(\S+) \([^)]+\) \.\.\. (ok|FAIL|ERROR|skipped).*$"
-    pattern, headers = F.lit(ran), F.lit(r"(?mdU)^(?:FAIL|ERROR): (\S+)")
-    raised = F.lit(r"(?mdU)^(?:AssertionError|Error|TypeError|ValueError|AttributeError): (.+)$")
+def parse_test_log(logs: DataFrame, log: str = "log", limit: int | None = None) -> DataFrame:
+    """Add ``passedTests``, ``failedTests`` and ``details`` read from a verbose test log; ``limit`` details at most."""
+    pattern, headers, raised = F.lit(V.TEST_RAN), F.lit(V.TEST_HEADER), F.lit(V.TEST_RAISED)
     text = F.coalesce(log, F.lit(""))
     tests = F.arrays_zip(
         F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("state")
@@ -245,7 +257,7 @@ def parse_test_log(logs: DataFrame, log: str = "log") -> DataFrame:
         {
             "passedTests": named("ok"),
             "failedTests": F.when(F.size(failed) > 0, failed).otherwise(F.regexp_extract_all(text, headers, F.lit(1))),
-            "details": F.slice(details, 1, 8),
+            "details": details if limit is None else F.slice(details, 1, limit),
         }
     ).drop("_tests")
 
@@ -253,7 +265,7 @@ def parse_test_log(logs: DataFrame, log: str = "log") -> DataFrame:
 def parse_reports(texts: DataFrame, text: str = "text") -> DataFrame:
     """Report columns from report texts; a missing text or one that is no object counts as a failure."""
     parsed = F.from_json(text, REPORT)
-    is_object = F.startswith(canonical_json(text), F.lit("{"))
+    is_object = F.expr(f"schema_of_variant(try_parse_json(`{text}`)) like 'OBJECT<%'")
     keep = [c for c in texts.columns if c != text]
     rows = texts.withColumn("_r", F.when(is_object, parsed)).withColumn("_ok", F.coalesce(is_object, F.lit(False)))
     absent = F.when(F.col(text).isNull(), F.lit("no reward.json"))
@@ -267,12 +279,13 @@ def parse_reports(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def merge_report(reports: DataFrame, parsed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Reports with the lists they lack filled in from the parsed log."""
+def merge_report(reports: DataFrame, parsed: DataFrame, by: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Reports with the lists they lack filled in from the parsed log, with ``limit`` errors at most."""
     lists = ["passedTests", "failedTests", "details"]
     seen = parsed.select(*by, *[F.col(c).alias(f"_{c}") for c in lists])
     rows = reports.join(seen, list(by), "left")
     from_log = {c: F.when(F.size(f"_{c}") > 0, F.col(f"_{c}")) for c in lists}
-    fill = F.when(F.col("failedTests").isNull(), F.slice(from_log["failedTests"], 1, 12))
+    errors = from_log["failedTests"] if limit is None else F.slice(from_log["failedTests"], 1, limit)
+    fill = F.when(F.col("failedTests").isNull(), errors)
     merged = rows.withColumns({"errors": F.coalesce("errors", fill), **{c: F.coalesce(c, from_log[c]) for c in lists}})
     return merged.drop(*[f"_{c}" for c in lists])

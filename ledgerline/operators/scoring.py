@@ -163,13 +163,14 @@ def known_hints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(HINTS.items()), "test string, hint string")
 
 
-def failure_hints(reports: DataFrame, by: Sequence[str], hints: DataFrame | None = None, limit: int = 8) -> DataFrame:
-    """One row per listed failed test of a report, first ``limit`` in order, with its hint.
+def failure_hints(reports: DataFrame, by: Sequence[str], hints: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """One row per listed failed test of a report, in order, with its hint; the first ``limit`` only if one is given.
 
     ``hints(test, hint)``, by default the fixed ones; a test without one gets the default text.
     """
     hints = known_hints(reports.sparkSession) if hints is None else hints
-    failed = F.slice(listed(F.col("failedTests"), F.col("errors")), 1, limit)
+    failed = listed(F.col("failedTests"), F.col("errors"))
+    failed = failed if limit is None else F.slice(failed, 1, limit)
     rows = reports.select(*by, F.posexplode(failed).alias("place", "test"))
     return rows.join(small(hints.select("test", "hint")), "test", "left").withColumn(
         "hint", F.coalesce("hint", F.lit(DEFAULT_HINT))

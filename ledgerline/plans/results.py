@@ -202,7 +202,7 @@ details AS (SELECT run_id, list('AssertionError: ' || test || ' broke' ORDER BY
 parsed AS (
   SELECT run_id, coalesce(list(test ORDER BY rn) FILTER (WHERE state = 'ok'), []) AS passed_tests,
          coalesce(list(test ORDER BY rn) FILTER (WHERE state = 'FAIL'), []) AS failed_tests,
-         coalesce(list_slice(any_value(d), 1, 8), []) AS details
+         coalesce(any_value(d), []) AS details
   FROM tests LEFT JOIN details USING (run_id) GROUP BY run_id)"""
 
 
@@ -248,7 +248,7 @@ def reports(spark, sf_dir):
     _PARSED + f""", {_REPORTS}
 SELECT r.run_id, CASE WHEN listed THEN 'only' ELSE array_to_string(nullif(passed_tests, []), ',') END AS passed_tests,
        CASE WHEN listed THEN '' ELSE array_to_string(nullif(failed_tests, []), ',') END AS failed_tests,
-       CASE WHEN listed THEN NULL ELSE array_to_string(list_slice(nullif(failed_tests, []), 1, 12), ',') END AS errors
+       CASE WHEN listed THEN NULL ELSE array_to_string(nullif(failed_tests, []), ',') END AS errors
 FROM reports r LEFT JOIN parsed p USING (run_id)""",
 )
 def merged(spark, sf_dir):
@@ -291,7 +291,7 @@ def rates_by_test(spark, sf_dir):
     f"""
 WITH {_LINES}, failed AS (SELECT run_id, test, row_number() OVER (PARTITION BY run_id ORDER BY rn) - 1 AS place FROM tests WHERE state = 'FAIL')
 SELECT run_id, place::INT AS place, test, coalesce(s_name, 'Re-read that required behavior in the prompt.') AS hint
-FROM failed LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON test = 'test_' || s_suppkey WHERE place < 8""",
+FROM failed LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON test = 'test_' || s_suppkey""",
 )
 def hints(spark, sf_dir):
     known = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(

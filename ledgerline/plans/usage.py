@@ -121,8 +121,8 @@ SELECT run_id, seq, (chars + words)::BIGINT AS input, (words + 1)::BIGINT AS out
 def groups(spark, sf_dir):
     """Two models per line, added up; the members are no records themselves."""
     template = (
-        '{"stats":{"models":{"pro":{"tokens":{"prompt":%d,"candidates":%d,"thoughts":2}},'
-        '"flash":{"tokens":{"prompt":%d,"candidates":1,"cached":%d}}}}}'
+        '{"stats":{"models":{"north":{"tokens":{"prompt":%d,"candidates":%d,"thoughts":2}},'
+        '"south":{"tokens":{"prompt":%d,"candidates":1,"cached":%d}}}}}'
     )
     rows = _line(_turns(spark, sf_dir), template, "chars", "words", "words", "chars")
     return _five(harvest_texts(rows, ["run_id", "seq"]), "run_id", "seq")
@@ -298,7 +298,7 @@ def fields(spark, sf_dir):
     rows = spread(table(spark, sf_dir, "events")).select(
         "event_id", F.format_string(template, "event_id", F.get_json_object("props", "$.k")).alias("text")
     )
-    out = extract_fields(read_nodes(rows, ["event_id"]), ["event_id"])
+    out = extract_fields(read_nodes(rows, ["event_id"], fields=True), ["event_id"])
     return out.groupBy("bucket", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"))
 
 

@@ -2,14 +2,18 @@
 
 ``root`` holds one folder per run: ``root/<run>/…``. Files are listed with their sizes and times
 first, and only the contents of files that pass are read: Spark's binary source skips the others.
-Hidden folders below a hidden folder are not listed by Spark; land such files one level up.
+Spark does not list what is hidden (names that begin with a dot or an underscore) below a path, so hidden folders
+are named one by one, level by level; hidden files are read through the file system that holds them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +38,41 @@ def _files(spark: SparkSession, paths: list[str], names: str = "*") -> DataFrame
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _NO_FILES)
 
 
+def _matches(spark: SparkSession, pattern: str, folders: bool) -> list[tuple[str, int, int]]:
+    """``(path, length, time)`` of the folders or files that a pattern names, hidden ones too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found if f.isDirectory() == folders]
+
+
+def _hidden(spark: SparkSession, top: str, levels: int | None = None) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Patterns of the hidden folders below the folders of pattern ``top``, and the hidden files there.
+
+    One listing per level of folders, for as long as there are any.
+    """
+    patterns, files, level = [top], [], 0
+    while (levels is None or level <= levels) and _matches(spark, top + "/*" * level, True):
+        names = top + "/*" * level + "/{.,_}*"
+        patterns += [names] if _matches(spark, names, True) else []
+        files += _matches(spark, names, False)
+        level += 1
+    return patterns, files
+
+
+def _opened(files: DataFrame) -> DataFrame:
+    """Contents of listed files, read by the tasks that hold their rows."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, place = pa_fs.FileSystem.from_uri(re.sub("^(file):(?=/[^/])", r"\1://", path))
+                with system.open_input_stream(place) as source:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([source.read()], pa.binary())})
+
+    listed = files.select("path").repartition(F.col("path"))
+    return files.join(listed.mapInArrow(run, "path string, content binary"), "path")
+
+
 def _below(root: str) -> Column:
     """Path below the root, whatever scheme Spark puts before it."""
     start = F.instr("path", root.rstrip("/") + "/") + len(root.rstrip("/")) + 1
@@ -57,49 +96,126 @@ def session_logs(
     spark: SparkSession,
     root: str,
     since: dt.datetime | None = None,
-    max_files: int = V.MAX_SESSION_FILES,
-    max_bytes: int = V.MAX_SESSION_BYTES,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
     home: bool = False,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Session transcripts as texts: ``run_id, source, file, stream, seq, text``.
 
-    Files named like a session at the top of a run, and all files below its hidden folders: JSON and
-    JSON lines, up to ``max_bytes`` each, the first ``max_files`` per run by path. ``home`` scans
-    home folders instead: hidden folders only, at most four levels down, changed since ``since``
-    (less two seconds).
+    Files named like a session at the top of a run, and all files below its hidden folders, hidden or not: JSON
+    and JSON lines. ``home`` scans home folders instead: hidden folders only, files changed since ``since``
+    (less two seconds). Everything is read unless a limit is given: ``max_bytes`` of a file, ``max_files`` of a
+    run, the first by path, ``max_depth`` folders below a hidden one; ``left_out`` lists what limits leave out.
     """
+    kept, inside = _session_files(spark, root, since, max_files, max_bytes, home, max_depth)
+    plain, hidden = kept.filter(inside & F.col("content").isNotNull()), kept.filter(inside & F.col("hidden"))
+    hidden = _opened(hidden.select("run_id", "file", "path"))
+    rows = plain.select("run_id", "file", "content").unionByName(hidden.select("run_id", "file", "content"))
+    return rows.select(
+        "run_id", F.lit("home" if home else "session").alias("source"), "file", F.lit("file").alias("stream"),
+        F.lit(0).cast("long").alias("seq"), _text().alias("text"),
+    )
+
+
+def left_out(
+    spark: SparkSession, root: str, since: dt.datetime | None = None, max_files: int | None = None,
+    max_bytes: int | None = None, home: bool = False, max_depth: int | None = None,
+) -> DataFrame:
+    """``(run_id, file, length)`` of the transcripts that ``session_logs`` leaves out under these limits."""
+    kept, inside = _session_files(spark, root, since, max_files, max_bytes, home, max_depth)
+    return kept.filter(~inside).select("run_id", "file", "length")
+
+
+def _session_files(spark, root, since, max_files, max_bytes, home, max_depth) -> tuple[DataFrame, Column]:
+    """The transcripts that are there, and which of them the limits let through."""
     base = root.rstrip("/")
-    found = _placed(_files(spark, [f"{base}/*/.*"] if home else [f"{base}/*/*.[jJ][sS][oO][nN]*", f"{base}/*/.*"]), base)
+    patterns, names = _hidden(spark, f"{base}/*/.*")
+    top = [] if home else _matches(spark, f"{base}/*/.*", False)
+    found = _files(spark, patterns if home else [f"{base}/*/[!._]*.[jJ][sS][oO][nN]*", *patterns])
+    unseen = spark.createDataFrame([*names, *top], "path string, length long, ms long").select(
+        "path", F.timestamp_millis("ms").alias("modificationTime"), "length", F.lit(None).cast("binary").alias("content"),
+        F.lit(True).alias("hidden"),
+    )
+    found = _placed(found.withColumn("hidden", F.lit(False)).unionByName(unseen), base)
     parts = F.split("file", "/")
     deep = F.size(parts) > 1
     named = F.expr(fold_key("_stem")).rlike("|".join(V.SESSION_NAME_WORDS))
     skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, V.SKIPPED_FOLDERS)))
-    kept = found.withColumn("_stem", file_stem("file")).filter(F.col("length") <= max_bytes)
+    kept = found.withColumn("_stem", file_stem("file"))
     if since is not None:
         kept = kept.filter(F.col("modificationTime") >= F.lit(since - dt.timedelta(seconds=V.HOME_SLACK_SECONDS)))
     kept = kept.filter(F.lower("file").rlike(r"\.jsonl?$") & ~skipped)
-    # Four folders below the hidden one, the file itself and the hidden one: six parts.
-    kept = kept.filter(deep & (F.size(parts) <= V.MAX_HOME_DEPTH + 2)) if home else kept.filter(deep | named)
+    kept = kept.filter(deep & F.startswith("file", F.lit("."))) if home else kept.filter(deep | named)
     kept = kept.withColumn("_deep", deep.cast("int"))
-    # The cap is worked out on the listing; contents are neither sorted nor shuffled for it.
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("_deep", "file"))
-    last = kept.select("run_id", "_deep", "file").withColumn("_nth", nth).filter(F.col("_nth") == max_files)
-    last = last.select("run_id", F.struct("_deep", "file").alias("_last"))
-    inside = F.col("_last").isNull() | (F.struct("_deep", "file") <= F.col("_last"))
-    return kept.join(last, "run_id", "left").filter(inside).select(
-        "run_id", F.lit("home" if home else "session").alias("source"), "file", F.lit("file").alias("stream"),
-        F.lit(0).cast("long").alias("seq"), _text().alias("text"),
-    )
+    inside = F.lit(True)
+    if max_bytes is not None:
+        inside = inside & (F.col("length") <= max_bytes)
+    if max_depth is not None:  # below the hidden folder, which is a part of the path, as the file is
+        inside = inside & (F.size(parts) <= max_depth + 2)
+    if max_files is not None:
+        # The cap is worked out on the listing; contents are neither sorted nor shuffled for it.
+        nth = F.row_number().over(Window.partitionBy("run_id").orderBy("_deep", "file"))
+        last = kept.filter(inside).select("run_id", "_deep", "file").withColumn("_nth", nth).filter(F.col("_nth") == max_files)
+        kept = kept.join(last.select("run_id", F.struct("_deep", "file").alias("_last")), "run_id", "left")
+        inside = inside & (F.col("_last").isNull() | (F.struct("_deep", "file") <= F.col("_last")))
+    return kept, inside
+
+
+def _streams(files: DataFrame, root: str) -> DataFrame:
+    """``run_id``, ``task_id``, ``attempt``, ``file`` and ``stream`` of captured streams.
+
+    They stand in ``root/<run>/[<task>/[<attempt>/]]stdout`` or ``stderr``, with any one suffix.
+    """
+    folders = F.split("file", "/")
+    stream = F.regexp_extract(F.element_at(folders, -1), r"^(stdout|stderr)(\.\w+)?$", 1)
+    part = lambda n: F.when(F.size(folders) > n + 1, F.get(folders, F.lit(n)))
+    return _placed(files, root).withColumns(
+        {"stream": stream, "task_id": part(0), "attempt": F.coalesce(part(1).try_cast("int"), F.lit(1))}
+    ).filter("stream <> ''")
+
+
+def _stream_paths(root: str) -> list[str]:
+    return [f"{root.rstrip('/')}/*{'/*' * depth}/std*" for depth in range(3)]
+
+
+_STREAM = ("run_id", "task_id", "attempt", "source", "file", "stream", "seq")
+
+
+def log_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Captured streams as whole texts, one row each, for values that span lines. ``log_lines`` splits them."""
+    found = _streams(_files(spark, _stream_paths(root), "std[eo]*"), root)
+    rows = found.withColumns({"source": F.lit("cli"), "seq": F.lit(0).cast("long")})
+    return rows.select(*_STREAM, _text().alias("text"))
 
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Captured streams ``root/<run>/stdout`` and ``stderr`` as whole texts."""
-    found = _placed(_files(spark, [f"{root.rstrip('/')}/*/std*"], "std[eo]*"), root)
-    stream = F.regexp_extract("file", r"^(stdout|stderr)(\.\w+)?$", 1)
-    return found.withColumn("stream", stream).filter("stream <> ''").select(
-        "run_id", F.lit("cli").alias("source"), "file", "stream", F.lit(0).cast("long").alias("seq"), _text().alias("text")
+    """Captured streams line by line: as ``log_texts``, with ``seq`` rising along a stream.
+
+    Spark splits large streams among tasks. A line's number is the byte its split begins at plus its place in the
+    split: no line takes less than a byte, so the numbers rise from split to split.
+    """
+    kept = [p for p in _stream_paths(root) if _matches(spark, p, False)]
+    if not kept:
+        return spark.createDataFrame([], "run_id string, task_id string, attempt int, source string, file string, stream string, seq long, text string")
+    lines = spark.read.option("pathGlobFilter", "std[eo]*").text(kept)
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text")
     )
 
+    def number(batches):
+        place, n = None, 0
+        for batch in batches:
+            numbers = []
+            for here in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                place, n = here, n + 1 if here == place else 0
+                numbers.append(here[1] + n)
+            yield batch.append_column("seq", pa.array(numbers, pa.int64()))
+
+    numbered = rows.mapInArrow(number, "path string, start long, text string, seq long")
+    found = _streams(numbered.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))), root)
+    return found.withColumn("source", F.lit("cli")).select(*_STREAM, F.make_valid_utf8("text").alias("text"))
+
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
     """``root/<run>/usage.json`` as ``run_id, text``."""

@@ -20,10 +20,10 @@ def usage_json(usage: Column) -> Column:
     return F.struct(*[F.coalesce(usage[b], F.lit(0)).cast("long").alias(OUTWARD.get(b, b)) for b in BUCKETS])
 
 
-def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataFrame:
-    """Sealed JSON packages in pieces: ``run_id, name, part, task_id, piece``, in (part, task_id) order.
+def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str], order: str = "task_id") -> DataFrame:
+    """Sealed JSON packages in pieces: ``run_id, name, part, place, task_id, piece``, in (part, place, task_id) order.
 
-    The pieces of a run make up one canonical JSON document: a head, one piece per task and a tail
+    ``order`` is the column of ``sealed`` by which the tasks of a run stand in its package; the hash depends on it. The pieces of a run make up one canonical JSON document: a head, one piece per task and a tail
     with the totals and the integrity hash. No run has to fit in one row.
 
     ``runs``: run_id, started_at, finished_at and a ``stack`` struct with modelSlug, harnessSlug and
@@ -35,7 +35,7 @@ def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataF
         F.when(F.col("provider_source").isNotNull(), F.struct(F.col("provider_source").alias("source"))).alias("providerUsage"),
         "passed", "check", "attempts",
     )
-    totals = run_totals(sealed, ["run_id"], F.min("task_id").alias("_first"))
+    totals = run_totals(sealed, ["run_id"], F.min(F.struct(F.col(order).alias("place"), F.col("task_id").alias("id"))).alias("_first"))
     totals = totals.withColumn("totals", F.struct("tasks", "passed", *[F.col(b).alias(OUTWARD.get(b, b)) for b in BUCKETS]))
     joined = runs.join(totals.select("run_id", "totals", "_first"), "run_id")
     name = F.concat_ws("-", slug("stack.modelSlug"), "stack.harnessSlug", "stack.setting").alias("name")
@@ -56,13 +56,14 @@ def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str]) -> DataF
         F.lit(',"totals":'), _canonical(F.col("totals")), F.lit("}"),
     )
     ends = joined.select("run_id", name, "_first", head.alias("head"), tail.alias("tail"))
-    comma = F.when(F.col("task_id") > F.col("_first"), ",").otherwise("")
-    body = sealed.select("run_id", "task_id", _canonical(task).alias("_task")).join(ends.select("run_id", "name", "_first"), "run_id")
-    body = body.select("run_id", "name", F.lit(1).alias("part"), "task_id", F.concat(comma, "_task").alias("piece"))
+    comma = F.when(F.struct(F.col("place"), F.col("task_id").alias("id")) > F.col("_first"), ",").otherwise("")
+    body = sealed.select("run_id", "task_id", F.col(order).alias("place"), _canonical(task).alias("_task"))
+    body = body.join(ends.select("run_id", "name", "_first"), "run_id")
+    body = body.select("run_id", "name", F.lit(1).alias("part"), "place", "task_id", F.concat(comma, "_task").alias("piece"))
     both = F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.col(c).alias("piece")) for n, c in ((0, "head"), (2, "tail"))]))
     # Read twice below, for the hash and for the result.
     pieces = checkpointed(body.unionByName(ends.select("run_id", "name", both), allowMissingColumns=True))
-    integrity = hash_of_pieces(pieces, ["run_id"], ["part", "task_id"], "piece")
+    integrity = hash_of_pieces(pieces, ["run_id"], ["part", "place", "task_id"], "piece")
     signed = F.concat(F.rtrim("piece", F.lit("}")), F.lit('},"integrity":"'), "state", F.lit('"}'))
     return pieces.join(integrity, "run_id").withColumn("piece", F.when(F.col("part") == 2, signed).otherwise(F.col("piece"))).drop("state")
 
@@ -77,9 +78,10 @@ def _members(obj: Column) -> Column:
 
 
 def write_packages(packed: DataFrame, path: str) -> None:
-    """A folder per run below ``path`` with one file, whose lines are the pieces of its package."""
-    laid = packed.repartition("run_id").sortWithinPartitions("run_id", "part", "task_id")
-    laid.select("run_id", F.col("piece").alias("value")).write.partitionBy("run_id").mode("overwrite").text(path)
+    """A folder per run and name below ``path`` with one file, whose lines are the pieces of its package."""
+    laid = packed.repartition("run_id").sortWithinPartitions("run_id", "name", "part", "place", "task_id")
+    rows = laid.select("run_id", "name", F.col("piece").alias("value"))
+    rows.write.partitionBy("run_id", "name").mode("overwrite").text(path)
 
 
 def write_usage(usages: DataFrame, path: str, by: list[str]) -> None:

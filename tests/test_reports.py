@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerline.operators.reports import (
-    blocked_runs, event_snippet, first_error, merge_report, parse_reports, parse_test_log,
+    Limits, blocked_runs, event_snippet, first_error, merge_report, parse_reports, parse_test_log,
 )
 from ledgerline.operators.scoring import failure_hints, pass_rate_by_test, test_pass_rate as rate_of_tests
 
@@ -20,6 +20,7 @@ LABELS = [
     ({"type": "error", "message": "bang"}, "cli error bang"),
     ({"type": "Error", "message": {"error": "deep"}}, "cli error deep"),
     ({"event": "turn.failed", "status": "gone"}, "cli error gone"),
+    ({"type": "error", "subtype": "x", "message": {"code": 5}}, "cli error error"),
     ({"type": "assistant", "message": {"content": "hello  there"}}, "model hello there"),
     ({"type": "assistant", "message": {"content": [{"type": "text"}, {"type": "tool_use", "name": "run", "input": {"command": "ls"}}]}}, "run ls"),
     ({"type": "x", "content": {"content": [{"type": "m", "message": {"content": [{"type": "system"}]}}]}}, "cli system"),
@@ -37,8 +38,11 @@ LINES = [
 
 def test_event_snippet(spark):
     rows = [(json.dumps(e), w) for e, w in LABELS] + LINES
-    df = spark.createDataFrame(rows, "line string, want string").withColumn("got", event_snippet("line"))
+    cut = event_snippet("line", Limits(said=72, target=64, line=96, noise=400))
+    df = spark.createDataFrame(rows, "line string, want string").withColumns({"got": cut, "whole": event_snippet("line")})
     assert df.filter(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+    long = {r.line[:1]: r.whole for r in df.filter("length(line) >= 100").collect() if r.line[0] in "zy"}
+    assert long == {"z": "z" * 401, "y": "y" * 100}
 
 
 def texts(spark, items):
@@ -57,10 +61,15 @@ def test_first_error(spark):
         ("e", "stdout", j({"type": "turn.failed", "error": {"message": "inner"}}) + "\n" + j({"type": "error", "message": "later"})),
         ("f", "stdout", j([{"type": "error", "errors": ["one", "two"]}])),
         ("g", "stdout", j({"is_error": False, "result": "fine"})),
+        ("h", "stdout", '{"type":"error","message":"huge","duration_api_ms":1e999,"usage":{"input_tokens":-1e999}}'),
+        ("i", "stdout", "e" * 500),
     ])
     got = {r.run_id: r.error for r in first_error(df, ["run_id"]).collect()}
     assert got == {"a": "err (auth)", "b": "last line", "c": "warned", "d": "cut", "e": "inner", "f": "one",
-                   "g": j({"is_error": False, "result": "fine"})}
+                   "g": j({"is_error": False, "result": "fine"}), "h": "huge", "i": "e" * 500}
+    assert {r.run_id: r.error for r in first_error(df, ["run_id"], limit=220).collect()}["i"] == "e" * 217 + "..."
+    named = df.withColumns({"task_id": F.lit("t"), "attempt": F.lit(1), "file": F.col("stream"), "source": F.lit("cli")})
+    assert {r.run_id: r.error for r in first_error(named).collect()} == {**got}
 
 
 def test_test_logs_fill_reports(spark):
@@ -105,7 +114,8 @@ def test_blocked_runs(spark):
         ("no tokens", "stdout", j({"is_error": True, "usage": {"input_tokens": 0}})),
         ("tokens", "stdout", j({"is_error": True, "usage": {"input_tokens": 3}})),
         ("api time", "stdout", j({"isError": True, "duration_api_ms": 12})),
+        ("endless", "stdout", '{"is_error":true,"duration_api_ms":1e999}'),
         ("jail", "stderr", "sandbox-exec: denied"), ("jail ok", "stderr", "sandbox-exec: denied"), ("fine", "stdout", "done"),
     ])
     exits = spark.createDataFrame([("jail", 1), ("jail ok", 0), ("fine", 1), ("tokens", None)], "run_id string, exit_code int")
-    assert {r.run_id for r in blocked_runs(df, exits, ["run_id"]).collect()} == {"no tokens", "jail"}
+    assert {r.run_id for r in blocked_runs(df, exits, ["run_id"]).collect()} == {"no tokens", "endless", "jail"}

@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators.manifest import manifest, repo_chars, suite_size, work_size
-from ledgerline.operators.reports import parse_reports
+from ledgerline.functions.text import task_tag
+from ledgerline.operators.manifest import manifest, manifest_rejects, repo_chars, suite_size, work_size
+from ledgerline.operators.reports import first_error, parse_reports
 from ledgerline.operators.scoring import seal_tasks
 from ledgerline.operators.usage import harvest
-from ledgerline.sources.files import answers, log_lines, report_texts, session_logs, sidecars, task_definitions, task_files
+from ledgerline.sources.files import answers, left_out, log_lines, log_texts, report_texts, session_logs, sidecars, task_definitions, task_files
 from ledgerline.sources.sinks import packages, write_packages, write_usage
 
 
@@ -36,9 +37,45 @@ def test_session_scan_and_harvest(spark, tmp_path):
     logs = session_logs(spark, root, max_bytes=2000)
     assert {(r.run_id, r.file) for r in logs.collect()} == {
         ("a", "session.json"), ("a", "usage.json"), ("b", ".cli/logs/x.jsonl"), ("c", "Rollout-1.JSONL")}
-    texts = logs.unionByName(log_lines(spark, root))
+    texts = logs.unionByName(log_texts(spark, root), allowMissingColumns=True)
     got = {r.run_id: (r.source, r.usage["input"]) for r in harvest(texts, sidecars(spark, root), ["run_id"]).collect()}
     assert got == {"a": ("session", 50), "b": ("session", 42), "c": ("session", 7), "d": ("cli", 5)}
+    assert [(r.run_id, r.file) for r in left_out(spark, root, max_bytes=2000).collect()] == [("b", ".cli/BIG.JSON")]
+    assert left_out(spark, root).count() == 0 and session_logs(spark, root).count() == 5
+
+
+def test_hidden_files_and_folders(spark, tmp_path):
+    root = put(tmp_path / "runs", {
+        "r/.cli/y.json": use(1), "r/.cli/.cache/x.jsonl": use(2), "r/.cli/_z.json": use(3), "r/.session.json": use(4),
+        "r/.cli/a/.b/c/.d.json": use(5), "r/.cli/.git/no.json": use(6), "r/.cli/a/_b/e.json": use(7), "s/x.txt": "no",
+    })
+    rows = session_logs(spark, root).collect()
+    assert {r.file for r in rows} == {
+        ".cli/y.json", ".cli/.cache/x.jsonl", ".cli/_z.json", ".session.json", ".cli/a/.b/c/.d.json", ".cli/a/_b/e.json"}
+    assert sum(json.loads(r.text)["usage"]["input_tokens"] for r in rows) == 22 and len(rows) == 6
+
+
+def test_streams_of_an_attempt(spark, tmp_path):
+    """Both streams are one text: turns add up over them, whether read whole or by line."""
+    turns = lambda *counts: "".join(json.dumps({"type": "turn.completed", "usage": {"input_tokens": n}}) + "\n" for n in counts)
+    root = put(tmp_path / "runs", {
+        "r/stdout": turns(100, 50), "r/stderr.log": turns(80), "q/t/2/stdout.txt": turns(5, 6), "q/t/1/stderr": "plain",
+        "q/u+%/1/stdout": "".join(f"line {i}\n" for i in range(1000)),
+    })
+    for texts in (log_texts(spark, root), log_lines(spark, root)):
+        whole = "seq" in texts.columns and texts.count() == 5
+        by_run = harvest(texts, by=["run_id"], whole=whole).collect()
+        assert {r.run_id: r.usage["input"] for r in by_run} == {"r": 230, "q": 6}
+        got = {(r.run_id, r.task_id, r.attempt): r.error for r in first_error(texts, whole=whole).collect()}
+        assert got[("r", None, 1)].startswith("{") and got[("q", "t", 1)] == "plain" and got[("q", "u+%", 1)] == "line 999"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        lines = log_lines(spark, root).filter("task_id = 'u+%'")
+        assert lines.rdd.getNumPartitions() > 3
+        rows = sorted((r.seq, r.text) for r in lines.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [t for _, t in rows] == [f"line {i}" for i in range(1000)] and len({s for s, _ in rows}) == 1000
 
 
 def test_file_cap_and_home_scan(spark, tmp_path):
@@ -48,8 +85,9 @@ def test_file_cap_and_home_scan(spark, tmp_path):
     home = put(tmp_path / "home", {
         "u/.new/s/l.jsonl": use(7), "u/.new/1/2/3/4/ok.json": use(1), "u/.new/1/2/3/4/5/deep.json": use(1), "u/session.json": use(1)})
     now = dt.datetime.now()
-    recent = session_logs(spark, home, since=now - dt.timedelta(hours=1), home=True)
+    recent = session_logs(spark, home, since=now - dt.timedelta(hours=1), home=True, max_depth=4)
     assert {r.file for r in recent.collect()} == {".new/s/l.jsonl", ".new/1/2/3/4/ok.json"}
+    assert session_logs(spark, home, since=now - dt.timedelta(hours=1), home=True).count() == 3
     assert session_logs(spark, home, since=now + dt.timedelta(hours=1), home=True).count() == 0
     assert session_logs(spark, str(tmp_path / "none")).count() == 0
 
@@ -66,7 +104,7 @@ def test_task_folders(spark, tmp_path):
     root = put(tmp_path, {
         "01-alpha/instruction.md": "Do é\r\nit", "01-alpha/expected.json": '{ "ok": true, "failed": 0 }', "01-alpha/id.txt": "al\n",
         "01-alpha/environment/repo/a.py": "xx", "01-alpha/environment/repo/t/b.py": "y\r\nz", "01-alpha/environment/repo/bin": b"\xff\xfe",
-        "02-beta/instruction.md": "B", "02-beta/expected.json": "{}", "02-beta/label.txt": " Beta \n", "02-beta/extra.txt": "no",
+        "03-gamma/expected.json": "{}", "02-beta/instruction.md": "B", "02-beta/expected.json": "{}", "02-beta/label.txt": " Beta \n", "02-beta/extra.txt": "no",
     })
     tasks = task_definitions(spark, root)
     rows = {r.task_folder: (r.task_id, r.label, r.instruction) for r in tasks.collect()}
@@ -84,6 +122,11 @@ def test_task_folders(spark, tmp_path):
              "expectedJson": e, "mustInclude": None} for i, p, e in (("01-alpha", "Do é\nit", {"ok": True, "failed": 0}), ("02-beta", "B", {}))]
     assert suite.suite_hash == hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert (suite.tasks, suite.work_chars) == (2, 38)
+    bad = sized.unionByName(sized.limit(1).withColumns({"task_id": F.lit("zz"), "expected": F.lit('{"a":')})).withColumn("suite", F.lit("s"))
+    assert manifest(bad, ["suite"]).first().suite_hash == suite.suite_hash
+    assert [r.task_id for r in manifest_rejects(bad, ["suite"]).collect()] == ["zz"]
+    blank = spark.createDataFrame([("x/01-alpha", " \n"), ("x/01-alpha", None), ("x/01-alpha", "id")], "f string, i string")
+    assert [r.t for r in blank.select(task_tag("f", "i").alias("t")).collect()] == ["01-alpha", "alpha", "id"]
 
 
 def test_packages_and_usage_round_trip(spark, tmp_path):
@@ -107,8 +150,13 @@ def test_packages_and_usage_round_trip(spark, tmp_path):
     assert not second["passed"] and second["attempts"] == 1 and second["providerUsage"] is None
     bare = {k: v for k, v in package.items() if k != "integrity"}
     assert package["integrity"] == hashlib.sha256(json.dumps(bare, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    turned = packages(sealed.withColumn("nth", F.when(F.col("task_id") == "t1", 2).otherwise(1)), runs, suite, order="nth")
+    other = json.loads("".join(r.piece for r in turned.filter("run_id = 'r1'").orderBy("part", "place").collect()))
+    assert [t["id"] for t in other["run"]["tasks"]] == ["t2", "t1"] and other["integrity"] != package["integrity"]
+    bare = {k: v for k, v in other.items() if k != "integrity"}
+    assert other["integrity"] == hashlib.sha256(json.dumps(bare, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     write_packages(packed, str(tmp_path / "out"))
-    (written,) = (tmp_path / "out" / "run_id=r1").glob("*.txt")
+    (written,) = (tmp_path / "out" / "run_id=r1" / "name=big-model-3-qwen-max").glob("*.txt")
     assert json.loads(written.read_text()) == package
     write_usage(sealed, str(tmp_path / "usage"), ["run_id"])
     back = spark.read.json(str(tmp_path / "usage"))
