@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,10 @@ REMEMBERED = 500_000
 ROUNDS = 256
 
 
+_SLOT_BITS = 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Vocabulary:
     """Pieces and the pairs that make them, as sorted arrays."""
 
@@ -52,6 +55,15 @@ class Vocabulary:
         self.whole = np.array([i for _, i in made] or [-1], np.int64)
         self.ranks = np.array([rank[i] for _, i in made] or [0], np.int64)
         self.none = len(order) + 1
+        # a slot has the place of one pair; where several share it, the others are looked up in the sorted keys
+        slot = (self.keys.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOT_BITS)
+        self.slots = np.zeros(1 << _SLOT_BITS, np.int64)
+        self.slots[slot] = np.arange(len(slot))
+        self.shared = np.bincount(slot.astype(np.int64), minlength=1 << _SLOT_BITS) > 1
+        self.letters = np.full(0x110000, -1, np.int64)
+        for piece, i in self.pieces.items():
+            if len(piece) == 1:
+                self.letters[ord(piece)] = i
         long = [piece for piece in self.pieces if len(piece) > 1]
         # pieces may begin with spaces but hold none after another character; line feeds may be in none
         spaced = all(SPACE not in piece.lstrip(SPACE) for piece in long)
@@ -63,77 +75,82 @@ class Vocabulary:
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and number of the piece that two symbols make; the rank is ``none`` where they make none."""
         key = np.where((left < self.size) & (right < self.size), left * self.size + right, -2)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], self.none), self.whole[at]
+        slot = (key.view(np.uint64) * _SPREAD) >> np.uint64(64 - _SLOT_BITS)
+        at = self.slots[slot]
+        missed = np.flatnonzero(self.shared[slot] & (self.keys[at] != key))
+        at[missed] = np.minimum(np.searchsorted(self.keys, key[missed]), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none), self.whole[at]
 
     def pretokens(self, text: str | None) -> list[str]:
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def symbols(self, token: str) -> list[int]:
-        """A number per character; those outside the vocabulary are numbered by their bytes."""
-        size, pieces = self.size, self.pieces
-        return [pieces[c] if c in pieces else size + len(c.encode("utf-8", "surrogatepass")) for c in token]
+    def symbols(self, tokens: list[str]) -> np.ndarray:
+        """A number per character; those outside the vocabulary are numbered by their bytes, above all pieces."""
+        codes = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.letters[codes]
+        other = out < 0
+        n_bytes = 1 + (codes[other] > 0x7F) + (codes[other] > 0x7FF) + (codes[other] > 0xFFFF)
+        out[other] = self.size + n_bytes
+        return out
 
     def counts(self, tokens: list[str]) -> np.ndarray:
         """How many tokens each pre-token has."""
-        lists = [self.symbols(t) for t in tokens]
         out = np.zeros(len(tokens), np.int64)
-        sym = np.array([s for x in lists for s in x], np.int64)
-        seq = np.repeat(np.arange(len(tokens)), [len(x) for x in lists])
-
-        def close(sym: np.ndarray, seq: np.ndarray) -> None:
-            np.add.at(out, seq, np.where(sym > self.size, sym - self.size, 1))
-
+        sym = self.symbols(tokens)
+        seq = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        rank, whole = self.pair(sym, np.append(sym[1:], self.size))
+        rank[np.flatnonzero(seq[1:] != seq[:-1])] = self.none
         for _ in range(ROUNDS):
             if not len(sym):
                 return out
-            rank, whole = self.pair(sym, np.append(sym[1:], self.size))
-            rank[np.append(seq[1:] != seq[:-1], True)] = self.none
             start = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
             low = np.minimum.reduceat(rank, start)
-            each = np.repeat(low, np.diff(np.append(start, len(seq))))
-            live = each < self.none
-            close(sym[~live], seq[~live])
-            sym, seq, rank, whole, each = (a[live] for a in (sym, seq, rank, whole, each))
-            sym, seq = self._merge(sym, seq, rank, whole, each)
+            lengths = np.diff(np.append(start, len(seq)))
+            each = np.repeat(low, lengths)
+            if (low == self.none).any():
+                live = each < self.none
+                out += np.bincount(seq[~live], np.where(sym > self.size, sym - self.size, 1)[~live], len(out)).astype(np.int64)
+                sym, seq, rank, whole, each = (a[live] for a in (sym, seq, rank, whole, each))
+            sym, seq, rank, whole = self._merge(sym, seq, rank, whole, each)
         for s in np.unique(seq):
             out[s] += sum(x - self.size if x > self.size else 1 for x in self._one_by_one(sym[seq == s].tolist()))
         return out
 
     def _merge(self, sym, seq, rank, whole, each):
         """One round: in each sequence the lowest-ranked pair, wherever it stands, unless a merge makes a pair that
-        would have to come first; then only the leftmost."""
+        would have to come first; then only the leftmost. Only the pairs beside a merge are looked up again."""
         if not len(sym):
-            return sym, seq
-        pick = rank == each
+            return sym, seq, rank, whole
+        at = np.flatnonzero(rank == each)
         # of overlapping pairs every second, from the left
-        before = np.append(False, pick[:-1])
-        first = np.flatnonzero(pick & ~before)
-        place = np.arange(len(pick))
-        pick &= (place - first[np.maximum(np.searchsorted(first, place, "right") - 1, 0)]) % 2 == 0
-
-        def apply(pick):
-            new = np.where(pick, whole, sym)
-            keep = ~np.append(False, pick[:-1])
-            return new[keep], seq[keep], pick[keep], each[keep]
-
-        new, owner, merged, limit = apply(pick)
-        right, _ = self.pair(new, np.append(new[1:], self.size))
-        right[np.append(owner[1:] != owner[:-1], True)] = self.none
-        bad = (right <= limit) & (merged | np.append(merged[1:], False))
+        first = np.append(True, np.diff(at) > 1)
+        run = np.cumsum(first) - 1
+        at = at[(at - at[first][run]) % 2 == 0]
         # a merged symbol beside one that the same round merges later
-        after = np.append(sym[2:], [self.size, self.size])[: len(sym)]
-        same = np.append(seq[2:], [-1, -1])[: len(seq)] == seq
-        passing, _ = self.pair(np.where(pick, whole, self.size), after)
-        bad_seqs = np.union1d(owner[bad], seq[pick & same & (passing <= each)])
-        if len(bad_seqs):
-            slow = np.isin(seq, bad_seqs)
-            chosen = np.flatnonzero(pick & slow)
-            only = np.zeros(len(pick), bool)
-            only[chosen[np.unique(seq[chosen], return_index=True)[1]]] = True
-            new, owner, _, _ = apply(np.where(slow, only, pick))
-        return new, owner
+        close = at[:-1][np.diff(at) == 2]
+        close = close[seq[close] == seq[close + 2]]
+        passing, _ = self.pair(whole[close], sym[close + 2])
+        slow = seq[close[passing <= each[close]]]
+
+        def apply(at):
+            new, keep = sym.copy(), np.ones(len(sym), bool)
+            new[at] = whole[at]
+            keep[at + 1] = False
+            new, owner, ranks, wholes = new[keep], seq[keep], rank[keep], whole[keep]
+            place = at - np.arange(len(at))
+            changed = np.concatenate([place, place[place > 0] - 1])
+            right = np.minimum(changed + 1, len(new) - 1)
+            ranks[changed], wholes[changed] = self.pair(new[changed], new[right])
+            ends = changed[(right == changed) | (owner[right] != owner[changed])]
+            ranks[ends] = self.none
+            return new, owner, ranks, wholes, changed, each[keep]
+
+        new, owner, ranks, wholes, changed, limit = apply(at)
+        slow = np.concatenate([slow, owner[changed[ranks[changed] <= limit[changed]]]])
+        if len(slow):
+            later = np.append(False, seq[at[1:]] == seq[at[:-1]])
+            new, owner, ranks, wholes, _, _ = apply(at[~(later & np.isin(seq[at], slow))])
+        return new, owner, ranks, wholes
 
     def _one_by_one(self, sym: list[int]) -> list[int]:
         """The same merges in order of rank and place, with a heap."""
@@ -193,15 +210,15 @@ def token_counts(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocabulary = _LOADED.get(mark) or _LOADED.setdefault(mark, Vocabulary(model.value))
-        rows = [Counter(vocabulary.pretokens(t)) for t in batch.column(1).to_pylist()]
-        new = list({t for row in rows for t in row if t not in known})
-        if len(known) + len(new) > REMEMBERED:
+        rows = [vocabulary.pretokens(t) for t in batch.column(1).to_pylist()]
+        met = set().union(*rows)
+        if len(known) + len(met) > REMEMBERED:
             known.clear()
-            new = list({t for row in rows for t in row})
+        new = list(met.difference(known))
         for start in range(0, len(new), 1 << 15):
             part = new[start : start + (1 << 15)]
             known.update(zip(part, vocabulary.counts(part).tolist()))
-        total = [sum(known[t] * n for t, n in row.items()) for row in rows]
+        total = [sum(map(known.__getitem__, row)) for row in rows]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(total, pa.int64())], names=["key", "n_bytes", "n_tokens"]
         )
