@@ -32,8 +32,8 @@ def repeats(spark, sf_dir):
     return suppress_repeats(rows, "user_id", "event_type", "ts_ms", "event_id", GAP_MS).select("event_id", "user_id")
 
 
-_YEAR = """(SELECT l_partkey AS part, max(l_shipdate) AS changed, count(*) AS size FROM lineitem
- WHERE l_shipdate >= TIMESTAMP '{0}-01-01' AND l_shipdate < TIMESTAMP '{1}-01-01' GROUP BY l_partkey)"""
+_SHIPPED = """(SELECT l_partkey AS part, max(l_shipdate) AS changed, count(*) AS size FROM lineitem
+ WHERE l_shipdate {0} TIMESTAMP '1997-01-01' GROUP BY l_partkey)"""
 
 
 @query(
@@ -41,22 +41,20 @@ _YEAR = """(SELECT l_partkey AS part, max(l_shipdate) AS changed, count(*) AS si
     f"""
 SELECT coalesce(p.part, c.part) AS part,
        CASE WHEN c.part IS NULL THEN 'removed' ELSE 'wrote' END AS change
-FROM {_YEAR.format(1996, 1997)} p FULL JOIN {_YEAR.format(1997, 1998)} c ON p.part = c.part
+FROM {_SHIPPED.format('<')} p FULL JOIN {_SHIPPED.format('>=')} c ON p.part = c.part
 WHERE c.part IS NULL OR p.part IS NULL OR p.changed <> c.changed OR p.size <> c.size""",
 )
 def parts_shipped(spark, sf_dir):
-    """A year's snapshot holds the parts shipped in it, with their last shipment and how many there were."""
+    """Snapshots of the parts shipped before a day and from it on, with their last shipment and how many there were."""
+    day, shipped = F.lit("1997-01-01").cast("timestamp_ntz"), table(spark, sf_dir, "lineitem")
 
-    def year(y):
-        shipped = table(spark, sf_dir, "lineitem").filter(
-            (F.col("l_shipdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
-            & (F.col("l_shipdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
-        )
-        return shipped.groupBy(F.col("l_partkey").alias("part")).agg(
+    def snapshot(rows):
+        return rows.groupBy(F.col("l_partkey").alias("part")).agg(
             F.max("l_shipdate").alias("changed"), F.count(F.lit(1)).alias("size")
         )
 
-    return snapshot_diff(year(1996), year(1997), "part", ["changed", "size"])
+    before, since = shipped.filter(F.col("l_shipdate") < day), shipped.filter(F.col("l_shipdate") >= day)
+    return snapshot_diff(snapshot(before), snapshot(since), "part", ["changed", "size"])
 
 
 @query(

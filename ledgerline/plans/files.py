@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators.reports import first_error, parse_reports
 from ledgerline.operators.scoring import seal_tasks
-from ledgerline.operators.usage import harvest
+from ledgerline.operators.usage import harvest, read_sidecars
 from ledgerline.plans import results
 from ledgerline.plans.registry import query, table
 from ledgerline.session import scratch_path
-from ledgerline.sources.files import session_logs
+from ledgerline.sources.files import (
+    log_lines, log_texts, report_texts, session_logs, sidecars, task_definitions, task_files,
+)
 from ledgerline.sources.sinks import write_packages, write_usage
 from ledgerline.streaming.io import log_line_stream, run_to_table
 
@@ -26,7 +29,7 @@ def sessions(spark, sf_dir):
     usage = F.struct(F.col("n_chars").alias("input_tokens")).alias("usage")
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("run"), F.col("lang").alias(".cli"), usage)
     rows.repartition("run", "`.cli`").write.partitionBy("run", ".cli").json(root)
-    logs = session_logs(spark, root, max_bytes=1 << 40)
+    logs = session_logs(spark, root)
     files = logs.groupBy("run_id").agg(F.count(F.lit(1)).alias("files"))
     usage = harvest(logs, by=["run_id"]).select("run_id", "source", "usage.input")
     return files.join(usage, "run_id")
@@ -77,3 +80,125 @@ def lines(spark, sf_dir):
     return run_to_table(stream, "lines").groupBy("stream").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line")).alias("chars")
     )
+
+
+@query(
+    "home_logs",
+    """
+SELECT 'home=' || lang AS run_id, count(DISTINCT documents.source) AS files, 'session' AS source, max(n_chars) AS input
+FROM documents GROUP BY lang""",
+)
+def home_files(spark, sf_dir):
+    """Every language is a home with a file per source, two levels below a hidden folder; more files than any cap."""
+    root = scratch_path(spark, "homes")
+    usage = F.struct(F.col("n_chars").alias("input_tokens")).alias("usage")
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("home"), F.lit("x").alias(".cli"), F.col("source").alias("s"), usage)
+    rows.repartition("home", "s").write.partitionBy("home", ".cli", "s").json(root)
+    logs = session_logs(spark, root, home=True)
+    files = logs.groupBy("run_id").agg(F.count(F.lit(1)).alias("files"))
+    return files.join(harvest(logs, by=["run_id"]).select("run_id", "source", "usage.input"), "run_id")
+
+
+def _captured(spark, sf_dir):
+    """Three runs of conversations: turns of users on stdout, all others on stderr, as JSON lines in order."""
+    root = scratch_path(spark, "captured")
+    user = F.col("role") == "user"
+    turn = F.format_string('{"type":"turn.completed","usage":{"input_tokens":%d}}', F.char_length("text"))
+    error = F.format_string('{"type":"error","message":"%d/%d"}', "conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("line", F.concat(turn, F.when(user, "").otherwise(error)))
+    for run in range(3):
+        for stream, kept in (("stdout", user), ("stderr", ~user)):
+            lines = rows.filter(kept & (F.col("conv_id") % 3 == run)).repartition(1).sortWithinPartitions("conv_id", "turn")
+            lines.select("line").write.text(f"{root}/{run}/t/2/{stream}")
+    return root
+
+
+@query(
+    "harvest_streams",
+    """
+SELECT conv_id % 3 || '' AS run_id, 't' AS task_id, 2 AS attempt, 'cli' AS source, sum(length(text))::BIGINT AS input
+FROM conversations GROUP BY conv_id % 3""",
+)
+def both_streams(spark, sf_dir):
+    """The turns of an attempt on both its streams are added up as one text."""
+    usage = harvest(log_lines(spark, _captured(spark, sf_dir)), whole=False)
+    return usage.select("run_id", "task_id", "attempt", "source", "usage.input")
+
+
+@query(
+    "stream_errors",
+    """
+SELECT conv_id % 3 || '' AS run_id, 't' AS task_id, 2 AS attempt, arg_min(conv_id || '/' || turn, (conv_id, turn)) AS error
+FROM conversations WHERE role <> 'user' GROUP BY conv_id % 3""",
+)
+def stream_errors(spark, sf_dir):
+    """One first error per attempt, from whole streams."""
+    return first_error(log_texts(spark, _captured(spark, sf_dir)))
+
+
+def _put(spark, files) -> None:
+    """Small files of given names, through the file system that holds them."""
+    jvm = spark.sparkContext._jvm
+    for path, body in files:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+        out.write(bytearray(body.encode()))
+        out.close()
+
+
+@query(
+    "sidecar_files",
+    """
+SELECT source AS run_id, sum(n_chars)::BIGINT AS input, count(*) AS output FROM documents GROUP BY source""",
+)
+def sidecar_files(spark, sf_dir):
+    """A sidecar per source with the sizes of all its documents."""
+    root = scratch_path(spark, "sidecars")
+    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"), F.count("*").alias("k"))
+    _put(spark, [(f"{root}/{r.source}/usage.json", f'{{"input": {r.n}, "output": {r.k}}}') for r in sums.toLocalIterator()])
+    found = read_sidecars(sidecars(spark, root), ["run_id"])
+    return found.select("run_id", "usage.input", "usage.output")
+
+
+@query(
+    "report_files",
+    """
+SELECT source AS run_id, CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END AS reward,
+  CASE WHEN count(*) % 2 = 0 THEN sum(n_chars % 100) ELSE 1 END::INT AS failed,
+  CASE WHEN count(*) % 2 = 1 THEN 'no reward.json' END AS error
+FROM documents GROUP BY source""",
+)
+def report_files(spark, sf_dir):
+    """Sources with an even number of documents leave a report; the others have none."""
+    root = scratch_path(spark, "reports")
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("run_id")).agg(
+        F.sum(F.col("n_chars") % 100).alias("n"), F.count("*").alias("k")
+    )
+    even = counts.filter("k % 2 = 0").toLocalIterator()
+    _put(spark, [(f"{root}/{r.run_id}/reward.json", f'{{"ok":true,"reward":1,"failed":{r.n}}}') for r in even])
+    return parse_reports(report_texts(spark, root, counts)).select("run_id", "reward", "failed", "error")
+
+
+@query(
+    "task_folders",
+    """
+SELECT CASE WHEN count(*) % 2 = 0 THEN 'id-' || source ELSE source END AS task_id, 'Label ' || source AS label,
+  min(text) AS instruction, '{"n":' || count(*) || '}' AS expected, length(max(text))::BIGINT AS repo_chars
+FROM documents GROUP BY source""",
+)
+def task_folders(spark, sf_dir):
+    """A task folder per source: its first text is the instruction, its last the repository."""
+    root = scratch_path(spark, "tasks")
+    found = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.min("text").alias("first"), F.max("text").alias("last"), F.count("*").alias("k")
+    )
+    files = []
+    for r in found.toLocalIterator():
+        folder = f"{root}/01-{r.source}"
+        files += [(f"{folder}/instruction.md", r.first), (f"{folder}/expected.json", f'{{"n":{r.k}}}'),
+                  (f"{folder}/label.txt", f" Label {r.source}\n"), (f"{folder}/environment/repo/a/b.py", r.last)]
+        files += [(f"{folder}/id.txt", f"id-{r.source}\n")] if r.k % 2 == 0 else []
+    _put(spark, files)
+    sizes = task_files(spark, root).groupBy("task_folder").agg(F.sum(F.char_length("text")).alias("repo_chars"))
+    out = task_definitions(spark, root).join(sizes, "task_folder")
+    return out.select("task_id", "label", "instruction", "expected", "repo_chars")

@@ -160,3 +160,14 @@ def state_carried(spark, sf_dir):
     return w.select("event_id", F.col("allowed").alias("window_allowed")).join(
         b.select("event_id", F.col("allowed").alias("bucket_allowed")), "event_id"
     )
+
+
+@query(
+    "window_without_times",
+    "SELECT event_id, user_id, event_type = 'view' AS untimed FROM events",
+)
+def untimed(spark, sf_dir):
+    """Calls without a time are neither admitted nor denied, and end nothing."""
+    calls = events(spark, sf_dir).select("event_id", "user_id", F.when(F.col("event_type") != "view", F.col("ts_ms")).alias("ts_ms"))
+    out = sliding_window_allow(calls, **KEY, limit=LIMIT, window_ms=WINDOW_MS)
+    return out.select("event_id", "user_id", (F.col("allowed").isNull() & F.col("remaining").isNull()).alias("untimed"))

@@ -315,3 +315,29 @@ def walked(spark, sf_dir):
     rows = _line(_turns(spark, sf_dir), '{"type":"%s","usage":{"input_tokens":%d}}', kind, "chars")
     nodes = read_nodes(rows, ["role"]).select("role", kind_of().alias("kind"))
     return nodes.groupBy("role", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("walk_every_object", "SELECT role, 6 * count(*) AS n FROM conversations GROUP BY role")
+def walked_all(spark, sf_dir):
+    """Objects with and without counts are visited, in lists too."""
+    rows = _line(_turns(spark, sf_dir), '{"usage":{"input_tokens":%d},"meta":{"tags":[{"a":{}},{"b":1.5}]}}', "chars")
+    return read_nodes(rows, ["role"], every=True).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "usage_bad_rows",
+    f"""
+WITH {_T} SELECT run_id, seq, CASE role WHEN 'user' THEN 9223372036854775807 ELSE chars END::BIGINT AS input,
+  CASE role WHEN 'user' THEN 9223372036854775807 ELSE chars + words END::BIGINT AS total,
+  CASE role WHEN 'assistant' THEN words ELSE 0 END::BIGINT AS cache_write FROM t""",
+)
+def bad_rows(spark, sf_dir):
+    """Counts beyond 64 bits stand as the largest one, sums too; a lone ephemeral part is no write, two are."""
+    text = (
+        F.when(F.col("role") == "user", F.lit('{"input_tokens":99999999999999999999,"output_tokens":5,"reasoning":1e999}'))
+        .when(F.col("role") == "assistant", F.format_string('{"input":%d,"ephemeral_total":%d,"ephemeral_rest_total":0}', "chars", "words"))
+        .otherwise(F.format_string('{"input":%d,"ephemeral_total":77,"output":%d}', "chars", "words"))
+    )
+    rows = _turns(spark, sf_dir).withColumn("text", text)
+    out = harvest_texts(rows, ["run_id", "seq"])
+    return out.select("run_id", "seq", "usage.input", score(F.col("usage")).alias("total"), "usage.cache_write")

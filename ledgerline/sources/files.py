@@ -165,10 +165,11 @@ def _session_files(spark, root, since, max_files, max_bytes, home, max_depth) ->
 def _streams(files: DataFrame, root: str) -> DataFrame:
     """``run_id``, ``task_id``, ``attempt``, ``file`` and ``stream`` of captured streams.
 
-    They stand in ``root/<run>/[<task>/[<attempt>/]]stdout`` or ``stderr``, with any one suffix.
+    They stand in ``root/<run>/[<task>/[<attempt>/]]stdout`` or ``stderr``, with any one suffix: a file, or a folder
+    of files.
     """
-    folders = F.split("file", "/")
-    stream = F.regexp_extract(F.element_at(folders, -1), r"^(stdout|stderr)(\.\w+)?$", 1)
+    place = r"^((?:[^/]+/)*?)(stdout|stderr)(?:\.\w+)?(?:/[^/]+)?$"
+    stream, folders = F.regexp_extract("file", place, 2), F.split(F.concat(F.regexp_extract("file", place, 1), F.lit("-")), "/")
     part = lambda n: F.when(F.size(folders) > n + 1, F.get(folders, F.lit(n)))
     return _placed(files, root).withColumns(
         {"stream": stream, "task_id": part(0), "attempt": F.coalesce(part(1).try_cast("int"), F.lit(1))}
@@ -184,7 +185,7 @@ _STREAM = ("run_id", "task_id", "attempt", "source", "file", "stream", "seq")
 
 def log_texts(spark: SparkSession, root: str) -> DataFrame:
     """Captured streams as whole texts, one row each, for values that span lines. ``log_lines`` splits them."""
-    found = _streams(_files(spark, _stream_paths(root), "std[eo]*"), root)
+    found = _streams(_files(spark, _stream_paths(root)), root)
     rows = found.withColumns({"source": F.lit("cli"), "seq": F.lit(0).cast("long")})
     return rows.select(*_STREAM, _text().alias("text"))
 
@@ -195,10 +196,10 @@ def log_lines(spark: SparkSession, root: str) -> DataFrame:
     Spark splits large streams among tasks. A line's number is the byte its split begins at plus its place in the
     split: no line takes less than a byte, so the numbers rise from split to split.
     """
-    kept = [p for p in _stream_paths(root) if _matches(spark, p, False)]
+    kept = [p for p in _stream_paths(root) if _matches(spark, p, False) or _matches(spark, p, True)]
     if not kept:
         return spark.createDataFrame([], "run_id string, task_id string, attempt int, source string, file string, stream string, seq long, text string")
-    lines = spark.read.option("pathGlobFilter", "std[eo]*").text(kept)
+    lines = spark.read.option("recursiveFileLookup", "true").text(kept)
     rows = lines.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text")
     )
