@@ -53,3 +53,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for results that are read more than once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
