@@ -126,13 +126,70 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(read(spark, sf_dir, "documents")))
 
 
-@query("op7_benchmark_passages")
+_SPLIT = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op7_benchmark_passages",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_SPLIT}, []) AS w FROM documents),
+    b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark WHERE text IS NOT NULL),
+    patterns AS (
+      SELECT DISTINCT item_id, least(10, len(w)) AS size, list_slice(w, i, i + least(10, len(w)) - 1) AS words
+      FROM b, unnest(range(1, greatest(1, len(w) - least(10, len(w)) + 1) + 1)) AS t(i) WHERE len(w) > 0
+    ),
+    windows AS (
+      SELECT d.row, s.size, t.i, list_slice(d.w, t.i, t.i + s.size - 1) AS words
+      FROM d, (SELECT DISTINCT size FROM patterns) s, unnest(range(1, len(d.w) - s.size + 2)) AS t(i)
+    ),
+    found AS (SELECT w.row, w.i, w.size, p.item_id FROM windows w JOIN patterns p ON w.size = p.size AND w.words = p.words),
+    hits AS (
+      SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS place FROM found) GROUP BY row
+    ),
+    items AS (
+      SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY row
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
+    """,
+)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.hits(found)
 
 
-@query("op10_near_duplicates")
+@query(
+    "op10_near_duplicates",
+    """
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), sets AS (
+      SELECT DISTINCT doc_id, list_slice(w, i, i + least(3, len(w)) - 1) AS shingle
+      FROM docs, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS t(i) WHERE len(w) > 0
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+      GROUP BY 1, 2
+    ), links AS (
+      SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * common >= 85 * (x.n + y.n - common)
+    ), reach AS (
+      SELECT doc_id, doc_id AS other FROM docs
+      UNION
+      SELECT r.doc_id, l.other FROM reach r JOIN (SELECT a AS one, b AS other FROM links UNION ALL SELECT b, a FROM links) l
+        ON r.other = l.one
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM docs d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+      LEFT JOIN sizes USING (doc_id)
+    """,
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select(
