@@ -4,7 +4,7 @@ A fold sees the rows of a key in order, keeps a small state and adds columns to
 shuffles by key, sorts (spilling as needed) and streams Arrow batches through the fold, so memory
 is bounded by the state.
 
-A key above ``max_rows`` is not left to one task. The table is laid out in range chunks; the
+A key above ``max_rows`` is not left to one task. The rows of such keys are laid out in range chunks; the
 fold of a chunk needs the state its key had at the end of the chunk before. Often that state can be
 told from the chunk itself, since every fold has moments that wipe out the past (``forgets``). Such
 chunks are resolved in one parallel pass; the rest follow in rounds, each chunk being a task of its
@@ -16,13 +16,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerline.operators.ordered import CHUNK, MAX_ROWS, largest_group, range_chunks
-from ledgerline.session import checkpointed
+from ledgerline.operators.ordered import CHUNK, MAX_ROWS, by_heat, hot_keys, range_chunks
+from ledgerline.session import scratch_path, staged
 
 CARRY = "_state"
 _FIRST = "_data_row"
@@ -142,50 +142,54 @@ def _run_emit(rows: DataFrame, keys: list[str], order: list[str], fold: Fold, ke
     return laid.mapInArrow(_emit(fold, keys, to_arrow_schema(schema), keep), schema)
 
 
-def _chunk_starts(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> tuple[DataFrame, DataFrame]:
-    """State rows for every chunk that continues a key, and the last states of those keys.
+def _chunk_starts(rows: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """State rows for every chunk that continues a key.
 
-    The driver sees one (first key, last key) pair and one flag per chunk, never the states.
+    Bounds, successors and states are small tables by chunk, joined to the rows; every round appends the states
+    that it has found. Only whether a round found any reaches the driver.
     """
-    key = F.struct(*keys)
-    edges = {
-        r[CHUNK]: (r["lo"], r["hi"])
-        for r in rows.groupBy(CHUNK).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-    }
-    order_of = sorted(edges)
-    before = {b: a for a, b in zip(order_of, order_of[1:]) if edges[a][1] == edges[b][0]}
-    needed = set(before.values())
-    chunk_keys = [CHUNK, *keys]
-
-    def last_states(part: DataFrame) -> DataFrame:
-        return _run_states(part, chunk_keys, order, fold)
-
-    def only(chunks) -> Column:
-        return F.col(CHUNK).isin(sorted(chunks))
-
-    def carried(known: DataFrame, chunks) -> DataFrame:
-        """The states of ``known`` as first rows of the chunks that follow."""
-        follow = F.create_map(*[F.lit(x) for b in sorted(chunks) for x in (before[b], b)])
-        return known.filter(only({before[b] for b in chunks})).select(
-            follow[F.col(CHUNK)].alias(CHUNK), *keys, CARRY, F.lit(0).alias(_FIRST)
-        )
-
-    if not before:
-        return None, None
-    # A chunk's last key is all we need; it stands alone if the key began in this chunk.
-    tails = {c: edges[c][1] for c in needed}
-    began = {c for c in needed if c not in before or edges[c][0] != edges[c][1]}
-    ends = last_states(rows.filter(only(needed)))
-    tail = ends.groupBy(CHUNK).agg(F.max(key).alias("k"), F.max_by(F.struct(CARRY, "_sure"), key).alias("s"))
-    known = checkpointed(tail.select(CHUNK, "k.*", f"s.{CARRY}", (only(began) | F.col("s._sure")).alias("_sure")))
-    sure = {r[CHUNK] for r in known.filter("_sure").select(CHUNK).collect()}
-    known, pending = known.filter("_sure").drop("_sure"), set(tails) - sure
-    while pending:
-        ready = {c for c in pending if before[c] not in pending}
-        part = rows.filter(only(ready)).unionByName(carried(known, ready), allowMissingColumns=True)
-        known = checkpointed(known.unionByName(last_states(part).drop("_sure")))
-        pending -= ready
-    return carried(known, before), before
+    key, by_chunk = F.struct(*keys), Window.orderBy(CHUNK)
+    edges = rows.groupBy(CHUNK).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    edges = edges.withColumns({"_prev": F.lag(CHUNK).over(by_chunk), "_end": F.lag("hi").over(by_chunk)})
+    before = F.when(F.col("_end").eqNullSafe(F.col("lo")), F.col("_prev"))
+    # A chunk's last key is all that the next one needs; it stands alone if the key began in this chunk.
+    began = F.col("before").isNull() | ~F.col("lo").eqNullSafe(F.col("hi"))
+    links = staged(edges.withColumn("before", before).withColumn("began", began).select(CHUNK, "before", "began"), "links")
+    needed = links.select(F.col("before").alias(CHUNK)).filter(f"{CHUNK} is not null").join(links, CHUNK)
+
+    def tails(part: DataFrame) -> DataFrame:
+        ends = _run_states(part, [CHUNK, *keys], order, fold)
+        last = ends.groupBy(CHUNK).agg(F.max(key).alias("k"), F.max_by(F.struct(CARRY, "_sure"), key).alias("s"))
+        return last.select(CHUNK, "k.*", "s.*")
+
+    def carried(chunks: DataFrame) -> DataFrame:
+        """The states of the chunks before ``chunks`` as first rows of ``chunks``."""
+        states = known().withColumnRenamed(CHUNK, "before")
+        return chunks.select(CHUNK, "before").join(states, "before").select(CHUNK, *keys, CARRY, F.lit(0).alias(_FIRST))
+
+    def known() -> DataFrame:
+        return rows.sparkSession.read.schema(found.schema).parquet(path)
+
+    path = scratch_path(rows.sparkSession, "states")
+    alone = tails(rows.join(needed.select(CHUNK), CHUNK, "left_semi")).join(needed.select(CHUNK, "began"), CHUNK)
+    found = alone.filter("began or _sure").select(CHUNK, *keys, CARRY)
+    found.write.parquet(path)
+    while True:
+        ready = staged(carried(needed.join(known(), CHUNK, "left_anti")), "ready")
+        if not ready.head(1):
+            return carried(links.filter("before is not null"))
+        part = rows.join(ready.select(CHUNK), CHUNK, "left_semi").unionByName(ready, allowMissingColumns=True)
+        tails(part).select(CHUNK, *keys, CARRY).write.mode("append").parquet(path)
+
+
+def _by_size(rows: DataFrame, df: DataFrame, keys: list[str], order: list[str], max_rows: int | None, fold: Fold):
+    """``(rows of other keys, chunked rows of hot keys with their states)``; the second is null without hot keys."""
+    hot = hot_keys(df, keys, max_rows) if max_rows is not None else None
+    if hot is None:
+        return rows, None
+    cold, warm = by_heat(rows, keys, hot)
+    chunks = range_chunks(warm, [*keys, _FIRST], order, max_rows)
+    return cold, chunks.unionByName(_chunk_starts(chunks, keys, order, fold), allowMissingColumns=True)
 
 
 def keyed_fold(
@@ -199,13 +203,9 @@ def keyed_fold(
     """``df`` plus the columns of ``fold``. ``state_in(keys…, state)`` continues an earlier run."""
     keys, order = list(keys), list(order)
     rows = _with_state_rows(df, keys, state_in)
-    if largest_group(df, keys) <= max_rows:
-        return _run_emit(rows, keys, order, fold, df.columns)
-    rows = range_chunks(rows, [*keys, _FIRST], order, max_rows)
-    starts, _ = _chunk_starts(rows, keys, order, fold)
-    if starts is not None:
-        rows = rows.unionByName(starts, allowMissingColumns=True)
-    return _run_emit(rows, [CHUNK, *keys], order, fold, df.columns)
+    cold, chunks = _by_size(rows, df, keys, order, max_rows, fold)
+    out = _run_emit(cold, keys, order, fold, df.columns)
+    return out if chunks is None else out.unionByName(_run_emit(chunks, [CHUNK, *keys], order, fold, df.columns))
 
 
 def final_states(
@@ -222,11 +222,9 @@ def final_states(
     """
     keys, order = list(keys), list(order)
     rows = _with_state_rows(df, keys, state_in)
-    if max_rows is None or largest_group(df, keys) <= max_rows:
-        return _run_states(rows, keys, order, fold).select(*keys, F.col(CARRY).alias("state"))
-    rows = range_chunks(rows, [*keys, _FIRST], order, max_rows)
-    starts, _ = _chunk_starts(rows, keys, order, fold)
-    if starts is not None:
-        rows = rows.unionByName(starts, allowMissingColumns=True)
-    ends = _run_states(rows, [CHUNK, *keys], order, fold)
-    return ends.groupBy(*keys).agg(F.max_by(CARRY, CHUNK).alias("state"))
+    cold, chunks = _by_size(rows, df, keys, order, max_rows, fold)
+    out = _run_states(cold, keys, order, fold).select(*keys, F.col(CARRY).alias("state"))
+    if chunks is None:
+        return out
+    ends = _run_states(chunks, [CHUNK, *keys], order, fold)
+    return out.unionByName(ends.groupBy(*keys).agg(F.max_by(CARRY, CHUNK).alias("state")))

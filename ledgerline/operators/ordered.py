@@ -1,14 +1,15 @@
 """Window functions over keys of any size.
 
-``Window.partitionBy(key)`` sorts each key in one task, which is the best plan until one key holds
-a large share of the table. ``ordered`` checks the largest key first. Beyond ``max_rows`` it lays
-the table out by range over (key, order), so that a hot key spans many chunks, and the window
-functions run per chunk with a carry row from the chunks before. Only the first key of a chunk can
-continue from an earlier one, so the carries never exceed the number of chunks.
+``Window.partitionBy(key)`` sorts each key in one task, which is the best plan for all keys but those that
+hold a large share of the table. ``ordered`` looks for keys of more than ``max_rows`` rows. Only their rows are
+laid out by range over (key, order), so that a hot key spans many chunks, and their window functions run per chunk
+with a carry row from the chunks before. Only the first key of a chunk can continue from an earlier one, so the
+carries never exceed the number of chunks.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -16,16 +17,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.session import scratch_path
+from ledgerline.session import scratch_path, staged
 
 MAX_ROWS = 4_000_000
 CHUNK = "_chunk"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest key; reads the key columns only and combines before the shuffle."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
+    """The keys with more than ``max_rows`` rows, or null if there are none.
+
+    Reads the key columns only and combines before the shuffle. There are at most rows / ``max_rows`` such keys.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows)
+    hot = staged(sizes.select(*keys), "hot")
+    return hot if hot.head(1) else None
+
+
+def by_heat(rows: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of all other keys, and those of the hot ones."""
+    names = [f"_hot_{k}" for k in keys]
+    table = hot.toDF(*names)
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return rows.join(table, same, "left_anti"), rows.join(table, same, "left_semi")
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
@@ -47,21 +60,17 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_r
 
 
 class Ordered:
-    """Rows of ``df`` in ``order`` within ``keys``; see ``ordered``."""
+    """Rows in ``order`` within ``keys``, as parts that are chunked or not; see ``ordered``."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunked: bool):
-        self.df, self.keys, self.order, self.chunked = df, list(keys), list(order), chunked
+    def __init__(self, parts: list[tuple[DataFrame, bool]], keys: Sequence[str], order: Sequence[str]):
+        self.parts, self.keys, self.order = parts, list(keys), list(order)
 
-    def _window(self):
-        cut = [CHUNK] if self.chunked else []
+    def _window(self, chunked: bool):
+        cut = [CHUNK] if chunked else []
         return Window.partitionBy(*self.keys, *cut).orderBy(*self.order)
 
-    def _next(self, df: DataFrame) -> Ordered:
-        return Ordered(df, self.keys, self.order, self.chunked)
-
-    def _with_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        # At most one row per chunk: small whatever the size of df.
-        return df.join(F.broadcast(carry), [*self.keys, CHUNK], "left")
+    def _each(self, step) -> Ordered:
+        return Ordered([(step(df, chunked), chunked) for df, chunked in self.parts], self.keys, self.order)
 
     def lag(self, name: str, value: Column) -> Ordered:
         """Add ``name``: ``value`` of the row before, null on the first row of a key."""
@@ -73,20 +82,20 @@ class Ordered:
 
     def _neighbour(self, name: str, value: Column, ahead: bool) -> Ordered:
         shift = F.lead if ahead else F.lag
-        if not self.chunked:
-            return self._next(self.df.withColumn(name, shift(value).over(self._window())))
-        boxed = self.df.withColumn("_box", F.struct(value.alias("v")))
-        place = F.struct(*self.order)
-        edge = boxed.groupBy(*self.keys, CHUNK).agg(
-            (F.min_by if ahead else F.max_by)("_box", place).alias("_edge")
-        )
-        across = Window.partitionBy(*self.keys).orderBy(CHUNK)
-        carry = edge.select(*self.keys, CHUNK, shift("_edge").over(across).alias("_carry")).filter(
-            "_carry is not null"
-        )
-        near = boxed.withColumn("_near", shift("_box").over(self._window()))
-        out = self._with_carry(near, carry).withColumn(name, F.coalesce("_near", "_carry")["v"])
-        return self._next(out.drop("_box", "_near", "_carry"))
+
+        def step(df: DataFrame, chunked: bool) -> DataFrame:
+            if not chunked:
+                return df.withColumn(name, shift(value).over(self._window(False)))
+            boxed = df.withColumn("_box", F.struct(value.alias("v")))
+            place = F.struct(*self.order)
+            edge = boxed.groupBy(*self.keys, CHUNK).agg((F.min_by if ahead else F.max_by)("_box", place).alias("_edge"))
+            across = Window.partitionBy(*self.keys).orderBy(CHUNK)
+            carry = edge.select(*self.keys, CHUNK, shift("_edge").over(across).alias("_carry")).filter("_carry is not null")
+            near = boxed.withColumn("_near", shift("_box").over(self._window(True)))
+            out = near.join(carry, [*self.keys, CHUNK], "left").withColumn(name, F.coalesce("_near", "_carry")["v"])
+            return out.drop("_box", "_near", "_carry")
+
+        return self._each(step)
 
     def running_sum(self, name: str, value: Column) -> Ordered:
         return self._running(name, value, F.sum, lambda own, before: own + F.coalesce(before, F.lit(0)))
@@ -95,31 +104,28 @@ class Ordered:
         return self._running(name, value, F.max, F.greatest)
 
     def _running(self, name, value, total, join) -> Ordered:
-        to_here = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = self.df.withColumn(name, total(value).over(to_here))
-        if not self.chunked:
-            return self._next(out)
         before = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = (
-            self.df.groupBy(*self.keys, CHUNK)
-            .agg(total(value).alias("_total"))
-            .select(*self.keys, CHUNK, total("_total").over(before).alias("_carry"))
-            .filter("_carry is not null")
-        )
-        out = self._with_carry(out, carry)
-        return self._next(out.withColumn(name, join(F.col(name), F.col("_carry"))).drop("_carry"))
+
+        def step(df: DataFrame, chunked: bool) -> DataFrame:
+            to_here = self._window(chunked).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            out = df.withColumn(name, total(value).over(to_here))
+            if not chunked:
+                return out
+            sums = df.groupBy(*self.keys, CHUNK).agg(total(value).alias("_total"))
+            carry = sums.select(*self.keys, CHUNK, total("_total").over(before).alias("_carry")).filter("_carry is not null")
+            out = out.join(carry, [*self.keys, CHUNK], "left")
+            return out.withColumn(name, join(F.col(name), F.col("_carry"))).drop("_carry")
+
+        return self._each(step)
 
     def rows(self) -> DataFrame:
-        return self.df.drop(CHUNK) if self.chunked else self.df
-
-
-def ordered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    max_rows: int = MAX_ROWS,
-    sized_by: DataFrame | None = None,
-) -> Ordered:
-    """Lay ``df`` out for window functions; ``sized_by`` is a cheaper table with the same key sizes."""
-    hot = largest_group(df if sized_by is None else sized_by, keys) > max_rows
-    return Ordered(range_chunks(df, keys, order, max_rows) if hot else df, keys, order, hot)
+        return functools.reduce(DataFrame.unionByName, [df.drop(CHUNK) for df, _ in self.parts])
+
+
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS) -> Ordered:
+    """Lay ``df`` out for window functions."""
+    hot = hot_keys(df, keys, max_rows)
+    if hot is None:
+        return Ordered([(df, False)], keys, order)
+    cold, warm = by_heat(df, keys, hot)
+    return Ordered([(cold, False), (range_chunks(warm, keys, order, max_rows), True)], keys, order)
