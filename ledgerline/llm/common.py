@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.session import scratch_path
@@ -95,14 +95,14 @@ def running_start(df: DataFrame, keys: list[str], order: list[Column], cell: Col
 
     No window spans a key: rows are summed by (keys, cell), the few cell totals are accumulated per key, and
     a second window runs within each cell. ``cell`` must grow with the order and cut every key into pieces.
+    Keys and cell are not null.
     """
     rows = df.withColumns({"__piece": cell, "__value": value})
     by_cell = rows.groupBy(*keys, "__piece").agg(F.sum("__value").alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_cell.withColumn("__start", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
     inner = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(f"__r.{k}").eqNullSafe(F.col(f"__s.{k}")) for k in [*keys, "__piece"]]
-    joined = rows.alias("__r").join(starts.alias("__s"), same).select("__r.*", "__s.__start")
+    joined = rows.join(starts, [*keys, "__piece"]).select(*(F.col(f"`{c}`") for c in rows.columns), "__start")
     return joined.withColumn(
         out, F.col("__start") + F.coalesce(F.sum("__value").over(inner), F.lit(0))
     ).drop("__piece", "__value", "__start")
@@ -114,17 +114,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars, each round written to the shared folder; minima are combined before the shuffle, so
     a node with very many links is no hot key. Links stay on the executors.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "links")
-    mark = None
+    now, mark = edges.select("a", "b").where("a <> b"), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
+        new = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        seen = Observation()  # counted while it is written
+        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        now = written(new.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "links")
+        mark, before = seen.get, mark
+        if mark == before:
             found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
-        mark = new

@@ -162,27 +162,21 @@ def mixed_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Documents without words are not taken. Rows that agree in key, source and text are taken together.
     """
     rows = mix(docs, key=key, text=text, source=source)
-    whole = rows.where("n is not null and first = 0 and last > 0")
     names = [F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("mark").alias("__mark")]
-    copies = whole.groupBy(*names).agg(
-        F.count("*").alias("__copies"), F.countDistinct("start").alias("__rows")
+    # documents of one text that differ in their place are repeated rows
+    copies = rows.groupBy(*names).agg(
+        F.count_if(F.col("n").isNotNull() & (F.col("first") == 0) & (F.col("last") > 0)).alias("__copies"),
+        (F.min("start") < F.max("start")).alias("__repeated"),
     )
+    copies = written(copies.where("__copies > 0"), "copies")
     same = (
         F.col(key).eqNullSafe(F.col("__key")) & F.col(source).eqNullSafe(F.col("__source"))
         & F.md5(F.col(text).cast("binary")).eqNullSafe(F.col("__mark"))
     )
-    kept = docs.columns
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     found = docs.join(copies, same)
-    repeated = found.groupBy("__key", "__source", "__mark").agg(F.count("*").alias("__c")).where("__c > 1")
-    once = found
-    if repeated.head(1):
-        again = repeated.select(*(F.col(f"__{c}").alias(f"__{c}2") for c in ("key", "source", "mark")))
-        pair = (
-            F.col("__key").eqNullSafe(F.col("__key2")) & F.col("__source").eqNullSafe(F.col("__source2"))
-            & F.col("__mark").eqNullSafe(F.col("__mark2"))
-        )
-        once = found.join(again, pair, "left_anti").unionByName(
-            found.join(again, pair, "left_semi").dropDuplicates(["__key", "__source", "__mark"])
-        )
+    if copies.where("__repeated").head(1):
+        again = found.where("__repeated").dropDuplicates(["__key", "__source", "__mark"])
+        found = found.where("not __repeated").unionByName(again)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return once.select(*(F.col(f"`{c}`") for c in kept), times.alias("__time")).select(*(F.col(f"`{c}`") for c in kept))
+    return found.select(*kept, times.alias("__time")).select(*kept)

@@ -126,7 +126,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     need = F.least(F.lit(_least_shared(percent)), F.ceil(F.lit(percent) * F.size(union) / 100))
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)
-    return both.where(F.when(seen >= need, alike).otherwise(False)).select("a", "b")
+    return both.where(F.when(seen >= need, alike).otherwise(False)).drop("sa", "sb")
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
@@ -139,16 +139,23 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .select(*pair).distinct()
     )
     links = written(_confirmed(near, sets, percent), "links")
-    roots = components(links)
+    roots = written(components(links), "roots")
     rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = rooted.groupBy("x").agg(F.min("root").alias("u"), F.max("root").alias("w")).where("u <> w").select("x")
     rest = written(rooted.join(mixed, "x"), "index")
+    if not rest.head(1):
+        return roots
     across = (
         rest.alias("p").join(rest.alias("q"), F.expr("p.x = q.x and p.root < q.root") & _fits(percent))
-        .select(*pair).distinct()
+        .groupBy(*pair).agg(F.min(F.struct("p.root", F.col("q.root").alias("other"))).alias("r"))
     )
-    more = written(_confirmed(across, sets, percent), "links")
-    return components(links.unionByName(more)) if more.head(1) else roots
+    # links between components: only their roots are still to be joined
+    more = written(_confirmed(across, sets, percent).select(F.col("r.root").alias("a"), F.col("r.other").alias("b")), "links")
+    if not more.head(1):
+        return roots
+    joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("node"), F.col("node").alias("root"))).distinct()
+    return every.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(
@@ -193,7 +200,7 @@ def without_near_duplicates(
     A key that is not its component's smallest goes with all its rows; of rows that repeat a kept key and its
     text one stays. Rows without words stay, but for such repeats.
     """
-    found = near_duplicates(docs, key=key, text=text, words=words, percent=percent)
+    found = written(near_duplicates(docs, key=key, text=text, words=words, percent=percent), "found")
     gone = found.where(~F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__id")).distinct()
     repeated = found.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(F.col(key).alias("__id"))
     left = docs.join(gone, F.col(key).eqNullSafe(F.col("__id")), "left_anti")
