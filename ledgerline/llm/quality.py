@@ -11,13 +11,14 @@ documents of its language, with a margin.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, written
+from ledgerline.llm.common import BATCH_ROWS, arrow_map, written
 
 ORDER = 4
 #: Trusted documents that the model is trained on, at most; those with the smallest hashes of their keys.
@@ -28,7 +29,7 @@ QUANTILE, MARGIN = 0.99, 1.15
 #: probability of a character taken to vary by ``SPREAD``.
 ERRORS, SPREAD = 3.0, 2.0
 #: Characters of text in a block.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 16 << 20
 #: Rejected keys that are sent to all executors; above, the documents are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -38,6 +39,23 @@ def _plain(text: str | None) -> str:
     return " ".join(text.replace("\0", " ").split()) if text else ""
 
 
+def _renumbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and the place of each code among them."""
+    if len(codes) and int(codes.max()) < max(1 << 24, 4 * len(codes)):
+        seen = np.zeros(int(codes.max()) + 1, bool)
+        seen[codes] = True
+        return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int64) - 1)[codes]
+    return np.unique(codes, return_inverse=True)
+
+
+def _first_places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order and where each first stands."""
+    first = np.full(int(place.max()) + 1, -1, np.int64)
+    first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+    kinds = np.flatnonzero(first >= 0)
+    return kinds, first[kinds]
+
+
 def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams as strings, the number of the n-gram at each place, and the text of each place."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -47,21 +65,19 @@ def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
         return np.empty(0, f"<U{order}"), np.empty(0, np.int64), np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
     whole = owner[order - 1 :] == owner[: len(flat) - order + 1]
-    letters = np.flatnonzero(np.bincount(flat))
-    number = np.zeros(int(letters[-1]) + 1, np.int64)
-    number[letters] = np.arange(len(letters))
-    ids = number[flat]
-    if len(letters) ** order < 2**63:
-        packed = ids[: len(ids) - order + 1].copy()
-        for step in range(1, order):
-            packed = packed * len(letters) + ids[step : len(ids) - order + 1 + step]
-        _, first, place = np.unique(packed[whole], return_index=True, return_inverse=True)
-    else:  # more letters than fit a packed number
-        rows = np.lib.stride_tricks.sliding_window_view(ids, order)[whole]
-        _, first, place = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    letters, ids = _renumbered(flat.astype(np.int64))
+    place = ids
+    for step in range(1, order):  # number the n-grams by number of the one without its last letter, and that letter
+        _, place = _renumbered(place[:-1] * len(letters) + ids[step:])
+    # places that reach over the end of a text are no n-grams
+    place = place[whole]
+    kinds, first = np.unique(place, return_index=True) if len(place) < 1 << 12 else _first_places(place)
+    number = np.zeros(int(kinds[-1]) + 1 if len(kinds) else 1, np.int64)
+    number[kinds] = np.arange(len(kinds))
+    place = number[place]
     at = np.flatnonzero(whole)[first]
     chars = np.lib.stride_tricks.sliding_window_view(flat, order)[at]
-    return np.ascontiguousarray(chars).view(f"<U{order}").ravel(), place.ravel(), owner[: len(whole)][whole]
+    return np.ascontiguousarray(chars).view(f"<U{order}").ravel(), place, owner[: len(whole)][whole]
 
 
 def trusted_keys(labels: DataFrame, *, key: str = "doc_id", quality: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -146,22 +162,24 @@ def perplexities(docs: DataFrame, table: DataFrame, found: dict, *, key: str, te
     )
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / BLOCK_CHARS))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("key", "mark"), F.lit(n)).cast("int")).repartition(n, "block")
 
-    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, block = batch.column(3).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False)
-        out = []
-        for b in np.unique(block):
-            grams, _, _ = _grams([_plain(texts[i]) for i in np.flatnonzero(block == b)], order)
-            out.append((grams.tolist(), int(b)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([g for grams, _ in out for g in grams], pa.string()),
-             pa.array(np.repeat([b for _, b in out], [len(g) for g, _ in out]).astype(np.int32))],
-            names=["gram", "block"],
-        )
-
-    asked = arrow_map(blocks, ask, "gram string, block int").distinct()
-    asked = written(asked, "asked")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of each block; all rows of a block are in one partition."""
+        met: dict[int, set] = {}
+        for batch in batches:
+            texts, block = batch.column("text").to_pylist(), batch.column("block").to_numpy(zero_copy_only=False)
+            for b in np.unique(block):
+                grams, _, _ = _grams([_plain(texts[i]) for i in np.flatnonzero(block == b)], order)
+                met.setdefault(int(b), set()).update(grams.tolist())
+        for b, grams in met.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.string()), pa.array(np.full(len(grams), b, np.int32))], names=["gram", "block"]
+            )
+
+    # The texts are shuffled once, by block: both passes below and the scoring read that one shuffle.
+    asked = blocks.mapInArrow(ask, "gram string, block int")
     known = probabilities(asked.select("gram").distinct(), table, found, order)
     answers = asked.join(known, "gram").select("block", "gram", "logp")
     kind = dict(rows.dtypes)["key"], dict(rows.dtypes)["lang"]
