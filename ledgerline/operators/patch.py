@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.jsontext import descend, index, parse, steps
 from ledgerline.operators.folds import Fold, final_states
 from ledgerline.operators.ordered import MAX_ROWS
+from ledgerline.session import staged
 
 _GOOD, _BAD = "=", "!"
 
@@ -86,6 +87,7 @@ def apply_patches(
     start = docs.select(doc_id, F.concat(F.lit(_GOOD), F.col(doc)).alias("state"))
     # A missing path is not the root.
     ops = ops.withColumn("path", F.coalesce("path", F.lit("missing")))
-    ends = final_states(ops, [doc_id], [seq], Patches("op", "path", "value"), start, max_rows)
+    # Both results are read from here, so the fold runs once.
+    ends = staged(final_states(ops, [doc_id], [seq], Patches("op", "path", "value"), start, max_rows), "patched")
     body, good = F.substr("state", F.lit(2)), F.startswith("state", F.lit(_GOOD))
     return ends.filter(good).select(doc_id, body.alias(doc)), ends.filter(~good).select(doc_id, body.alias("error"))
