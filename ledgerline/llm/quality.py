@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BATCH_ROWS, arrow_map, written
+from ledgerline.llm.common import arrow_map, written
 
 ORDER = 4
 #: Trusted documents that the model is trained on, at most; those with the smallest hashes of their keys.
@@ -29,7 +30,7 @@ QUANTILE, MARGIN = 0.99, 1.15
 #: probability of a character taken to vary by ``SPREAD``.
 ERRORS, SPREAD = 3.0, 2.0
 #: Characters of text in a block.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 #: Rejected keys that are sent to all executors; above, the documents are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -39,6 +40,11 @@ def _plain(text: str | None) -> str:
     return " ".join(text.replace("\0", " ").split()) if text else ""
 
 
+def _unpacked(texts: list[bytes]) -> list[str]:
+    squeeze = zstandard.ZstdDecompressor()
+    return [squeeze.decompress(t).decode("utf-8", "surrogatepass") for t in texts]
+
+
 def _renumbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes in order, and the place of each code among them."""
     if len(codes) and int(codes.max()) < max(1 << 24, 4 * len(codes)):
@@ -162,8 +168,19 @@ def perplexities(docs: DataFrame, table: DataFrame, found: dict, *, key: str, te
     )
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / BLOCK_CHARS))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("key", "mark"), F.lit(n)).cast("int")).repartition(n, "block")
+    kind = dict(rows.dtypes)["key"], dict(rows.dtypes)["lang"]
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        plain = [squeeze.compress(_plain(t).encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("key", "lang", "mark")), pa.array(plain, pa.binary()), batch.column("block")],
+            names=["key", "lang", "mark", "text", "block"],
+        )
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "mark"), F.lit(n)).cast("int"))
+    packed = arrow_map(dealt, pack, f"key {kind[0]}, lang {kind[1]}, mark long, text binary, block int")
+    blocks = packed.repartition(n, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct n-grams of each block; all rows of a block are in one partition."""
@@ -171,24 +188,23 @@ def perplexities(docs: DataFrame, table: DataFrame, found: dict, *, key: str, te
         for batch in batches:
             texts, block = batch.column("text").to_pylist(), batch.column("block").to_numpy(zero_copy_only=False)
             for b in np.unique(block):
-                grams, _, _ = _grams([_plain(texts[i]) for i in np.flatnonzero(block == b)], order)
+                grams, _, _ = _grams(_unpacked([texts[i] for i in np.flatnonzero(block == b)]), order)
                 met.setdefault(int(b), set()).update(grams.tolist())
         for b, grams in met.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grams, pa.string()), pa.array(np.full(len(grams), b, np.int32))], names=["gram", "block"]
             )
 
-    # The texts are shuffled once, by block: both passes below and the scoring read that one shuffle.
+    # The texts are shuffled once, compressed, by block: both passes below and the scoring read that one shuffle.
     asked = blocks.mapInArrow(ask, "gram string, block int")
     known = probabilities(asked.select("gram").distinct(), table, found, order)
     answers = asked.join(known, "gram").select("block", "gram", "logp")
-    kind = dict(rows.dtypes)["key"], dict(rows.dtypes)["lang"]
 
     def score(texts: pa.Table, logs: pa.Table) -> pa.Table:
         log = dict(zip(logs["gram"].to_pylist(), logs["logp"].to_pylist()))
         sums, counts = np.zeros(texts.num_rows), np.zeros(texts.num_rows, np.int64)
         for start in range(0, texts.num_rows, 256):
-            part = [_plain(t) for t in texts["text"].slice(start, 256).to_pylist()]
+            part = _unpacked(texts["text"].slice(start, 256).to_pylist())
             grams, place, owner = _grams(part, order)
             values = np.fromiter((log[g] for g in grams.tolist()), np.float64, len(grams))
             sums[start : start + len(part)] = np.bincount(owner, values[place], len(part))
