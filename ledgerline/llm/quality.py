@@ -4,8 +4,8 @@ Counts of character n-grams are summed over the trusted documents; the counts of
 distinct left neighbours. Documents are dealt into blocks of bounded size, each block asks for every n-gram that it
 holds once, the distinct n-grams of all blocks are joined to the counts of their orders and contexts, and the
 probabilities go back to the blocks, which add them up per document. Neither counts nor probabilities are ever
-gathered in one place. A document is rejected if its perplexity is, beyond chance, above a quantile of the trusted
-documents of its language, with a margin.
+gathered in one place. A document is rejected if its log-perplexity is further above the median of the trusted
+documents of its language than these themselves vary at its length.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from ledgerline.llm.common import arrow_map, written
 ORDER = 4
 #: Trusted documents that the model is trained on, at most; those with the smallest hashes of their keys.
 TRUSTED_ROWS = 200_000
-#: A document is rejected above ``MARGIN`` times this quantile of its language's trusted documents.
-QUANTILE, MARGIN = 0.99, 1.15
-#: Short texts get the benefit of the doubt: their log-perplexity counts less so many standard errors, with the log-
-#: probability of a character taken to vary by ``SPREAD``.
-ERRORS, SPREAD = 3.0, 2.0
+#: A document is rejected if its log-perplexity lies above the median of its language's trusted documents by more than
+#: ``MARGIN`` times this quantile of their own distances from it, each distance taken in units of 1/sqrt(characters).
+#: ``MARGIN`` allows for trusted documents being in the counts; it was chosen on trusted rows kept out of them.
+QUANTILE, MARGIN = 0.99, 2.0
+#: A language with fewer differing trusted texts takes the limit over all languages if that is higher than its own.
+LEAST_TRUSTED = 30
 #: Characters of text in a block.
 BLOCK_CHARS = 8 << 20
 #: Rejected keys that are sent to all executors; above, the documents are shuffled.
@@ -227,9 +228,9 @@ def judge(
 ) -> DataFrame:
     """``(key, lang, mark, n_scored, perplexity, threshold, accepted)`` per row, ``mark`` being the text's hash.
 
-    Null, empty and very short texts have no perplexity and are accepted: there is nothing to judge. A language
-    without trusted documents, null among them, takes the threshold over all languages. Without any trusted
-    text everything is accepted. Repeated rows are judged alike, each of them. Other columns are not read.
+    Null, empty and very short texts have no perplexity and are accepted: there is nothing to judge. The threshold
+    depends on the language and on the length: it is higher for short texts, whose perplexity varies more. A language
+    without trusted documents takes the threshold over all languages. Without any trusted text everything is accepted. Repeated rows are judged alike, each of them. Other columns are not read.
     """
     trusted = written(trusted_keys(labels, key=key, quality=quality), "trusted")
     ids = F.broadcast(trusted)
@@ -240,16 +241,23 @@ def judge(
     else:
         scored = written(perplexities(docs, table, found, key=key, text=text, lang=lang), "scored")
     good = scored.join(F.broadcast(trusted), F.col("key") == F.col("__id"), "left_semi").where("perplexity is not null")
-    limit = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = good.groupBy("lang").agg(limit.alias("own")).select(F.col("lang").alias("__lang"), "own")
-    rows = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(
-        F.broadcast(good.agg(limit.alias("all"))), how="left"
+    good = good.withColumn("log", F.log("perplexity"))
+    middle = good.groupBy("lang").agg(
+        F.percentile_approx("log", 0.5, 10_000).alias("middle"), F.approx_count_distinct("mark").alias("texts")
+    ).withColumnRenamed("lang", "__lang")
+    apart = good.join(middle, F.col("lang").eqNullSafe(F.col("__lang"))).withColumn(
+        "apart", (F.col("log") - F.col("middle")) * F.sqrt("n_scored")
     )
-    threshold = F.coalesce("own", "all")
-    least = F.col("perplexity") * F.exp(F.lit(-ERRORS * SPREAD) / F.sqrt(F.greatest("n_scored", F.lit(1))))
+    reach = F.percentile_approx("apart", quantile, 10_000) * margin
+    own = apart.groupBy("__lang", "middle", "texts").agg(reach.alias("reach"))
+    over = apart.agg(F.percentile_approx("middle", quantile, 10_000).alias("middle_all"), reach.alias("reach_all"))
+    rows = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(over), how="left")
+    size = F.sqrt(F.greatest("n_scored", F.lit(1)))
+    one, every = F.col("middle") + F.col("reach") / size, F.col("middle_all") + F.col("reach_all") / size
+    threshold = F.exp(F.when(F.col("texts") >= LEAST_TRUSTED, one).otherwise(F.greatest(one, every)))
     return rows.select(
         F.col("key").alias(key), F.col("lang").alias(lang), "mark", "n_scored", "perplexity", threshold.alias("threshold"),
-        F.coalesce(least <= threshold, F.lit(True)).alias("accepted"),
+        F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("accepted"),
     )
 
 

@@ -41,6 +41,16 @@ def test_labels_and_keeps(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.accepted for r in found.values())
 
 
+def test_junk_of_every_length_is_rejected(spark):
+    small = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    found = {r.doc_id: r for r in judge(docs, labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    bad = [found[i].accepted for i, q in truth.items() if q == 0 and i in found]
+    assert sum(bad) <= 0.05 * len(bad)
+    assert all(r.accepted == (r.perplexity <= r.threshold) for r in found.values() if r.perplexity is not None)
+
+
 def test_odd_rows(odd, empty, labels, no_labels):
     found = judge(odd, labels).collect()
     assert len(found) == odd.count() and all(r.accepted for r in found if r.doc_id in (1, 2, 3, 7))
