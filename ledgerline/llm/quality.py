@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import arrow_map, written
 
 ORDER = 4
-#: Trusted documents that the model is trained on, at most; those with the smallest hashes of their keys.
-TRUSTED_ROWS = 200_000
 #: A document is rejected if its log-perplexity lies above the median of its language's trusted documents by more than
 #: ``MARGIN`` times this quantile of their own distances from it, each distance taken in units of 1/sqrt(characters).
 #: ``MARGIN`` allows for trusted documents being in the counts; it was chosen on trusted rows kept out of them.
@@ -32,7 +30,7 @@ QUANTILE, MARGIN = 0.99, 2.0
 LEAST_TRUSTED = 30
 #: Characters of text in a block.
 BLOCK_CHARS = 8 << 20
-#: Rejected keys that are sent to all executors; above, the documents are shuffled.
+#: Trusted or rejected keys that are sent to all executors; above, the documents are shuffled.
 BROADCAST_IDS = 200_000
 
 
@@ -87,10 +85,11 @@ def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.ascontiguousarray(chars).view(f"<U{order}").ravel(), place, owner[: len(whole)][whole]
 
 
-def trusted_keys(labels: DataFrame, *, key: str = "doc_id", quality: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Keys labelled 1 and never 0: the ``rows`` with the smallest hashes, or all if they are fewer."""
+def trusted_keys(labels: DataFrame, *, key: str = "doc_id", quality: str = "quality", rows: int | None = None) -> DataFrame:
+    """Keys labelled 1 and never 0; with ``rows``, so many of them with the smallest hashes."""
     good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min(quality).alias("q"))
-    return good.where("q = 1").select("__id").orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    good = good.where("q = 1").select("__id")
+    return good if rows is None else good.orderBy(F.xxhash64("__id"), "__id").limit(rows)
 
 
 def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> tuple[DataFrame, dict]:
@@ -233,14 +232,14 @@ def judge(
     without trusted documents takes the threshold over all languages. Without any trusted text everything is accepted. Repeated rows are judged alike, each of them. Other columns are not read.
     """
     trusted = written(trusted_keys(labels, key=key, quality=quality), "trusted")
-    ids = F.broadcast(trusted)
+    ids = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     table, found = train(docs.join(ids, F.col(key) == F.col("__id"), "left_semi"), text)
     if not found:
         rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(text).alias("mark"))
         scored = rows.selectExpr("*", "0L as n_scored", "cast(null as double) as perplexity")
     else:
         scored = written(perplexities(docs, table, found, key=key, text=text, lang=lang), "scored")
-    good = scored.join(F.broadcast(trusted), F.col("key") == F.col("__id"), "left_semi").where("perplexity is not null")
+    good = scored.join(ids, F.col("key") == F.col("__id"), "left_semi").where("perplexity is not null")
     good = good.withColumn("log", F.log("perplexity"))
     middle = good.groupBy("lang").agg(
         F.percentile_approx("log", 0.5, 10_000).alias("middle"), F.approx_count_distinct("mark").alias("texts")

@@ -51,6 +51,16 @@ def test_junk_of_every_length_is_rejected(spark):
     assert all(r.accepted == (r.perplexity <= r.threshold) for r in found.values() if r.perplexity is not None)
 
 
+def test_all_trusted_rows_count(spark, documents, monkeypatch):
+    many = spark.range(200_500).selectExpr("id as doc_id", "1 as quality")
+    assert trusted_keys(many).count() == 200_500
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    sent = sorted(judge(documents, labels).collect(), key=str)
+    monkeypatch.setattr("ledgerline.llm.quality.BROADCAST_IDS", 0)
+    assert sorted(judge(documents, labels).collect(), key=str) == sent
+    assert accepted_documents(documents, labels).count() == sum(r.accepted for r in sent)
+
+
 def test_odd_rows(odd, empty, labels, no_labels):
     found = judge(odd, labels).collect()
     assert len(found) == odd.count() and all(r.accepted for r in found if r.doc_id in (1, 2, 3, 7))
