@@ -21,8 +21,9 @@ RULES = (
 #: Labelled URLs that the trees are trained on, at most; those with the smallest hashes.
 TRAIN_ROWS = 50_000
 TREES, DEPTH = 12, 4
-#: Suffixes whose statistics are kept; the others share one entry.
-SUFFIXES = 10_000
+#: Suffixes whose statistics are sent to all executors, with their characters; above, those with more URLs than
+#: ``HOT_URLS`` are sent, at most ``BROADCAST_SUFFIXES`` of them, and the others are joined by shuffle.
+BROADCAST_SUFFIXES, BROADCAST_CHARS, HOT_URLS = 100_000, 4 << 20, 10_000
 FEATURES = (
     "length host_length path_length depth labels digit_ratio entropy parameters query_length hyphens fragment "
     "extension suffix_rate suffix_share"
@@ -74,6 +75,21 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_suffixes(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with the statistics of their suffix, all of which ``table`` has.
+
+    Suffixes of many URLs never meet in a shuffle: they are broadcast apart from the others.
+    """
+    kinds, chars = table.agg(F.count("*"), F.sum(F.length("suffix"))).first()
+    if kinds <= BROADCAST_SUFFIXES and (chars or 0) <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(table.drop("n")), "suffix")
+    hot = table.where(F.col("n") > HOT_URLS).orderBy(F.col("n").desc(), "suffix").limit(BROADCAST_SUFFIXES)
+    hot = F.broadcast(written(hot.drop("n"), "hot"))
+    rest = table.drop("n").join(hot.select("suffix"), "suffix", "left_anti")
+    few = rows.join(hot.select("suffix"), "suffix", "left_anti").join(rest.hint("shuffle_merge"), "suffix")
+    return rows.join(hot, "suffix").unionByName(few)
+
+
 def judge_urls(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """``(key, host, path, rule, verdict, p_block)`` per row: the rule's verdict, else that of the trees.
 
@@ -101,13 +117,11 @@ def judge_urls(pages: DataFrame, *, key: str = "page_id", url: str = "url", rule
         out = kept.withColumn("p_block", F.lit(float(only == "block")))
     else:
         prior = blocked / known
-        table = F.broadcast(
-            by_suffix.orderBy(F.col("n").desc(), "suffix").limit(SUFFIXES).select(
-                "suffix", ((F.col("blocked") + 10 * prior) / (F.col("known") + 10)).alias("suffix_rate"),
-                (F.col("n") / float(total)).alias("suffix_share"),
-            )
+        table = by_suffix.select(
+            "suffix", "n", ((F.col("blocked") + 10 * prior) / (F.col("known") + 10)).alias("suffix_rate"),
+            (F.col("n") / float(total)).alias("suffix_share"),
         )
-        full = lexical(kept).join(table, "suffix", "left").fillna({"suffix_rate": prior, "suffix_share": 0.0})
+        full = lexical(_with_suffixes(kept, table))
         seen = F.struct(*(F.col(f).cast("double").alias(f) for f in FEATURES)).alias("x")
         train = written(
             full.where("ruled is not null").select(

@@ -48,3 +48,23 @@ def test_without_labels(spark):
     only = spark.createDataFrame([(1, "http://a.com/de/"), (2, "http://b.net/")], "page_id long, url string")
     assert {r.verdict for r in judge_urls(only).collect()} == {"block"}
     assert judge_urls(rows.limit(0)).collect() == []
+
+
+def test_every_suffix_keeps_its_statistics(spark, monkeypatch):
+    """Suffixes of one kind of URL, told apart by their statistics alone, however many others there are."""
+    kinds = spark.range(12_000).selectExpr("id % 2 = 1 as bad", "concat('h', lpad(id, 5, '0'), '.com') as suffix", "id")
+    rows = kinds.selectExpr("id * 8 as page_id", "bad", "suffix", "explode(sequence(0, 3)) as k").selectExpr(
+        "page_id + k as page_id",
+        "concat('http://', suffix, if(k = 3, '/x/', if(bad, '/a/', '/b/')), k) as url")
+    rules = [("block", "com", "/a/"), ("allow", "com", "/b/")]
+
+    def verdicts():
+        found = judge_urls(rows, rules=rules).where("rule is null").collect()
+        assert len(found) == 12_000
+        return {r.page_id: r.verdict for r in found}
+
+    sent = verdicts()
+    assert all((v == "block") == (i // 8 % 2 == 1) for i, v in sent.items())
+    monkeypatch.setattr("ledgerline.llm.urls.BROADCAST_SUFFIXES", 10)
+    monkeypatch.setattr("ledgerline.llm.urls.HOT_URLS", 3)
+    assert verdicts() == sent
