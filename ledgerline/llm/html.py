@@ -1,7 +1,7 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
 Every page becomes a tree of its block elements, like siblings in a row folded into one. One page of each host is the
-reference; simple tree matching aligns the others with it. A node whose text is the same on nearly all aligned pages
+reference; simple tree matching aligns the others with it, and inside a run the siblings' texts are aligned. A node whose text is the same on nearly all aligned pages
 belongs to the host's template; varying slots and nodes without a counterpart are content, unless their element or
 its class says that they are a menu, a footer, an advert and the like. Counts of equal and other texts per
 reference node are summed by Spark, so a host with a third of all pages is no hot key.
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict, deque
 
 import pyarrow as pa
 import xxhash
@@ -173,13 +174,13 @@ def _own(node: Node) -> str:
 
 
 class Folded:
-    """A run of like siblings: their joint texts and the runs of all their children."""
+    """A run of like siblings: a hash of each one's own text and the runs of all their children."""
 
-    __slots__ = ("sign", "nodes", "mark", "runs")
+    __slots__ = ("sign", "nodes", "marks", "runs")
 
     def __init__(self, nodes: list[Node]) -> None:
         self.sign, self.nodes = nodes[0].sign, nodes
-        self.mark = xxhash.xxh3_64_intdigest("\n".join(map(_own, nodes)))
+        self.marks = [xxhash.xxh3_64_intdigest(_own(n)) for n in nodes]
         self.runs = fold([p for n in nodes for p in n.parts if isinstance(p, Node)])
 
 
@@ -221,13 +222,37 @@ def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
     return 1 + best[rows][cols][0], [(a, b), *pairs]
 
 
+def same_text(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of equal marks in two runs, in order: the longest rising row of pairs, where the n-th occurrence of a
+    mark in one run goes with the n-th in the other."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    places: defaultdict[int, deque[int]] = defaultdict(deque)
+    for j, mark in enumerate(b):
+        places[mark].append(j)
+    pairs = [(i, places[mark].popleft()) for i, mark in enumerate(a) if places[mark]]
+    ends: list[int] = []  # the least last place of a row of each length
+    last: list[int] = []  # the pair that it belongs to
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        size = bisect_left(ends, j)
+        before.append(last[size - 1] if size else -1)
+        ends[size : size + 1], last[size : size + 1] = [j], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 def numbered(tree: Folded) -> dict[int, int]:
-    """A number for every folded node, by its identity, in page order."""
+    """The number of the first member of every folded node, by its identity, in page order; the others follow it."""
     out: dict[int, int] = {}
-    waiting = [tree]
+    waiting, total = [tree], 0
     while waiting:
         node = waiting.pop()
-        out[id(node)] = len(out)
+        out[id(node)] = total
+        total += len(node.nodes)
         waiting.extend(reversed(node.runs))
     return out
 
@@ -339,7 +364,9 @@ def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", so
                 continue
             reference, numbers = trees.get(other)
             for a, b in match(reference, Folded([parse(page)]))[1]:
-                seen[host, numbers[id(a)], a.mark == b.mark] += 1
+                same = {i for i, _ in same_text(a.marks, b.marks)}
+                for i in range(len(a.nodes)):
+                    seen[host, numbers[id(a)] + i, i in same] += 1
         hosts, nodes, same = zip(*seen) if seen else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(same, pa.bool_()),
@@ -366,8 +393,9 @@ def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", so
                 reference, numbers = trees.get(other)
                 fixed = set(constant)
                 for a, b in match(reference, Folded([root]))[1]:
-                    if numbers[id(a)] in fixed and a.mark == b.mark:
-                        template.update(map(id, b.nodes))
+                    for i, j in same_text(a.marks, b.marks):
+                        if numbers[id(a)] + i in fixed:
+                            template.add(id(b.nodes[j]))
             texts.append(main_text(root, template))
         return pa.RecordBatch.from_arrays(
             [batch.column("key"), batch.column("url"), pa.array(texts, pa.string()),

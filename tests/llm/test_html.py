@@ -1,7 +1,7 @@
 import html
 import re
 
-from ledgerline.llm.html import Folded, extract_text, main_text, match, parse
+from ledgerline.llm.html import Folded, extract_text, main_text, match, parse, same_text
 from tests.llm.conftest import SMALL
 
 
@@ -59,3 +59,17 @@ def test_template_of_a_host(spark):
     assert found[101].text == whole.format(1) and found[205].text == whole.format("same")
     assert (found[300].text, found[300].n_chars, found[301].text, found[302].text) == ("", 0, "", "x")
     assert extract_text(pages).count() == len(rows) and extract_text(pages.limit(0)).collect() == []
+
+
+def test_template_beside_like_siblings(spark):
+    page = "<body><p>Read our terms</p>{1}<p>All rights</p><ul><li>Fixed<li>Item {0}</ul></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i, "".join(f"<p>Story {i}.{k}</p>" for k in range(1 + i % 3)))) for i in range(20)]
+    found = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        i = r.page_id
+        assert r.text == "\n\n".join([f"Story {i}.{k}" for k in range(1 + i % 3)] + [f"Item {i}"])
+
+
+def test_alignment_of_siblings():
+    assert same_text([1, 2, 3], [1, 9, 9, 3]) == [(0, 0), (2, 3)] and same_text([1, 2], [3]) == [] == same_text([], [1])
+    assert same_text([5, 1, 2, 3], [1, 2, 3, 5]) == [(1, 0), (2, 1), (3, 2)] and same_text([7, 7], [7, 8, 7]) == [(0, 0), (1, 2)]
