@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, html, mixing, neardup, quality, sharding, tokens, topk, toxicity, urls
+from ledgerline.llm import (
+    decontaminate, divergence, html, jaccard, mixing, neardup, quality, sharding, tokens, topk, toxicity, urls, whitening,
+)
 from ledgerline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +208,80 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_url_verdicts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
+
+
+@query(
+    "op11_source_divergence",
+    """
+    WITH docs AS (
+      SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    ), terms AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+    kept AS (
+      SELECT lang, term, count(*)::BIGINT AS n_lang FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+    ), counts AS (
+      SELECT lang, source, term, count(*)::BIGINT AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+    ), sizes AS (SELECT lang, count(*) AS v, sum(n_lang)::BIGINT AS n_total FROM kept GROUP BY lang),
+    totals AS (SELECT lang, source, sum(n)::BIGINT AS n_all FROM counts GROUP BY lang, source),
+    sources AS (
+      SELECT DISTINCT lang, source, coalesce(n_all, 0)::HUGEINT AS n_all
+      FROM docs LEFT JOIN totals USING (lang, source)
+    ), p AS (
+      SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n_all + z.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n_lang + 1)) // (z.n_total + z.v) AS q
+      FROM sources s JOIN kept k USING (lang) JOIN sizes z USING (lang) LEFT JOIN counts c USING (lang, source, term)
+    ), sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), parts AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+    )
+    SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+    ) WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_ngram_jaccard",
+    """
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), sets AS (
+      SELECT DISTINCT doc_id, list_slice(w, i, i + least(4, len(w)) - 1) AS gram
+      FROM docs, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS t(i) WHERE len(w) > 0
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id < b.doc_id
+      GROUP BY 1, 2
+    ), links AS (
+      SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+      WHERE 100 * common >= 85 * (x.n + y.n - common)
+    ), reach AS (
+      SELECT doc_id, doc_id AS other FROM docs
+      UNION
+      SELECT r.doc_id, l.other FROM reach r JOIN (SELECT a AS one, b AS other FROM links UNION ALL SELECT b, a FROM links) l
+        ON r.other = l.one
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM docs d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+      LEFT JOIN sizes USING (doc_id)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_join(read(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.withColumnRenamed("component", "component_id")
+
+
+@query("op13_whitened_vectors")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
