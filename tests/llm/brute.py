@@ -131,3 +131,40 @@ def perplexity(p, text, order):
     t = " ".join((text or "").replace("\0", " ").split())
     grams = [t[i : i + order] for i in range(len(t) - order + 1)]
     return math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)) if grams else None
+
+
+def divergences(rows, most):
+    """Sorted (lang, source, part, item, value, rank) for rows (text, lang, source)."""
+    docs = [(la or "", s or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOWER))) for t, la, s in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [(s, w) for la, s, w in docs if la == lang]
+        spread = Counter(t for _, w in own for t in set(w))
+        kept = sorted(t for t, n in spread.items() if n >= 3)
+        counts = {s: Counter() for s, _ in own}
+        for s, w in own:
+            counts[s].update(t for t in w if spread[t] >= 3)
+        whole = sum(counts.values(), Counter())
+
+        def shares(c):
+            return [1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept]
+
+        parts = {s: shares(c) for s, c in counts.items()}
+        q_all = shares(whole)
+        f = lambda p, q: (p - q) * (p - q) // q
+        for s, p in parts.items():
+            pairs = [(sum(map(f, p, q)), o) for o, q in parts.items() if o != s]
+            terms = [(f(a, b), t) for t, a, b in zip(kept, p, q_all) if counts[s][t] and a > b]
+            for part, items in (("pair", pairs), ("term", terms)):
+                ranked = sorted(items, key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, i, v, k) for k, (v, i) in enumerate(ranked, 1) if part == "pair" or k <= most]
+    return sorted(out)
+
+
+def whitened(rows, most):
+    """(covariance's eigenvalues, deviations by position, n) of rows of entries, in exact fractions up to the eigenvalues."""
+    x = [[math.floor(64 * c) + 1_000_000 for c in row] for row in rows]
+    n, size = len(x), len(x[0])
+    sums = [sum(col) for col in zip(*x)]
+    cov = [[float(sum((n * r[i] - sums[i]) * (n * r[j] - sums[j]) for r in x) / Fraction(n) ** 3) for j in range(size)] for i in range(size)]
+    return cov, [sum((n * a - s) ** 2 for a, s in zip(r, sums)) for r in x], n
