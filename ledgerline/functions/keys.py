@@ -98,3 +98,13 @@ def record_kind(raw_type: Column, scope: Column) -> Column:
         .when(F.endswith(raw_type, F.lit("session")) | F.endswith(raw_type, F.lit("total")), "session")
         .otherwise("unknown")
     )
+
+
+def kind_from(raw_type: str | None, scope: str | None) -> str:
+    """``record_kind`` of plain values."""
+    scope, raw_type = (scope or "").lower(), raw_type or ""
+    if scope in V.SESSION_SCOPES or scope in V.TURN_SCOPES:
+        return "session" if scope in V.SESSION_SCOPES else "turn"
+    if raw_type in V.SESSION_TYPES or raw_type in V.TURN_TYPES:
+        return "session" if raw_type in V.SESSION_TYPES else "turn"
+    return "session" if raw_type.endswith(("session", "total")) else "unknown"

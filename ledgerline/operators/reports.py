@@ -210,12 +210,13 @@ def first_error(
     """
     keys = list(keys)
     placed = texts.withColumn("stream_rank", stream_rank(first="stderr"))
-    keep = [*keys, "stream_rank", "seq"]
+    part = ["file"] if "file" in texts.columns and "file" not in keys else []  # a stream may come in several files
+    keep = [*keys, "stream_rank", *part, "seq"]
     found = read_outcomes(placed, keep, whole).select(*keep, "blob", _outcome_error(limit).alias("found"))
     said = placed.select(*keep, F.substring_index(strip("text"), "\n", -1).alias("said"))
     rows = found.filter("found is not null").unionByName(said.filter("said != ''"), allowMissingColumns=True)
-    place = F.struct("stream_rank", "seq", "blob")
-    late = F.struct(-F.col("stream_rank"), F.col("seq"))
+    place = F.struct("stream_rank", *part, "seq", "blob")
+    late = F.struct(-F.col("stream_rank"), *part, F.col("seq"))
     best = rows.groupBy(*keys).agg(
         F.min_by("found", F.when(F.col("found").isNotNull(), place)).alias("found"),
         F.max_by("said", F.when(F.col("said").isNotNull(), late)).alias("said"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ledgerline.fixed_values import CHECK_NAME, DEFAULT_HINT, HINTS
 from ledgerline.functions.jsontext import decoded_string, extract_json_object, object_entries
 from ledgerline.functions.keys import BUCKETS
 from ledgerline.functions.text import content_hash, strip
+from ledgerline.operators.tally import saturated_sum
 
 RUN, TASK = ["run_id"], ["run_id", "task_id"]
 
@@ -92,19 +94,22 @@ def seal_tasks(raw: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def run_totals(sealed: DataFrame, by: Sequence[str] = RUN, *more: Column) -> DataFrame:
-    """Tasks, passes and the five token sums per run (or any coarser grouping), and ``more`` aggregates."""
+    """Tasks, passes and the five token sums per run (or any coarser grouping), and ``more`` aggregates.
+
+    Sums stop at the largest 64-bit integer.
+    """
     return sealed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("tasks"),
         F.count_if("passed").alias("passed"),
-        *[F.sum(f"usage.{b}").alias(b) for b in BUCKETS],
+        *[saturated_sum(F.col(f"usage.{b}")).alias(b) for b in BUCKETS],
         *more,
     )
 
 
 def rank_eligibility(totals: DataFrame) -> DataFrame:
     """Add ``rankable``: every task passed and some tokens were counted. No tokens is not free."""
-    spent = sum((F.col(b) for b in BUCKETS), F.lit(0))
-    return totals.withColumn("rankable", (F.col("passed") == F.col("tasks")) & (spent > 0))
+    spent = functools.reduce(Column.__or__, [F.coalesce(F.col(b) > 0, F.lit(False)) for b in BUCKETS])
+    return totals.withColumn("rankable", (F.col("passed") == F.col("tasks")) & spent)
 
 
 def attempts_to_pass(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators.activity import idle_gaps, no_progress, snapshot_diff, suppress_repeats
+from ledgerline.operators.activity import idle_gaps, no_progress, snapshot_diff, suppress_repeats, watched
 from ledgerline.operators.scoring import attempts_run, attempts_to_pass, latest_attempt
 from ledgerline.plans.registry import events, query, table
 
@@ -161,3 +161,16 @@ FROM events GROUP BY user_id""",
 )
 def latest(spark, sf_dir):
     return latest_attempt(table(spark, sf_dir, "events").drop("ts"), ["user_id"], "event_id")
+
+
+@query(
+    "watched",
+    """
+SELECT doc_id FROM documents WHERE doc_id % 7 NOT IN (1, 2, 4, 6)""",
+)
+def watched_files(spark, sf_dir):
+    """Files in folders and under names that count as activity, beside those that do not."""
+    names = ["src/a.py", ".git/index", "a/_grade/x", ".gitignore", "a/b/.DS_Store", "_grades/x", "instruction.md"]
+    path = F.get(F.array(*map(F.lit, names)), F.col("doc_id") % 7)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return watched(files).select("doc_id")

@@ -105,15 +105,24 @@ def ranked(spark, sf_dir):
 @query(
     "extract_json_object",
     """
-SELECT doc_id, CASE WHEN lang = 'es' THEN (n_chars > 400)::INT::VARCHAR WHEN lang = 'de' THEN (n_chars > 400)::INT || '.0000001'
-  ELSE (n_chars > 400)::INT::VARCHAR END AS quality FROM documents""",
+SELECT doc_id, (n_chars > 400)::INT + CASE WHEN lang = 'de' THEN 0.0000001 ELSE 0 END::DOUBLE AS quality FROM documents""",
 )
 def extracted(spark, sf_dir):
     rows = outputs(spark, sf_dir).withColumn("found", extract_json_object("output"))
-    quality = F.get_json_object("found", "$.quality")
-    small = F.col("quality").cast("double") < 0.5
-    fixed = F.when((F.col("lang") == "de") & small, "0.0000001").otherwise(F.col("quality"))
-    return rows.select(F.col("task_id").alias("doc_id"), "lang", quality.alias("quality")).select("doc_id", fixed.alias("quality"))
+    return rows.select(F.col("task_id").alias("doc_id"), F.get_json_object("found", "$.quality").cast("double").alias("quality"))
+
+
+@query(
+    "totals_bad_rows",
+    f"""
+WITH {_SCORED} SELECT run_id, count(*) AS tasks, 9223372036854775807::BIGINT AS input, (2 * count(*))::BIGINT AS cache_hit,
+  bool_and(passed) AS rankable FROM s GROUP BY run_id HAVING count(*) > 1""",
+)
+def saturated(spark, sf_dir):
+    """Sums over counts as large as they get stop at the largest integer, and ranking goes on."""
+    raw = outputs(spark, sf_dir).withColumn("usage", F.col("usage").withField("input", F.lit(2**63 - 1)))
+    out = rank_eligibility(run_totals(seal_tasks(raw, specs(spark, sf_dir)))).filter("tasks > 1")
+    return out.select("run_id", "tasks", "input", "cache_hit", "rankable")
 
 
 @query(

@@ -13,7 +13,7 @@ from ledgerline.operators.scoring import latest_attempt
 from ledgerline.plans import activity, limiters, logs
 from ledgerline.plans.registry import ORACLES, events, query
 from ledgerline.session import scratch_path
-from ledgerline.streaming.io import run_to_table
+from ledgerline.streaming.io import read_upserts, run_to_table, split_late, upsert_stream
 from ledgerline.streaming.keyed import (
     idle_gaps_stream, replay_leases_stream, sliding_window_allow_stream, suppress_repeats_stream, token_bucket_stream,
 )
@@ -24,8 +24,11 @@ CLOSING = -1
 _FILES = 4
 
 
-def _laid_out(spark, rows: DataFrame, ts: str, closing: dict) -> DataFrame:
-    """``rows`` as a stream: files in the order of ``ts``, one step a micro-batch, and the closing row."""
+def _laid_out(spark, rows: DataFrame, ts: str, closing: dict, late: DataFrame | None = None) -> DataFrame:
+    """``rows`` as a stream: files in the order of ``ts``, one step a micro-batch, and the closing row.
+
+    ``late`` rows come after all that: the closing row then fills a micro-batch, so that they meet its watermark.
+    """
     root = scratch_path(spark, "arrivals")
     first, last = rows.agg(F.min(ts), F.max(ts)).first()
     step = (last - first) // 3 + 1
@@ -33,7 +36,11 @@ def _laid_out(spark, rows: DataFrame, ts: str, closing: dict) -> DataFrame:
         part = rows.filter(F.col(ts).between(first + n * step, first + (n + 1) * step - 1))
         part.repartition(_FILES).write.mode("append").parquet(root)
     end = rows.filter(F.col(ts) == last).limit(1).withColumns({c: F.lit(v).cast(rows.schema[c].dataType) for c, v in closing.items()})
-    end.withColumn(ts, F.lit(last + 2 * HOUR_MS).cast("long")).repartition(1).write.mode("append").parquet(root)
+    end = end.withColumn(ts, F.lit(last + 2 * HOUR_MS).cast("long")).repartition(1)
+    for _ in range(1 if late is None else _FILES):
+        end.write.mode("append").parquet(root)
+    if late is not None:
+        late.select(*rows.columns).repartition(_FILES).write.mode("append").parquet(root)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(root)
 
 
@@ -97,3 +104,29 @@ def latest(spark, sf_dir):
     stream = latest_attempt(_events(spark, sf_dir).drop("ts", "ts_ms"), ["user_id"], "event_id")
     out = latest_attempt(run_to_table(stream, "latest", "update"), ["user_id"], "_batch").drop("_batch")
     return out.filter(F.col("user_id") != CLOSING)
+
+
+@query(
+    "late_rows_stream",
+    """
+SELECT user_id, count(*) FILTER (event_id % 10 <> 0) AS on_time, count(*) FILTER (event_id % 10 = 0) AS late FROM events GROUP BY user_id""",
+)
+def late_rows(spark, sf_dir):
+    """Every tenth event comes after the watermark has passed all of them: two tables, and no row is lost."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts_ms")
+    tenth = F.col("event_id") % 10 == 0
+    calls = _laid_out(spark, rows.filter(~tenth), "ts_ms", {"user_id": CLOSING, "event_id": CLOSING}, rows.filter(tenth))
+    out = token_bucket_stream(calls, **_KEY, rate_per_sec=limiters.RATE, burst=limiters.BURST, keep_late=True)
+    places = [scratch_path(spark, label) for label in ("on-time", "late", "progress")]
+    split_late(out, *places).awaitTermination()
+    done, late = (spark.read.parquet(p).filter(F.col("user_id") != CLOSING).withColumn("n", F.lit(n)) for n, p in enumerate(places[:2]))
+    counts = done.select("user_id", "n").unionByName(late.select("user_id", "n")).groupBy("user_id")
+    return counts.agg(F.count_if(F.col("n") == 0).alias("on_time"), F.count_if(F.col("n") == 1).alias("late"))
+
+
+@query("latest_attempt_upserts", ORACLES["latest_attempt"])
+def upserted(spark, sf_dir):
+    """The last event of every user in a table of buckets that each micro-batch brings up to date."""
+    rows, path = _events(spark, sf_dir).drop("ts", "ts_ms"), scratch_path(spark, "latest")
+    upsert_stream(rows, path, ["user_id"], ["event_id"], f"{path}-progress", buckets=8).awaitTermination()
+    return read_upserts(spark, path).filter(F.col("user_id") != CLOSING)

@@ -10,7 +10,7 @@ from ledgerline.functions.text import (
     catalog_id, character_count, content_hash, file_stem, format_elapsed, normalize_text, one_line, path_tail, slug,
     task_tag, work_units,
 )
-from ledgerline.operators.manifest import manifest, package_integrity, suite_size, verify_manifest, work_size
+from ledgerline.operators.manifest import manifest, manifest_rejects, package_integrity, suite_size, verify_manifest, work_size
 from ledgerline.plans.registry import query, spread, table
 
 
@@ -255,3 +255,21 @@ def verified(spark, sf_dir):
     edited = labelled.select("doc_id", F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))
     return verify_manifest(hashed(docs), hashed(edited.unionByName(pages)), "id", ["hash", "chars"])
+
+
+@query(
+    "manifest_rejects",
+    """
+SELECT conv_id, CASE WHEN turn % 5 <> 1 THEN turn END AS task_id,
+  CASE turn % 5 WHEN 2 THEN '{"role":' WHEN 3 THEN '["' || role || '"]' ELSE '{"turn":' || turn || ',"role":"' || role || '"}' END AS expected
+FROM conversations WHERE turn % 5 <> 0""",
+)
+def rejected(spark, sf_dir):
+    """Tasks without id or instruction, with broken expected values, or with values that are no object."""
+    fifth = F.col("turn") % 5
+    tasks = _tasks(spark, sf_dir).withColumn("turn", F.col("task_id"))
+    rows = tasks.withColumns({
+        "expected": F.when(fifth == 2, '{"role":').when(fifth == 3, F.concat(F.lit('["'), F.get_json_object("expected", "$.role"), F.lit('"]'))).otherwise(F.col("expected")),
+        "instruction": F.when(fifth == 4, F.lit(None)).otherwise(F.col("instruction")), "task_id": F.when(fifth == 1, F.lit(None)).otherwise(F.col("task_id")),
+    })
+    return manifest_rejects(rows, ["conv_id"])

@@ -1,19 +1,21 @@
 """Run folders as tables.
 
-``root`` holds one folder per run: ``root/<run>/…``. Files are listed with their sizes and times
-first, and only the contents of files that pass are read: Spark's binary source skips the others.
-Spark does not list what is hidden (names that begin with a dot or an underscore) below a path, so hidden folders
-are named one by one, level by level; hidden files are read through the file system that holds them.
+``root`` holds one folder per run, with the folders of its attempts in it: ``root/<run>/[<task>/[<attempt>/]]…``, the
+attempt a number. What lies at the top of an attempt's folder, or below a hidden folder there, is that attempt's; files
+that stand in the run's own folder have no task and attempt 1. Tasks list the folders (``sources/folders.py``); the list
+is kept, and only the contents of files that pass are read, by as many tasks as their bytes ask for. A file that cannot
+be read is a row with an ``error`` and no text.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
+import json
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +23,16 @@ from pyspark.sql import functions as F
 from ledgerline import fixed_values as V
 from ledgerline.functions.keys import fold_key
 from ledgerline.functions.text import file_stem, strip, task_tag
+from ledgerline.operators.intervals import within
+from ledgerline.session import staged
+from ledgerline.sources.folders import opened, run_file_stream, run_files
 
+ATTEMPT_KEYS = ["run_id", "task_id", "attempt"]
+#: Bytes of files that a task reads, and of a split of a captured stream.
+TASK_BYTES = SPLIT_BYTES = 32 << 20
 _NO_FILES = "path string, modificationTime timestamp, length long, content binary"
+#: A split of a stream's file: where it is, and where it begins and ends.
+_SPLIT = "start long, stop long"
 
 
 def _files(spark: SparkSession, paths: list[str], names: str = "*") -> DataFrame:
@@ -38,41 +48,6 @@ def _files(spark: SparkSession, paths: list[str], names: str = "*") -> DataFrame
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _NO_FILES)
 
 
-def _matches(spark: SparkSession, pattern: str, folders: bool) -> list[tuple[str, int, int]]:
-    """``(path, length, time)`` of the folders or files that a pattern names, hidden ones too."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    return [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found if f.isDirectory() == folders]
-
-
-def _hidden(spark: SparkSession, top: str, levels: int | None = None) -> tuple[list[str], list[tuple[str, int, int]]]:
-    """Patterns of the hidden folders below the folders of pattern ``top``, and the hidden files there.
-
-    One listing per level of folders, for as long as there are any.
-    """
-    patterns, files, level = [top], [], 0
-    while (levels is None or level <= levels) and _matches(spark, top + "/*" * level, True):
-        names = top + "/*" * level + "/{.,_}*"
-        patterns += [names] if _matches(spark, names, True) else []
-        files += _matches(spark, names, False)
-        level += 1
-    return patterns, files
-
-
-def _opened(files: DataFrame) -> DataFrame:
-    """Contents of listed files, read by the tasks that hold their rows."""
-
-    def run(batches):
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                system, place = pa_fs.FileSystem.from_uri(re.sub("^(file):(?=/[^/])", r"\1://", path))
-                with system.open_input_stream(place) as source:
-                    yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([source.read()], pa.binary())})
-
-    listed = files.select("path").repartition(F.col("path"))
-    return files.join(listed.mapInArrow(run, "path string, content binary"), "path")
-
-
 def _below(root: str) -> Column:
     """Path below the root, whatever scheme Spark puts before it."""
     start = F.instr("path", root.rstrip("/") + "/") + len(root.rstrip("/")) + 1
@@ -84,12 +59,45 @@ def _text() -> Column:
     return F.make_valid_utf8(F.col("content").cast("string"))
 
 
-def _placed(files: DataFrame, root: str) -> DataFrame:
-    """``run_id`` and ``file`` (path within the run) from the path."""
-    rows = files.withColumn("_rel", _below(root))
-    return rows.withColumns(
-        {"run_id": F.substring_index("_rel", "/", 1), "file": F.regexp_replace("_rel", "^[^/]*/", "")}
-    ).drop("_rel")
+def _placed(files: DataFrame) -> DataFrame:
+    """``task_id``, ``attempt`` and ``inner`` (the path within the attempt's folder) from the path within the run."""
+    place = r"^(?:((?!std(?:out|err)(?:\.\w+)?/)[^._/][^/]*)/(?:(\d+)/)?)?(.*)$"
+    return files.withColumns({
+        "task_id": F.nullif(F.regexp_extract("file", place, 1), F.lit("")),
+        "attempt": F.coalesce(F.regexp_extract("file", place, 2).try_cast("int"), F.lit(1)),
+        "inner": F.regexp_extract("file", place, 3),
+    })
+
+
+def _tasks(bytes_: int | None, files: int, spark: SparkSession) -> int:
+    """Tasks for so many bytes, no more than files."""
+    return max(1, min(files, max(math.ceil((bytes_ or 0) / TASK_BYTES), spark.sparkContext.defaultParallelism)))
+
+
+def _read(store: str, files: DataFrame) -> DataFrame:
+    """Kept files with ``text``, or ``error``. The names are dealt out by bytes before any file is opened."""
+    files = staged(files, "files")
+    total, count = files.agg(F.sum("length"), F.count(F.lit(1))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, path in enumerate(batch.column("path").to_pylist()):
+                row = batch.slice(n, 1)
+                known, text, error = row.column("error").to_pylist()[0], None, None
+                if known is None:
+                    try:
+                        with opened(store, path) as source:
+                            text = source.read().decode("utf-8", "replace")
+                    except OSError as problem:
+                        error = str(problem)
+                columns = [pa.array([text], pa.string()) if c == "text" else pa.array([known or error], pa.string()) if c == "error"
+                           else row.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [*files.columns, "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + ", text string"
+    dealt = files.repartition(_tasks(total, count, files.sparkSession), "path")
+    return dealt.mapInArrow(run, schema)
 
 
 def session_logs(
@@ -100,143 +108,224 @@ def session_logs(
     max_bytes: int | None = None,
     home: bool = False,
     max_depth: int | None = None,
+    attempts: DataFrame | None = None,
 ) -> DataFrame:
-    """Session transcripts as texts: ``run_id, source, file, stream, seq, text``.
-
-    Files named like a session at the top of a run, and all files below its hidden folders, hidden or not: JSON
-    and JSON lines. ``home`` scans home folders instead: hidden folders only, files changed since ``since``
-    (less two seconds). Everything is read unless a limit is given: ``max_bytes`` of a file, ``max_files`` of a
-    run, the first by path, ``max_depth`` folders below a hidden one; ``left_out`` lists what limits leave out.
+    """Session transcripts as texts: ``run_id, task_id, attempt, source, file, stream, seq, text, error``.
+
+    Files named like a session at the top of an attempt's folder, and all files below its hidden folders, hidden or
+    not: JSON and JSON lines. ``home`` scans home folders instead, one per run: hidden folders only. A home file
+    belongs to the attempts of ``attempts`` (``run_id, task_id, attempt, started``) during which it was changed last,
+    from two seconds before an attempt's start to the start of the run's next one, so at times to two; without
+    ``attempts`` it belongs to the run. ``since``: files changed since then, less two seconds. Everything is read unless
+    a limit is given: ``max_bytes`` of a file, ``max_files`` of an attempt, the first by path, ``max_depth`` folders below
+    a hidden one; ``left_out`` lists what limits leave out.
     """
-    kept, inside = _session_files(spark, root, since, max_files, max_bytes, home, max_depth)
-    plain, hidden = kept.filter(inside & F.col("content").isNotNull()), kept.filter(inside & F.col("hidden"))
-    hidden = _opened(hidden.select("run_id", "file", "path"))
-    rows = plain.select("run_id", "file", "content").unionByName(hidden.select("run_id", "file", "content"))
+    store, kept, inside = _session_files(spark, root, since, max_files, max_bytes, home, max_depth)
+    files = kept.filter(inside)
+    if home and attempts is not None:
+        files = of_attempts(files.drop("task_id", "attempt"), attempts)
+    rows = _read(store, files.select(*ATTEMPT_KEYS, "file", "path", "length", "error"))
     return rows.select(
-        "run_id", F.lit("home" if home else "session").alias("source"), "file", F.lit("file").alias("stream"),
-        F.lit(0).cast("long").alias("seq"), _text().alias("text"),
+        *ATTEMPT_KEYS, F.lit("home" if home else "session").alias("source"), "file", F.lit("file").alias("stream"),
+        F.lit(0).cast("long").alias("seq"), "text", "error",
     )
 
 
+def of_attempts(files: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Files (``run_id``, ``modified_ms``) with the attempts of their run that they were changed in.
+
+    An attempt lasts from two seconds before its start to the next start in its run. Files from before the first
+    belong to none.
+    """
+    begun = attempts.select(*ATTEMPT_KEYS, F.unix_millis(F.col("started").cast("timestamp")).alias("_at"))
+    order = Window.partitionBy("run_id").orderBy("_at", "task_id", "attempt")
+    spans = begun.withColumn("end", F.lead("_at").over(order)).withColumn("start", F.col("_at") - 1000 * V.HOME_SLACK_SECONDS)
+    return within(files, spans.drop("_at"), ["run_id"], "modified_ms").drop("start", "end")
+
+
 def left_out(
     spark: SparkSession, root: str, since: dt.datetime | None = None, max_files: int | None = None,
     max_bytes: int | None = None, home: bool = False, max_depth: int | None = None,
 ) -> DataFrame:
-    """``(run_id, file, length)`` of the transcripts that ``session_logs`` leaves out under these limits."""
-    kept, inside = _session_files(spark, root, since, max_files, max_bytes, home, max_depth)
-    return kept.filter(~inside).select("run_id", "file", "length")
-
-
-def _session_files(spark, root, since, max_files, max_bytes, home, max_depth) -> tuple[DataFrame, Column]:
-    """The transcripts that are there, and which of them the limits let through."""
-    base = root.rstrip("/")
-    patterns, names = _hidden(spark, f"{base}/*/.*")
-    top = [] if home else _matches(spark, f"{base}/*/.*", False)
-    found = _files(spark, patterns if home else [f"{base}/*/[!._]*.[jJ][sS][oO][nN]*", *patterns])
-    unseen = spark.createDataFrame([*names, *top], "path string, length long, ms long").select(
-        "path", F.timestamp_millis("ms").alias("modificationTime"), "length", F.lit(None).cast("binary").alias("content"),
-        F.lit(True).alias("hidden"),
-    )
-    found = _placed(found.withColumn("hidden", F.lit(False)).unionByName(unseen), base)
-    parts = F.split("file", "/")
-    deep = F.size(parts) > 1
-    named = F.expr(fold_key("_stem")).rlike("|".join(V.SESSION_NAME_WORDS))
-    skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, V.SKIPPED_FOLDERS)))
-    kept = found.withColumn("_stem", file_stem("file"))
+    """``(run_id, task_id, attempt, file, length)`` of the transcripts that ``session_logs`` leaves out under these limits."""
+    _, kept, inside = _session_files(spark, root, since, max_files, max_bytes, home, max_depth)
+    return kept.filter(~inside).select(*ATTEMPT_KEYS, "file", "length")
+
+
+def _session_files(spark, root, since, max_files, max_bytes, home, max_depth) -> tuple[str, DataFrame, Column]:
+    """Where they are, the transcripts that are there, and which of them the limits let through."""
+    store, listed = run_files(spark, root, skip=json.dumps(V.SKIPPED_FOLDERS))
+    if home:
+        found = listed.withColumns({"task_id": F.lit(None).cast("string"), "attempt": F.lit(1), "inner": F.col("file")})
+    else:
+        found = _placed(listed)
+    parts = F.split("inner", "/")
+    deep = (F.size(parts) > 1) & F.startswith("inner", F.lit("."))
+    named = (F.size(parts) == 1) & F.expr(fold_key("_stem")).rlike("|".join(V.SESSION_NAME_WORDS))
+    kept = found.withColumn("_stem", file_stem("inner")).withColumn("_deep", deep.cast("int"))
+    wanted = F.lower("inner").rlike(r"\.jsonl?$") & (deep if home else deep | named)
     if since is not None:
-        kept = kept.filter(F.col("modificationTime") >= F.lit(since - dt.timedelta(seconds=V.HOME_SLACK_SECONDS)))
-    kept = kept.filter(F.lower("file").rlike(r"\.jsonl?$") & ~skipped)
-    kept = kept.filter(deep & F.startswith("file", F.lit("."))) if home else kept.filter(deep | named)
-    kept = kept.withColumn("_deep", deep.cast("int"))
+        start = F.unix_millis(F.lit(since - dt.timedelta(seconds=V.HOME_SLACK_SECONDS)).cast("timestamp"))
+        wanted = wanted & (F.col("modified_ms") >= start)
+    kept = staged(kept.filter(wanted | F.col("error").isNotNull()), "listing")
     inside = F.lit(True)
     if max_bytes is not None:
-        inside = inside & (F.col("length") <= max_bytes)
+        inside = inside & (F.coalesce("length", F.lit(0)) <= max_bytes)
     if max_depth is not None:  # below the hidden folder, which is a part of the path, as the file is
         inside = inside & (F.size(parts) <= max_depth + 2)
     if max_files is not None:
-        # The cap is worked out on the listing; contents are neither sorted nor shuffled for it.
-        nth = F.row_number().over(Window.partitionBy("run_id").orderBy("_deep", "file"))
-        last = kept.filter(inside).select("run_id", "_deep", "file").withColumn("_nth", nth).filter(F.col("_nth") == max_files)
-        kept = kept.join(last.select("run_id", F.struct("_deep", "file").alias("_last")), "run_id", "left")
-        inside = inside & (F.col("_last").isNull() | (F.struct("_deep", "file") <= F.col("_last")))
-    return kept, inside
+        # The cap is worked out on the listing, before any file is opened.
+        by = Window.partitionBy(*ATTEMPT_KEYS).orderBy("_deep", "file")
+        counted = kept.withColumn("_in", inside).withColumn("_nth", F.sum(F.col("_in").cast("long")).over(by))
+        return store, counted, F.col("_in") & (F.col("_nth") <= max_files)
+    return store, kept, inside
 
 
-def _streams(files: DataFrame, root: str) -> DataFrame:
+def _streams(files: DataFrame) -> DataFrame:
     """``run_id``, ``task_id``, ``attempt``, ``file`` and ``stream`` of captured streams.
 
     They stand in ``root/<run>/[<task>/[<attempt>/]]stdout`` or ``stderr``, with any one suffix: a file, or a folder
     of files.
     """
-    place = r"^((?:[^/]+/)*?)(stdout|stderr)(?:\.\w+)?(?:/[^/]+)?$"
-    stream, folders = F.regexp_extract("file", place, 2), F.split(F.concat(F.regexp_extract("file", place, 1), F.lit("-")), "/")
+    place = r"^((?:[^/]+/)*?)(stdout|stderr)(?:\.\w+)?(?:/([^/]+))?$"
+    folders = F.split(F.concat(F.regexp_extract("file", place, 1), F.lit("-")), "/")
     part = lambda n: F.when(F.size(folders) > n + 1, F.get(folders, F.lit(n)))
-    return _placed(files, root).withColumns(
-        {"stream": stream, "task_id": part(0), "attempt": F.coalesce(part(1).try_cast("int"), F.lit(1))}
-    ).filter("stream <> ''")
-
-
-def _stream_paths(root: str) -> list[str]:
-    return [f"{root.rstrip('/')}/*{'/*' * depth}/std*" for depth in range(3)]
+    found = files.withColumns({
+        "stream": F.regexp_extract("file", place, 2), "task_id": part(0), "attempt": F.coalesce(part(1).try_cast("int"), F.lit(1)),
+        "source": F.lit("cli"),
+    })
+    in_folder = F.regexp_extract("file", place, 3)  # what writers leave beside their part files is no part of a stream
+    return found.filter((F.col("stream") != "") & ~in_folder.rlike("^[._]"))
 
 
 _STREAM = ("run_id", "task_id", "attempt", "source", "file", "stream", "seq")
+_STREAM_DEPTH = {"depth": 3, "hidden": "false"}
 
 
 def log_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Captured streams as whole texts, one row each, for values that span lines. ``log_lines`` splits them."""
-    found = _streams(_files(spark, _stream_paths(root)), root)
-    rows = found.withColumns({"source": F.lit("cli"), "seq": F.lit(0).cast("long")})
-    return rows.select(*_STREAM, _text().alias("text"))
+    """Captured streams as whole texts, one row per file, for values that span lines. ``log_lines`` splits them."""
+    store, files = run_files(spark, root, **_STREAM_DEPTH)
+    kept = _streams(files).select(*_STREAM[:-1], "path", "length", "error")
+    return _read(store, kept).withColumn("seq", F.lit(0).cast("long")).select(*_STREAM, "text", "error")
 
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Captured streams line by line: as ``log_texts``, with ``seq`` rising along a stream.
-
-    Spark splits large streams among tasks. A line's number is the byte its split begins at plus its place in the
-    split: no line takes less than a byte, so the numbers rise from split to split.
+    """Captured streams line by line, as ``log_texts``, but ``seq`` is the byte that a line begins at and ``next`` the one
+    after it, so that lines of a file are known to follow each other. Long files are split among tasks."""
+    store, files = run_files(spark, root, **_STREAM_DEPTH)
+    kept = staged(_streams(files).select(*_STREAM[:-1], "path", "length", "error"), "files")
+    total, count = kept.agg(F.sum("length"), F.count(F.lit(1))).first()
+    splits = _splits(kept)
+    tasks = _tasks(total, max(count, math.ceil((total or 0) / SPLIT_BYTES)), spark)
+    return _lines(store, splits.repartition(tasks, "path", "start"))
+
+
+def log_line_stream(spark: SparkSession, root: str, **options) -> DataFrame:
+    """``log_lines`` of the files that are changed while a stream runs.
+
+    A file that grew is read again from its start, and its lines come again with the same places:
+    ``harvest_stream`` lets them take the place of the earlier ones. ``settle_ms``: how long a file must have stayed as it
+    is before it is read.
     """
-    kept = [p for p in _stream_paths(root) if _matches(spark, p, False) or _matches(spark, p, True)]
-    if not kept:
-        return spark.createDataFrame([], "run_id string, task_id string, attempt int, source string, file string, stream string, seq long, text string")
-    lines = spark.read.option("recursiveFileLookup", "true").text(kept)
-    rows = lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text")
-    )
-
-    def number(batches):
-        place, n = None, 0
+    store, files = run_file_stream(spark, root, **_STREAM_DEPTH, **options)
+    kept = _streams(files).select(*_STREAM[:-1], "path", "length", "error")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return _lines(store, _splits(kept).repartition(tasks, "path", "start"))
+
+
+def _splits(files: DataFrame) -> DataFrame:
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("length", F.lit(0)) - 1, F.lit(0)), F.lit(SPLIT_BYTES).cast("long"))
+    return files.withColumn("start", F.explode(starts)).withColumn("stop", F.least(F.col("start") + SPLIT_BYTES, "length"))
+
+
+def split_lines(source, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """``(first byte, line with its end)`` of the lines that begin in ``[start, stop)``; the last one is read to its end."""
+    at = max(start - 1, 0)
+    source.seek(at)
+    data = source.read(stop - at)
+    while data and not data.endswith(b"\n"):  # what begins before the border goes on beyond it
+        more = source.read(1 << 20)
+        cut = more.find(b"\n")
+        data += more if cut < 0 else more[: cut + 1]
+        if not more or cut >= 0:
+            break
+    for n, line in enumerate(data.splitlines(keepends=True)):
+        if at >= stop:
+            break
+        if n or start == 0:  # the first line of a later split began before it, if only its end is in it
+            yield at, line
+        at += len(line)
+
+
+def _lines(store: str, splits: DataFrame) -> DataFrame:
+    keep = [*_STREAM[:-1]]
+    schema = "run_id string, task_id string, attempt int, source string, file string, stream string, seq long, next long, text string, error string"
+
+    def packed(row: pa.RecordBatch, places: list[int], lines: list[bytes], error: str | None = None) -> pa.RecordBatch:
+        n = max(len(places), error is not None)
+        columns = [row.column(c).take(pa.array([0] * n, pa.int32())) for c in keep]
+        texts = [line.rstrip(b"\r\n").decode("utf-8", "replace") for line in lines]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(places or [None] * n, pa.int64()), pa.array([p + len(x) for p, x in zip(places, lines)] or [None] * n, pa.int64()),
+             pa.array(texts or [None] * n, pa.string()), pa.array([error] * n, pa.string())],
+            names=[*keep, "seq", "next", "text", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = []
-            for here in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-                place, n = here, n + 1 if here == place else 0
-                numbers.append(here[1] + n)
-            yield batch.append_column("seq", pa.array(numbers, pa.int64()))
-
-    numbered = rows.mapInArrow(number, "path string, start long, text string, seq long")
-    found = _streams(numbered.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))), root)
-    return found.withColumn("source", F.lit("cli")).select(*_STREAM, F.make_valid_utf8("text").alias("text"))
+            for n, (path, start, stop, known) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop", "error")))):
+                row, places, lines = batch.slice(n, 1), [], []
+                if known is not None:
+                    yield packed(row, [], [], known)
+                    continue
+                try:
+                    with opened(store, path) as source:
+                        for place, line in split_lines(source, start, stop):
+                            places.append(place)
+                            lines.append(line)
+                            if len(lines) == 10_000:
+                                yield packed(row, places, lines)
+                                places, lines = [], []
+                except OSError as problem:
+                    yield packed(row, [], [], str(problem))
+                if lines:
+                    yield packed(row, places, lines)
+
+    return splits.mapInArrow(run, schema)
+
+
+def _of_workspace(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """Files of these names at the top of attempts' folders, read."""
+    store, files = run_files(spark, root, depth=2, hidden="false")
+    found = _placed(files).filter(F.col("inner").isin(names) | F.col("error").isNotNull())
+    return _read(store, found.select(*ATTEMPT_KEYS, "inner", "path", "length", "error"))
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """``root/<run>/usage.json`` as ``run_id, text``."""
-    found = _placed(_files(spark, [f"{root.rstrip('/')}/*/usage.json"]), root)
-    return found.select("run_id", _text().alias("text"))
+    """``usage.json`` of every attempt as ``run_id, task_id, attempt, text, error``."""
+    return _of_workspace(spark, root, ["usage.json"]).select(*ATTEMPT_KEYS, "text", "error")
 
 
-def report_texts(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
-    """``run_id, text`` for every run of ``runs``: its ``reward.json``, null if it has none."""
-    found = _placed(_files(spark, [f"{root.rstrip('/')}/*/reward.json"]), root)
-    return runs.select("run_id").join(found.select("run_id", _text().alias("text")), "run_id", "left")
+def _each(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` for every row of ``wanted`` by the attempt columns that it has; by run alone, the run's own files."""
+    keys = [c for c in ATTEMPT_KEYS if c in wanted.columns]
+    own = found if "task_id" in keys else found.filter("task_id is null")
+    named = own.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in own.columns if c not in ATTEMPT_KEYS])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return wanted.select(*keys).join(named, same, "left").drop(*[f"_{k}" for k in keys])
 
 
-def answers(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
-    """``run_id, output`` for every run: ``answer.json``, else ``out.json``, else empty."""
-    base = root.rstrip("/")
-    found = _placed(_files(spark, [f"{base}/*/answer.json", f"{base}/*/out.json"]), base)
-    # Two files at most per run.
-    best = found.groupBy("run_id").agg(F.min_by(_text(), "file").alias("output"))
-    return runs.select("run_id").join(best, "run_id", "left").withColumn("output", F.coalesce("output", F.lit("")))
+def report_texts(spark: SparkSession, root: str, attempts: DataFrame) -> DataFrame:
+    """``text`` for every row of ``attempts`` (``run_id``, or all three keys): its ``reward.json``, null if it has none."""
+    found = _of_workspace(spark, root, ["reward.json"])
+    return _each(attempts, found.select(*ATTEMPT_KEYS, "text"))
+
+
+def answers(spark: SparkSession, root: str, attempts: DataFrame) -> DataFrame:
+    """``output`` for every row of ``attempts``: its ``answer.json``, else ``out.json``, else empty."""
+    found = _of_workspace(spark, root, ["answer.json", "out.json"]).filter("text is not null")
+    # Two files at most per attempt.
+    best = found.groupBy(*ATTEMPT_KEYS).agg(F.min_by("text", "inner").alias("output"))
+    return _each(attempts, best).withColumn("output", F.coalesce("output", F.lit("")))
 
 
 def task_files(spark: SparkSession, root: str, repo: str = "environment/repo") -> DataFrame:

@@ -11,6 +11,7 @@ from ledgerline.functions.text import slug
 from ledgerline.operators.manifest import hash_of_pieces
 from ledgerline.operators.scoring import run_totals
 from ledgerline.session import checkpointed
+from ledgerline.sources.folders import resolved, save
 
 OUTWARD = {"cache_hit": "cacheHit", "cache_write": "cacheWrite"}
 
@@ -85,7 +86,25 @@ def write_packages(packed: DataFrame, path: str) -> None:
 
 
 def write_usage(usages: DataFrame, path: str, by: list[str]) -> None:
-    """Usage under its outward names, one JSON object per row in folders by key."""
+    """Usage under its outward names, one JSON object per row in folders by key, a file each."""
     out = usages.select(*by, usage_json(F.col("usage")).alias("_u")).select(*by, "_u.*")
-    out.write.partitionBy(*by).mode("overwrite").json(path)
+    out.repartition(*by).write.partitionBy(*by).mode("overwrite").json(path)
 
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Small files under names of their own: ``path`` (below ``root``) and ``text``, written by the tasks that hold the rows.
+
+    For layouts that others prescribe; a table belongs into Spark's own writers. A file that is there is replaced, so a
+    task that is run again leaves the same files.
+    """
+    spark = files.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    store, top = resolved(spark, root)
+
+    def put(rows) -> None:
+        for row in rows:
+            save(store, f"{top.rstrip('/')}/{row.path}", row.text.encode())
+
+    files.select("path", "text").foreachPartition(put)

@@ -2,9 +2,9 @@
 
 Rows may come out of order. They wait in state until the watermark has passed them and are then
 folded in (time, tie) order, so any split into micro-batches gives what the batch operator gives.
-Rows later than the watermark are dropped by Spark and counted in the query's progress
-(``numRowsDroppedByWatermark``). State lives in RocksDB and the query's checkpoint; a key whose state
-has gone stale is forgotten.
+A row later than the watermark is not dropped: it comes out at once, marked ``late``, and changes nothing. A row
+without a time comes out at once too, with nulls, as the batch operators have it. So every row of the input is emitted,
+waiting or late. State lives in RocksDB and the query's checkpoint; a key whose state has gone stale is forgotten.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from ledgerline.operators.queue import Leases
 from ledgerline.operators.ratelimit import SlidingWindow, TokenBucket
 
 EVENT_TIME = "event_time"
+#: Column of all streams here: whether the row came after the watermark had passed its time.
+LATE = "late"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,6 +38,8 @@ class _FoldProcessor(StatefulProcessor):
         at = rows.names.index
         self.fold, self.rows, self.at = fold, rows, at(ts)
         self.place, self.inputs = [at(c) for c in order], [at(c) for c in fold.inputs]
+        self.made = Row(*rows.names, *(f.name for f in fold.outputs), LATE)
+        self.nothing = [None] * len(fold.outputs)
 
     def init(self, handle):
         self.handle = handle
@@ -43,10 +47,18 @@ class _FoldProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", T.StructType([T.StructField("state", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues):
-        new = [tuple(row[name] for name in self.rows.names) for row in rows]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(row[self.at] for row in new) + 1)
-        return iter(())
+        now, new, out = timerValues.getCurrentWatermarkInMs(), [], []
+        for row in rows:
+            values = tuple(row[name] for name in self.rows.names)
+            at = values[self.at]
+            if at is not None and at >= now:
+                new.append(values)
+            else:
+                out.append(self.made(*values, *self.nothing, at is not None))
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(row[self.at] for row in new) + 1)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
@@ -63,9 +75,9 @@ class _FoldProcessor(StatefulProcessor):
     def _fold(self, due, now, all_done):
         held = self.state.get() if self.state.exists() else None
         state = self.fold.load(held[0]) if held else self.fold.fresh()
-        made, result = [], Row(*self.rows.names, *(f.name for f in self.fold.outputs))
+        made = []
         for row in sorted(due, key=lambda r: tuple(r[i] for i in self.place)):
-            made.append(result(*row, *self.fold.step(state, *(row[i] for i in self.inputs))))
+            made.append(self.made(*row, *self.fold.step(state, *(row[i] for i in self.inputs)), False))
         stale = self.fold.stale_at(state)
         if all_done and stale is not None and stale < now:
             self.state.clear()
@@ -82,41 +94,52 @@ class _FoldProcessor(StatefulProcessor):
 def keyed_fold_stream(
     df: DataFrame, keys: Sequence[str], ts_ms: str, tie: Sequence[str], fold: Fold, delay: str
 ) -> DataFrame:
-    """Streaming ``keyed_fold``: ``df`` (scalar columns) plus the columns of ``fold``."""
+    """Streaming ``keyed_fold``: ``df`` (scalar columns) plus the columns of ``fold`` and ``late``.
+
+    The watermark is taken on a column that the stateful step does not get: Spark drops late rows only where it sees
+    that column, so they reach the step, which knows the watermark and tells them apart.
+    """
     use_rocksdb(df.sparkSession)
     rows = df.schema
-    out = T.StructType([*rows.fields, *fold.outputs])
-    timed = df.withColumn(EVENT_TIME, F.timestamp_millis(ts_ms)).withWatermark(EVENT_TIME, delay)
+    out = T.StructType([*rows.fields, *fold.outputs, T.StructField(LATE, T.BooleanType())])
+    timed = df.withColumn(EVENT_TIME, F.timestamp_millis(ts_ms)).withWatermark(EVENT_TIME, delay).drop(EVENT_TIME)
     processor = _FoldProcessor(fold, ts_ms, [ts_ms, *tie], rows)
     return timed.groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
 
+def _on_time(out: DataFrame, keep_late: bool) -> DataFrame:
+    return out if keep_late else out.filter(~F.col(LATE)).drop(LATE)
+
+
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
 def sliding_window_allow_stream(
-    df: DataFrame, key, ts_ms: str, tie, limit: int, window_ms: int, kind: str | None = None, delay: str = "10 minutes"
+    df: DataFrame, key, ts_ms: str, tie, limit: int, window_ms: int, kind: str | None = None, delay: str = "10 minutes",
+    keep_late: bool = False,
 ) -> DataFrame:
-    return keyed_fold_stream(df, _keys(key), ts_ms, _keys(tie), SlidingWindow(ts_ms, kind, limit, window_ms), delay)
+    """``sliding_window_allow`` on a stream. ``keep_late`` keeps late rows, with nulls and ``late``."""
+    out = keyed_fold_stream(df, _keys(key), ts_ms, _keys(tie), SlidingWindow(ts_ms, kind, limit, window_ms), delay)
+    return _on_time(out, keep_late)
 
 
 def token_bucket_stream(
     df: DataFrame, key, ts_ms: str, tie, rate_per_sec: float, burst: float, cost=1, kind: str | None = None,
-    delay: str = "10 minutes",
+    delay: str = "10 minutes", keep_late: bool = False,
 ) -> DataFrame:
     flat, column = (0.0, cost) if isinstance(cost, str) else (cost, None)
     fold = TokenBucket(ts_ms, kind, column, rate_per_sec, burst, flat)
-    return keyed_fold_stream(df, _keys(key), ts_ms, _keys(tie), fold, delay)
+    return _on_time(keyed_fold_stream(df, _keys(key), ts_ms, _keys(tie), fold, delay), keep_late)
 
 
 def suppress_repeats_stream(
     df: DataFrame, key, text: str, ts_ms: str, tie, gap_ms: int = REPEAT_GAP_MS, delay: str = "10 minutes"
 ) -> DataFrame:
     out = keyed_fold_stream(df, _keys(key), ts_ms, _keys(tie), Repeats(text, ts_ms, gap_ms), delay)
-    return out.filter("emitted").drop("emitted")
+    return out.filter("emitted").drop("emitted", LATE)
 
 
 def idle_gaps_stream(
@@ -125,9 +148,9 @@ def idle_gaps_stream(
 ) -> DataFrame:
     """The row that ends each long silence, with the silence in ``idle_ms``."""
     out = keyed_fold_stream(df, _keys(key), ts_ms, _keys(tie), Idle(ts_ms), delay)
-    return out.filter(F.col("idle_ms") >= interval_ms - slack_ms)
+    return out.filter(F.col("idle_ms") >= interval_ms - slack_ms).drop(LATE)
 
 
 def replay_leases_stream(commands: DataFrame, max_attempts: int = 3, delay: str = "10 minutes") -> DataFrame:
     """Outcome per command; commands of a queue are taken in (now_ms, seq) order."""
-    return keyed_fold_stream(commands, ["queue_id"], "now_ms", ["seq"], Leases(max_attempts), delay)
+    return _on_time(keyed_fold_stream(commands, ["queue_id"], "now_ms", ["seq"], Leases(max_attempts), delay), False)

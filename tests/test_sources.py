@@ -2,7 +2,10 @@
 
 import datetime as dt
 import hashlib
+import io
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -10,8 +13,12 @@ from ledgerline.functions.text import task_tag
 from ledgerline.operators.manifest import manifest, manifest_rejects, repo_chars, suite_size, work_size
 from ledgerline.operators.reports import first_error, parse_reports
 from ledgerline.operators.scoring import seal_tasks
-from ledgerline.operators.usage import harvest
-from ledgerline.sources.files import answers, left_out, log_lines, log_texts, report_texts, session_logs, sidecars, task_definitions, task_files
+from ledgerline.operators.usage import harvest, sum_attempts
+from ledgerline.sources import files as sources
+from ledgerline.sources.files import (
+    answers, left_out, log_line_stream, log_lines, log_texts, report_texts, session_logs, sidecars, split_lines, task_definitions, task_files,
+)
+from ledgerline.sources.folders import run_files
 from ledgerline.sources.sinks import packages, write_packages, write_usage
 
 
@@ -55,7 +62,7 @@ def test_hidden_files_and_folders(spark, tmp_path):
     assert sum(json.loads(r.text)["usage"]["input_tokens"] for r in rows) == 22 and len(rows) == 6
 
 
-def test_streams_of_an_attempt(spark, tmp_path):
+def test_streams_of_an_attempt(spark, tmp_path, monkeypatch):
     """Both streams are one text: turns add up over them, whether read whole or by line."""
     turns = lambda *counts: "".join(json.dumps({"type": "turn.completed", "usage": {"input_tokens": n}}) + "\n" for n in counts)
     root = put(tmp_path / "runs", {
@@ -68,14 +75,95 @@ def test_streams_of_an_attempt(spark, tmp_path):
         assert {r.run_id: r.usage["input"] for r in by_run} == {"r": 230, "q": 6}
         got = {(r.run_id, r.task_id, r.attempt): r.error for r in first_error(texts, whole=whole).collect()}
         assert got[("r", None, 1)].startswith("{") and got[("q", "t", 1)] == "plain" and got[("q", "u+%", 1)] == "line 999"
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
-    try:
-        lines = log_lines(spark, root).filter("task_id = 'u+%'")
-        assert lines.rdd.getNumPartitions() > 3
-        rows = sorted((r.seq, r.text) for r in lines.collect())
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [t for _, t in rows] == [f"line {i}" for i in range(1000)] and len({s for s, _ in rows}) == 1000
+    monkeypatch.setattr(sources, "SPLIT_BYTES", 700)
+    rows = sorted((r.seq, r.next, r.text) for r in log_lines(spark, root).filter("task_id = 'u+%'").collect())
+    assert [t for _, _, t in rows] == [f"line {i}" for i in range(1000)]
+    assert [n for _, n, _ in rows[:-1]] == [s for s, _, _ in rows[1:]]  # each is known to follow the one before
+
+
+def test_attempts_are_harvested_apart(spark, tmp_path):
+    """Two attempts of a task with all four sources each: none counts another's, and they are added after that."""
+    turn = lambda *counts: "".join(json.dumps({"type": "turn.completed", "usage": {"input_tokens": n}}) + "\n" for n in counts)
+    root = put(tmp_path / "runs", {
+        "r/t/1/stdout": turn(100), "r/t/2/stdout": turn(200), "r/t/1/usage.json": '{"input": 150}', "r/t/2/usage.json": '{"input": 20}',
+        "r/t/1/.cli/s.json": use(120), "r/t/2/.cli/s.json": use(300), "r/u/1/stdout": "nothing", "r/u/2/stderr": "nothing", "q/stdout": turn(4, 3),
+        "r/u/2/deep/session.json": use(9000), "r/u/2/.git/x.json": use(9000), "q/usage.json": "no json",
+    })
+    homes = put(tmp_path / "homes", {"r/.x/1.json": use(7), "r/.x/2.json": use(8), "r/.x/both.json": use(6), "r/.x/before.json": use(5000), "q/.x/1.json": use(1)})
+    started = dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
+    for name, at in (("1", -1.5), ("both", 98.5), ("2", 100), ("before", -3)):
+        os.utime(f"{homes}/r/.x/{name}.json", (started.timestamp() + at,) * 2)
+    attempts = spark.createDataFrame([("r", "u", 1, started), ("r", "u", 2, started + dt.timedelta(seconds=100))],
+                                     "run_id string, task_id string, attempt int, started timestamp")
+    home = session_logs(spark, homes, home=True, attempts=attempts)
+    assert sorted((r.attempt, r.file) for r in home.collect()) == [(1, ".x/1.json"), (1, ".x/both.json"), (2, ".x/2.json"), (2, ".x/both.json")]
+    texts = log_texts(spark, root).unionByName(session_logs(spark, root)).unionByName(home)
+    usage = harvest(texts, sidecars(spark, root))
+    got = {(r.run_id, r.task_id, r.attempt): (r.source, r.usage["input"]) for r in usage.collect()}
+    assert got == {("r", "t", 1): ("sidecar", 150), ("r", "t", 2): ("session", 300), ("r", "u", 1): ("session", 8 - 1), ("r", "u", 2): ("session", 8),
+                   ("q", None, 1): ("cli", 7)}
+    by_lines = log_lines(spark, root).unionByName(session_logs(spark, root), allowMissingColumns=True).unionByName(home, allowMissingColumns=True)
+    again = harvest(by_lines, sidecars(spark, root), whole=False)
+    assert {(r.run_id, r.task_id, r.attempt): (r.source, r.usage["input"]) for r in again.collect()} == got
+    assert {(r.run_id, r.task_id): r.usage["input"] for r in sum_attempts(usage).collect()} == {("r", "t"): 450, ("r", "u"): 15, ("q", None): 7}
+
+
+def test_odd_names_and_bad_files(spark, tmp_path):
+    """Names are no patterns and no escapes; a file or folder that cannot be read is a row."""
+    names = ["a b", "%41", "#x", "{y}", "[z]", "q?", "é*", "+"]
+    root = put(tmp_path / "r%u n#s", {f"run {n}/t {n}/1/.h {n}/.c {n}.json": use(i) for i, n in enumerate(names)} | {f"run {n}/stdout": n for n in names})
+    logs = session_logs(spark, root)
+    assert {r.run_id[4:]: (r.task_id, json.loads(r.text)["usage"]["input_tokens"]) for r in logs.collect()} == {n: (f"t {n}", i) for i, n in enumerate(names)}
+    assert {r.run_id: r.text for r in log_lines(spark, root).collect()} == {f"run {n}": n for n in names}
+    bad = tmp_path / "bad"
+    put(bad, {"r/.c/good.json": use(3), "r/.c/gone.json": use(4), "r/stdout": "x\n"})
+    kept = session_logs(spark, str(bad))  # listed now, opened later
+    (bad / "r" / ".c" / "gone.json").unlink()
+    rows = {r.file: (r.text is None, r.error is not None) for r in kept.collect()}
+    assert rows == {".c/good.json": (False, False), ".c/gone.json": (True, True)}
+    lines = log_lines(spark, str(bad))
+    (bad / "r" / "stdout").unlink()
+    assert [(r.seq, r.text, r.error is not None) for r in lines.collect()] == [(None, None, True)]
+    assert harvest(kept.unionByName(lines, allowMissingColumns=True), whole=False).first().usage["input"] == 3
+
+
+def test_other_stores(spark, tmp_path):
+    """A mount that only Hadoop knows is resolved to what it stands for."""
+    put(tmp_path / "runs", {"r/stdout": "one\ntwo"})
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.ledger.link./in", f"file://{tmp_path}")
+    root = "viewfs://ledger/in/runs"
+    assert sorted(r.text for r in log_lines(spark, root).collect()) == ["one", "two"]
+    assert log_texts(spark, root).first().text == "one\ntwo" and log_texts(spark, "viewfs://ledger/in/none").collect() == []
+    store, found = run_files(spark, root)
+    assert store == "" and found.first().file == "stdout"
+
+
+def test_lines_of_splits():
+    """Every line once, whatever the borders, line ends and gaps; places are the bytes they begin at."""
+    rng = random.Random(4)
+    for _ in range(300):
+        data = "".join(rng.choice(["a", "bc", "\n", "\r\n", "\r", "é"]) for _ in range(rng.randrange(40))).encode()
+        size = rng.randrange(1, 12)
+        got = [x for start in range(0, max(len(data), 1), size) for x in split_lines(io.BytesIO(data), start, min(start + size, len(data)))]
+        assert [x for _, x in got] == data.splitlines(keepends=True) and b"".join(x for _, x in got) == data
+        assert [p for p, _ in got] == [sum(map(len, data.splitlines(True)[:n])) for n in range(len(got))]
+
+
+def test_stream_of_a_growing_file(spark, tmp_path):
+    """A file that grew is read again with the same places; one that did not is not."""
+    root = put(tmp_path / "runs", {"r/t/2/stdout": "one\ntwo\n", "r/t/2/stderr": "bad\n"})
+    out = str(tmp_path / "out")
+
+    def more():
+        lines = log_line_stream(spark, root, settle_ms=0)
+        lines.writeStream.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        return sorted((r.stream, r.seq, r.text) for r in spark.read.parquet(out).collect())
+
+    assert more() == [("stderr", 0, "bad"), ("stdout", 0, "one"), ("stdout", 4, "two")]
+    put(tmp_path / "runs", {"r/t/2/stdout": "one\ntwo\nthree\n"})
+    assert more() == sorted([("stderr", 0, "bad"), *[("stdout", 0, "one"), ("stdout", 4, "two")] * 2, ("stdout", 8, "three")])
+    assert len(more()) == 6
 
 
 def test_file_cap_and_home_scan(spark, tmp_path):
@@ -94,6 +182,11 @@ def test_file_cap_and_home_scan(spark, tmp_path):
 
 def test_reports_and_answers(spark, tmp_path):
     root = put(tmp_path, {"a/reward.json": '{"ok":true,"reward":1,"failed":0}', "a/answer.json": "A", "a/out.json": "O", "b/out.json": "O"})
+    put(tmp_path, {"a/t/2/reward.json": '{"ok":true,"reward":2,"failed":0}', "a/t/2/out.json": "T", "a/t/1/.x/answer.json": "no"})
+    each = spark.createDataFrame([("a", "t", 1), ("a", "t", 2), ("a", None, 1)], "run_id string, task_id string, attempt int")
+    assert {(r.task_id, r.attempt): r.output for r in answers(spark, root, each).collect()} == {("t", 1): "", ("t", 2): "T", (None, 1): "A"}
+    assert {(r.task_id, r.attempt): r.text is None for r in report_texts(spark, root, each).collect()} == {
+        ("t", 1): True, ("t", 2): False, (None, 1): False}
     runs = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string")
     assert {r.run_id: (r.ok, r.error) for r in parse_reports(report_texts(spark, root, runs)).collect()} == {
         "a": (True, None), "b": (False, "no reward.json"), "c": (False, "no reward.json")}

@@ -3,14 +3,20 @@
 import json
 import os
 import random
+import time
 
+from pyspark.sql import functions as F
 
 from ledgerline.operators.reports import event_snippet
 from ledgerline.operators.scoring import latest_attempt
-from ledgerline.streaming.io import log_line_stream, run_to_table
+from ledgerline.operators.usage import harvest
+from ledgerline.sources.files import log_line_stream, log_lines
+from ledgerline.streaming.heartbeat import heartbeats_stream
+from ledgerline.streaming.io import BATCH, read_upserts, run_to_table, split_late, upsert_stream
 from ledgerline.streaming.keyed import (
     idle_gaps_stream, replay_leases_stream, sliding_window_allow_stream, suppress_repeats_stream, token_bucket_stream,
 )
+from ledgerline.streaming.usage import harvest_stream
 from tests.test_queue import SCHEMA as COMMANDS
 from tests.test_queue import model as model_queue
 from tests.test_queue import random_log
@@ -56,6 +62,105 @@ def test_bucket_stream_and_late_rows(spark, tmp_path):
     assert got == model_bucket(rows, 0.1, 3)
 
 
+def test_every_row_is_emitted_waiting_or_late(spark, tmp_path):
+    """Late rows go to a table of their own, rows without a time come out at once, the rest waits in state."""
+    rows = only_calls(random_rows(14, 120, 400_000))
+    late, none = [(500, "hot", 1, "call", 1), (501, "new", 2, "call", 1)], [(502, "hot", None, "call", 1)]
+    waiting = [(600, "hot", 10_000_500, "call", 1), (601, "new", 10_000_600, "call", 1)]
+    batches = [*shuffled(rows, 2, 2, 9_000, 60), [(999, "end", 10_000_000, "call", 1), *waiting], [*late, *none]]
+    df = stream(spark, tmp_path / "in", CALLS, batches)
+    out = token_bucket_stream(df, "k", "ts", "id", 0.1, 3, cost="cost", kind="kind", delay="10 seconds", keep_late=True)
+    places = [str(tmp_path / name) for name in ("on_time", "late", "progress")]
+    split_late(out, *places).awaitTermination()
+    done, gone = (spark.read.parquet(p) for p in places[:2])
+    assert {r.id for r in gone.collect()} == {500, 501} and {r.allowed for r in gone.collect()} == {None}
+    got = {r.id: (r.allowed, r.tokens) for r in done.collect()}
+    assert got.pop(502) == (None, None) and got == model_bucket(rows, 0.1, 3)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(places[2])
+    assert state.count() == len(waiting) + 1  # and the row that pushed the others out
+    assert done.count() + gone.count() + state.count() == sum(map(len, batches))
+
+
+def undone(progress):
+    """The last micro-batch as if the driver had been lost after its rows were written."""
+    for name in ("3", ".3.crc"):
+        (progress / "commits" / name).unlink(missing_ok=True)
+
+
+def test_split_and_upsert_are_idempotent(spark, tmp_path):
+    """A micro-batch that is run twice leaves one row per key, and rows of older batches do not come back."""
+    schema = "k string, n long, v string"
+    batches = [[("a", 1, "x"), ("b", 1, "y")], [("a", 3, "z"), ("c", 1, "w")], [("a", 2, "old"), ("b", 1, "tie")], [("d", 1, "u")]]
+    path, progress = str(tmp_path / "t"), tmp_path / "progress"
+    run = lambda: upsert_stream(stream_again(), path, ["k"], ["n"], str(progress), buckets=3).awaitTermination()
+    source = stream(spark, tmp_path / "in", schema, batches)
+    stream_again = lambda: source
+    run()
+    want = {("a", 3, "z"), ("b", 1, "tie"), ("c", 1, "w"), ("d", 1, "u")}
+    assert {tuple(r) for r in read_upserts(spark, path).select("k", "n", "v").collect()} == want
+    undone(progress)
+    run()
+    assert sorted(tuple(r) for r in read_upserts(spark, path).select("k", "n", "v").collect()) == sorted(want)
+    flagged = source.withColumn("late", F.col("n") > 1)
+    places = [str(tmp_path / n) for n in ("on", "late", "p2")]
+    for _ in range(2):
+        split_late(flagged, *places).awaitTermination()
+        undone(tmp_path / "p2")
+    assert spark.read.parquet(places[0]).count() == 5 and spark.read.parquet(places[1]).count() == 2
+
+
+def test_null_times_in_every_stream(spark, tmp_path):
+    rows = [(1, "a", None, "call", 1), (2, "a", 10_000, "call", 1), (3, "b", None, "call", 1), (9, "end", 9_000_000, "call", 1)]
+    make = lambda n: stream(spark, tmp_path / n, CALLS, [rows[:1], rows[1:3], rows[3:]])
+    out = sliding_window_allow_stream(make("a"), "k", "ts", "id", 3, 20_000, kind="kind", delay="1 second")
+    assert {r.id: r.allowed for r in run_to_table(out, "t").filter("k <> 'end'").collect()} == {1: None, 2: True, 3: None}
+    texts = make("b").withColumnRenamed("kind", "text")
+    assert {r.id for r in run_to_table(suppress_repeats_stream(texts, "k", "text", "ts", "id", delay="1 second"), "t").collect() if r.k != "end"} == {2}
+    assert run_to_table(idle_gaps_stream(make("c"), "k", "ts", "id", delay="1 second"), "t").collect() == []
+
+
+def test_harvest_of_growing_streams(spark, tmp_path):
+    """Usage after every micro-batch; files that grew are read again and count once."""
+    turn = lambda *counts: "".join(json.dumps({"type": "turn.completed", "usage": {"input_tokens": n}}) + "\n" for n in counts)
+    steps = [
+        ({"r/t/1/stdout": turn(10, 20), "r/t/2/stderr": turn(7) + "x\n"}, {("t", 1): 20, ("t", 2): 7}),
+        ({"r/t/1/stdout": turn(10, 20) + "plain\n" + turn(15), "r/u/1/stdout": "{"}, {("t", 1): 45, ("t", 2): 7}),
+        ({"r/t/2/stdout": turn(9, 8), "r/u/1/stdout": '{"type":"result","usage":{"input_tokens":3}}'}, {("t", 1): 45, ("t", 2): 24, ("u", 1): 3}),
+        ({"r/t/2/stdout": turn(1, 2, 3, 4)}, {("t", 1): 45, ("t", 2): 7, ("u", 1): 3}),
+    ]
+    root, out = tmp_path / "runs", str(tmp_path / "usage")
+    for files, want in steps:
+        for name, body in files.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_text(body)
+        usage = harvest_stream(log_line_stream(spark, str(root), settle_ms=0))
+        upsert_stream(usage, out, ["run_id", "task_id", "attempt"], [BATCH], f"{out}-progress", buckets=2).awaitTermination()
+        got = {(r.task_id, r.attempt): r.usage["input"] for r in read_upserts(spark, out).collect()}
+        batch = {(r.task_id, r.attempt): r.usage["input"] for r in harvest(log_lines(spark, str(root)), whole=False).collect()}
+        assert got == want == batch
+
+
+def test_heartbeats_while_silent(spark, tmp_path):
+    """Rows come while nothing does; a key that stays silent is given up."""
+    df = stream(spark, tmp_path / "in", "k string, n long", [[("a", 1), ("b", 1)]])
+    out = heartbeats_stream(df, "k", interval_ms=1_000, slack_ms=100, ttl_ms=6_000)
+    query = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "p")).trigger(processingTime="200 milliseconds") \
+        .format("memory").queryName("beats").start()
+    try:
+        deadline = time.time() + 60
+        rows = []
+        while time.time() < deadline and len(rows) < 4:
+            time.sleep(0.5)
+            rows = spark.table("beats").collect()
+        assert {r.k for r in rows} == {"a", "b"} and all(r.idle_ms >= 900 and r.message.startswith("still running ") for r in rows)
+        time.sleep(8)
+        before = spark.table("beats").count()
+        time.sleep(4)
+        assert spark.table("beats").count() == before  # no state, no timers
+    finally:
+        query.stop()
+
+
 def test_queue_stream(spark, tmp_path):
     rows = random_log(13, 250)
     rows = [(*r[:2], r[2] * 1000, *r[3:5], *[v and v * 1000 for v in r[5:7]], r[7]) for r in rows]
@@ -82,7 +187,7 @@ def test_lines_and_latest_attempt(spark, tmp_path):
     for run, name, text in [("r1", "stdout", '{"type":"system"}\nhello\n'), ("r2", "stderr.log", "bad\n"), ("r2", "notes", "no\n")]:
         (tmp_path / "runs" / run).mkdir(parents=True, exist_ok=True)
         (tmp_path / "runs" / run / name).write_text(text)
-    lines = log_line_stream(spark, str(tmp_path / "runs")).withColumn("label", event_snippet("line"))
+    lines = log_line_stream(spark, str(tmp_path / "runs"), settle_ms=0).withColumn("label", event_snippet("text"))
     assert {(r.run_id, r.stream, r.label) for r in run_to_table(lines, "t").collect()} == {
         ("r1", "stdout", "cli system"), ("r1", "stdout", "hello"), ("r2", "stderr", "bad")}
     rows = stream(spark, tmp_path / "in", "t string, attempt long, report string", [[("a", 1, "x"), ("b", 1, "y")], [("a", 3, "z")], [("a", 2, "w")]])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixed_values as V
 from ledgerline.functions.keys import BUCKETS, bucket_of, classify_key
+from ledgerline.operators import tally
 from ledgerline.operators.decode import extract_blobs
 from ledgerline.operators.usage import harvest, harvest_texts, read_nodes, best_usage, sum_attempts
 
@@ -84,14 +85,15 @@ def test_shapes(spark):
     assert got == {name: want for name, (_, want) in SHAPES.items() if want}
 
 
-@pytest.mark.parametrize("max_rows", [10**6, 4])
-def test_lines_of_one_text(spark, max_rows):
-    """Turns spread over many rows, also when the text is too large for one task."""
+@pytest.mark.parametrize("tasks,stretch", [(1, 1 << 20), (5, 1 << 20), (3, 2)])
+def test_lines_of_one_text(spark, monkeypatch, tasks, stretch):
+    """Turns spread over many rows and tasks, also when their summaries are merged in parts."""
+    monkeypatch.setattr(tally, "STRETCH", stretch)
     turns = [100, 40, 70, 90, 20, 30, 60, 10]
     items = [("sum", "cli", "", "stdout", i, lines(turn(n, 1))) for i, n in enumerate(turns)]
     items += [("last", "cli", "", "stdout", i, lines(turn(n, 1))) for i, n in enumerate(sorted(turns))]
     items += [("both", "cli", "", "stderr", 0, lines(turn(7, 1))), ("both", "cli", "", "stdout", 1, lines(turn(9, 1)))]
-    got = {r.run_id: five(r.usage)[:2] for r in harvest_texts(text_rows(spark, items), max_rows=max_rows).collect()}
+    got = {r.run_id: five(r.usage)[:2] for r in harvest_texts(text_rows(spark, items).repartition(tasks, "seq")).collect()}
     assert got == {"sum": (420, 8), "last": (100, 1), "both": (16, 2)}
 
 
