@@ -2,9 +2,10 @@
 
 Every page becomes a tree of its block elements, like siblings in a row folded into one. One page of each host is the
 reference; simple tree matching aligns the others with it, and inside a run the siblings' texts are aligned. A node whose text is the same on nearly all aligned pages
-belongs to the host's template; varying slots and nodes without a counterpart are content, unless their element or
-its class says that they are a menu, a footer, an advert and the like. Counts of equal and other texts per
-reference node are summed by Spark, so a host with a third of all pages is no hot key.
+belongs to the host's template; varying slots and nodes without a counterpart are content. Of these, elements and class
+words take out menus, footers, adverts and the like, where they cannot be the article: not what holds an article or
+most of the page's text, and inside an article only what its class says beyond doubt. Counts of equal and other texts
+per reference node are summed by Spark, so a host with a third of all pages is no hot key.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BROADCAST_BYTES = 8 << 20
 KEPT = 256
 #: Elements nested deeper stand beside each other at this depth.
 DEEPEST = 100
+#: Cells of a table of two rows of siblings; longer rows are aligned by their signs alone.
+CELLS = 10_000
 
 # fixed values: HTML element names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +55,16 @@ MARKS = frozenset(
     "promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social "
     "sponsor sponsored subscribe subscription toolbar topbar warning widget widgets".split()
 )
+#: Words that say nothing beside one of the marks: a class of both alone is what the mark says.
+PLAIN = frozenset(
+    "area bar block body bottom box btn button buttons container content global group inner item items left link links list "
+    "main module outer page panel posts primary right row secondary section site slot title top unit wrap wrapper".split()
+)
+#: Elements that hold text of an article whatever their class says.
+TEXT = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 article main".split())
+#: Elements that may hold the article although they are no part of one.
+AROUND = frozenset("form header label dialog menu aside".split())
+
 ENDS_P = BLOCK - {"body", "html", "dd", "dt", "li", "legend", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -69,27 +82,71 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    """A block element: its name, what its attributes mark, children and texts in page order."""
+    """A block element: its name, what its attributes mark, children and texts in page order.
+
+    ``marked``: 0 not at all, 1 by a part of a class, id or role, 2 by one that says nothing else.
+    """
 
-    __slots__ = ("name", "sign", "dropped", "parts")
+    __slots__ = ("name", "sign", "dropped", "marked", "parts")
 
     def __init__(self, name: str, attributes: str = "") -> None:
-        self.name, self.dropped, self.parts = name, name in DROPPED, []
+        self.name, self.dropped, self.marked, self.parts = name, name in DROPPED, 0, []
         self.sign = name
         if attributes:
-            words: set[str] = set()
             for key, value in _MARK.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role"):
-                    words.update(w.lower() for w in _PART.findall(value))
+                    self.marked = max([self.marked, *map(_marked, value.split())])
                     if key == "class":
                         self.sign = f"{name}.{value}"
                 elif key == "hidden" or key == "aria-hidden" and value == "true":
                     self.dropped = True
                 elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     self.dropped = True
-            if words & MARKS and name not in ("html", "body", "main"):
-                self.dropped = True
+            if name in ("html", "body", "main"):
+                self.marked = 0
+
+
+def _marked(token: str) -> int:
+    words = {w.lower() for w in _PART.findall(token)}
+    return 0 if not words & MARKS else 2 if words <= MARKS | PLAIN and "no" not in words and "with" not in words else 1
+
+
+def settle(root: Node) -> None:
+    """Decide which marked nodes are dropped, and which elements around an article are not.
+
+    Neither what holds the largest article (or main element, without articles) goes, nor what holds half of the page's
+    text or more. Outside of articles any mark counts; inside only a whole one, and never on a paragraph or heading.
+    """
+    order, waiting = [], [(root, None, False)]
+    while waiting:
+        node, above, inside = waiting.pop()
+        order.append((node, above, inside))
+        inside = inside or node.name in ("article", "main")
+        waiting.extend((p, node, inside) for p in node.parts if isinstance(p, Node))
+    size, parent = {id(n): 0 for n, _, _ in order}, {id(n): above for n, above, _ in order}
+    for node, above, _ in reversed(order):  # children before parents
+        if node.dropped and node.name not in AROUND:
+            size[id(node)] = 0
+        else:
+            size[id(node)] += sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        if above is not None:
+            size[id(above)] += size[id(node)]
+    for name in ("article", "main"):
+        found = [n for n, _, _ in order if n.name == name and not n.dropped]
+        if found:
+            break
+    holds, above = set(), parent[id(max(found, key=lambda n: size[id(n)]))] if found else None
+    while above is not None:
+        holds.add(id(above))
+        above = parent[id(above)]
+    half = size[id(root)] / 2
+    for node, _, inside in order:
+        most = id(node) in holds or size[id(node)] >= half > 0
+        if node.dropped:
+            node.dropped = not (most and node.name in AROUND and not inside)
+        elif node.marked and not most:
+            node.dropped = node.marked == 2 and node.name not in TEXT if inside else True
 
 
 def parse(source: str) -> Node:
@@ -105,6 +162,7 @@ def parse(source: str) -> Node:
         found = _TOKEN.search(source, at)
         if not found:
             text(source[at:])
+            settle(root)
             return root
         text(source[at : found.start()])
         at = found.end()
@@ -134,8 +192,10 @@ def parse(source: str) -> Node:
         if name not in BLOCK:
             if name in DROPPED and not found.group(3).endswith("/"):
                 inline += 1
-            elif name not in DROPPED and found.group(3) and Node(name, found.group(3)).dropped:
-                at = _skip(source, at, name)
+            elif name not in DROPPED and found.group(3):
+                inner = Node(name, found.group(3))
+                if inner.dropped or inner.marked == 2:
+                    at = _skip(source, at, name)
             continue
         inline = 0
         if name in ("html", "body"):
@@ -199,14 +259,33 @@ def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
     pairs of nodes in it."""
     if a.sign != b.sign:
         return 0, []
-    if [r.sign for r in a.runs] == [r.sign for r in b.runs]:  # the usual case needs no table
-        parts = [match(x, y) for x, y in zip(a.runs, b.runs)]
-        return 1 + sum(n for n, _ in parts), [(a, b), *(p for _, pairs in parts for p in pairs)]
-    rows, cols = len(a.runs), len(b.runs)
+    # equal heads and tails need no table
+    rows, cols, head = len(a.runs), len(b.runs), 0
+    while head < min(rows, cols) and a.runs[head].sign == b.runs[head].sign:
+        head += 1
+    tail = 0
+    while tail < min(rows, cols) - head and a.runs[rows - 1 - tail].sign == b.runs[cols - 1 - tail].sign:
+        tail += 1
+    sure = [(n, n) for n in range(head)] + [(rows - tail + n, cols - tail + n) for n in range(tail)]
+    left, right = a.runs[head : rows - tail], b.runs[head : cols - tail]
+    if len(left) * len(right) > CELLS:
+        names: dict[str, int] = {}
+        signs = [[names.setdefault(r.sign, len(names)) for r in runs] for runs in (left, right)]
+        sure[head:head] = [(head + i, head + j) for i, j in same_text(*signs)]
+        left = []
+    parts = [match(a.runs[i], b.runs[j]) for i, j in sure]
+    middle, between = _table(left, right) if left and right else (0, [])
+    found = [p for _, pairs in parts[:head] for p in pairs] + between + [p for _, pairs in parts[head:] for p in pairs]
+    return 1 + middle + sum(n for n, _ in parts), [(a, b), *found]
+
+
+def _table(left: list[Folded], right: list[Folded]) -> tuple[int, list[tuple[Folded, Folded]]]:
+    """The best match of two rows of siblings, whose pairs keep their order."""
+    rows, cols = len(left), len(right)
     best = [[(0, None)] * (cols + 1) for _ in range(rows + 1)]
     for i in range(1, rows + 1):
         for j in range(1, cols + 1):
-            n, pairs = match(a.runs[i - 1], b.runs[j - 1])
+            n, pairs = match(left[i - 1], right[j - 1])
             options = [(best[i - 1][j][0], "up"), (best[i][j - 1][0], "left"), (best[i - 1][j - 1][0] + n, pairs)]
             best[i][j] = max(options, key=lambda o: o[0]) if n else max(options[:2], key=lambda o: o[0])
     pairs, i, j = [], rows, cols
@@ -219,7 +298,7 @@ def match(a: Folded, b: Folded) -> tuple[int, list[tuple[Folded, Folded]]]:
         else:
             pairs[:0] = step
             i, j = i - 1, j - 1
-    return 1 + best[rows][cols][0], [(a, b), *pairs]
+    return best[rows][cols][0], pairs
 
 
 def same_text(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -338,7 +417,10 @@ def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", so
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and hidden
     elements are left out, by their elements and the words in their classes, ids and roles, as are nodes that
-    the host's pages have in common. Inside an article's header headings stay. White space within a block is one
+    the host's pages have in common, inside an article too. What holds an article, a main element or half of the page's
+    text is never left out for its class, nor is a form or header around it; inside an article a class must say
+    nothing but such a word, and paragraphs and headings stay. Inside an article's header headings stay. Texts of any
+    length are read whole; elements more than ``DEEPEST`` deep stand beside each other. White space within a block is one
     space; character references are decoded. Null and empty pages have an empty text. Pages with a null URL are
     one host. A host with few differing pages has no template. Repeated rows are extracted each, and copies of
     the reference page prove nothing about the template. Other columns are not read.

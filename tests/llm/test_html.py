@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from ledgerline.llm.html import Folded, extract_text, main_text, match, parse, same_text
@@ -73,3 +74,48 @@ def test_template_beside_like_siblings(spark):
 def test_alignment_of_siblings():
     assert same_text([1, 2, 3], [1, 9, 9, 3]) == [(0, 0), (2, 3)] and same_text([1, 2], [3]) == [] == same_text([], [1])
     assert same_text([5, 1, 2, 3], [1, 2, 3, 5]) == [(1, 0), (2, 1), (3, 2)] and same_text([7, 7], [7, 8, 7]) == [(0, 0), (1, 2)]
+
+
+def test_class_words_yield_to_the_article():
+    """A word that is part of a class is no reason to drop an article, what holds it, or most of a page."""
+    assert text('<div class="content with-sidebar"><article><p>Story</article></div>') == "Story"
+    assert text('<div class="layout-no-sidebar"><p>Story') == "Story"
+    assert text('<article><p class="form-factor">A</p><div class="cookie-recipe">B</div><h2 id="social-history">C</h2></article>') == "A\n\nB\n\nC"
+    assert text('<article><p>A</p><div class="share-buttons">x</div><div class="comments">y</div><span class="ad">z</span> B</article>') == "A\n\nB"
+    assert text("<form><nav>menu</nav><article><p>Story</article></form>") == "Story" == text('<div class="search-results"><article>Story</article></div>')
+    assert text("<form><p>all of the page</form>") == "all of the page" and text("<p>long enough a text</p><form><p>Name</form>") == "long enough a text"
+    assert text("<article><p>A long story.</article><div class=comments><article><p>Reader</article></div>") == "A long story."
+    assert text('<p>the text of a page</p><div class="site-footer">f</div><div class="left-sidebar">s</div>') == "the text of a page"
+    assert text("<p>a<math><mi>x</mi></math> tail words") == "a tail words"
+
+
+def test_long_rows_of_siblings():
+    """Rows of siblings are aligned in about linear time, and pairs keep their order."""
+    def tree(n, signs, extra=""):
+        return Folded([parse("".join(f"<{signs[i % len(signs)]}>{i}</{signs[i % len(signs)]}>" + (extra if i == n // 2 else "") for i in range(n)))])
+
+    assert match(tree(20_000, ["p", "h2"]), tree(19_990, ["p", "h2"], "<ul><li>x</ul>"))[0] > 19_000
+    one, other = tree(30_000, ["p", "h2", "pre"]), tree(30_000, ["pre", "p", "h2", "p"])
+    found, pairs = match(one, other)
+    places = [{id(r): n for n, r in enumerate(t.runs)} for t in (one, other)]
+    at = [(places[0][id(a)], places[1][id(b)]) for a, b in pairs[1:]]
+    assert found > 5_000 and at == sorted(at) and len({j for _, j in at}) == len(at)
+
+
+def test_table_equals_plain_matching():
+    """The largest match, against trying every choice."""
+    def plain(a, b):
+        if a.sign != b.sign:
+            return 0
+        rows = [[0] * (len(b.runs) + 1) for _ in range(len(a.runs) + 1)]
+        for i, x in enumerate(a.runs, 1):
+            for j, y in enumerate(b.runs, 1):
+                rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + plain(x, y))
+        return 1 + rows[-1][-1]
+
+    rng = random.Random(9)
+    page = lambda d: "".join(f"<{t}>{page(d - 1) if d and t == 'div' else t}</{t}>" for t in rng.choices(["div", "p", "ul", "h2"], k=rng.randrange(5)))
+    for _ in range(200):
+        a, b = Folded([parse(page(3))]), Folded([parse(page(3))])
+        found, pairs = match(a, b)
+        assert found == plain(a, b) == len(pairs)
