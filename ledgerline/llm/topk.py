@@ -24,6 +24,8 @@ SCALE = 64
 TREE, BLOCK = 8192, 512
 #: Pairs of a tree and a block, about 5 MB each, that a Python worker holds at once.
 PAIRS = 4
+#: Components are cut to this size.
+LARGEST = 2.0**62
 #: Rows that the routing objects are chosen from, and routing objects at most.
 SAMPLE, ROUTES = 2048, 256
 
@@ -36,7 +38,8 @@ def whole_vectors(table: DataFrame, key: str, vector: str, scale: int = SCALE) -
     """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    v = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    cut = lambda x: F.greatest(F.least(F.lit(scale) * x.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
+    v = F.transform(vector, lambda x: F.floor(cut(x)).cast("long"))
     return rows.select(F.col(key).cast("long").alias("key"), v.alias("v")).groupBy("key").agg(F.min("v").alias("v"))
 
 
@@ -134,11 +137,11 @@ def top_k(
     Ties go to the smaller key; a row with the query's own key is no candidate. Fewer candidates give fewer rows.
     Null vectors, vectors with null or non-finite components and null keys take no part; shorter vectors count
     as if they ended in zeros; a repeated key counts once, with its smallest vector. Scores are exact while
-    they stay below 2^53. Other columns are not read. An empty table gives an empty result.
+    they stay below 2^53; beyond, ranks and scores are those of double arithmetic. Components are cut to 2^62. Other columns are not read. An empty table gives an empty result.
     """
     rows = written(whole_vectors(table, key, vector, scale), "vectors")
     asked = written(whole_vectors(queries, key, vector, scale), "vectors")
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, size, reach = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     size = max(size or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
     if not n:
@@ -167,7 +170,7 @@ def top_k(
             at, place = np.nonzero(~np.isinf(best))
             out[0].append(ids[at])
             out[1].append(names[at, place])
-            out[2].append(best[at, place].astype(np.int64))
+            out[2].append(np.clip(best[at, place], -LARGEST, LARGEST).astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "key", "score"])
 
     pairs = met.join(trees, "tree").select("asked", "nodes", "counts", "keys", "gaps", "entries")

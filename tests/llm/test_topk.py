@@ -54,3 +54,13 @@ def test_odd_rows(spark):
     assert got[1] == [(6, 4096), (7, 0), (8, 0)] and set(got) == {1, 6, 7, 8}
     none = table.where("vec_id = 2")
     assert top_k(none, none).collect() == [] and top_k(table, none).collect() == [] and top_k(none, table).collect() == []
+
+
+def test_large_components(spark):
+    """A vector whose square does not fit 64 bits is searched like any other; scores below 2^53 are exact."""
+    rows = [(i, [float(i % 7), 1.0, float(-i)]) for i in range(60)] + [(100, [6e7, 0.5, 1.0]), (101, [-6e7, 2.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(top_k(table, table, k=5)) == brute(rows, [i for i, _ in rows], 5)
+    wild = spark.createDataFrame([*rows, (200, [1e300, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = result(top_k(wild, wild, k=5))
+    assert len(got) == 63 and got[1][0][0] == 200
