@@ -126,16 +126,20 @@ def dead_letters(spark, sf_dir):
 
 
 def _change_log(spark, sf_dir):
+    return apply_patches(*_log(spark, sf_dir, '{"seen":{}}', "/seen/"))
+
+
+def _log(spark, sf_dir, doc, place):
     """Every user has a document; an event sets a key of its own, an error replaces the purchase."""
     rows = table(spark, sf_dir, "events")
-    docs = rows.select(F.col("user_id").alias("doc_id")).distinct().withColumn("doc", F.lit('{"seen":{}}'))
+    docs = rows.select(F.col("user_id").alias("doc_id")).distinct().withColumn("doc", F.lit(doc))
     is_error = F.col("event_type") == "error"
     ops = rows.select(
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.when(is_error, "replace").otherwise("add").alias("op"),
-        F.concat(F.lit("/seen/"), F.when(is_error, "purchase").otherwise(F.col("event_type"))).alias("path"),
+        F.concat(F.lit(place), F.when(is_error, "purchase").otherwise(F.col("event_type"))).alias("path"),
         F.col("value").cast("string").alias("value"),
     )
-    return apply_patches(docs, ops)
+    return docs, ops
 
 
 _BAD = """
@@ -156,6 +160,23 @@ def patched(spark, sf_dir):
     return good.select("doc_id", F.explode(seen).alias("key", "value"))
 
 
+@query(
+    "patch_flat",
+    """
+WITH bad AS (
+  SELECT user_id FROM events GROUP BY user_id
+  HAVING min(event_id) FILTER (WHERE event_type = 'error') < coalesce(min(event_id) FILTER (WHERE event_type = 'purchase'), 1e18)),
+kept AS (
+  SELECT user_id, CASE event_type WHEN 'error' THEN 'purchase' ELSE event_type END AS key, max(event_id) AS last, min(event_id) AS first
+  FROM events WHERE user_id NOT IN (SELECT user_id FROM bad) GROUP BY ALL)
+SELECT user_id AS doc_id, '{"n": 0, ' || string_agg('"' || key || '": ' || last, ', ' ORDER BY first) || '}' AS doc FROM kept GROUP BY user_id""",
+)
+def flat(spark, sf_dir):
+    """Flat documents: the last writer of each entry stands, entries in the order in which they came."""
+    docs, ops = _log(spark, sf_dir, '{"n":0}', "/")
+    return apply_patches(docs, ops.withColumn("value", F.col("seq").cast("string")))[0]
+
+
 @query("patch_rejects", _BAD + "SELECT user_id AS doc_id, 'nothing at purchase' AS error FROM bad")
 def rejected(spark, sf_dir):
     return _change_log(spark, sf_dir)[1]

@@ -1,12 +1,13 @@
 """JSON patches: restated scenarios, and a long log on one document over many chunks."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.jsontext import canonical_json, extract_json_object, json_at
-from ledgerline.operators.patch import apply_patches
+from ledgerline.operators.patch import _flat, apply_folded, apply_patches, flat_patches
 
 
 def op(kind, path, value=None):
@@ -79,3 +80,34 @@ def test_extract_json_object(spark):
     df = spark.createDataFrame([(t, json.dumps(w) if w else None) for t, w in rows], "t string, want string")
     bad = df.filter(~canonical_json(extract_json_object("t")).eqNullSafe(canonical_json("want"))).collect()
     assert bad == []
+
+
+def test_flat_documents_need_no_fold(spark):
+    """Last writers by an aggregate without Python, the same texts and errors as the fold's."""
+    rng = random.Random(12)
+    values = [1, -3, 0, 1.5, 0.25, -7.125, True, None, "x y", "", 10**30, "it's"]
+    odd = [[1], {"a": 1}, "q\"t", "é", 1e300, 0.1 + 0.2]
+    keys = ["a", "b", "c d", "", "e.f", "0"]
+    docs, ops = [], []
+    for n in range(300):
+        doc = {k: rng.choice(values) for k in rng.sample(keys, rng.randrange(5))}
+        if n % 7 == 0:
+            doc[rng.choice(["a", "x/y", "ü"])] = rng.choice(odd)
+        docs.append((n, json.dumps(doc, separators=rng.choice([(", ", ": "), (",", ":")]))))
+        for i in range(rng.choice([0, 1, 3, 12])):
+            kind = rng.choice(["add", "add", "add", "replace", "replace"]) if n % 5 else rng.choice(["add", "replace", "remove", "test"])
+            value = json.dumps(rng.choice(values if n % 3 else values + odd))
+            ops.append((n, i, kind, "/" + rng.choice(keys + (["a/b", "x~1y"] if n % 4 == 0 else [])), value if rng.random() < 0.9 else None))
+    docs += [(900, None), (901, "[1]"), (902, "{broken"), (903, '{"a": 1, "a": 2}'), (904, "{}")]
+    ops += [(999, 0, "add", "/a", "1"), (904, 0, None, "/a", "1"), (904, 1, "add", None, "1")]
+    rng.shuffle(ops)
+    d = spark.createDataFrame(docs, "doc_id long, doc string")
+    o = spark.createDataFrame(ops, "doc_id long, seq long, op string, path string, value string").repartition(5)
+    got, want = apply_patches(d.filter("doc is not null"), o), apply_folded(d.filter("doc is not null"), o)
+    for one, other in zip(got, want):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    native = flat_patches(d, o)
+    told = {r.doc_id for r in native.filter("plain").collect()}
+    assert 50 < len(told) < 300 and "Python" not in native._jdf.queryExecution().toString() and "Arrow" not in native._jdf.queryExecution().toString()
+    flat = d.select("doc_id", _flat(F.col("doc")).alias("flat"))
+    assert [r.flat for r in flat.filter("doc_id >= 900").orderBy("doc_id").collect()] == [False, False, False, False, True]
