@@ -108,8 +108,9 @@ def chosen(usages: Iterable[tuple[str, dict]]) -> tuple[str, dict] | None:
 class Stretches:
     """The stretches of one file of a stream, as they come in: ``[seq, next, tally]``, in order, none overlapping.
 
-    Neighbours merge. New rows take the place of older ones that they cover, so a file that is read again after it grew,
-    or a batch that is run again, counts once.
+    Neighbours merge. New rows take the place of older ones that they cover, and rows within a stretch that is held
+    were counted already, so a file that is read again after it grew, or a batch that is run again, counts once. Of
+    stretches that overlap otherwise, as no file that only grows gives them, the newer stands.
     """
 
     def __init__(self, held: str | None = None):
@@ -120,6 +121,7 @@ class Stretches:
 
     def take(self, rows: list[tuple[int, int, Tally]]) -> None:
         new = self._joined(sorted(rows, key=lambda r: r[:2]))
+        new = [r for r in new if not any(a <= r[0] and r[1] <= b and (a, b) != r[:2] for a, b, _ in self.parts)]
         free = lambda s, n: all(n <= a or b <= s for a, b, _ in new)
         self.parts = self._joined(sorted([*new, *(p for p in self.parts if free(p[0], p[1]))], key=lambda r: r[:2]))
 

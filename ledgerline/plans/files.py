@@ -171,6 +171,21 @@ def streamed_usage(spark, sf_dir):
     return read_upserts(spark, out).select(*ATTEMPT_KEYS, "source", "usage.input")
 
 
+@query(
+    "harvest_values",
+    """
+SELECT (doc_id // 16) || '' AS run_id, 'cli' AS source, max(n_chars) AS input FROM documents GROUP BY doc_id // 16""",
+)
+def values_over_lines(spark, sf_dir):
+    """Every stream is one JSON list over many lines, text with brackets and quotes in it included."""
+    root = scratch_path(spark, "values")
+    usage = F.struct(F.lit("result").alias("type"), F.struct(F.col("n_chars").alias("input_tokens")).alias("usage"), F.col("text").alias("note"))
+    rows = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 16)).cast("string").alias("run"), "doc_id", usage.alias("value"))
+    lists = rows.groupBy("run").agg(F.to_json(F.collect_list("value"), {"pretty": "true"}).alias("text"))
+    write_files(lists.select(F.concat("run", F.lit("/stdout")).alias("path"), "text"), root)
+    return harvest(log_lines(spark, root), whole=False).select("run_id", "source", "usage.input")
+
+
 @query(
     "stream_errors",
     f"""

@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerline import fixed_values as V
+from ledgerline.functions.jsonshape import OUTSIDE, one_value, shape, shapes
 from ledgerline.functions.keys import fold_key
 from ledgerline.functions.text import file_stem, strip, task_tag
 from ledgerline.operators.intervals import within
@@ -211,13 +214,84 @@ def log_texts(spark: SparkSession, root: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
     """Captured streams line by line, as ``log_texts``, but ``seq`` is the byte that a line begins at and ``next`` the one
-    after it, so that lines of a file are known to follow each other. Long files are split among tasks."""
+    after it, so that lines of a file are known to follow each other. Long files are split among tasks.
+
+    A file that is one JSON value over several lines is one row, with ``whole``; that it is one is found out in pieces.
+    """
     store, files = run_files(spark, root, **_STREAM_DEPTH)
     kept = staged(_streams(files).select(*_STREAM[:-1], "path", "length", "error"), "files")
     total, count = kept.agg(F.sum("length"), F.count(F.lit(1))).first()
-    splits = _splits(kept)
-    tasks = _tasks(total, max(count, math.ceil((total or 0) / SPLIT_BYTES)), spark)
-    return _lines(store, splits.repartition(tasks, "path", "start"))
+    tasks = lambda b, n: _tasks(b, max(n, math.ceil((b or 0) / SPLIT_BYTES)), spark)
+    began = staged(_begun(store, kept.repartition(tasks(0, count), "path")), "begun")  # those that may be one value
+    some, held = began.agg(F.count(F.lit(1)), F.sum("length")).first()
+    whole = staged(_wholes(store, began, tasks(held, some)), "whole") if some else None
+    lined = kept if whole is None else kept.join(whole, "path", "left_anti")
+    lines = _lines(store, _splits(lined).repartition(tasks(total, count), "path", "start")).withColumn("whole", F.lit(False))
+    if whole is None:
+        return lines
+    texts = _read(store, kept.join(whole, "path"))
+    return lines.unionByName(texts.select(
+        *_STREAM[:-1], F.lit(0).cast("long").alias("seq"), F.col("length").alias("next"), "text", "error", F.lit(True).alias("whole")
+    ))
+
+
+def _begun(store: str, files: DataFrame) -> DataFrame:
+    """``(path, length)`` of files that begin with a bracket which their first line does not close."""
+
+    def opens(path: str) -> bool:
+        with opened(store, path) as source:
+            data = b""
+            while b"\n" not in data.lstrip():
+                more = source.read(1 << 16)
+                if not more:
+                    return False
+                data = data.lstrip() + more
+        line = data.lstrip().split(b"\n", 1)[0]
+        return line[:1] in (b"{", b"[") and not one_value([(False, shapes(line, True))]) and shape(line, OUTSIDE)[1] > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for path, error in zip(batch.column("path").to_pylist(), batch.column("error").to_pylist()):
+                try:
+                    keep.append(error is None and opens(path))
+                except OSError:
+                    keep.append(False)  # reading it as lines gives the error
+            yield batch.select(["path", "length"]).filter(pa.array(keep, pa.bool_()))
+
+    return files.mapInArrow(run, "path string, length long")
+
+
+_SHAPE = "array<struct<state: int, depth: int, low: int, seen: boolean, last: boolean>>"
+
+
+def _wholes(store: str, files: DataFrame, tasks: int) -> DataFrame:
+    """``path`` of the files whose brackets make one value, each summarised in pieces by as many tasks as there are."""
+    names = ("state", "depth", "low", "seen", "last")
+    made = T.StructType.fromDDL(f"path string, start long, blank boolean, shapes {_SHAPE}")
+    arrow = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop"))):
+                try:
+                    with opened(store, path) as source:
+                        source.seek(start)
+                        piece = source.read(stop - start)
+                except OSError:
+                    continue
+                rows = [{"path": path, "start": start, "blank": not piece.strip(), "shapes": [dict(zip(names, x)) for x in shapes(piece, start == 0)]}]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    pieces = _splits(files).repartition(tasks, "path", "start").mapInArrow(run, made)
+    each = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "blank", "shapes"))).alias("pieces"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[(p["blank"], [tuple(x[n] for n in names) for x in p["shapes"]]) for p in row] for row in batch.column("pieces").to_pylist()]
+            yield batch.select(["path"]).filter(pa.array([one_value(r) for r in rows], pa.bool_()))
+
+    return each.mapInArrow(fold, "path string")
 
 
 def log_line_stream(spark: SparkSession, root: str, **options) -> DataFrame:

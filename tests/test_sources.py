@@ -9,6 +9,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.jsonshape import one_value, shapes
 from ledgerline.functions.text import task_tag
 from ledgerline.operators.manifest import manifest, manifest_rejects, repo_chars, suite_size, work_size
 from ledgerline.operators.reports import first_error, parse_reports
@@ -139,6 +140,55 @@ def test_other_stores(spark, tmp_path):
     assert store == "" and found.first().file == "stdout"
 
 
+def test_values_over_many_splits(spark, tmp_path, monkeypatch):
+    """A stream that is one JSON value is one, however its lines and splits fall; others are lines."""
+    monkeypatch.setattr(sources, "SPLIT_BYTES", 64)
+    big = json.dumps({"note": 'quotes " and \\ and } here ' * 9, "type": "result", "usage": {"input_tokens": 77, "x": [{}, []]}}, indent=3)
+    listed = json.dumps([{"type": "turn.completed", "usage": {"input_tokens": n}, "pad": "p" * 40} for n in (9, 5, 3)], indent=1)
+    turns = "".join(json.dumps({"type": "turn.completed", "usage": {"input_tokens": n}}) + "\n" for n in (4, 9, 2))
+    files = {
+        "big/stdout": big + "\n\n  ", "list/t/2/stdout": "\n " + listed, "lines/stdout": turns, "plain/stderr": "{ not json\n" + turns,
+        "two/stdout": big + "\n" + big, "cut/stdout": big[:-2], "tail/stdout": big + "\nend", "empty/stdout": "", "open/stdout": "{\n" * 30,
+        "one/stdout": big.replace("\n", " "), "closed/stdout": big + "}", "blank/stdout": "\n" * 500,
+    }
+    root = put(tmp_path / "runs", files)
+    got = log_lines(spark, root)
+    assert {r.run_id for r in got.filter("whole").collect()} == {"big", "list"}
+    assert {r.text for r in got.filter("run_id = 'big'").collect()} == {files["big/stdout"]}
+    by_lines = {(r.run_id, r.attempt): r.usage["input"] for r in harvest(got, whole=False).collect()}
+    assert by_lines == {(r.run_id, r.attempt): r.usage["input"] for r in harvest(log_texts(spark, root)).collect()}
+    assert by_lines[("big", 1)] == 77 and by_lines[("list", 2)] == 17 and by_lines[("lines", 1)] == 15 and ("cut", 1) not in by_lines
+
+
+def test_shape_of_pieces():
+    """Cut anywhere, a text is one value or not as it is in one piece; and as a plain scan says."""
+    def plain(text):
+        depth, inside, k, text = 0, False, 0, text.strip()
+        while k < len(text):
+            c = text[k]
+            if inside:
+                k += c == "\\"
+                inside = c != '"'
+            elif c == '"':
+                inside = True
+            elif c in "{[":
+                depth += 1
+            elif c in "]}":
+                depth -= 1
+                if depth < 1:
+                    return depth == 0 and k == len(text) - 1
+            k += 1
+        return False
+
+    rng = random.Random(3)
+    for _ in range(2_000):
+        text = "{" + "".join(rng.choice('{}[]"\\ a\n') for _ in range(rng.randrange(14))) + rng.choice(["}", "} ", '"}', "]\n \n", ""])
+        data = text.encode()
+        for size in (1, 2, 5, 100):
+            pieces = [(not p.strip(), shapes(p, not n)) for n in range(0, len(data), size) for p in [data[n : n + size]]]
+            assert one_value(pieces) == plain(text), (text, size)
+
+
 def test_lines_of_splits():
     """Every line once, whatever the borders, line ends and gaps; places are the bytes they begin at."""
     rng = random.Random(4)

@@ -1,6 +1,8 @@
 """Usage out of log text: dialects, messy streams, sources and precedence."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from ledgerline import fixed_values as V
 from ledgerline.functions.keys import BUCKETS, bucket_of, classify_key
 from ledgerline.operators import tally
 from ledgerline.operators.decode import extract_blobs
-from ledgerline.operators.usage import harvest, harvest_texts, read_nodes, best_usage, sum_attempts
+from ledgerline.operators.usage import harvest, harvest_texts, read_nodes, best_usage, sum_attempts, tallies
+from ledgerline.session import shared_folder
 
 
 def lines(*objs):
@@ -169,3 +172,44 @@ def test_classify_key(spark):
     df = spark.createDataFrame(cases, "k string, p string, want string").withColumn("got", classify_key("k", "p"))
     assert df.filter(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
     assert [(k, p) for k, p, want in cases if bucket_of(k, p) != want] == []
+
+
+def test_plan_of_the_harvest(spark, tmp_path):
+    """Records are summed up before anything is shuffled: no window, no sort of records, nothing written in between."""
+    texts = text_rows(spark, [("a", "cli", "", "stdout", i, lines(turn(i, 1))) for i in range(200)])
+    before = set(os.listdir(shared_folder(spark)))
+    out = harvest_texts(texts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1 and set(os.listdir(shared_folder(spark))) == before
+    found = tallies(texts.coalesce(1), ["run_id"]).collect()
+    assert len(found) == 1 and found[0].turns == 200 and found[0].sums["input"] == sum(range(200))
+
+
+def test_tally_merges_as_it_adds():
+    """Any cut of a text into stretches, in any order of arrival, gives what adding its records one by one does."""
+    rng = random.Random(7)
+    for _ in range(500):
+        records = [(rng.choice(["turn", "turn", "session", "unknown", "group"]),
+                    dict(zip(BUCKETS, (rng.choice([1, 5, 5, 9, 2**63 - 1]), rng.randrange(3), 0, rng.randrange(2), rng.randrange(2)))), rng.random() < 0.2)
+                   for _ in range(rng.randrange(1, 9))]
+        whole = tally.Tally()
+        for record in records:
+            whole.add(*record)
+        cuts = sorted({0, len(records), *(rng.randrange(len(records) + 1) for _ in range(3))})
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = tally.Tally()
+            for record in records[a:b]:
+                part.add(*record)
+            parts.append((a, b, part))
+        merged = tally.Tally()
+        for _, _, part in parts:
+            merged.merge(part)
+        assert merged.values() == whole.values()
+        held = tally.Stretches()
+        rng.shuffle(parts)
+        for part in parts + parts[:1]:  # one comes again
+            held.take([part])
+            held = tally.Stretches(held.dump())
+        assert [(s, n, t.values()) for s, n, t in held.parts] == [(0, len(records), whole.values())]
+        assert tally.settled(t for _, _, t in sorted(parts, key=lambda p: p[:2])) == tally.settled([whole])
