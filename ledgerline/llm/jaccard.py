@@ -6,12 +6,16 @@ That product is never formed whole:
 1. Mask. The n-grams of a row are put in one global order. Two sets that are alike enough share an n-gram among the
    first few of both, as many as the sizes allow them to differ in, and at the first one they share both have room for
    the overlap that their sizes ask for. Entries outside that mask cannot reach the bound and are discarded unseen.
-2. Product. Masked entries are dealt into tiles, a block of rows by a block of rows of bounded size. A row goes to a
-   tile once, however many entries it has there; the tile's n-grams get local numbers, and the overlaps of a row with
-   others are gathered and added up over its nonzeros.
-3. What is asked for are the groups that links make. So each column of the mask is first joined to one row per size
-   band; links found are contracted, and a second product takes the masked entries between different groups that are
-   left, long columns in pieces of bounded size. A group of any size costs about as many entries as it has rows.
+2. Product. Masked entries are dealt into tiles, a block of rows by a block of rows of bounded size; rows whose first
+   shared n-gram is the same stand in the same block, as far as it holds them. A row goes to a tile once, however many
+   entries it has there; the tile's n-grams get local numbers, and the overlaps of a row with
+   others are gathered and added up over its nonzeros. The columns are taken in two blocks: first the heads of the rows,
+   after which entries that the rest cannot lift to the bound are discarded, then whole rows for what is left.
+3. What is asked for are the groups that links make. So each column of the mask first meets one of its rows per size
+   band, the one with the fewest n-grams of its own, and a row takes only the ``HUBS`` of these that it meets most often, of which the ``BEST`` by their heads are
+   compared whole. Links found are contracted, and a second product takes all masked entries between different groups
+   that are left, long columns in pieces of bounded size. So a group of any size costs about as many entries as it has
+   rows, and what the choice of hubs misses is still found.
 
 The order puts n-grams that are frequent in one of ``SAMPLE`` documents last. It is fitted on that sample, bounded to
 ``FREQUENT`` n-grams, and changes only how many entries the mask has, never the result.
@@ -24,17 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, components, shingles, space_words, written
+from ledgerline.llm.common import WordHashes, batch_rows, components, shingles, space_words, written
 
 #: One of so many documents is sampled for the order of n-grams; those in ``OFTEN`` of them are frequent.
 SAMPLE, OFTEN, FREQUENT = 32, 3, 500_000
 #: Texts that are worked on at once; n-grams of a block of rows; rows of a piece of a long column.
-TEXTS, BLOCK, PIECE = 256, 1_000_000, 256
-#: Ids that are sent to all executors; above, rows are shuffled.
-BROADCAST_IDS = 200_000
+TEXTS, BLOCK, PIECE = 256, 500_000, 256
+HUBS, BEST = 6, 3
+#: Hashes of words that a task keeps.
+WORDS = 200_000
+#: Rows of ids and a few numbers that are sent to all executors, at most about 40 MB; above, both sides are shuffled.
+BROADCAST_IDS = 500_000
+#: Sets with more than this share of all rows, so at most as many as its inverse, are joined to their rows by broadcast.
+HOT_SHARE = 1 / 1000
 
 
 def _arrays(found: list[np.ndarray]) -> pa.Array:
@@ -47,6 +56,12 @@ def _print(hashes: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
+def _word_hashes() -> WordHashes:
+    hashes = WordHashes()
+    hashes.LIMIT = WORDS
+    return hashes
+
+
 def _mapped(rows: DataFrame, each, schema: str) -> DataFrame:
     """``each`` over few texts at a time, as they may be long."""
 
@@ -59,14 +74,23 @@ def _mapped(rows: DataFrame, each, schema: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """``(fp, hashes)``: the n-grams of each text as sorted 64-bit hashes, and their fingerprint; no row if it has none."""
-    hashes = WordHashes()
+    """``(fp, hashes)``: the n-grams of the texts as sorted 64-bit hashes, and their fingerprint. A text without any has
+    no row, and a task lists equal texts once."""
+    hashes = _word_hashes()
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [s for t in batch.column(0).to_pylist() if len(s := shingles(space_words(t), size, hashes))]
-        return pa.RecordBatch.from_arrays([pa.array(map(_print, found), pa.binary()), _arrays(found)], names=["fp", "hashes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                found: dict[bytes, np.ndarray] = {}
+                for t in batch.column(0).slice(start, TEXTS).to_pylist():
+                    grams = shingles(space_words(t), size, hashes)
+                    if len(grams) and (fp := _print(grams)) not in seen:
+                        seen.add(fp)
+                        found[fp] = grams
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _arrays(list(found.values()))], names=["fp", "hashes"])
 
-    return _mapped(docs.select(F.col(text).alias("text")), each, "fp binary, hashes array<bigint>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "fp binary, hashes array<bigint>")
 
 
 def _frequent(docs: DataFrame, key: str, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,34 +103,57 @@ def _frequent(docs: DataFrame, key: str, text: str, size: int) -> tuple[np.ndarr
 
 
 def _heads(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(key, fp, n, head)``: fingerprint and size of each set, and its first n-grams in the global order."""
+    """``(key, fp, n, head, power)``: fingerprint and size of each set, and its first n-grams in the global order with the
+    frequency class of the last one."""
     often, power = _frequent(docs, key, text, size)
-    hashes = WordHashes()
+    hashes = _word_hashes()
 
-    def head(s: np.ndarray) -> np.ndarray:
+    def head(s: np.ndarray) -> tuple[np.ndarray, int]:
         length = len(s) - -(-percent * len(s) // 100) + 1
         if not len(often) or not len(s):
-            return s[:length]
+            return s[:length], 0
         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
         rank = np.where(often[at] == s, power[at], 0)
-        return s[np.argsort(rank, kind="stable")[:length]]
+        first = np.argsort(rank, kind="stable")[:length]
+        return s[first], int(rank[first[-1]])
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(space_words(t), size, hashes) for t in batch.column(1).to_pylist()]
+        heads, powers = zip(*map(head, found))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(_print, found), pa.binary()), pa.array([len(s) for s in found], pa.int64()), _arrays([head(s) for s in found])],
-            names=["key", "fp", "n", "head"],
+            [batch.column(0), pa.array(map(_print, found), pa.binary()), pa.array([len(s) for s in found], pa.int64()), _arrays(heads),
+             pa.array(powers, pa.int32())],
+            names=["key", "fp", "n", "head", "power"],
         )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return _mapped(rows, each, f"key {dict(docs.dtypes)[key]}, fp binary, n long, head array<bigint>")
+    return _mapped(rows, each, f"key {dict(docs.dtypes)[key]}, fp binary, n long, head array<bigint>, power int")
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table for a join: broadcast up to ``BROADCAST_IDS`` rows of a few numbers each, else shuffled."""
+    return F.broadcast(table) if rows <= BROADCAST_IDS else table
 
 
 def _mask(classes: DataFrame) -> DataFrame:
-    """``(x, id, n, i)``: n-gram x stands at place i of the order in row id, and in the head of another row too."""
+    """``(x, id, n, i, rows, block)``: n-gram x stands at place i of the order in row id, and in the heads of ``rows`` rows.
+
+    The block of a row is that of its first n-gram here. Rows with the same one are split among blocks if they are more
+    than a block holds.
+    """
     entries = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("i", "x"))
     shared = classes.select(F.explode("head").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return entries.join(shared, "x").select("x", "id", "n", "i", "rows")
+    mask = entries.join(shared, "x").withColumn("first", F.min_by("x", "i").over(Window.partitionBy("id")))
+    mask = written(mask.select("x", "id", "n", "i", "rows", "first"), "mask")
+    held = mask.where("x = first").groupBy("first").agg(F.sum("n").alias("cells"))
+    total = held.agg(F.sum("cells")).first()[0] or 0
+    blocks = max(1, -(-int(total) // BLOCK))
+    large = held.where(F.col("cells") > BLOCK).select("first", F.ceil(F.col("cells") / BLOCK).alias("parts"))
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), "parts")).otherwise(F.lit(0))
+    placed = mask.join(_small(large, blocks), "first", "left").withColumn(  # no more of them than blocks
+        "block", F.pmod(F.xxhash64("first", part), F.lit(blocks))
+    )
+    return placed.drop("first", "parts")
 
 
 def _fits(percent: int) -> Column:
@@ -114,17 +161,28 @@ def _fits(percent: int) -> Column:
     return F.expr(f"least(p.n - p.i, q.n - q.i) >= ceil({percent} * (cast(p.n as bigint) + q.n) / {100 + percent})")
 
 
-def _tile(percent: int):
-    def overlaps(entries, rows):
-        """The links among the masked entries of a tile: rows of the incidence matrix times others."""
-        ids = rows["id"].to_numpy()
-        lists = rows["hashes"].combine_chunks()
+def _tile(percent: int, whole: bool):
+    """The product of a tile: its masked entries that reach the bound, or, from heads, those that still may."""
+
+    def kept(overlap: np.ndarray, a: np.ndarray, b: int, rows: dict) -> np.ndarray:
+        n, length = rows["n"], rows["length"]
+        if whole:
+            return 100 * overlap >= percent * (n[a] + n[b] - overlap)
+        # the order is the same for all rows, so what the two heads do not show lies behind the one that ends first
+        ends_first = (rows["power"][a] < rows["power"][b]) | ((rows["power"][a] == rows["power"][b]) & (rows["last"][a] < rows["last"][b]))
+        rest = np.where(ends_first, n[a] - length[a], n[b] - length[b])
+        return (100 + percent) * (overlap + rest) >= percent * (n[a] + n[b])
+
+    def overlaps(entries, table):
+        ids = table["id"].to_numpy()
+        lists = table["hashes"].combine_chunks()
         starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        columns = np.unique(flat, return_inverse=True)[1]
+        columns = np.unique(flat[starts[0]:starts[-1]], return_inverse=True)[1]
+        starts = starts - starts[0]
+        rows = {"n": table["n"].to_numpy(), "power": table["power"].to_numpy(), "length": np.diff(starts), "last": flat[lists.offsets.to_numpy()[1:] - 1]}
         order = np.argsort(ids)
         a, b = (order[np.searchsorted(ids, entries[side].to_numpy(), sorter=order)] for side in "ab")
-        n = np.diff(starts)
-        linked = np.zeros(len(a), bool)
+        linked, shared = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
         by_b = np.argsort(b, kind="stable")
         marked = np.zeros(int(columns.max(initial=-1)) + 1, np.int64)
         hubs, firsts = np.unique(b[by_b], return_index=True)
@@ -133,43 +191,70 @@ def _tile(percent: int):
             marked[own] = 1
             for begin in range(first, last, 1024):  # so many rows at a time
                 here = by_b[begin:min(begin + 1024, last)]
-                sizes = n[a[here]]
+                sizes = rows["length"][a[here]]
                 ends = np.cumsum(sizes)
                 places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(starts[a[here]], sizes)
                 overlap = np.add.reduceat(marked[columns[places]], ends - sizes)
-                linked[here] = 100 * overlap >= percent * (sizes + len(own) - overlap)
+                linked[here], shared[here] = kept(overlap, a[here], hub, rows), overlap
             marked[own] = 0
-        return entries.select(["a", "b"]).filter(pa.array(linked))
+        return entries.select(_ENTRY).append_column("shared", pa.array(shared)).filter(pa.array(linked))
 
     return overlaps
 
 
-def _product(entries: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The entries ``(a, b)`` whose overlap reaches the bound, from whole sets, tile by tile."""
-    entries = written(entries, "entries")
-    ids = entries.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = written(classes.join(ids, "id", "left_semi").select("id", F.col("key").alias("__key"), "fp", "n"), "chosen")
-    count, cells = chosen.agg(F.count(F.lit(1)), F.sum("n")).first()
-    few = F.broadcast(chosen) if count <= BROADCAST_IDS else chosen
+def _in_tiles(entries: DataFrame, rows: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """The entries ``(a, b, block_a, block_b, shared)`` that the product over ``rows`` (``id, n, hashes, power``) keeps."""
+    ends = F.array(*[F.struct(F.col(c).alias("id")) for c in "ab"])
+    needed = entries.select(F.col("block_a").alias("down"), F.col("block_b").alias("across"), F.inline(ends))
+    needed = written(needed.distinct(), "needed")
+    shipped = _small(needed, needed.count()).join(rows, "id")
+    return entries.groupBy("block_a", "block_b").cogroup(shipped.groupBy("down", "across")).applyInArrow(
+        _tile(percent, whole), "a long, b long, block_a long, block_b long, shared long"
+    )
+
+
+def _first(entries: DataFrame, by: str, most: int) -> DataFrame:
+    """The entries of each row a with the largest numbers."""
+    order = Window.partitionBy("a").orderBy(F.desc(by), "b")
+    return entries.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(*_ENTRY)
+
+
+def _product(
+    entries: DataFrame, best: int | None, docs: DataFrame, suspects: DataFrame, key: str, text: str, size: int, percent: int
+) -> DataFrame:
+    """The entries whose overlap reaches the bound: by heads first, then, of all or the ``best`` of each row a, from whole
+    sets."""
+    entries = written(entries.select(*_ENTRY), "entries")
+    kept = _in_tiles(entries, suspects.select("id", "n", F.col("head").alias("hashes"), "power"), percent, False)
+    entries = written(kept.select(*_ENTRY) if best is None else _first(kept, "shared", best), "entries")
+    ids = written(entries.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    chosen = written(suspects.join(_small(ids, ids.count()), "id", "left_semi").select("id", F.col("key").alias("__key"), "fp", "n", "power"), "chosen")
+    few = _small(chosen, chosen.count())
     texts = docs.join(few.select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
     # a key may be repeated with other texts; the fingerprint tells which is meant
-    sets = _sets(texts, text, size).join(few.select("id", "fp"), "fp")
-    sets = written(sets.groupBy("id").agg(F.any_value("hashes").alias("hashes")), "rows")
-    blocks = max(1, -(-int(cells or 0) // BLOCK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = entries.select("a", "b", block("a").alias("i"), block("b").alias("j"))
-    needed = placed.select(F.col("i").alias("down"), F.col("j").alias("across"), F.explode(F.array("a", "b")).alias("id"))
-    rows = needed.distinct().join(sets, "id")
-    return placed.groupBy("i", "j").cogroup(rows.groupBy("down", "across")).applyInArrow(_tile(percent), "a long, b long")
+    sets = _sets(texts, text, size).join(few.select("id", "fp", "n", "power"), "fp")
+    with batch_rows(docs.sparkSession, TEXTS):
+        sets = written(sets.drop("fp"), "rows")
+    return _in_tiles(entries, sets, percent, True).select("a", "b")
+
+
+#: A masked entry: two rows and their blocks.
+_ENTRY = ["a", "b", "block_a", "block_b"]
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(name) for c, names in (("id", "ab"), ("block", ("block_a", "block_b"))) for side, name in zip((a, b), names)]
 
 
 def _links(classes: DataFrame, mask: DataFrame, product, percent: int) -> DataFrame:
     """``(id, root)`` of all rows that links lead to another from."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
     banded = mask.withColumn("band", band)
-    first = banded.groupBy("x", "band").agg(F.min(F.struct("id", "n", "i")).alias("q")).select("x", "band", "q.*")
-    star = banded.alias("p").join(first.alias("q"), F.expr("p.x = q.x and p.band = q.band and p.id > q.id") & _fits(percent))
-    links = written(product(star.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()), "links")
+    # the row with the fewest rarer n-grams of its own is likest to the others
+    first = banded.groupBy("x", "band").agg(F.min(F.struct("i", "id", "n", "block")).alias("q")).select("x", "band", "q.*")
+    star = banded.alias("p").join(first.alias("q"), F.expr("p.x = q.x and p.band = q.band and p.id <> q.id") & _fits(percent))
+    met = star.groupBy(*_pair("p", "q")).agg(F.count(F.lit(1)).alias("met"))
+    links = written(product(_first(met, "met", HUBS), BEST), "links")
     roots = written(components(links).withColumnRenamed("node", "id"), "roots")
     rooted = mask.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("x").agg(F.min("root").alias("u"), F.max("root").alias("w")).where("u <> w").select("x")
@@ -180,10 +265,11 @@ def _links(classes: DataFrame, mask: DataFrame, product, percent: int) -> DataFr
     left = cut.withColumns({"s": F.col("own"), "t": F.explode(F.expr("sequence(own, k - 1)"))}).alias("p")
     right = cut.withColumns({"s": F.explode(F.expr("sequence(0, own)")), "t": F.col("own")}).alias("q")
     meet = F.expr("p.x = q.x and p.s = q.s and p.t = q.t and p.root <> q.root and (p.s < p.t or p.id < q.id)")
-    across = left.join(right, meet & _fits(percent)).select(
-        F.greatest("p.id", "q.id").alias("a"), F.least("p.id", "q.id").alias("b")
-    ).distinct()
-    more = written(product(across), "links")
+    both = left.join(right, meet & _fits(percent))
+    ends = [F.struct(f"{side}.id", f"{side}.block") for side in "pq"]
+    both = both.select(F.greatest(*ends).alias("p"), F.least(*ends).alias("q"))
+    across = both.select(*_pair("p", "q")).distinct()
+    more = written(product(across, None), "links")
     if not more.head(1):
         return roots
     end = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
@@ -209,21 +295,31 @@ def jaccard_join(
     """
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be in 1..100 and words positive")
-    rows = written(_heads(docs, key, text, words, percent), "heads")
+    with batch_rows(docs.sparkSession, TEXTS):
+        rows = written(_heads(docs, key, text, words, percent), "heads")
     classes = rows.where("n > 0").groupBy("fp").agg(
-        F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("head").alias("head")
+        F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("head").alias("head"), F.any_value("power").alias("power")
     )
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # ids hold once written
     mask = written(_mask(classes), "mask")
-    product = lambda entries: _product(entries, docs, classes, key, text, words, percent)
+    ids = written(mask.select("id").distinct(), "ids")
+    suspects = written(classes.join(_small(ids, ids.count()), "id", "left_semi"), "suspects")
+    product = lambda entries, best: _product(entries, best, docs, suspects, key, text, words, percent)
     roots = written(_links(classes, mask, product, percent), "roots")
     named = roots.join(classes.select("id", "key", "fp"), "id")
     low = named.groupBy("root").agg(F.min("key").alias("low"))
     linked = named.join(low, "root").select("fp", "low")
-    of_class = classes.select("fp", F.col("key").alias("least")).join(linked, "fp", "left").select(
-        "fp", F.coalesce("low", "least").alias("component")
+    of_class = classes.select("fp", F.col("key").alias("least"), "copies").join(linked, "fp", "left").select(
+        "fp", F.coalesce("low", "least").alias("component"), "copies"
+    )
+    # sets that a large share of the rows have are few; they go to the rows, not the rows to them
+    hot = F.col("copies") > F.lit(HOT_SHARE) * rows.count()
+    of_class = written(of_class.withColumn("hot", hot).drop("copies"), "components")
+    few = F.broadcast(of_class.where("hot").drop("hot"))
+    named = rows.join(few, "fp").unionByName(
+        rows.join(few, "fp", "left_anti").join(of_class.where("not hot").drop("hot"), "fp", "left")
     )
-    return rows.join(of_class, "fp", "left").select(
+    return named.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"),
     )

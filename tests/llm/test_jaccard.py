@@ -31,10 +31,12 @@ def planted(documents):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,often,block,piece", [(4, 85, 3, 1_000_000, 256), (4, 85, 1, 3000, 5), (2, 70, 1, 500, 2), (1, 100, 9, 2000, 7)])
-def test_components_equal_brute_force(spark, monkeypatch, planted, words, percent, often, block, piece):
-    """The same whatever the order of n-grams, the size of tiles and of pieces of long columns."""
-    for name, value in (("OFTEN", often), ("BLOCK", block), ("PIECE", piece), ("SAMPLE", 4)):
+@pytest.mark.parametrize("words,percent,often,block,piece,hubs", [
+    (4, 85, 3, 1_000_000, 256, 6), (4, 85, 1, 3000, 5, 1), (2, 70, 1, 500, 2, 2), (1, 100, 9, 2000, 7, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, planted, words, percent, often, block, piece, hubs):
+    """The same whatever the order of n-grams, the size of tiles and of pieces of long columns, and the number of hubs."""
+    for name, value in (("OFTEN", often), ("BLOCK", block), ("PIECE", piece), ("SAMPLE", 4), ("HUBS", hubs), ("BEST", min(hubs, 3)),
+                        ("BROADCAST_IDS", 500_000 if hubs > 1 else 10)):
         monkeypatch.setattr(jaccard, name, value)
     docs = spark.createDataFrame(planted, "doc_id long, text string")
     got = jaccard_join(docs, words=words, percent=percent).collect()
@@ -46,12 +48,18 @@ def test_components_equal_brute_force(spark, monkeypatch, planted, words, percen
 def test_product_of_a_tile():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)]
-    rows = pa.table({"id": pa.array([7 * i for i in range(40)]), "hashes": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+    rows = pa.table({"id": pa.array([7 * i for i in range(40)]), "hashes": pa.array([s.tolist() for s in sets], pa.list_(pa.int64())),
+                     "n": [len(s) for s in sets], "power": [0] * 40})
     pairs = [(a, b) for a in range(40) for b in range(a)]
-    entries = pa.table({"a": [7 * a for a, _ in pairs], "b": [7 * b for _, b in pairs]})
-    got = jaccard._tile(40)(entries, rows).to_pylist()
+    entries = pa.table({"a": [7 * a for a, _ in pairs], "b": [7 * b for _, b in pairs], "block_a": [0] * len(pairs), "block_b": [0] * len(pairs)})
+    got = [(r["a"] // 7, r["b"] // 7) for r in jaccard._tile(40, True)(entries, rows).to_pylist()]
     alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 40 * len(np.union1d(sets[a], sets[b]))
-    assert [(r["a"] // 7, r["b"] // 7) for r in got] == [p for p in pairs if alike(*p)] and got
+    assert got == [p for p in pairs if alike(*p)] and got
+    # heads of any length drop no pair that is alike, and most of the others if they are long
+    for share in (0.2, 0.6, 0.9):
+        heads = rows.set_column(1, "hashes", pa.array([s[: max(1, int(share * len(s)))].tolist() for s in sets], pa.list_(pa.int64())))
+        may = {(r["a"] // 7, r["b"] // 7) for r in jaccard._tile(40, False)(entries, heads).to_pylist()}
+        assert set(got) <= may and (share < 0.9 or len(may) < len(pairs) / 2)
 
 
 def test_keys_repeated_with_other_texts(spark):
