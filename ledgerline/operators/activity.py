@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.fixed_values import HEARTBEAT_MS, HEARTBEAT_SLACK_MS, REPEAT_GAP_MS, UNWATCHED_FILES, UNWATCHED_FOLDERS
-from ledgerline.operators.folds import Fold, keyed_fold
+from ledgerline.functions.text import strip
+from ledgerline.operators.folds import Fold, keyed_fold, pruned_fold
 from ledgerline.operators.ordered import MAX_ROWS, ordered
 
 
@@ -64,8 +65,42 @@ def mark_repeats(
     df: DataFrame, key, text: str, ts_ms: str, tie, gap_ms: int = REPEAT_GAP_MS,
     state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Add ``emitted``: false for a blank text, or the text emitted last less than ``gap_ms`` ago."""
-    return keyed_fold(df, _keys(key), [ts_ms, *_keys(tie)], Repeats(text, ts_ms, gap_ms), state_in, max_rows)
+    """Add ``emitted``: false for a blank text, or the text emitted last less than ``gap_ms`` ago.
+
+    Only runs of one text that last as long as the gap reach the fold; windows tell the rest.
+    """
+    keys, order, fold = _keys(key), [ts_ms, *_keys(tie)], Repeats(text, ts_ms, gap_ms)
+    if state_in is not None:
+        return keyed_fold(df, keys, order, fold, state_in, max_rows)
+    return pruned_fold(df, keys, order, fold, lambda rows: told_repeats(rows, keys, order, text, gap_ms), ["_run"], max_rows)
+
+
+def told_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, gap_ms: int) -> DataFrame:
+    """``df`` with ``emitted`` as far as windows can tell, ``_open`` and ``_fed`` where they cannot, and ``_run``.
+
+    A run is a row of equal texts, each less than the gap after the one before, blank rows left aside. Its first row is
+    emitted, since the text last emitted is always that of the row before. Rows less than a gap after the first are not.
+    So a run is open only if it lasts a gap or longer, and the fold may start afresh on each.
+    """
+    ts, by = F.col(order[0]), Window.partitionBy(*keys).orderBy(*order)
+    plain = strip(text)
+    timed = F.coalesce(plain, F.lit("")) != ""
+    rows = df.withColumn("_said", F.when(timed & ts.isNotNull(), plain))
+    # rows without text or time are passed over: the last said text and its time before a row
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    said = F.last(F.when(F.col("_said").isNotNull(), F.struct("_said", ts.alias("at"))), ignorenulls=True).over(before)
+    rows = rows.withColumn("_before", said)
+    again = (F.col("_before._said") == F.col("_said")) & (ts - F.col("_before.at") < gap_ms)
+    start = F.col("_said").isNotNull() & ~F.coalesce(again, F.lit(False))
+    to_here = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_start", start).withColumns({
+        "_run": F.sum(F.col("_start").cast("long")).over(to_here), "_first": F.last(F.when(F.col("_start"), ts), ignorenulls=True).over(to_here),
+    })
+    late = F.col("_said").isNotNull() & (ts - F.col("_first") >= gap_ms)
+    lasting = F.max(late).over(Window.partitionBy(*keys, "_run"))
+    emitted = F.when(ts.isNotNull(), F.col("_start"))
+    told = rows.withColumns({"_open": F.col("_said").isNotNull() & F.coalesce(lasting, F.lit(False)), "emitted": emitted})
+    return told.withColumn("_fed", F.col("_open")).drop("_said", "_before", "_start", "_first")
 
 
 def suppress_repeats(

@@ -198,7 +198,7 @@ def keyed_fold(
     order: Sequence[str],
     fold: Fold,
     state_in: DataFrame | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """``df`` plus the columns of ``fold``. ``state_in(keys…, state)`` continues an earlier run."""
     keys, order = list(keys), list(order)
@@ -208,6 +208,26 @@ def keyed_fold(
     return out if chunks is None else out.unionByName(_run_emit(chunks, [CHUNK, *keys], order, fold, df.columns))
 
 
+def pruned_fold(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, decide, group: Sequence[str] = (), max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """``keyed_fold`` for folds most of whose answers windows can tell: only the rows left open reach Python.
+
+    ``decide`` adds ``_open`` (rows that the fold must answer), ``_fed`` (those and the rows that the answers depend on),
+    the columns of ``fold`` for all that are not open, and ``group``: what the fold is keyed by besides ``keys``. It works
+    within a key, so keys of more than ``max_rows`` rows go to the fold as they are.
+    """
+    keys, order, group = list(keys), list(order), list(group)
+    hot = hot_keys(df, keys, max_rows)
+    cold, warm = (df, None) if hot is None else by_heat(df, keys, hot)
+    names = [f.name for f in fold.outputs]
+    told = decide(cold)
+    done = told.filter(~F.col("_open")).select(*df.columns, *names)
+    rest = keyed_fold(told.filter("_fed").select(*df.columns, "_open", *group), [*keys, *group], order, fold, None, None)
+    out = done.unionByName(rest.filter("_open").select(*df.columns, *names))
+    return out if warm is None else out.unionByName(keyed_fold(warm, keys, order, fold, None, max_rows))
+
+
 def final_states(
     df: DataFrame,
     keys: Sequence[str],

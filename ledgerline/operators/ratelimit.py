@@ -10,14 +10,18 @@ from __future__ import annotations
 import json
 import math
 from collections import deque
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators.folds import Fold, final_states, keyed_fold
+from ledgerline.operators.folds import Fold, final_states, keyed_fold, pruned_fold
 from ledgerline.operators.ordered import MAX_ROWS
 
+#: A larger limit is left to the fold: every call would look back over so many others.
+MOST_LAGS = 64
+
 
 class SlidingWindow(Fold):
     """Admit while fewer than ``limit`` admitted calls lie in ``(now - window_ms, now]``."""
@@ -151,9 +155,40 @@ def sliding_window_allow(
     df: DataFrame, key, ts_ms: str, tie, limit: int, window_ms: int,
     kind: str | None = None, state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Add ``allowed`` (null on non-call rows) and ``remaining`` after the row. Rows without a time get nulls."""
-    fold = SlidingWindow(ts_ms, kind, limit, window_ms)
-    return keyed_fold(df, _keys(key), _order(ts_ms, tie), fold, state_in, max_rows)
+    """Add ``allowed`` (null on non-call rows) and ``remaining`` after the row. Rows without a time get nulls.
+
+    Of plain calls only those within a window of one that windows cannot tell reach the fold.
+    """
+    fold, keys, order = SlidingWindow(ts_ms, kind, limit, window_ms), _keys(key), _order(ts_ms, tie)
+    if kind is not None or state_in is not None or not 0 < limit <= MOST_LAGS:
+        return keyed_fold(df, keys, order, fold, state_in, max_rows)
+    return pruned_fold(df, keys, order, fold, lambda rows: told_calls(rows, keys, order, limit, window_ms), (), max_rows)
+
+
+def told_calls(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, window_ms: int) -> DataFrame:
+    """``df`` with ``allowed`` and ``remaining`` as far as windows can tell, ``_open`` where they cannot, and ``_fed``.
+
+    A call is sure to pass if the ``limit``-th call before it, passed or not, lies outside its window. What a call leaves
+    is sure too if all calls in its window are, for then these are the calls that passed. So only calls with an unsure
+    one less than a window before them, or unsure themselves, are open; their answers depend on those and on the calls
+    less than a window before an unsure one.
+    """
+    ts = F.col(order[0])
+    by = Window.partitionBy(*keys, ts.isNull()).orderBy(*order)  # rows without a time are apart
+    back = Window.partitionBy(*keys, ts.isNull()).orderBy(*[F.col(c).desc() for c in order])
+    lags = [F.lag(ts, n).over(by) for n in range(1, limit + 1)]
+    rows = df.withColumn("_lags", F.array(*lags))
+    unsure = F.col("_lags")[limit - 1] > ts - window_ms
+    rows = rows.withColumn("_unsure", F.when(F.coalesce(unsure, F.lit(False)), ts))
+    first_to_here = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_last", F.max("_unsure").over(first_to_here))
+    rows = rows.withColumn("_next", F.min("_unsure").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    after, ahead = (F.coalesce(gap < window_ms, F.lit(False)) for gap in (ts - F.col("_last"), F.col("_next") - ts))
+    inside = F.size(F.filter("_lags", lambda at: at > ts - window_ms))
+    return rows.withColumns({
+        "_open": after, "_fed": after | ahead, "allowed": F.when(ts.isNotNull(), True),
+        "remaining": F.when(ts.isNotNull(), F.greatest(F.lit(0), F.lit(limit) - 1 - inside)).cast("long"),
+    }).drop("_lags", "_unsure", "_last", "_next")
 
 
 def sliding_window_remaining(

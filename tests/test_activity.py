@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from ledgerline.operators.activity import idle_gaps, mark_repeats, no_progress, snapshot_diff, watched
+from ledgerline.operators.activity import Repeats, idle_gaps, mark_repeats, no_progress, snapshot_diff, told_repeats, watched
+from ledgerline.operators.folds import keyed_fold
 from ledgerline.operators.ordered import ordered
 from pyspark.sql import functions as F
 
@@ -40,6 +41,18 @@ def test_repeats(spark, seed, span, max_rows):
     assert {r.id for r in out.filter("emitted").collect()} == want and out.count() == len(rows)
 
 
+def test_repeats_that_windows_tell(spark):
+    """Only runs of one text that last as long as the gap reach the fold."""
+    rng = random.Random(8)
+    for span, texts in ((40_000, "xyz "), (9_000, "x"), (20_000, "xxxy ")):
+        rows = rows_of(rng.randrange(99), 300, span, texts) + [(900, "hot", None, "x"), (901, "k1", 5, None)]
+        folded = keyed_fold(table(spark, rows), ["k"], ["ts", "id"], Repeats("text", "ts", 300))
+        out = mark_repeats(table(spark, rows), "k", "text", "ts", "id", 300)
+        assert {r.id: r.emitted for r in out.collect()} == {r.id: r.emitted for r in folded.collect()}
+        fed = told_repeats(table(spark, rows), ["k"], ["ts", "id"], "text", 300).filter("_fed").count()
+        assert fed < 120 if texts == "xyz " else fed <= 302
+
+
 @pytest.mark.parametrize("max_rows", [10**6, 50])
 def test_gaps_and_resets(spark, max_rows):
     rows = rows_of(4, 300, 20_000, "xxy")

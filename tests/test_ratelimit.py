@@ -8,6 +8,7 @@ from ledgerline.operators.ratelimit import (
     sliding_window_allow,
     sliding_window_remaining,
     sliding_window_state,
+    told_calls,
     token_bucket,
     token_bucket_state,
 )
@@ -141,3 +142,27 @@ def test_state_carries_over(spark, max_rows):
     for out, col, model in ((out_w, "remaining", model_window(rows, 3, 200)), (out_b, "tokens", model_bucket(rows, 1.1, 3))):
         got = allowed(out, col)
         assert got == {i: model[i] for i in got} and len(got) == sum(r[2] >= 1400 for r in rows)
+
+
+@pytest.mark.parametrize("seed,span,limit,window", [(21, 400_000, 3, 20_000), (22, 60_000, 2, 900), (23, 60_000, 1, 5_000), (24, 5_000, 9, 700)])
+def test_calls_that_windows_tell(spark, seed, span, limit, window):
+    """The same answers as from the model, with equal times, keys of all loads and rows without a time; few rows reach the fold."""
+    rows = [(i, k, t // 50 * 50, "call", 1) for i, k, t, _, _ in random_rows(seed, 500, span)]
+    none = [(900, "hot", None, "call", 1), (901, "k1", None, "call", 1)]
+    df = calls(spark, rows + none)
+    got = {r.id: (r.allowed, r.remaining) for r in sliding_window_allow(df, **KEY, limit=limit, window_ms=window).collect()}
+    assert got == model_window(rows, limit, window) | {900: (None, None), 901: (None, None)}
+    told = told_calls(df, ["k"], ["ts", "id"], limit, window)
+    open_, fed = told.filter("_open").count(), told.filter("_fed").count()
+    unsure = sum(not ok for ok, _ in model_window(rows, limit, window).values())
+    assert unsure <= open_ <= fed and (limit < 9 or fed < 500)
+
+
+def test_few_calls_reach_the_fold(spark):
+    """Of calls that are spread out, with one burst, only the burst and what is near it is fed."""
+    rows = [(i, f"k{i % 5}", i * 1_000, "call", 1) for i in range(1_000)] + [(2_000 + i, "k1", 500_000 + i, "call", 1) for i in range(20)]
+    df = calls(spark, rows)
+    told = told_calls(df, ["k"], ["ts", "id"], 3, 10_000)
+    assert told.filter("_fed").count() < 40 and told.count() == len(rows)
+    got = {r.id: (r.allowed, r.remaining) for r in sliding_window_allow(df, **KEY, limit=3, window_ms=10_000).collect()}
+    assert got == model_window(rows, 3, 10_000)
