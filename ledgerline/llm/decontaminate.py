@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by Wu-Manber multi-pattern search over words.
 
-A pattern is a window of consecutive words of a benchmark text. The search reads a document at positions
-``length`` words apart unless the shift table, keyed by blocks of two words, tells it to go slower; where the
+A pattern is a window of consecutive words of a benchmark text. Words are numbers, patterns are places in one array of
+them, and all tables are arrays, so that megabytes of benchmark take few times their size. The search reads a document at
+positions ``length`` words apart unless the shift table, keyed by blocks of two words, tells it to go slower; where the
 shift is nil, the bucket of the block and of the first two words names the patterns, and a comparison of all
 their words confirms them.
 """
@@ -11,15 +12,18 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import BATCH_ROWS, LOWER, arrow_map, written
+from ledgerline.session import scratch_path
 
 WINDOW = 10
-#: Benchmark bytes whose tables go to the executors at once; larger sets are searched for in several passes.
-PASS_BYTES = 8 << 20
+#: Benchmark bytes whose tables go to the executors at once; larger sets are searched for in several passes, and a
+#: text above ``CUT_BYTES`` is cut, with as much overlap as a window needs.
+PASS_BYTES, CUT_BYTES = 8 << 20, 1 << 20
 #: Bytes that stand in no word: ASCII but letters and digits.
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
 _WORDS = bytes(b if b in _KEEP else 32 for b in LOWER)
@@ -31,31 +35,58 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _Length:
-    """Tables of the patterns of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple, set]) -> None:
-        self.length, self.block = length, min(2, length)
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(dict)
-        for words, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = words[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, length), length - end)
-            self.buckets[words[-self.block :]].setdefault(words[: self.block], []).append((words, items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, set]]:
-        length, block, shift, buckets = self.length, self.block, self.shift, self.buckets
-        most, at, n = length - block + 1, length, len(words)
+    """Tables of the patterns of one length, as sorted arrays. ``words`` are the numbers of all benchmark words in a row,
+    ``starts`` the places where patterns begin and ``items`` the text that each is from."""
+
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray, items: np.ndarray, base: int) -> None:
+        self.length, self.block, self.words, self.base = length, min(2, length), words, base
+        # equal patterns once: the order of all by their words, a word at a time from the last
+        order = np.lexsort([words[starts + k] for k in range(length - 1, -1, -1)])
+        starts, items = starts[order], items[order]
+        new = np.ones(len(starts), bool)
+        if len(starts) > 1:
+            new[1:] = np.any([words[starts[1:] + k] != words[starts[:-1] + k] for k in range(length)], axis=0)
+        self.first_item = np.r_[np.flatnonzero(new), len(items)].astype(np.int64)
+        self.items, starts = items, starts[new]
+        suffix, prefix = self.codes(starts + length - self.block), self.codes(starts)
+        order = np.lexsort((prefix, suffix))
+        self.starts, self.suffix, self.prefix, self.nth = starts[order], suffix[order], prefix[order], order
+        # the least step of each block: those nearest to the end of a pattern first
+        self.keys, self.steps = np.empty(0, np.int64), np.empty(0, np.int8 if length < 128 else np.int32)
+        for end in range(length, self.block - 1, -1):
+            new = np.setdiff1d(self.codes(starts + end - self.block), self.keys)
+            if len(new):
+                place = np.searchsorted(self.keys, new)
+                self.keys = np.insert(self.keys, place, new)
+                self.steps = np.insert(self.steps, place, length - end)
+
+    def codes(self, at: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """The blocks that begin at the places, as numbers."""
+        words = self.words if words is None else words
+        return words[at].astype(np.int64) * self.base + (words[at + 1] if self.block == 2 else 0)
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``(first, last, texts)`` of the patterns in a document, given as numbers, 0 for words of no pattern."""
+        length, block, n = self.length, self.block, len(ids)
+        if n < length or not len(self.keys):
+            return
+        codes = self.codes(np.arange(n - block + 1), ids)
+        place = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        shift = np.where(self.keys[place] == codes, self.steps[place], np.int32(length - block + 1)).tolist()
+        at = length
         while at <= n:
-            key = tuple(words[at - block : at])
-            step = shift.get(key, most)
+            step = shift[at - block]
             if step:
                 at += step
                 continue
-            first = at - length
-            for pattern, items in buckets[key].get(tuple(words[first : first + block]), ()):
-                if tuple(words[first:at]) == pattern:
-                    yield first, at, items
+            first, low = at - length, np.searchsorted(self.suffix, codes[at - block])
+            high = np.searchsorted(self.suffix, codes[at - block], "right")
+            low, high = (low + np.searchsorted(self.prefix[low:high], codes[first], side) for side in ("left", "right"))
+            for k in range(low, high):
+                start = self.starts[k]
+                if np.array_equal(self.words[start : start + length], ids[first:at]):
+                    nth = self.nth[k]
+                    yield first, at, self.items[self.first_item[nth] : self.first_item[nth + 1]]
             at += 1
 
 
@@ -63,21 +94,32 @@ class Patterns:
     """All windows of the given texts, with the ids of the texts that hold them."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
-        by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = words_of(text)
-            size = min(window, len(words))
-            for start in range(len(words) - size + 1 if size else 0):
-                by_length[size][tuple(words[start : start + size])].add(item)
-        self.lengths = [_Length(size, patterns) for size, patterns in by_length.items()]
+        self.numbers: dict[bytes, int] = {}
+        self.items = [item for item, _ in items]
+        parts, starts, at = [], defaultdict(list), 0
+        for n, (_, text) in enumerate(items):
+            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            size = min(window, len(ids))
+            if size:
+                parts.append(np.array(ids, np.int32))
+                places = np.arange(at, at + len(ids) - size + 1, dtype=np.int64)
+                starts[size].append((places, np.full(len(places), n, np.int32)))
+                at += len(ids)
+        words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.lengths = [
+            _Length(size, words, np.concatenate([p for p, _ in found]), np.concatenate([i for _, i in found]), len(self.numbers) + 1)
+            for size, found in starts.items()
+        ]
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged word ranges that lie inside occurrences, and the items that occur."""
         found, items = [], set()
+        known = self.numbers.get
+        ids = np.fromiter((known(w, 0) for w in words), np.int32, len(words))
         for table in self.lengths:
-            for first, end, ids in table.find(words):
+            for first, end, texts in table.find(ids):
                 found.append((first, end))
-                items |= ids
+                items.update(self.items[n] for n in texts.tolist())
         merged: list[tuple[int, int]] = []
         for first, end in sorted(found):
             if merged and first <= merged[-1][1]:
@@ -87,15 +129,43 @@ class Patterns:
         return merged, items
 
 
-def _passes(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]]:
-    """The benchmark in pieces of bounded size. Its size is asked for first; one piece is the usual case."""
+def _cut(window: int):
+    """Long texts in pieces that hold all their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None or len(text) <= CUT_BYTES // 4:
+                    items.append(item)
+                    texts.append(text)
+                    continue
+                words = words_of(text)
+                step = max(1, CUT_BYTES // 4 * len(words) // len(text))
+                for start in range(0, max(1, len(words) - window + 1), step):
+                    items.append(item)
+                    texts.append(b" ".join(words[start : start + step + window - 1]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return run
+
+
+def _passes(benchmark: DataFrame, item: str, text: str, window: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many pieces of bounded size the benchmark makes, and the pieces, of which one at a time is on the driver.
+
+    One piece is the usual case; otherwise the texts are written by piece, so that none is read twice.
+    """
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    pieces = -(-n_bytes // PASS_BYTES) or 1
-    if pieces == 1:
-        return [[tuple(r) for r in rows.collect()]]
-    cut = F.pmod(F.xxhash64("item", "text"), F.lit(2 * pieces))
-    return [[tuple(r) for r in rows.where(cut == p).collect()] for p in range(2 * pieces)]
+    if n_bytes <= PASS_BYTES:
+        return 1, iter([[tuple(r) for r in rows.collect()]])
+    pieces = 2 * -(-n_bytes // PASS_BYTES)
+    spark, path = benchmark.sparkSession, scratch_path(benchmark.sparkSession, "benchmark")
+    dealt = rows.mapInArrow(_cut(window), "item string, text string")
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("item", "text"), F.lit(pieces)).cast("int"))
+    dealt.write.partitionBy("piece").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    return pieces, ([tuple(r) for r in dealt.where(F.col("piece") == p).select("item", "text").collect()] for p in range(pieces))
 
 
 _SPANS = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
@@ -109,10 +179,10 @@ def find_passages(
 
     Null and empty texts have no words and no spans. A benchmark text of fewer words than the window is one
     pattern; without words it is none. Null item ids hit but are not listed. Repeated rows are judged each.
-    Other columns are not read, so their names cannot clash. An empty benchmark hits nothing. A benchmark
-    above ``PASS_BYTES`` is searched for in several passes, whose spans are then merged by text.
+    Texts of any length are searched whole. Other columns are not read, so their names cannot clash. An empty benchmark
+    hits nothing. A benchmark above ``PASS_BYTES`` is searched for in several passes, whose spans are then merged by text.
     """
-    passes = _passes(benchmark, item, item_text)
+    count, passes = _passes(benchmark, item, item_text, window)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["key"]
 
@@ -132,15 +202,17 @@ def find_passages(
                              pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                     pa.array([sorted(i for i in ids if i is not None) for _, ids in found], pa.list_(pa.string())),
                 ],
-                names=["key" if len(passes) == 1 else "text", "n_words", "spans", "items"],
+                names=["key" if count == 1 else "text", "n_words", "spans", "items"],
             )
 
         return run
 
-    if len(passes) == 1:
-        return arrow_map(rows, search(passes[0]), f"key {kind}, {_SPANS}").withColumnRenamed("key", key)
-    texts = rows.where("text is not null").select("text").distinct()
-    parts = [arrow_map(texts, search(p), f"text string, {_SPANS}") for p in passes]
+    if count == 1:
+        return arrow_map(rows, search(next(passes)), f"key {kind}, {_SPANS}").withColumnRenamed("key", key)
+    texts = written(rows.where("text is not null").select("text").distinct(), "texts")
+    # each pass is over before the next piece comes to the driver; texts without a hit need no row but the first pass's
+    parts = [written(arrow_map(texts, search(p), f"text string, {_SPANS}").where("size(spans) > 0" if n else "true"), "found")
+             for n, p in enumerate(passes)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -184,10 +256,11 @@ def clean_documents(
 
     Null and empty texts are clean.
     """
-    passes = _passes(benchmark, item, item_text)
-    for items in passes:
-        tables = docs.sparkSession.sparkContext.broadcast(items)
-        docs = _without(docs, tables, text, window)
+    count, passes = _passes(benchmark, item, item_text, window)
+    for n, items in enumerate(passes):
+        docs = _without(docs, docs.sparkSession.sparkContext.broadcast(items), text, window)
+        if n + 1 < count:
+            docs = written(docs, "clean")
     return docs
 
 

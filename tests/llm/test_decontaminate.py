@@ -1,9 +1,11 @@
 import hashlib
+import random
+import tracemalloc
 
 import pytest
 
 from ledgerline.llm import decontaminate
-from ledgerline.llm.decontaminate import clean_documents, find_passages, hits
+from ledgerline.llm.decontaminate import Patterns, clean_documents, find_passages, hits, words_of
 from tests.llm.brute import passages
 from tests.llm.conftest import SMALL
 
@@ -42,6 +44,35 @@ def test_passes_agree_with_one(spark, documents, benchmark, monkeypatch):
     assert sorted(r.doc_id for r in clean_documents(docs, table).collect()) == few
 
 
+def test_long_benchmark_texts_are_cut(spark, monkeypatch):
+    """A text above the bounds is cut into pieces that hold each of its windows."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(300)}" for _ in range(3_000)]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, "four words of item"), (3, None)], "item_id long, text string")
+    docs = [(n, " ".join(["x"] * n + words[n * 29 : n * 29 + 9 + n % 3])) for n in range(100)] + [(900, " ".join(words[::-1])), (901, "four words of item x")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, hits(find_passages(rows, table)).collect()))
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 2_000)
+    monkeypatch.setattr(decontaminate, "CUT_BYTES", 1_500)
+    assert sorted(map(tuple, hits(find_passages(rows, table)).collect())) == one
+    assert {r[0] for r in one if r[-1]} == {n for n in range(100) if n % 3} | {901}
+
+
+def test_tables_are_small():
+    """Tables of a megabyte of benchmark with as many patterns as words take a few times that."""
+    rng = random.Random(6)
+    items = [(str(n), " ".join(f"w{rng.randrange(40_000)}" for _ in range(150))) for n in range(1_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    patterns = Patterns(items, 10)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size > 900_000 and held < 25 * size
+    for item, text in items[:50]:
+        spans, found = patterns.spans(words_of("before " + text + " after"))
+        assert spans == [(1, 151)] and found == {item}
+
+
 def test_odd_rows(spark, odd, empty, benchmark):
     table = spark.createDataFrame([(1, "six seven eight nine ten eleven twelve")], "item_id long, text string")
     found = hits(find_passages(odd, table)).collect()
