@@ -1,9 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become classes: insults with weights, learned from labels as whole words and as stems, and short fixed lists of
-threats, targets, negations and reporting verbs. Four small transducers read a clause side by side, as one composed
-machine: what an insult or a threat counts depends on a target near it, a negation before it and a reporting verb in
-its clause. The sums over matched clauses are the features of a logistic regression.
+verbs of violence with their inflections, intentions, targets, negations and reporting verbs. Five transducers read a
+clause side by side, as one composed machine:
+
+* *insult* gives the weight of each insult,
+* *threat* gives a threat where an intention, a verb of violence and its target follow in an order that one of the
+  languages has ("will kill you", "werde dich töten"), a milder one without an intention ("they killed you") and for a
+  wish that the target dies,
+* *target* and *negation* tell whether one was read among the last few words,
+* *report* tells whether somebody else's words are given: a reporting verb that is not the writer's own.
+
+What an insult or a threat counts depends on the others. The sums over matched clauses are the features of a logistic
+regression; threats that no label speaks of count through the worst clause of a text.
 """
 
 from __future__ import annotations
@@ -22,27 +31,46 @@ from ledgerline.llm.common import arrow_map, written
 
 #: Labelled documents that lexicon and weights are learned from, at most; those with the smallest hashes.
 TRAIN_ROWS = 20_000
-#: Entries of the learned lexicon.
-ENTRIES = 5_000
 #: Evidence (log-likelihood ratio) and log odds that a word or a stem needs.
 EVIDENCE, WORD_ODDS, STEM_ODDS = 20.0, 3.0, 4.0
 STEMS = (4, 5, 6)
 PREDICT = 0.3
-#: Tokens within which a target or a negation bears on an insult or a threat.
+#: Tokens within which a target or a negation bears on an insult, and an intention on a verb.
 NEAR = 4
-FEATURES = ("worst", "plain", "targeted", "negated", "reported", "threats", "share")
-
-THREAT, TARGET, NEGATION, REPORT, INSULT, OTHER = "threat target negation report insult other".split()
+#: What the kinds of matches weigh in a clause: insults by their own weight, threats by these.
+SHARES = {"plain": 1.0, "targeted": 1.5, "negated": 0.3, "reported": 0.6}
+THREATS = {"threats": 8.0, "mild": 3.0, "denied": 0.8}
+KINDS = (*SHARES, *THREATS)
+FEATURES = ("worst", *KINDS, "share")
+
+VIOLENCE, INTENT, DIE, TARGET, NEGATION, REPORT, SELF, FILLER, INSULT, OTHER = (
+    "violence intent die target negation report self filler insult other".split()
+)
+# fixed values: words of the classes; verbs of violence as stems with the endings that they take
 WORDS = {
-    THREAT: "kill hurt destroy beat punch stab shoot burn crush töten umbringen schlagen verletzen tuer frapper "
-    "détruire brûler matar golpear destruir quemar",
-    TARGET: "you your yours they them he she u du dich dir ihr euch sie tu te toi vous ils elles ustedes vosotros",
-    NEGATION: "not no never neither nor don't isn't aren't nicht kein keine nie niemals ne jamais aucun nunca "
-    "jamás ningún",
+    INTENT: "will i'll we'll they'll he'll she'll gonna going shall would should must let let's want wanna werde werden wird wirst "
+    "soll sollte will möchte vais va allons vont devrais veux voy va vamos van quiero debería",
+    DIE: "die dies dying dead perish rot stirb stirbt sterben krepier krepieren verrecke verrecken meurs meurt mourir crève crever "
+    "muere muérete morir morirte",
+    TARGET: "you your yours them they him she u du dich dir ihr euch sie tu te toi vous ils elles ustedes vosotros",
+    NEGATION: "not no never neither nor don't isn't aren't won't wouldn't didn't cannot can't nicht kein keine nie niemals ne jamais aucun "
+    "nunca jamás ningún",
     REPORT: "said says wrote writes called calls claimed told quoted reported sagte schrieb nannte dit écrit "
     "appelé dijo escribió llamó",
+    SELF: "i we ich wir je nous yo nosotros",
+    FILLER: "all of both the to just fucking damn really alle beide einfach gerade tous todos a",
+}
+STEMS_OF_VIOLENCE = {
+    "kill hurt destroy beat punch stab shoot burn crush murder strangle smash": "s es ed ing er ers",
+    "töt umbring schlag verletz erschieß erstech verprügel": "e st t en et te ten end",
+    "tu frapp poignard égorg massacr": "er e es ez ent erai era erons ant é ée",
+    "mat golpe destru quem apuñal": "ar o as a an aré ará aremos arte arlos arla aros ando ir iré iremos yendo",
 }
 _CLASSES = {w: name for name, words in WORDS.items() for w in words.split()}
+_CLASSES |= {stem + end: VIOLENCE for stems, ends in STEMS_OF_VIOLENCE.items() for stem in stems.split() for end in ends.split()}
+_CLASSES |= {w: VIOLENCE for w in "kill hurt destroy beat punch stab shoot shot burn crush murder strangle smash bringe umgebracht killing".split()}
+#: Verbs that hold their own target, as Spanish infinitives do.
+_HOLDS = frozenset("matarte matarlos mataros golpearte".split())
 _TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]")
 _ENDS = frozenset(".!?;\n")
 
@@ -52,16 +80,54 @@ def _near(name: str):
     return 0, lambda state, read: (NEAR if read == name else max(0, state - 1), state > 0)
 
 
-def _since(name: str):
-    """A transducer that says whether the class was read before in the clause."""
-    return False, lambda state, read: (state or read == name, state)
+def _reported():
+    """A transducer that says whether somebody's words are given. State: 0 not, 1 the writer was just named, 2 given."""
+
+    def step(state: int, read: str) -> tuple[int, bool]:
+        if read == REPORT and state == 0:
+            return 2, False
+        return (1 if read == SELF else 0) if state != 2 else 2, state == 2
+
+    return 0, step
+
+
+def _insult():
+    """A transducer without memory: the kind of token whose weight counts."""
+    return None, lambda state, read: (None, read == INSULT)
+
+
+def _threat():
+    """A transducer that gives ``threats``, ``mild`` or nothing.
+
+    State: tokens for which an intention, a target and a verb of violence still bear, and whether that verb was
+    intended. A verb bears on the next word only, fillers left aside.
+    """
+
+    def step(state: tuple, read: str) -> tuple[tuple, str | None]:
+        intent, target, verb, meant = state
+        out = None
+        if read == TARGET and verb:
+            out, verb = "threats" if meant else "mild", 0
+        elif read == VIOLENCE and target and intent:  # the target came first
+            out = "threats"
+        elif read == DIE and target:
+            out = "mild"
+        intent = NEAR if read == INTENT else max(0, intent - 1)
+        if read == VIOLENCE:
+            verb, meant = (0, False) if out else (1, intent > 0)
+        elif read != FILLER:
+            verb, meant = 0, False
+        target = 3 if read == TARGET else target if read == FILLER else max(0, target - 1)
+        return (intent, target, verb, meant), out
+
+    return (0, 0, 0, False), step
 
 
 class Grammar:
     """The transducers composed into one machine, whose transitions are worked out as they are met."""
 
     def __init__(self) -> None:
-        parts = [_near(TARGET), _near(NEGATION), _since(REPORT)]
+        parts = [_insult(), _threat(), _near(TARGET), _near(NEGATION), _reported()]
         self.start = tuple(state for state, _ in parts)
         self.steps = [step for _, step in parts]
         self.table: dict = {}
@@ -73,23 +139,28 @@ class Grammar:
             found = self.table[state, read] = tuple(p[0] for p in pairs), tuple(p[1] for p in pairs)
         return found
 
-    def clause(self, classes: list[tuple[str, float]]) -> tuple[float, float, float, float, float]:
-        """Plain, targeted, negated and reported weight and number of threats in a clause."""
+    def clause(self, classes: list[tuple[str, float]]) -> dict[str, float]:
+        """The weight of each kind of match in a clause, whose tokens are classes with weights."""
         forward, state = [], self.start
         for name, _ in classes:
             state, out = self.step(state, name)
             forward.append(out)
         backward, state = [], self.start
-        for name, _ in reversed(classes):
+        for name, _ in reversed(classes):  # a target may follow an insult
             state, out = self.step(state, name)
-            backward.append(out[0])
-        sums = [0.0] * 5
-        for (name, weight), (target, negated, reported), after in zip(classes, forward, reversed(backward)):
-            if name == INSULT:
-                sums[2 if negated else 3 if reported else 1 if target or after else 0] += weight
-            elif name == THREAT and (target or after) and not negated:
-                sums[4] += 1
-        return tuple(sums)
+            backward.append(out[2])
+        sums = dict.fromkeys(KINDS, 0.0)
+        for (_, weight), (insult, threat, target, negated, reported), after in zip(classes, forward, reversed(backward)):
+            if insult:
+                sums["negated" if negated else "reported" if reported else "targeted" if target or after else "plain"] += weight
+            if threat:
+                sums["denied" if negated or reported else threat] += 1
+        return sums
+
+
+def severity(sums: dict[str, float]) -> float:
+    """What a clause weighs."""
+    return sum(sums[kind] * share for kind, share in (SHARES | THREATS).items())
 
 
 class Lexicon(dict):
@@ -112,24 +183,31 @@ class Lexicon(dict):
         return weight
 
 
+def classified(word: str, lexicon: Lexicon) -> list[tuple[str, float]]:
+    """The class of a word with its weight; a verb that holds its target is both."""
+    if lexicon[word]:
+        return [(INSULT, lexicon[word])]
+    name = _CLASSES.get(word, OTHER)
+    return [(name, 0.0), (TARGET, 0.0)] if word in _HOLDS else [(name, 0.0)]
+
+
 def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> list[float]:
     """The features of a text, all 0 for a null or empty one."""
-    words = _TOKENS.findall(text.lower()) if text else []
-    sums, worst, matched, done = np.zeros(5), 0.0, 0, 0
-    hits = [i for i, w in enumerate(words) if lexicon[w] or _CLASSES.get(w) == THREAT]
+    words = _TOKENS.findall(text.lower().replace("’", "'")) if text else []
+    sums, worst, matched, done = dict.fromkeys(KINDS, 0.0), 0.0, 0, 0
+    hits = [i for i, w in enumerate(words) if lexicon[w] or _CLASSES.get(w) in (VIOLENCE, DIE)]
     for i in hits:
         if i < done:
             continue
         start = next((j + 1 for j in range(i, done - 1, -1) if words[j] in _ENDS), done)
         done = next((j for j in range(i, len(words)) if words[j] in _ENDS), len(words))
-        classes = [(INSULT, lexicon[w]) if lexicon[w] else (_CLASSES.get(w, OTHER), 0.0) for w in words[start:done]]
-        found = np.array(grammar.clause(classes))
-        if found.any():
+        found = grammar.clause([c for w in words[start:done] for c in classified(w, lexicon)])
+        if any(found.values()):
             matched += 1
-            sums += found
-            worst = max(worst, found[0] + 1.5 * found[1] + 0.3 * found[2] + 0.6 * found[3] + 2 * found[4])
+            sums = {kind: sums[kind] + found[kind] for kind in KINDS}
+            worst = max(worst, severity(found))
     clauses = sum(1 for w in words if w in _ENDS) + 1
-    return [worst, *np.log1p(sums).tolist(), matched / clauses]
+    return [worst, *(math.log1p(sums[kind]) for kind in KINDS), matched / clauses]
 
 
 def held_out(key: Column) -> Column:
@@ -170,7 +248,7 @@ def _lexicon(train: DataFrame) -> dict[str, float]:
     rows = counts.where("a >= 3").select("entry", F.expr(odds).alias("odds"), F.expr(f"2 * ({evidence})").alias("g"))
     least = F.when(F.col("entry").endswith("*"), STEM_ODDS).otherwise(WORD_ODDS)
     best = rows.where((F.col("odds") >= least) & (F.col("g") >= EVIDENCE)).orderBy(F.col("g").desc(), "entry")
-    return {r["entry"]: r["odds"] for r in best.limit(ENTRIES).collect()}
+    return {r["entry"]: r["odds"] for r in best.collect()}  # no more than the labelled texts have
 
 
 def _measured(rows: DataFrame, entries: dict[str, float], more: str) -> DataFrame:
@@ -192,11 +270,11 @@ def toxicity(
 ) -> DataFrame:
     """``(key, held_out, score, predicted, features)`` per row; score is 0 to 1, predicted 1 from ``PREDICT`` on.
 
-    Labels are learned from rows that are not held out, ``TRAIN_ROWS`` at most; key, language and source are no
+    Labels are learned from rows that are not held out, ``TRAIN_ROWS`` at most, those with the smallest hashes; key, language and source are no
     input of a score. A key with several labels counts as toxic if one of them says so. Null labels are no
     labels. Null and empty texts match nothing and get the score of a text without matches. Without labels of both
-    kinds all scores are the share of toxic labels, or 0. Repeated rows are scored alike, each of them. Other
-    columns are not read. An empty table stays empty.
+    kinds all scores are the share of toxic labels, or 0. Texts of any length are read whole; a score equal to ``PREDICT``
+    is predicted 1. Repeated rows are scored alike, each of them. Other columns are not read. An empty table stays empty.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull() & ~held_out(F.col(key)))
     chosen = known.groupBy(F.col(key).alias("__id")).agg(F.max((F.col(toxic) == 1).cast("int")).alias("toxic"))
