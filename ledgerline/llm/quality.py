@@ -10,13 +10,14 @@ documents of its language than these themselves vary at its length.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import arrow_map, written
@@ -28,6 +29,10 @@ ORDER = 4
 QUANTILE, MARGIN = 0.99, 2.0
 #: A language with fewer differing trusted texts takes the limit over all languages if that is higher than its own.
 LEAST_TRUSTED = 30
+#: Quantiles are taken of values in steps of 1/``STEPS``: counts per step add up alike however the rows are dealt.
+STEPS, WIDE = 10_000, 200
+#: N-grams of orders 1 and 2 that are sent to all executors, about 30 MB; above, they are joined by shuffle.
+BROADCAST_GRAMS = 500_000
 #: Characters of text in a block.
 BLOCK_CHARS = 8 << 20
 #: Trusted or rejected keys that are sent to all executors; above, the documents are shuffled.
@@ -93,7 +98,7 @@ def trusted_keys(labels: DataFrame, *, key: str = "doc_id", quality: str = "qual
 
 
 def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> tuple[DataFrame, dict]:
-    """The counts ``(key, c, total, n1, n2, n3)`` of n-grams and contexts of all orders, and the discounts.
+    """The counts ``(k, key, c, total, n1, n2, n3)`` of n-grams and contexts of all orders k, and the discounts.
 
     The key is the order, ``g`` for an n-gram or ``c`` for a context, and its characters.
     """
@@ -117,8 +122,8 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> tuple[D
             (("n1", F.col("c") == 1), ("n2", F.col("c") == 2), ("n3", F.col("c") >= 3)))]
     contexts = every.groupBy("k", F.expr("substring(gram, 1, k - 1)").alias("gram")).agg(*sums)
     none = [F.lit(None).cast("long").alias(n) for n in ("total", "n1", "n2", "n3")]
-    table = every.select(F.concat("k", F.lit("g"), "gram").alias("key"), "c", *none).unionByName(
-        contexts.where("k > 1").select(F.concat("k", F.lit("c"), "gram").alias("key"),
+    table = every.select("k", F.concat("k", F.lit("g"), "gram").alias("key"), "c", *none).unionByName(
+        contexts.where("k > 1").select("k", F.concat("k", F.lit("c"), "gram").alias("key"),
                                        F.lit(None).cast("long").alias("c"), "total", "n1", "n2", "n3")
     )
     first = contexts.where("k = 1").first()
@@ -136,18 +141,28 @@ def _discounts(row) -> dict:
 
 def probabilities(grams: DataFrame, table: DataFrame, found: dict, order: int = ORDER) -> DataFrame:
     """``(gram, logp)``: the log of the interpolated probability of the last character after the others."""
-    keys = [F.concat(F.lit(f"{k}g"), F.substring("gram", order - k + 1, k)) for k in range(1, order + 1)]
-    keys += [F.concat(F.lit(f"{k}c"), F.substring("gram", order - k + 1, k - 1)) for k in range(2, order + 1)]
-    asked = grams.select("gram", F.posexplode(F.array(*keys)).alias("role", "key"))
-    got = asked.join(table, "key")
-    one = lambda role, name: F.max(F.when(F.col("role") == role, F.col(name)))
-    parts = [one(k - 1, "c").alias(f"c{k}") for k in range(1, order + 1)]
-    parts += [one(order + k - 2, n).alias(f"{n}_{k}") for k in range(2, order + 1) for n in ("total", "n1", "n2", "n3")]
-    rows = got.groupBy("gram").agg(*parts)
-    rows = grams.join(rows, "gram", "left")
+    key = lambda kind, k: F.concat(F.lit(f"{k}{kind}"), F.substring("gram", order - k + 1, k - (kind == "c")))
+    names = {"g": ["c"], "c": ["total", "n1", "n2", "n3"]}
+    wanted = [(kind, k) for kind in "gc" for k in range(1 + (kind == "c"), order + 1)]
+    # Few keys of the lowest orders stand for all n-grams: a shuffle would gather these by their last letters.
+    few = [x for x in wanted if x[1] <= 2] if sum(found[k]["kinds"] for k in (1, 2) if k <= order) <= BROADCAST_GRAMS else []
+    rows = grams
+    if few:
+        low = written(table.where("k <= 2"), "low")
+        for kind, k in few:
+            part = low.where(F.startswith("key", F.lit(f"{k}{kind}"))).select(
+                F.col("key").alias(f"__{kind}{k}"), *[F.col(n).alias(f"{n}_{k}") for n in names[kind]]
+            )
+            rows = rows.join(F.broadcast(part), key(kind, k) == F.col(f"__{kind}{k}"), "left").drop(f"__{kind}{k}")
+    rest = [x for x in wanted if x not in few]
+    if rest:
+        asked = grams.select("gram", F.posexplode(F.array(*[key(*x) for x in rest])).alias("role", "key"))
+        got = asked.join(table, "key")
+        parts = [F.max(F.when(F.col("role") == role, F.col(n))).alias(f"{n}_{k}") for role, (kind, k) in enumerate(rest) for n in names[kind]]
+        rows = rows.join(got.groupBy("gram").agg(*parts), "gram", "left")
     p = F.lit(1.0 / (found[1]["kinds"] + 1))
     for k in range(1, order + 1):
-        d, c = found[k]["d"], F.coalesce(F.col(f"c{k}"), F.lit(0))
+        d, c = found[k]["d"], F.coalesce(F.col(f"c_{k}"), F.lit(0))
         cut = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
         spare = lambda n1, n2, n3, d=d: n1 * d[0] + n2 * d[1] + n3 * d[2]
         if k == 1:
@@ -221,6 +236,21 @@ def perplexities(docs: DataFrame, table: DataFrame, found: dict, *, key: str, te
     )
 
 
+def _quantile(rows: DataFrame, by: list[str], value: str, share: float, out: str) -> DataFrame:
+    """``by`` and the value that ``share`` of the rows do not exceed, to one step: exact counts per step, added up."""
+    steps = rows.groupBy(*by, F.floor(F.col(value) * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    # first among wide steps, then among the few narrow ones of the step that was found
+    wide = F.floor(F.col("step") / WIDE)
+    ends = steps.groupBy(*by, wide.alias("wide")).agg(F.sum("n").alias("n"))
+    order, whole = Window.partitionBy(*by).orderBy("wide"), Window.partitionBy(*by)
+    ends = ends.withColumns({"upto": F.sum("n").over(order), "rank": F.ceil(F.sum("n").over(whole) * share)})
+    found = ends.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in by], "wide", (F.col("rank") - F.col("upto") + F.col("n")).alias("left"))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], wide == F.col("wide"))
+    inside = steps.join(F.broadcast(found), same).withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("step")))
+    return inside.where("upto >= left").groupBy(*by).agg(((F.min("step") + 1) / STEPS).alias(out))
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang",
     quality: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN,
@@ -229,7 +259,10 @@ def judge(
 
     Null, empty and very short texts have no perplexity and are accepted: there is nothing to judge. The threshold
     depends on the language and on the length: it is higher for short texts, whose perplexity varies more. A language
-    without trusted documents takes the threshold over all languages. Without any trusted text everything is accepted. Repeated rows are judged alike, each of them. Other columns are not read.
+    without trusted documents takes the threshold over all languages, one with fewer than ``LEAST_TRUSTED`` differing
+    trusted texts the higher of that and its own. Without any trusted text everything is accepted. Texts of any length
+    are scored whole; a perplexity equal to the threshold is accepted. Repeated rows are judged alike, each of them, and
+    count as often among the trusted. Results do not depend on how the rows are dealt. Other columns are not read.
     """
     trusted = written(trusted_keys(labels, key=key, quality=quality), "trusted")
     ids = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
@@ -241,15 +274,19 @@ def judge(
         scored = written(perplexities(docs, table, found, key=key, text=text, lang=lang), "scored")
     good = scored.join(ids, F.col("key") == F.col("__id"), "left_semi").where("perplexity is not null")
     good = good.withColumn("log", F.log("perplexity"))
-    middle = good.groupBy("lang").agg(
-        F.percentile_approx("log", 0.5, 10_000).alias("middle"), F.approx_count_distinct("mark").alias("texts")
-    ).withColumnRenamed("lang", "__lang")
+    middle = _quantile(good, ["lang"], "log", 0.5, "middle").join(
+        good.groupBy("lang").agg(F.count_distinct("mark").alias("texts")).withColumnRenamed("lang", "__other"),
+        F.col("lang").eqNullSafe(F.col("__other")),
+    ).select(F.col("lang").alias("__lang"), "middle", "texts")
     apart = good.join(middle, F.col("lang").eqNullSafe(F.col("__lang"))).withColumn(
         "apart", (F.col("log") - F.col("middle")) * F.sqrt("n_scored")
     )
-    reach = F.percentile_approx("apart", quantile, 10_000) * margin
-    own = apart.groupBy("__lang", "middle", "texts").agg(reach.alias("reach"))
-    over = apart.agg(F.percentile_approx("middle", quantile, 10_000).alias("middle_all"), reach.alias("reach_all"))
+    apart = written(apart.select("__lang", "middle", "texts", "apart"), "apart")
+    own = _quantile(apart, ["__lang", "middle", "texts"], "apart", quantile, "reach").withColumn("reach", F.col("reach") * margin)
+    every = F.lit(0).alias("one")
+    over = _quantile(apart.select(every, "middle"), ["one"], "middle", quantile, "middle_all").join(
+        _quantile(apart.select(every, "apart"), ["one"], "apart", quantile, "reach_all").withColumn("reach_all", F.col("reach_all") * margin), "one"
+    ).drop("one")
     rows = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(over), how="left")
     size = F.sqrt(F.greatest("n_scored", F.lit(1)))
     one, every = F.col("middle") + F.col("reach") / size, F.col("middle_all") + F.col("reach_all") / size

@@ -1,6 +1,10 @@
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerline.llm.quality import accepted_documents, judge, perplexities, probabilities, train, trusted_keys
+from ledgerline.llm.quality import _quantile, accepted_documents, judge, perplexities, probabilities, train, trusted_keys
 from tests.llm.brute import kneser_ney, perplexity
 from tests.llm.conftest import SMALL
 
@@ -61,6 +65,33 @@ def test_all_trusted_rows_count(spark, documents, monkeypatch):
     assert accepted_documents(documents, labels).count() == sum(r.accepted for r in sent)
 
 
+def test_verdicts_do_not_depend_on_partitions(spark):
+    small = SMALL.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    one, other = (sorted(map(tuple, judge(docs.repartition(n), labels).collect()), key=str) for n in (1, 13))
+    assert one == other
+
+
+def test_low_orders_by_shuffle(spark, documents, monkeypatch):
+    docs = documents.limit(30)
+    table, found = train(docs)
+    grams = docs.select(F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i"), "text").select(F.substr("text", F.col("i"), F.lit(4)).alias("gram"))
+    grams = grams.where("length(gram) = 4").distinct()
+    sent = {r.gram: r.logp for r in probabilities(grams, table, found).collect()}
+    monkeypatch.setattr("ledgerline.llm.quality.BROADCAST_GRAMS", 10)
+    assert {r.gram: r.logp for r in probabilities(grams, table, found).collect()} == sent and len(sent) > 300
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.gauss(0, 5)) for _ in range(500)]
+    got = {r.k: r.q for r in _quantile(spark.createDataFrame(rows, "k string, v double").repartition(7), ["k"], "v", 0.9, "q").collect()}
+    for k, q in got.items():
+        values = sorted(v for x, v in rows if x == k)
+        assert 0 <= q - values[math.ceil(0.9 * len(values)) - 1] <= 1e-4
+    assert len(got) == 3
+
+
 def test_odd_rows(odd, empty, labels, no_labels):
     found = judge(odd, labels).collect()
     assert len(found) == odd.count() and all(r.accepted for r in found if r.doc_id in (1, 2, 3, 7))
