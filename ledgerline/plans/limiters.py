@@ -171,3 +171,25 @@ def untimed(spark, sf_dir):
     calls = events(spark, sf_dir).select("event_id", "user_id", F.when(F.col("event_type") != "view", F.col("ts_ms")).alias("ts_ms"))
     out = sliding_window_allow(calls, **KEY, limit=LIMIT, window_ms=WINDOW_MS)
     return out.select("event_id", "user_id", (F.col("allowed").isNull() & F.col("remaining").isNull()).alias("untimed"))
+
+
+@query(
+    "sliding_window_reset",
+    f"""
+WITH RECURSIVE {_CALLS},
+walk AS (
+  SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, []::BIGINT[] AS hits, NULL::BOOLEAN AS allowed
+  FROM (SELECT DISTINCT user_id FROM calls)
+  UNION ALL
+  SELECT user_id, rn, event_id,
+         CASE WHEN is_reset THEN []::BIGINT[] WHEN len(live) < {LIMIT} THEN list_append(live, ts_ms) ELSE live END,
+         CASE WHEN is_reset THEN NULL ELSE len(live) < {LIMIT} END
+  FROM (SELECT c.*, event_type = 'error' AS is_reset, list_filter(w.hits, lambda h: h > c.ts_ms - {WINDOW_MS}) AS live
+        FROM walk w JOIN calls c ON c.user_id = w.user_id AND c.rn = w.rn + 1))
+SELECT event_id, allowed, ({LIMIT} - len(hits))::BIGINT AS remaining FROM walk WHERE rn > 0""",
+)
+def window_reset(spark, sf_dir):
+    """An error clears the user's window."""
+    kind = F.when(F.col("event_type") == "error", "reset").otherwise("call").alias("kind")
+    calls = events(spark, sf_dir).select("event_id", "user_id", "ts_ms", kind)
+    return sliding_window_allow(calls, **KEY, limit=LIMIT, window_ms=WINDOW_MS, kind="kind").select("event_id", "allowed", "remaining")
