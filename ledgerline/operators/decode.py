@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 _START = re.compile(r"[\[{]")
 
 
-def decode_text(text: str, whole: bool = True) -> list[tuple[object, str]]:
-    """The JSON values in a text and where each was found: ``whole``, ``item``, ``line`` or ``data``.
+def decode_text(text: str, whole: bool = True) -> Iterator[tuple[object, str]]:
+    """The JSON values in a text, one at a time, and where each was found: ``whole``, ``item``, ``line`` or ``data``.
 
     A text that is JSON as a whole yields that value, or its items if it is a list. Otherwise each
     line is searched for values until one does not parse; ``data`` marks lines with that prefix.
@@ -25,10 +25,11 @@ def decode_text(text: str, whole: bool = True) -> list[tuple[object, str]]:
     if whole and text:
         try:
             value = decoder.decode(text)
-            return [(item, "item") for item in value] if isinstance(value, list) else [(value, "whole")]
         except (ValueError, RecursionError):
             pass
-    found = []
+        else:
+            yield from ((item, "item") for item in value) if isinstance(value, list) else [(value, "whole")]
+            return
     for line in map(str.strip, text.splitlines()):
         where = "data" if line.startswith("data:") else "line"
         start = _START.search(line)
@@ -37,9 +38,8 @@ def decode_text(text: str, whole: bool = True) -> list[tuple[object, str]]:
                 value, end = decoder.raw_decode(line, start.start())
             except (ValueError, RecursionError):
                 break
-            found.append((value, where))
+            yield value, where
             start = _START.search(line, end)
-    return found
 
 
 def clean(text: str) -> str:
@@ -63,9 +63,9 @@ def explode_texts(
                 for row in rows_of(value.as_py(), whole):
                     source.append(i)
                     rows.append(row)
-                if len(rows) >= 10_000:
-                    yield pack(batch, source, rows)
-                    source, rows = [], []
+                    if len(rows) >= 10_000:
+                        yield pack(batch, source, rows)
+                        source, rows = [], []
             yield pack(batch, source, rows)
 
     def pack(batch, source, rows):
