@@ -49,8 +49,8 @@ VIOLENCE, INTENT, DIE, TARGET, NEGATION, REPORT, SELF, FILLER, INSULT, OTHER = (
 # fixed values: words of the classes; verbs of violence as stems with the endings that they take
 WORDS = {
     INTENT: "will i'll we'll they'll he'll she'll gonna going shall would should must let let's want wanna werde werden wird wirst "
-    "soll sollte will möchte vais va allons vont devrais veux voy va vamos van quiero debería",
-    DIE: "die dies dying dead perish rot stirb stirbt sterben krepier krepieren verrecke verrecken meurs meurt mourir crève crever "
+    "soll sollst sollte will möchte vais va allons vont devrais veux voy va vamos van quiero debería",
+    DIE: "perish rot stirb stirbt sterben krepier krepieren verrecke verrecken meurs meurt mourir crève crever "
     "muere muérete morir morirte",
     TARGET: "you your yours them they him she u du dich dir ihr euch sie tu te toi vous ils elles ustedes vosotros",
     NEGATION: "not no never neither nor don't isn't aren't won't wouldn't didn't cannot can't nicht kein keine nie niemals ne jamais aucun "
@@ -69,8 +69,12 @@ STEMS_OF_VIOLENCE = {
 _CLASSES = {w: name for name, words in WORDS.items() for w in words.split()}
 _CLASSES |= {stem + end: VIOLENCE for stems, ends in STEMS_OF_VIOLENCE.items() for stem in stems.split() for end in ends.split()}
 _CLASSES |= {w: VIOLENCE for w in "kill hurt destroy beat punch stab shoot shot burn crush murder strangle smash bringe umgebracht killing".split()}
+#: "die" is an article in another language; after these it is the verb.
+_BEFORE_DIE = frozenset("should must shall gonna to would".split())
 #: Verbs that hold their own target, as Spanish infinitives do.
 _HOLDS = frozenset("matarte matarlos mataros golpearte".split())
+#: Words that a clause without an insult is looked at for.
+_STARTS = frozenset(w for w, name in _CLASSES.items() if name in (VIOLENCE, DIE))
 _TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]")
 _ENDS = frozenset(".!?;\n")
 
@@ -183,25 +187,33 @@ class Lexicon(dict):
         return weight
 
 
-def classified(word: str, lexicon: Lexicon) -> list[tuple[str, float]]:
-    """The class of a word with its weight; a verb that holds its target is both."""
-    if lexicon[word]:
-        return [(INSULT, lexicon[word])]
-    name = _CLASSES.get(word, OTHER)
-    return [(name, 0.0), (TARGET, 0.0)] if word in _HOLDS else [(name, 0.0)]
+def classified(words: list[str], lexicon: Lexicon) -> list[tuple[str, float]]:
+    """The classes of the words of a clause with their weights; a verb that holds its target is both."""
+    out, before = [], ""
+    for word in words:
+        if lexicon[word]:
+            out.append((INSULT, lexicon[word]))
+        elif word == "die" and before in _BEFORE_DIE:
+            out.append((DIE, 0.0))
+        else:
+            out.append((_CLASSES.get(word, OTHER), 0.0))
+        if word in _HOLDS:
+            out.append((TARGET, 0.0))
+        before = word
+    return out
 
 
 def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> list[float]:
     """The features of a text, all 0 for a null or empty one."""
     words = _TOKENS.findall(text.lower().replace("’", "'")) if text else []
     sums, worst, matched, done = dict.fromkeys(KINDS, 0.0), 0.0, 0, 0
-    hits = [i for i, w in enumerate(words) if lexicon[w] or _CLASSES.get(w) in (VIOLENCE, DIE)]
+    hits = [i for i, w in enumerate(words) if lexicon[w] or w in _STARTS or w == "die" and i and words[i - 1] in _BEFORE_DIE]
     for i in hits:
         if i < done:
             continue
         start = next((j + 1 for j in range(i, done - 1, -1) if words[j] in _ENDS), done)
         done = next((j for j in range(i, len(words)) if words[j] in _ENDS), len(words))
-        found = grammar.clause([c for w in words[start:done] for c in classified(w, lexicon)])
+        found = grammar.clause(classified(words[start:done], lexicon))
         if any(found.values()):
             matched += 1
             sums = {kind: sums[kind] + found[kind] for kind in KINDS}

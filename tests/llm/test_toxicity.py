@@ -77,6 +77,7 @@ def test_sentences():
         assert kinds(text) == {"mild": 1}, text
     for text in ("I'll shoot a photo of you", "the fire will burn", "you beat the record", "they die of age. You live", "nobody here"):
         assert kinds(text) in ({}, {"mild": 1}) and "threats" not in kinds(text), text
+    assert kinds("sie wollen die Tür öffnen, du die Fenster") == {} == kinds("you and the die are cast")
     assert kinds("I'll shoot a photo of you") == {} and kinds("he said they will kill you") == {"denied": 1} == kinds("I won't hurt you")
     order = ["I will kill you", "they killed you", "he said they will kill you", "a fine day"]
     worst = [read(t)[0] for t in order]
