@@ -29,6 +29,8 @@ SKETCH = 32
 MISS = 2e-8
 #: Ids that are sent to all executors when whole sets are fetched; above, the texts are shuffled.
 BROADCAST_IDS = 200_000
+#: Sets with more than this share of all rows, so at most as many as its inverse, are joined to their rows by broadcast.
+HOT_SHARE = 1 / 1000
 
 
 def _least_shared(percent: int) -> int:
@@ -80,13 +82,17 @@ def _suspects(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, key: str, text: str, size: int, classes: DataFrame, suspects: DataFrame) -> DataFrame:
-    """``(fp, n, hashes)`` of the suspects, from the text of one document of each class."""
-    ids = classes.join(suspects, "fp").select(F.col("key").alias("__id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    chosen = docs.select(key, text).join(ids, F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    found = _sets(chosen, key, text, size, whole=True).join(suspects, "fp", "left_semi")
-    return found.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes"))
+    """``(fp, n, hashes)`` of the suspects, from the text of one document of each class; fp is the class's number."""
+    ids = written(classes.join(suspects.withColumnRenamed("fp", "id"), "id").select(F.col("key").alias("__id"), "fp", "id"), "suspected")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = docs.select(key, text).join(ids.select("__id"), F.col(key).eqNullSafe(F.col("__id")), "left_semi")
+    # a key may be repeated with other texts; the fingerprint tells which is meant
+    found = _sets(chosen, key, text, size, whole=True).select("fp", "n", "hashes").join(ids.select("fp", "id"), "fp")
+    found = written(found.select(F.col("id").alias("fp"), "n", "hashes"), "whole")
+    rows, kinds = found.agg(F.count(F.lit(1)), F.count_distinct("fp")).first()
+    if rows == kinds:  # no key is repeated with the same text
+        return found
+    return written(found.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes")), "whole")
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
@@ -172,21 +178,24 @@ def near_duplicates(
     """
     rows = written(_sets(docs, key, text, words, whole=False), "sketches")
     classes = rows.where("n > 0").groupBy("fp").agg(
-        F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes")
+        F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes")
     )
-    classes = written(classes, "classes")
-    suspects = written(_suspects(classes, percent), "suspects")
-    sets = written(_whole_sets(docs, key, text, words, classes, suspects), "sets")
+    # From here on classes go by numbers, which hold once written; a fingerprint is several times as long.
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    numbered = classes.select(F.col("id").alias("fp"), "n", "hashes")
+    suspects = written(_suspects(numbered, percent), "suspects")
+    sets = _whole_sets(docs, key, text, words, classes, suspects)
     roots = written(_links(sets, percent), "roots")
-    low = (
-        roots.join(classes.select(F.col("fp").alias("node"), "key"), "node")
-        .groupBy("root").agg(F.min("key").alias("low"))
-    )
-    linked = roots.join(low, "root").select(F.col("node").alias("fp"), "low")
-    of_class = classes.select("fp", F.col("key").alias("least")).join(linked, "fp", "left").select(
-        "fp", F.coalesce("low", "least").alias("component")
-    )
-    return rows.join(of_class, "fp", "left").select(
+    named = roots.join(classes.select(F.col("id").alias("node"), "key", "fp"), "node")
+    low = named.groupBy("root").agg(F.min("key").alias("low"))
+    linked = named.join(low, "root").select("fp", "low")
+    hot = (F.col("copies") > F.lit(HOT_SHARE) * rows.count()).alias("hot")
+    of_class = classes.select("fp", F.col("key").alias("least"), hot).join(linked, "fp", "left")
+    of_class = written(of_class.select("fp", F.coalesce("low", "least").alias("component"), "hot"), "components")
+    # sets that a large share of the rows have are few; they go to the rows, not the rows to them
+    few = F.broadcast(of_class.where("hot").drop("hot"))
+    others = rows.join(few, "fp", "left_anti").join(of_class.where("not hot").drop("hot"), "fp", "left")
+    return rows.join(few, "fp").unionByName(others).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"),
     )
