@@ -63,14 +63,15 @@ class Repeats(Fold):
 
 def mark_repeats(
     df: DataFrame, key, text: str, ts_ms: str, tie, gap_ms: int = REPEAT_GAP_MS,
-    state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
+    state_in: DataFrame | None = None, max_rows: int = MAX_ROWS, prune: bool = False,
 ) -> DataFrame:
     """Add ``emitted``: false for a blank text, or the text emitted last less than ``gap_ms`` ago.
 
-    Only runs of one text that last as long as the gap reach the fold; windows tell the rest.
+    ``prune``: only runs of one text that last as long as the gap reach the fold, window functions tell the rest. That is
+    worth its sorts where texts change often.
     """
     keys, order, fold = _keys(key), [ts_ms, *_keys(tie)], Repeats(text, ts_ms, gap_ms)
-    if state_in is not None:
+    if not prune or state_in is not None:
         return keyed_fold(df, keys, order, fold, state_in, max_rows)
     return pruned_fold(df, keys, order, fold, lambda rows: told_repeats(rows, keys, order, text, gap_ms), ["_run"], max_rows)
 
@@ -105,10 +106,10 @@ def told_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], text:
 
 def suppress_repeats(
     df: DataFrame, key, text: str, ts_ms: str, tie, gap_ms: int = REPEAT_GAP_MS,
-    state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
+    state_in: DataFrame | None = None, max_rows: int = MAX_ROWS, prune: bool = False,
 ) -> DataFrame:
     """Only the rows that ``mark_repeats`` emits."""
-    return mark_repeats(df, key, text, ts_ms, tie, gap_ms, state_in, max_rows).filter("emitted").drop("emitted")
+    return mark_repeats(df, key, text, ts_ms, tie, gap_ms, state_in, max_rows, prune).filter("emitted").drop("emitted")
 
 
 class Idle(Fold):

@@ -153,14 +153,15 @@ def _order(ts_ms, tie) -> list[str]:
 
 def sliding_window_allow(
     df: DataFrame, key, ts_ms: str, tie, limit: int, window_ms: int,
-    kind: str | None = None, state_in: DataFrame | None = None, max_rows: int = MAX_ROWS,
+    kind: str | None = None, state_in: DataFrame | None = None, max_rows: int = MAX_ROWS, prune: bool = False,
 ) -> DataFrame:
     """Add ``allowed`` (null on non-call rows) and ``remaining`` after the row. Rows without a time get nulls.
 
-    Of plain calls only those within a window of one that windows cannot tell reach the fold.
+    ``prune``: of plain calls only those within a window of one that window functions cannot tell reach the fold. That
+    is worth its two sorts where few calls are near their limit.
     """
     fold, keys, order = SlidingWindow(ts_ms, kind, limit, window_ms), _keys(key), _order(ts_ms, tie)
-    if kind is not None or state_in is not None or not 0 < limit <= MOST_LAGS:
+    if not prune or kind is not None or state_in is not None or not 0 < limit <= MOST_LAGS:
         return keyed_fold(df, keys, order, fold, state_in, max_rows)
     return pruned_fold(df, keys, order, fold, lambda rows: told_calls(rows, keys, order, limit, window_ms), (), max_rows)
 

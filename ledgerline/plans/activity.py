@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.activity import idle_gaps, no_progress, snapshot_diff, suppress_repeats, watched
 from ledgerline.operators.scoring import attempts_run, attempts_to_pass, latest_attempt
-from ledgerline.plans.registry import events, query, table
+from ledgerline.plans.registry import ORACLES, events, query, table
 
 GAP_MS = 2 * 86_400_000
 IDLE_MS = 86_400_000
@@ -174,3 +174,10 @@ def watched_files(spark, sf_dir):
     path = F.get(F.array(*map(F.lit, names)), F.col("doc_id") % 7)
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
     return watched(files).select("doc_id")
+
+
+@query("suppress_repeats_pruned", ORACLES["suppress_repeats"])
+def repeats_pruned(spark, sf_dir):
+    """The same rows, with the runs that window functions can tell kept from the fold."""
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts_ms")
+    return suppress_repeats(rows, "user_id", "event_type", "ts_ms", "event_id", GAP_MS, prune=True).select("event_id", "user_id")

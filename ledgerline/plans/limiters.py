@@ -193,3 +193,14 @@ def window_reset(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "reset").otherwise("call").alias("kind")
     calls = events(spark, sf_dir).select("event_id", "user_id", "ts_ms", kind)
     return sliding_window_allow(calls, **KEY, limit=LIMIT, window_ms=WINDOW_MS, kind="kind").select("event_id", "allowed", "remaining")
+
+
+@query(
+    "sliding_window_pruned",
+    _WINDOW_SQL + f"SELECT event_id, allowed, ({LIMIT} - len(hits))::BIGINT AS remaining FROM walk",
+)
+def window_pruned(spark, sf_dir):
+    """The same admissions, with the calls that window functions can tell kept from the fold."""
+    calls = events(spark, sf_dir).select("event_id", "user_id", "ts_ms")
+    out = sliding_window_allow(calls, **KEY, limit=LIMIT, window_ms=WINDOW_MS, prune=True)
+    return out.select("event_id", "allowed", "remaining")

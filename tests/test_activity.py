@@ -47,7 +47,7 @@ def test_repeats_that_windows_tell(spark):
     for span, texts in ((40_000, "xyz "), (9_000, "x"), (20_000, "xxxy ")):
         rows = rows_of(rng.randrange(99), 300, span, texts) + [(900, "hot", None, "x"), (901, "k1", 5, None)]
         folded = keyed_fold(table(spark, rows), ["k"], ["ts", "id"], Repeats("text", "ts", 300))
-        out = mark_repeats(table(spark, rows), "k", "text", "ts", "id", 300)
+        out = mark_repeats(table(spark, rows), "k", "text", "ts", "id", 300, prune=True)
         assert {r.id: r.emitted for r in out.collect()} == {r.id: r.emitted for r in folded.collect()}
         fed = told_repeats(table(spark, rows), ["k"], ["ts", "id"], "text", 300).filter("_fed").count()
         assert fed < 120 if texts == "xyz " else fed <= 302

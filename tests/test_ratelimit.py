@@ -150,7 +150,7 @@ def test_calls_that_windows_tell(spark, seed, span, limit, window):
     rows = [(i, k, t // 50 * 50, "call", 1) for i, k, t, _, _ in random_rows(seed, 500, span)]
     none = [(900, "hot", None, "call", 1), (901, "k1", None, "call", 1)]
     df = calls(spark, rows + none)
-    got = {r.id: (r.allowed, r.remaining) for r in sliding_window_allow(df, **KEY, limit=limit, window_ms=window).collect()}
+    got = {r.id: (r.allowed, r.remaining) for r in sliding_window_allow(df, **KEY, limit=limit, window_ms=window, prune=True).collect()}
     assert got == model_window(rows, limit, window) | {900: (None, None), 901: (None, None)}
     told = told_calls(df, ["k"], ["ts", "id"], limit, window)
     open_, fed = told.filter("_open").count(), told.filter("_fed").count()
@@ -164,5 +164,5 @@ def test_few_calls_reach_the_fold(spark):
     df = calls(spark, rows)
     told = told_calls(df, ["k"], ["ts", "id"], 3, 10_000)
     assert told.filter("_fed").count() < 40 and told.count() == len(rows)
-    got = {r.id: (r.allowed, r.remaining) for r in sliding_window_allow(df, **KEY, limit=3, window_ms=10_000).collect()}
+    got = {r.id: (r.allowed, r.remaining) for r in sliding_window_allow(df, **KEY, limit=3, window_ms=10_000, prune=True).collect()}
     assert got == model_window(rows, 3, 10_000)
