@@ -102,7 +102,6 @@ def test_held_out_accuracy(middle):
     for r in rows:
         assert by_features.setdefault(tuple(r.features), r.score) == r.score
     out = [r for r in rows if r.held_out]
-    print("held out", len(out), "missed", sum(truth[r.doc_id] > r.predicted for r in out), "wrong", sum(truth[r.doc_id] < r.predicted for r in out))
     assert auc([r.score for r in out], [truth[r.doc_id] for r in out]) > 0.93
     hit = sum(r.predicted and truth[r.doc_id] for r in out)
     assert hit >= 0.85 * sum(truth[r.doc_id] for r in out) and hit >= 0.9 * sum(r.predicted for r in out)
