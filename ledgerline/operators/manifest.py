@@ -12,6 +12,7 @@ from ledgerline.fixed_values import CHECK_NAME
 from ledgerline.functions.jsontext import canonical_json, integrity, object_entries
 from ledgerline.functions.text import character_count, content_hash, work_units
 from ledgerline.operators.folds import Fold, final_states
+from ledgerline.session import short_batches
 
 
 def repo_chars(files: DataFrame, by: Sequence[str] = ("task_id",), text: str = "text") -> DataFrame:
@@ -75,6 +76,7 @@ def hash_of_pieces(pieces: DataFrame, by: Sequence[str], order: Sequence[str], p
 
     The digest has to read a key from front to back, so one task streams it, in constant memory.
     """
+    short_batches(pieces.sparkSession)
     return final_states(pieces, by, order, _Sha256(piece, *marks), max_rows=None)
 
 

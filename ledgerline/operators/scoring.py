@@ -13,6 +13,7 @@ from ledgerline.functions.jsontext import decoded_string, extract_json_object, o
 from ledgerline.functions.keys import BUCKETS
 from ledgerline.functions.text import content_hash, strip
 from ledgerline.operators.tally import saturated_sum
+from ledgerline.session import short_batches
 
 RUN, TASK = ["run_id"], ["run_id", "task_id"]
 
@@ -55,6 +56,7 @@ def score_outputs(outputs: DataFrame, tasks: DataFrame, key: str = "task_id", ou
 
     Rows of unknown tasks are left out; ``unknown_tasks`` lists them.
     """
+    short_batches(outputs.sparkSession)
     joined = outputs.join(small(expected_entries(tasks, key)), key)
     got = joined.withColumn("_got", object_entries(extract_json_object(output)))
     each = F.forall(

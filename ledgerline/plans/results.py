@@ -14,6 +14,7 @@ from ledgerline.operators.scoring import (
 )
 from ledgerline.plans.registry import events, query, spread, table
 from ledgerline.plans.texts import ESCAPED
+from ledgerline.session import short_batches
 from ledgerline.sources.sinks import packages
 
 # --- scoring ----------------------------------------------------------------------------------
@@ -22,6 +23,7 @@ from ledgerline.sources.sinks import packages
 def outputs(spark, sf_dir):
     """A document is the output for its task, a source is a run. The answer, which guesses quality from
     length, stands in the text in a way that depends on the language."""
+    short_batches(spark)
     guess = F.when(F.col("n_chars") > 400, 1).otherwise(0)
     plain = F.format_string('{"quality": %d, "toxic": 0, "note": "n"}', guess)
     output = (

@@ -8,18 +8,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at once. A task may feed several workers, and each holds its batch a few times
+#: over (Arrow, Python's strings, results), so that Spark's 64 MB would take gigabytes of an executor.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def build_session(app: str = "ledgerline", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on.
 
-    Partition counts and memory belong to the cluster; only semantics are pinned here:
-    UTC, because ``timestamp_ntz`` columns are read as UTC, and adaptive execution.
+    Partition counts and memory belong to the cluster; only semantics are pinned here: UTC, because
+    ``timestamp_ntz`` columns are read as UTC, adaptive execution, and batches short enough for long texts.
     """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(_BATCH, str(BATCH_BYTES))
     )
     if master:
         builder = builder.master(master)
@@ -28,6 +34,11 @@ def build_session(app: str = "ledgerline", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Long texts go to Python workers a few at a time, so that what a worker holds does not grow with the table."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 

@@ -10,7 +10,7 @@ from ledgerline.functions.keys import BUCKETS
 from ledgerline.functions.text import slug
 from ledgerline.operators.manifest import hash_of_pieces
 from ledgerline.operators.scoring import run_totals
-from ledgerline.session import checkpointed
+from ledgerline.session import checkpointed, short_batches
 from ledgerline.sources.folders import resolved, save
 
 OUTWARD = {"cache_hit": "cacheHit", "cache_write": "cacheWrite"}
@@ -30,6 +30,7 @@ def packages(sealed: DataFrame, runs: DataFrame, suite: dict[str, str], order: s
     ``runs``: run_id, started_at, finished_at and a ``stack`` struct with modelSlug, harnessSlug and
     setting. ``suite``: format, evaluator, evaluatorVersion, suiteVersion, suiteHash.
     """
+    short_batches(sealed.sparkSession)
     task = F.struct(
         F.col("task_id").cast("string").alias("id"), F.col("prompt_hash").alias("promptHash"), "output",
         F.col("output_hash").alias("outputHash"), usage_json(F.col("usage")).alias("usage"),
