@@ -4,11 +4,13 @@ Rows may come out of order. They wait in state until the watermark has passed th
 folded in (time, tie) order, so any split into micro-batches gives what the batch operator gives.
 A row later than the watermark is not dropped: it comes out at once, marked ``late``, and changes nothing. A row
 without a time comes out at once too, with nulls, as the batch operators have it. So every row of the input is emitted,
-waiting or late. State lives in RocksDB and the query's checkpoint; a key whose state has gone stale is forgotten.
+waiting or late. State lives in RocksDB and the query's checkpoint, grouped by buckets of keys; a key whose state has gone
+stale is forgotten.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,6 +27,9 @@ from ledgerline.operators.ratelimit import SlidingWindow, TokenBucket
 EVENT_TIME = "event_time"
 #: Column of all streams here: whether the row came after the watermark had passed its time.
 LATE = "late"
+#: Buckets of keys that state is grouped by, and rows of a chunk that waits in it. A checkpoint holds for the number it began with.
+BUCKETS, _CHUNK = 1024, 10_000
+_BUCKET = "_bucket"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,57 +39,79 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _FoldProcessor(StatefulProcessor):
-    def __init__(self, fold: Fold, ts: str, order: list[str], rows: T.StructType):
+    """Folds the keys of a bucket. A call of the state store costs as much as many rows, and so does a group's way in and out
+    of Python: so rows wait in chunks, a bucket's keys come due together, and their states are read and written as one.
+    """
+
+    def __init__(self, fold: Fold, keys: list[str], ts: str, order: list[str], rows: T.StructType):
         at = rows.names.index
         self.fold, self.rows, self.at = fold, rows, at(ts)
-        self.place, self.inputs = [at(c) for c in order], [at(c) for c in fold.inputs]
+        self.key, self.place, self.inputs = [at(c) for c in keys], [at(c) for c in order], [at(c) for c in fold.inputs]
         self.made = Row(*rows.names, *(f.name for f in fold.outputs), LATE)
         self.nothing = [None] * len(fold.outputs)
 
     def init(self, handle):
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
-        self.state = handle.getValueState("state", T.StructType([T.StructField("state", T.StringType())]))
+        self.handle, self.served = handle, set()
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.states = handle.getValueState("states", "states binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues):
-        now, new, out = timerValues.getCurrentWatermarkInMs(), [], []
+        now, new, first, out, at = timerValues.getCurrentWatermarkInMs(), [], None, [], None
         for row in rows:
-            values = tuple(row[name] for name in self.rows.names)
-            at = values[self.at]
-            if at is not None and at >= now:
-                new.append(values)
-            else:
-                out.append(self.made(*values, *self.nothing, at is not None))
+            at = at or [row.__fields__.index(name) for name in self.rows.names]
+            plain = tuple(row)
+            values = tuple([plain[i] for i in at])
+            time = values[self.at]
+            if time is None or time < now:
+                out.append(self.made(*values, *self.nothing, time is not None))
+                continue
+            new.append(values)
+            first = time if first is None or time < first else first
+            if len(new) == _CHUNK:
+                self.waiting.appendValue((pickle.dumps(new),))
+                new = []
         if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(row[self.at] for row in new) + 1)
+            self.waiting.appendValue((pickle.dumps(new),))
+        if first is not None:
+            self.handle.registerTimer(first + 1)
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get())
-        due = [r for r in waiting if r[self.at] < now]
-        rest = [r for r in waiting if r[self.at] >= now]
+        if key in self.served:  # all that is due in a micro-batch is due at its first timer
+            return iter(())
+        self.served.add(key)
+        now, due, rest = timerValues.getCurrentWatermarkInMs(), {}, []
+        for (chunk,) in self.waiting.get():
+            for row in pickle.loads(chunk):
+                if row[self.at] < now:
+                    due.setdefault(tuple([row[i] for i in self.key]), []).append(row)
+                else:
+                    rest.append(row)
         if due and rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(r[self.at] for r in rest) + 1)
+            self.waiting.put([(pickle.dumps(rest[n : n + _CHUNK]),) for n in range(0, len(rest), _CHUNK)])
+            self.handle.registerTimer(min(row[self.at] for row in rest) + 1)
         elif due:
             self.waiting.clear()
-        return iter(self._fold(due, now, not rest))
-
-    def _fold(self, due, now, all_done):
-        held = self.state.get() if self.state.exists() else None
-        state = self.fold.load(held[0]) if held else self.fold.fresh()
-        made = []
-        for row in sorted(due, key=lambda r: tuple(r[i] for i in self.place)):
-            made.append(self.made(*row, *self.fold.step(state, *(row[i] for i in self.inputs)), False))
-        stale = self.fold.stale_at(state)
-        if all_done and stale is not None and stale < now:
-            self.state.clear()
-        elif due:
-            self.state.update((self.fold.dump(state),))
-            if all_done and stale is not None:
-                self.handle.registerTimer(max(stale, now) + 1)
+        return iter(self._fold(due, now))
+
+    def _fold(self, due: dict[tuple, list[tuple]], now: int) -> list[Row]:
+        """The rows of each key, in order, with what the fold makes of them; states are kept with the time they go stale."""
+        held, made = self.states.get(), []
+        states = pickle.loads(held[0]) if held else {}
+        for key, rows in due.items():
+            state = self.fold.load(states[key][0]) if key in states else self.fold.fresh()
+            for row in sorted(rows, key=lambda r: tuple([r[i] for i in self.place])):
+                made.append(self.made(*row, *self.fold.step(state, *[row[i] for i in self.inputs]), False))
+            states[key] = self.fold.dump(state), self.fold.stale_at(state)
+        # what still waits is not earlier than now
+        kept = {key: state for key, state in states.items() if state[1] is None or state[1] >= now}
+        if kept and (due or len(kept) < len(states)):
+            self.states.update((pickle.dumps(kept),))
+        elif held and not kept:
+            self.states.clear()
+        ends = [stale for _, stale in kept.values() if stale is not None]
+        if ends:
+            self.handle.registerTimer(max(ends) + 1)
         return made
 
     def close(self):
@@ -97,14 +124,16 @@ def keyed_fold_stream(
     """Streaming ``keyed_fold``: ``df`` (scalar columns) plus the columns of ``fold`` and ``late``.
 
     The watermark is taken on a column that the stateful step does not get: Spark drops late rows only where it sees
-    that column, so they reach the step, which knows the watermark and tells them apart.
+    that column, so they reach the step, which knows the watermark and tells them apart. State is grouped by buckets of
+    keys (``_FoldProcessor``).
     """
     use_rocksdb(df.sparkSession)
     rows = df.schema
     out = T.StructType([*rows.fields, *fold.outputs, T.StructField(LATE, T.BooleanType())])
     timed = df.withColumn(EVENT_TIME, F.timestamp_millis(ts_ms)).withWatermark(EVENT_TIME, delay).drop(EVENT_TIME)
-    processor = _FoldProcessor(fold, ts_ms, [ts_ms, *tie], rows)
-    return timed.groupBy(*keys).transformWithState(
+    processor = _FoldProcessor(fold, list(keys), ts_ms, [ts_ms, *tie], rows)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    return timed.withColumn(_BUCKET, bucket).groupBy(_BUCKET).transformWithState(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 

@@ -14,7 +14,7 @@ from ledgerline.sources.files import log_line_stream, log_lines
 from ledgerline.streaming.heartbeat import heartbeats_stream
 from ledgerline.streaming.io import BATCH, read_upserts, run_to_table, split_late, upsert_stream
 from ledgerline.streaming.keyed import (
-    idle_gaps_stream, replay_leases_stream, sliding_window_allow_stream, suppress_repeats_stream, token_bucket_stream,
+    BUCKETS, idle_gaps_stream, replay_leases_stream, sliding_window_allow_stream, suppress_repeats_stream, token_bucket_stream,
 )
 from ledgerline.streaming.usage import harvest_stream
 from tests.test_queue import SCHEMA as COMMANDS
@@ -184,6 +184,21 @@ def test_repeats_and_gaps_stream(spark, tmp_path):
     assert [(r.id, r.idle_ms) for r in run_to_table(out, "t").collect() if r.k == "a"] == [(6, 27_200)]
 
 
+def test_many_keys_share_state(spark, tmp_path):
+    """State has an entry per bucket of keys and micro-batch, null keys too, and forgets what has gone stale."""
+    keys = [None, *(f"k{n}" for n in range(2 * BUCKETS))]
+    rows = [(n, k, at + n % 7, "x") for at in (10_000, 10_900, 60_000) for n, k in enumerate(keys)]
+    batches = [rows[: len(keys)], rows[len(keys) : 2 * len(keys)], rows[2 * len(keys) :]]
+    df = stream(spark, tmp_path / "in", "id long, k string, ts long, text string", batches)
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    repeats = suppress_repeats_stream(df, "k", "text", "ts", "id", 2_000, delay="1 second")
+    repeats.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(len(keys)))  # the first of each key, not the repeats
+    state = spark.read.format("statestore")
+    assert 0 < state.option("stateVarName", "waiting").load(progress).count() <= BUCKETS
+    assert state.option("stateVarName", "states").load(progress).count() == 0
+
+
 def test_lines_and_latest_attempt(spark, tmp_path):
     for run, name, text in [("r1", "stdout", '{"type":"system"}\nhello\n'), ("r2", "stderr.log", "bad\n"), ("r2", "notes", "no\n")]:
         (tmp_path / "runs" / run).mkdir(parents=True, exist_ok=True)
