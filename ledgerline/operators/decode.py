@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ledgerline.session import short_batches
+
 _START = re.compile(r"[\[{]")
 
 
@@ -51,6 +53,7 @@ def explode_texts(
     texts: DataFrame, text: str, keep: Sequence[str], made: T.StructType, rows_of: Callable[[str, bool], Iterator[dict]], whole: bool
 ) -> DataFrame:
     """Rows made from each text by ``rows_of``, with the kept columns repeated."""
+    short_batches(texts.sparkSession)
     schema = T.StructType([texts.schema[c] for c in keep] + made.fields)
     arrow, made_arrow = to_arrow_schema(schema), to_arrow_schema(made)
 

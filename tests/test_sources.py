@@ -7,14 +7,17 @@ import json
 import os
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerline.functions.jsonshape import one_value, shapes
 from ledgerline.functions.text import task_tag
-from ledgerline.operators.manifest import manifest, manifest_rejects, repo_chars, suite_size, work_size
+from ledgerline.operators.decode import extract_blobs
+from ledgerline.operators.manifest import hash_of_pieces, manifest, manifest_rejects, repo_chars, suite_size, work_size
 from ledgerline.operators.reports import first_error, parse_reports
-from ledgerline.operators.scoring import seal_tasks
-from ledgerline.operators.usage import harvest, sum_attempts
+from ledgerline.operators.scoring import score_outputs, seal_tasks
+from ledgerline.operators.usage import harvest, sum_attempts, tallies
+from ledgerline.session import BATCH_BYTES
 from ledgerline.sources import files as sources
 from ledgerline.sources.files import (
     answers, left_out, log_line_stream, log_lines, log_texts, report_texts, session_logs, sidecars, split_lines, task_definitions, task_files,
@@ -304,3 +307,21 @@ def test_packages_and_usage_round_trip(spark, tmp_path):
     write_usage(sealed, str(tmp_path / "usage"), ["run_id"])
     back = spark.read.json(str(tmp_path / "usage"))
     assert {"input", "output", "reasoning", "cacheHit", "cacheWrite", "run_id"} == set(back.columns) and back.count() == 3
+
+
+def test_long_texts_go_to_python_a_few_at_a_time(spark):
+    """What a worker is given does not grow with the table, whatever the session said before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(300).select(F.lit("r").alias("run_id"), F.col("id").alias("seq"), F.lit("stdout").alias("stream"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = lambda: [r.n for r in texts.coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+    docs = texts.select("run_id", F.col("seq").alias("task_id"), F.col("text").alias("output"))
+    tasks = spark.createDataFrame([(1, "{}")], "task_id long, expected string")
+    uses = (lambda: score_outputs(docs, tasks), lambda: hash_of_pieces(texts, ["run_id"], ["seq"], "text"), lambda: tallies(texts, ["run_id"]),
+            lambda: extract_blobs(texts, ["seq"]))
+    try:
+        for use in uses:
+            spark.conf.set(name, str(64 << 20))
+            use()
+            assert max(sizes()) <= BATCH_BYTES + 200_000
+    finally:
+        spark.conf.set(name, str(BATCH_BYTES))
