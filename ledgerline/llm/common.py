@@ -36,21 +36,23 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
-    """Other batches for what is run (not only planned) inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Other batches, to Python and from Parquet, for what is run (not only planned) inside."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends there, and a lost executor
-    costs no work above it."""
+    costs no work above it. ``options`` are those of the writer."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

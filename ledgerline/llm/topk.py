@@ -29,6 +29,8 @@ SCALE = 64
 TREE, PAGE, FAN, BLOCK = 8192, 256, 8, 512
 #: Pairs of a tree and a block, about 5 MB each, that a Python worker holds at once.
 PAIRS = 4
+#: A tree is one row of some MB: each has pages of its own, a few make a row group, so that readers hold few at once.
+LONG_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size": 16 << 20}
 #: Components are cut to this size.
 LARGEST = 2.0**62
 #: Rows that the routing objects are chosen from, and routing objects at most.
@@ -239,7 +241,7 @@ def _searched(asked: DataFrame, trees: DataFrame, n_blocks: int, size: int, reac
             out[2].append(np.clip(best[at, place], -LARGEST, LARGEST).astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "key", "score"])
 
-    pairs = blocks.join(trees, "tree").select("asked", *Tree.FIELDS)
+    pairs = blocks.join(trees.hint("merge"), "tree").select("asked", *Tree.FIELDS)
     found = arrow_map(pairs, search, "query_id long, key long, score long")
     with batch_rows(asked.sparkSession, PAIRS):
         return written(found, "found")
@@ -277,7 +279,7 @@ def top_k(
     starts = np.cumsum([0, *pieces])
     part = lambda c, values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col(c))
     tree = (part("route", starts[:-1]) + F.pmod(F.xxhash64("key"), F.greatest(part("route", pieces), F.lit(1)))).cast("long")
-    trees = written(_built(near.withColumn("tree", tree), routes, reach, size), "trees")
+    trees = written(_built(near.withColumn("tree", tree), routes, reach, size), "trees", **LONG_ROWS)
     radius = np.full(len(routes), -np.inf)
     for r in trees.groupBy("route").agg(F.max("covers").alias("covers")).collect():
         radius[r.route] = r.covers
@@ -293,7 +295,7 @@ def top_k(
     homes = arrow_map(asked, home, "key long, v array<bigint>, route int").withColumn("tree", tree)
     homes = written(homes.withColumn("least", F.lit(None).cast("long")), "homes")
     first = _searched(homes, trees, n_blocks, size, reach, k)
-    enough = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    enough = first.groupBy(F.col("query_id").alias("key")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
 
     def others(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The routing objects whose trees may hold a vector that is good enough, by their covering radii."""
@@ -307,7 +309,7 @@ def top_k(
             [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(may)))], names=["key", "v", "home", "least", "routes"]
         )
 
-    known = homes.drop("least", "route").withColumnRenamed("tree", "home").join(enough.select(F.col("query_id").alias("key"), "least"), "key", "left")
+    known = homes.drop("least", "route").withColumnRenamed("tree", "home").join(enough.hint("merge"), "key", "left")
     known = arrow_map(known.select("key", "v", "home", "least"), others, "key long, v array<bigint>, home long, least long, routes array<int>")
     route = known.select("key", "v", "home", "least", F.explode("routes").alias("route"))
     span = F.sequence(part("route", starts[:-1]).cast("long"), part("route", starts[1:]).cast("long") - 1)

@@ -129,3 +129,25 @@ def test_hot_region_and_far_trees(spark, monkeypatch):
     assert result(top_k(asked, table, k=5)) == brute(rows, asked_ids, 5)
     (first, trees), (second, _) = sent
     assert first == len(asked_ids) and trees >= 10 and second < first * (trees - 1)
+
+
+def test_trees_stay_on_executors(spark, monkeypatch):
+    """Trees pack well, so that files of a few MB hold gigabytes: neither they nor blocks go through the driver, and
+    tasks read them a few at a time."""
+    plans, rows = [], []
+
+    def recorded(df, label, **options):
+        if label == "found":
+            plans.append(df._jdf.queryExecution().toString())
+            rows.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        return written(df, label, **options)
+
+    written = topk.written
+    monkeypatch.setattr(topk, "written", recorded)
+    monkeypatch.setattr(topk, "TREE", 40)
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    vectors = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(300)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert result(top_k(table, table, k=4)) == brute(vectors, [i for i, _ in vectors], 4)
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+    assert rows == [str(topk.PAIRS)] * 2 and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
