@@ -51,5 +51,6 @@ def within(
     left = points.where(F.col(at).between(-FOREVER, FOREVER - 1)).withColumn("_bucket", F.explode(F.array(*place)))
     bounds = {"_start": F.greatest(F.col(start), F.lit(-FOREVER)), "_end": F.least(F.coalesce(F.col(end), F.lit(FOREVER)), F.lit(FOREVER))}
     right = spans.where(F.col(start).isNotNull()).withColumns(bounds).withColumn("_bucket", F.explode(_cover("_start", "_end")))
-    joined = left.join(right, [*keys, "_bucket"]).where((F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end")))
+    # Spark takes both sides for as small as they are without buckets, and would send them through the driver.
+    joined = left.join(right.hint("merge"), [*keys, "_bucket"]).where((F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end")))
     return joined.drop("_bucket", "_start", "_end")

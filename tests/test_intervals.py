@@ -34,3 +34,12 @@ def test_equal_plain_loop(spark, monkeypatch):
         got = sorted((r.i, r.n) for r in within(p, s, ["k"], "at").collect())
         assert got == want
     assert len(want) > 200
+
+
+def test_buckets_stay_on_executors(spark):
+    """Buckets of intervals without an end are a hundred times the intervals: no side of the join is broadcast."""
+    points = spark.createDataFrame([("a", 1, 5), ("b", 2, 10**12), ("b", 3, 4)], "k string, i long, at long")
+    spans = spark.createDataFrame([("a", 1, 0, None), ("b", 2, 5, None)], "k string, n long, start long, end long")
+    found = within(points, spans, ["k"], "at")
+    assert sorted((r.i, r.n) for r in found.collect()) == [(1, 1), (2, 2)]
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
